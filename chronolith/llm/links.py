@@ -146,14 +146,17 @@ HOT_SCALE = int(np.log2(HOT) * 4) + 1
 def link(cells: DataFrame, nodes: DataFrame, fits: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], prune: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, comp) of the nodes that have a link.
 
-    cells: (cell, node), written. nodes: node, weight (the pivot is the heaviest) and what fits(x, y) and prune() read.
+    cells: (cell, node), written. nodes: node and what fits(x, y) and prune() read. The pivot of a cell is its member that
+    shares the most cells with others: what a group of edited copies has in common lies nearest to it.
     fits: a cheap condition on the columns of structs x and y that every linked pair meets. verify: (a, b) -> the linked
     ones. prune: (tile, node, comp, ...) -> pairs (a, b) of different comp within a tile that may be linked.
     """
-    known = shared.written(cells.join(nodes, "node"), "members")
+    size = cells.groupBy("cell").agg(F.count("*").alias("size"))
+    score = cells.join(size, "cell").groupBy("node").agg(F.sum("size").alias("weight"))
+    known = shared.written(cells.join(nodes.join(score, "node"), "node"), "members")
     info = F.struct("node", *[c for c in nodes.columns if c != "node"])
-    pivot = known.groupBy("cell").agg(F.max(F.struct(F.col("weight"), (-F.col("node")).alias("tie"), info.alias("y")))["y"].alias("y"), F.count("*").alias("size"))
-    pivot = shared.written(pivot, "pivots")
+    pivot = known.groupBy("cell").agg(F.max(F.struct("weight", "node")).alias("top"), F.count("*").alias("size")).select("cell", "size", F.col("top.node").alias("node"))
+    pivot = shared.written(pivot.join(nodes, "node").select("cell", "size", info.alias("y")), "pivots")
     star = known.withColumn("x", info).join(pivot, "cell").where("x.node <> y.node").where(fits("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     found = shared.written(verify(shared.written(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")), "links")
     comp = components(found)

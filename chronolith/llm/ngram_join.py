@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import links, shared, vec
 
 WORDS, NUMER, DENOM = 5, 75, 100
-GROUPS, LEAF = 64, 16
+GROUPS, LEAF = 256, 16
 
 
 def shingle_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -75,7 +75,8 @@ def _entries(k: int, numer: int, denom: int, buckets: int, scale):
                     continue
                 own = node_of(s)
                 node.append(own)
-                vector.append(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes())
+                # One byte a group; 255 stands for any larger count, and is read as one that no bound is lowered by.
+                vector.append(np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8).tobytes())
                 if own in seen:
                     continue
                 if len(seen) < 1 << 20:
@@ -101,7 +102,8 @@ def _prune(numer: int, denom: int):
 
     def run(table: pa.Table) -> pa.Table:
         node, comp, n = (table.column(c).to_numpy() for c in ("node", "comp", "n_shingles"))
-        points = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int32)
+        points = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.int32)
+        points[points == 255] = 1 << 20
         out_a, out_b = [], []
         for queries, members in links.each_tile(table):
             members = _packed_order(points, n, members)
@@ -177,7 +179,7 @@ def similar_documents(docs: DataFrame, k: int = WORDS, numer: int = NUMER, denom
     scale = spark.sparkContext.broadcast(links.sketch(whole.mapInArrow(_frequencies(k), "slice int, counts binary")))
     made = shared.written(whole.mapInArrow(_entries(k, numer, denom, buckets, scale), f"doc_id long, n_shingles long, node long, vector binary, {links.PACKED}"), "entries")
     members = made.where("doc_id is not null").select("doc_id", "n_shingles", "node", "vector")
-    nodes = shared.written(members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("n_shingles").alias("n_shingles"), F.first("vector").alias("vector")), "nodes")
+    nodes = shared.written(members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("vector").alias("vector")), "nodes")
     cells = links.cells(made.where("bucket is not null").select(*links.NAMES))
     busy = cells.select("node").distinct().join(nodes, "node").select(F.col("rep").alias("doc_id"), "node")
     busy = shared.written(busy, "busy")
@@ -193,7 +195,7 @@ def similar_documents(docs: DataFrame, k: int = WORDS, numer: int = NUMER, denom
     def fits(x: str, y: str):
         return F.expr(f"{x}.n_shingles * {denom} >= {y}.n_shingles * {numer} and {y}.n_shingles * {denom} >= {x}.n_shingles * {numer}")
 
-    comp = links.link(cells, nodes.select("node", "weight", "n_shingles", "vector"), fits, verify, lambda tiles: links.dealt(tiles, _prune(numer, denom), buckets))
+    comp = links.link(cells, nodes.select("node", "n_shingles", "vector"), fits, verify, lambda tiles: links.dealt(tiles, _prune(numer, denom), buckets))
     named = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = shared.written(named.select("node", "comp", "rep"), "named")
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
