@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, ngram_join, token_counts
+from . import byte_bpe, exact_dedup, line_dedup, ngram_join, token_counts
 
 QUERIES = {
+    "op3_line_dedup": line_dedup.query,
     "op4_token_counts": token_counts.query,
     "op6_exact_dedup": exact_dedup.query,
     "op8_byte_bpe": byte_bpe.query,
