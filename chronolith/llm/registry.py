@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, line_dedup, ngram_join, token_counts
+from . import brown_lm, byte_bpe, decontaminate, exact_dedup, licenses, line_dedup, ngram_join, quality, quotations, token_counts
 
 QUERIES = {
+    "op1_lm_scoring": brown_lm.query,
+    "op2_decontamination": decontaminate.query,
     "op3_line_dedup": line_dedup.query,
     "op4_token_counts": token_counts.query,
+    "op5_quotation_linking": quotations.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_license_scan": licenses.query,
     "op8_byte_bpe": byte_bpe.query,
     "op9_ngram_jaccard_join": ngram_join.query,
+    "op10_quality_classifier": quality.query,
 }
-ORACLES = {"op6_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op7_license_scan": licenses.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
