@@ -50,7 +50,7 @@ def quotations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 def reply_order(conversations: DataFrame) -> DataFrame:
     """One row per message: conv_id, turn, role, parent_turn, root_turn, depth, n_quotes, n_linked, text.
 
-    text is the message without quoted lines. parent_turn is the message that its passages at the lowest linked level quote
+    text is the message without quoted lines and without white space at the ends. parent_turn is the message that its passages at the lowest linked level quote
     most (ties: the latest), null if none is found; root_turn and depth follow the parents up. Sorting a conversation by
     (root_turn, depth, turn) puts every reply after what it replies to. Parents are earlier turns, so there is no cycle.
     A null text is empty; rows without conv_id or turn are left out; repeated rows give a row each; of several texts at
@@ -75,7 +75,7 @@ def reply_order(conversations: DataFrame) -> DataFrame:
     out = out.join(own, KEY, "left").join(counts, KEY, "left").join(parent, ["conv_id", "turn"], "left").join(up, ["conv_id", "turn"], "left")
     return out.select(
         "conv_id", "turn", "role", "parent_turn", F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
-        F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.trim(F.coalesce("own", F.lit(""))).alias("text"),
+        F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.trim(F.coalesce("own", F.lit("")), F.lit(" \t\r\n")).alias("text"),
     )
 
 
