@@ -143,13 +143,14 @@ def sketch(rows: DataFrame) -> np.ndarray:
 HOT_SCALE = int(np.log2(HOT) * 4) + 1
 
 
-def link(cells: DataFrame, nodes: DataFrame, fits: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], prune: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link(cells: DataFrame, nodes: DataFrame, fits: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], prune: Callable[[DataFrame], DataFrame], band: Column | None = None) -> DataFrame:
     """(node, comp) of the nodes that have a link.
 
     cells: (cell, node), written. nodes: node and what fits(x, y) and prune() read. The pivot of a cell is its member that
     shares the most cells with others: what a group of edited copies has in common lies nearest to it.
     fits: a cheap condition on the columns of structs x and y that every linked pair meets. verify: (a, b) -> the linked
-    ones. prune: (tile, node, comp, ...) -> pairs (a, b) of different comp within a tile that may be linked.
+    ones. prune: (tile, node, comp, ...) -> pairs (a, b) of different comp within a tile that may be linked. band: a whole
+    number of a node's columns that differs by one at most between linked nodes; a cell is then compared band by band.
     """
     size = cells.groupBy("cell").agg(F.count("*").alias("size"))
     score = cells.join(size, "cell").groupBy("node").agg(F.sum("size").alias("weight"))
@@ -161,17 +162,21 @@ def link(cells: DataFrame, nodes: DataFrame, fits: Callable[[str, str], Column],
     found = shared.written(verify(shared.written(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")), "links")
     comp = components(found)
     known = known.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    middle = pivot.select("cell", "size", F.col("y.node").alias("node")).join(comp, "node", "left").select("cell", "size", F.coalesce("comp", "node").alias("main"))
-    marked = known.join(middle, "cell").withColumn("minor", F.col("comp") != F.col("main"))
+    # The pivot has met every member, so it has no part in the second round, and cells of two nodes are done.
+    middle = pivot.where("size > 2").select("cell", "size", F.col("y.node").alias("node")).join(comp, "node", "left").select("cell", "size", F.col("node").alias("pivot"), F.coalesce("comp", "node").alias("main"))
+    marked = known.drop("weight").join(middle, "cell").where("node <> pivot").drop("pivot").withColumn("minor", F.col("comp") != F.col("main"))
     several = marked.where("minor").groupBy("cell").agg(F.count("*").alias("minors"))
     marked = shared.written(marked.join(several, "cell").drop("main"), "several")
-    # Tile (i, j) of a cell holds part i of its minor members, those outside the pivot's component, and part j of all of
-    # them: every minor meets every member once, and a tile has at most about 2 TILE rows.
-    rows, parts = F.ceil(F.col("minors") / TILE), F.ceil(F.col("size") / TILE)
-    own = F.pmod(F.xxhash64("node"), F.greatest(parts, F.lit(1)))
-    member = marked.withColumn("tile_j", own).withColumn("tile_i", F.explode(F.sequence(F.lit(0).cast("long"), rows - 1))).withColumn("query", F.lit(False))
-    query = marked.where("minor").withColumn("tile_i", F.pmod(F.xxhash64(F.lit(1), F.col("node")), rows)).withColumn("tile_j", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).withColumn("query", F.lit(True))
-    tiles = member.unionByName(query).withColumn("tile", F.xxhash64("cell", "tile_i", "tile_j")).drop("tile_i", "tile_j", "minors", "minor", "size", "cell")
+    marked = marked.withColumn("band", F.lit(0) if band is None else band)
+    asking = marked.where("minor") if band is None else marked.where("minor").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    sizes = asking.groupBy("cell", "band").agg(F.count("*").alias("asking")).join(marked.groupBy("cell", "band").agg(F.count("*").alias("members")), ["cell", "band"])
+    sizes = shared.written(sizes.withColumn("rows", F.ceil(F.col("asking") / TILE)).withColumn("parts", F.ceil(F.col("members") / TILE)).drop("asking", "members"), "sizes")
+    # Tile (i, j) of a cell and band holds part i of the minor members that may be linked to the band, those outside the
+    # pivot's component, and part j of its members: every minor meets every member once, and a tile has at most about 2 TILE rows.
+    last = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    member = marked.join(sizes, ["cell", "band"]).withColumn("tile_j", F.pmod(F.xxhash64("node"), "parts")).withColumn("tile_i", F.explode(last("rows"))).withColumn("query", F.lit(False))
+    query = asking.join(sizes, ["cell", "band"]).withColumn("tile_i", F.pmod(F.xxhash64(F.lit(1), F.col("node")), "rows")).withColumn("tile_j", F.explode(last("parts"))).withColumn("query", F.lit(True))
+    tiles = member.unionByName(query).withColumn("tile", F.xxhash64("cell", "band", "tile_i", "tile_j")).drop("tile_i", "tile_j", "rows", "parts", "minors", "minor", "size", "cell", "band")
     more = shared.written(prune(tiles).distinct(), "across")
     return components(found.unionByName(verify(more)))
 
