@@ -151,6 +151,7 @@ def link(cells: DataFrame, nodes: DataFrame, fits: Callable[[str, str], Column],
     fits: a cheap condition on the columns of structs x and y that every linked pair meets. verify: (a, b) -> the linked
     ones. prune: (tile, node, comp, ...) -> pairs (a, b) of different comp within a tile that may be linked. band: a whole
     number of a node's columns that differs by one at most between linked nodes; a cell is then compared band by band.
+    cells may have a column home: members of a cell with the same home are compared in another cell, so not in this one.
     """
     size = cells.groupBy("cell").agg(F.count("*").alias("size"))
     score = cells.join(size, "cell").groupBy("node").agg(F.sum("size").alias("weight"))
@@ -165,6 +166,14 @@ def link(cells: DataFrame, nodes: DataFrame, fits: Callable[[str, str], Column],
     # The pivot has met every member, so it has no part in the second round, and cells of two nodes are done.
     middle = pivot.where("size > 2").select("cell", "size", F.col("y.node").alias("node")).join(comp, "node", "left").select("cell", "size", F.col("node").alias("pivot"), F.coalesce("comp", "node").alias("main"))
     marked = known.drop("weight").join(middle, "cell").where("node <> pivot").drop("pivot").withColumn("minor", F.col("comp") != F.col("main"))
+    if "home" in cells.columns:
+        # Let M be the pivot's component and H the largest home of a cell. Who is in neither asks all the others; what is
+        # left are the pairs between M without H and H without M, of which the fewer ask.
+        homes = marked.groupBy("cell", "home").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max(F.struct("n", "home"))["home"].alias("major"))
+        marked = marked.join(homes, "cell").withColumn("away", F.col("home") != F.col("major")).drop("major")
+        sides = marked.groupBy("cell").agg(F.count_if(~F.col("minor") & F.col("away")).alias("only_m"), F.count_if(F.col("minor") & ~F.col("away")).alias("only_h"))
+        asks = F.when(F.col("minor") & F.col("away"), True).when(F.col("minor"), F.col("only_h") < F.col("only_m")).otherwise(F.col("away") & (F.col("only_m") <= F.col("only_h")))
+        marked = marked.join(sides, "cell").withColumn("minor", asks).drop("away", "only_m", "only_h")
     several = marked.where("minor").groupBy("cell").agg(F.count("*").alias("minors"))
     marked = shared.written(marked.join(several, "cell").drop("main"), "several")
     marked = marked.withColumn("band", F.lit(0) if band is None else band)
