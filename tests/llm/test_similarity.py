@@ -1,4 +1,7 @@
+import random
+
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,8 +16,6 @@ def docs_of(spark, rows):
 
 
 def varied(n, seed, vocabulary=400):
-    import random
-
     rng = random.Random(seed)
     return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
 
@@ -67,6 +68,22 @@ def test_edit_distance(a, b):
     assert d == 0 or line_dedup.edit_distance(a, b, d - 1) == d
 
 
+def test_bounds_of_the_distance():
+    rng = random.Random(5)
+    for t in range(400):
+        letters = "ab" if t % 2 else "abcdefgh \u00e9"
+        a = "".join(rng.choice(letters) for _ in range(rng.randrange(120)))
+        b = list(a)
+        for _ in range(rng.randrange(25)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randrange(2)] = rng.choice(["", rng.choice(letters)])
+        b = "".join(b)[rng.randrange(5) :]
+        d = brute.distance(a, b)
+        assert all(line_dedup.edit_distance(a, b, most) == min(d, most + 1) for most in {0, d // 2, max(d - 1, 0), d, d + 5})
+        counts = [[np.frombuffer(line_dedup.profile(x or " "), np.uint8).astype(int) for x in (a, b)], [line_dedup._triples(x) for x in (a, b)]]
+        assert all(np.abs(x - y).sum() <= most for (x, y), most in zip(counts, (4 * d, 6 * d)))
+
+
 def test_benchmark_of_the_table(spark):
     rows, items = brute.table("documents", "doc_id, text"), brute.table("benchmark", "item_id, text")
     got = {(r.doc_id, r.item_id) for r in decontaminate.query(spark, SMALL).collect()}
