@@ -40,7 +40,41 @@ RULES = [
     ("CC-BY-4.0", ["ccby-short"]),
     ("BSD", ["bsd-head", "bsd-source"]),
 ]
+#: Sentences and rules that the SQL form doesn't have; their numbers follow those of RULES.
+MORE_SENTENCES = {
+    "gpl2-redistribute": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "gpl2-later": "either version 2 of the License, or (at your option) any later version",
+    "lgpl-redistribute": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "lgpl21-later": "either version 2.1 of the License, or (at your option) any later version",
+    "lgpl3-redistribute": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl3-redistribute": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "mpl-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v",
+    "mpl2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "cc0-short": "Licensed under CC0 1.0",
+    "ccbysa-short": "Licensed under CC BY-SA 4.0",
+    "unlicense-head": "This is free and unencumbered software released into the public domain",
+    "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+}
+MORE_RULES = [
+    ("GPL-2.0-or-later", ["gpl2-redistribute", "gpl2-later"]),
+    ("LGPL-2.1-or-later", ["lgpl-redistribute", "lgpl21-later"]),
+    ("LGPL-3.0-or-later", ["lgpl3-redistribute"]),
+    ("AGPL-3.0-or-later", ["agpl3-redistribute"]),
+    ("MPL-2.0", ["mpl-subject", "mpl2-copy"]),
+    ("ISC", ["isc-grant"]),
+    ("CC0-1.0", ["cc0-short"]),
+    ("CC-BY-SA-4.0", ["ccbysa-short"]),
+    ("Unlicense", ["unlicense-head"]),
+    ("BSD-3-Clause", ["bsd-head", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("BSD-2-Clause", ["bsd-head", "bsd-source", "bsd-binary"]),
+]
 SPLIT = r"[.!?;]+[ \t\r]+|[\r\n]+"
+#: Comment marks at the beginning or end of a line; blank lines, but for one before an address; sentence ends within a paragraph, where a colon at a line's end and a list mark cut too.
+MARKS = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|--+|;+|%+|<!--)[ \t]*|[ \t]*(?:\*+/|-->)?[ \t\r]*$"
+PARAGRAPHS = r"\n(?:[ \t\r]*\n)+(?![ \t]*https?://)"
+WITHIN = r"[.!?;]+[ \t\r\n]+|:[ \t\r]*\n\s*|\n[ \t]*(?:[0-9]+[.)]|[-*\u2022]|\([a-z0-9]\))[ \t]+"
 
 
 def normal(c: str) -> str:
@@ -49,23 +83,37 @@ def normal(c: str) -> str:
 
 
 def identified(docs: DataFrame, sentences: dict[str, str] | None = None) -> DataFrame:
-    """doc_id, at (sentence number from 0), sentence_id of the known sentences. The catalogue is fixed and small, and broadcast."""
+    """doc_id, wrapped, part, at, sentence_id of the known sentences, in the order of (part, at). The catalogue is fixed and small, and broadcast.
+
+    Texts are cut twice: into lines (wrapped is false, at the sentence's number), and into paragraphs without comment
+    marks, whose single line ends are blanks (wrapped is true, part the paragraph, at the place in it).
+    A paragraph's own lines count there as well, so that sentences of either form stand in one order.
+    """
     spark = docs.sparkSession
-    known = spark.createDataFrame(list((sentences or SENTENCES).items()), "sentence_id string, sentence string").selectExpr("sentence_id", f"{normal('sentence')} as sentence")
-    split = shared.texts(docs).select("doc_id", F.posexplode(F.split("text", SPLIT)).alias("at", "sentence"))
-    return split.selectExpr("doc_id", "at", f"{normal('sentence')} as sentence").join(F.broadcast(known), "sentence").select("doc_id", "at", "sentence_id")
+    known = spark.createDataFrame(list((sentences or SENTENCES | MORE_SENTENCES).items()), "sentence_id string, sentence string").selectExpr("sentence_id", f"{normal('sentence')} as sentence")
+    texts = shared.texts(docs)
+    lines = texts.select("doc_id", F.lit(False).alias("wrapped"), F.lit(0).alias("part"), F.posexplode(F.split("text", SPLIT)).alias("at", "sentence"), F.lit("").alias("paragraph"))
+    parts = texts.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", MARKS, ""), PARAGRAPHS)).alias("part", "paragraph"))
+    cuts = F.array_distinct(F.concat(F.split("paragraph", WITHIN), F.split("paragraph", SPLIT)))
+    joined = parts.select("doc_id", F.lit(True).alias("wrapped"), "part", F.lit(0).alias("at"), F.explode(cuts).alias("sentence"), "paragraph")
+    found = lines.unionByName(joined).withColumn("sentence", F.expr(normal("sentence"))).join(F.broadcast(known), "sentence")
+    return found.selectExpr("doc_id", "wrapped", "part", f"if(wrapped, instr({normal('paragraph')}, sentence), at) as at", "sentence_id")
 
 
 def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """One row per document and licence: doc_id, licence, rule (number from 0 of the first rule of the licence that is met), n_sentences (known ones in the document).
 
-    A rule is met if its identifiers occur in its order. A null or empty text has no sentence; sentences without letters or
-    digits are none; repeated rows of a doc_id give one row. Documents without a known licence have no row.
+    A rule is met if its identifiers occur in its order, in the lines or in the paragraphs. A null or empty text has no
+    sentence; sentences without letters or digits are none; repeated rows of a doc_id give one row. Documents without a
+    known licence have no row. BSD-2-Clause is given where BSD-3-Clause isn't met.
     """
-    found = identified(docs, sentences).groupBy("doc_id").agg(F.expr("concat(',', array_join(transform(array_sort(collect_set(struct(at, sentence_id))), x -> x.sentence_id), ','), ',')").alias("ids"), F.countDistinct("at", "sentence_id").alias("n_sentences"))
-    rules = rules or RULES
+    found = identified(docs, sentences).groupBy("doc_id", "wrapped").agg(F.expr("concat(',', array_join(transform(array_sort(collect_set(struct(part, at, sentence_id))), x -> x.sentence_id), ','), ',')").alias("ids"), F.countDistinct("part", "at", "sentence_id").alias("n_sentences"))
+    rules = rules or RULES + MORE_RULES
     tests = [F.when(F.regexp_count("ids", F.lit("(?:^|.*)" + "(?:.*)".join(f",{x}(?=,)" for x in sequence))) > 0, F.struct(F.lit(licence).alias("licence"), F.lit(i).cast("long").alias("rule"))) for i, (licence, sequence) in enumerate(rules)]
-    met = found.select("doc_id", "n_sentences", F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("m"))
+    each = found.select("doc_id", "n_sentences", F.filter(F.array(*tests), lambda x: x.isNotNull()).alias("m"))
+    each = each.groupBy("doc_id").agg(F.flatten(F.collect_list("m")).alias("m"), F.max("n_sentences").alias("n_sentences"))
+    each = each.withColumn("m", F.expr("if(exists(m, x -> x.licence = 'BSD-3-Clause'), filter(m, x -> x.licence <> 'BSD-2-Clause'), m)"))
+    met = each.select("doc_id", "n_sentences", F.explode("m").alias("m"))
     return met.groupBy("doc_id", F.col("m.licence").alias("licence")).agg(F.min("m.rule").alias("rule"), F.max("n_sentences").cast("long").alias("n_sentences"))
 
 
