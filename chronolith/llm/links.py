@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
+from .vec import mix
 
 #: Members of a cell in one tile, at most about so many.
 TILE = 512
@@ -45,149 +46,189 @@ def components(edges: DataFrame) -> DataFrame:
         first = into.select(F.col("node").alias("a"), F.col("into").alias("ia"))
         second = into.select(F.col("node").alias("b"), F.col("into").alias("ib"))
         left = edges.join(first, "a").select("ia", "b").join(second, "b").where("ia <> ib")
-        edges = shared.written(left.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct(), "edges")
+        last, edges = edges, shared.written(left.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct(), "edges")
+        shared.spent(last)
+    shared.spent(edges)
     if not maps:
         return spark.createDataFrame([], "node long, comp long")
     out = maps[-1].select("node", F.col("into").alias("comp"))
     for earlier in reversed(maps[:-1]):
         later = out.select(F.col("node").alias("into"), F.col("comp").alias("far"))
         out = earlier.join(later, "into", "left").select("node", F.coalesce("far", "into").alias("comp"))
-    return shared.written(out, "components")
+    out = shared.written(out, "components")
+    shared.spent(*maps)
+    return out
 
 
-def pack(entries: dict[str, np.ndarray], bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, dict[str, bytes]]]:
-    """The columns of entries as bytes, bucket by bucket."""
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    columns = {k: np.ascontiguousarray(v[order]) for k, v in entries.items()}
-    for b in np.flatnonzero(np.diff(edges)):
-        yield int(b), {k: v[edges[b] : edges[b + 1]].tobytes() for k, v in columns.items()}
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket by the upper half of the key; within a bucket the lower half tells keys apart, and what happens to agree there is one candidate more."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+#: Entries (cell key, node, size), packed by the bucket of the key.
+PACKED = "bucket int, keys binary, nodes binary, sizes binary"
+NAMES = ["bucket", "keys", "nodes", "sizes"]
+_KINDS = (np.uint32, np.uint64, np.uint32)
+#: A bucket of more entries than this isn't put together in a task (16 bytes each); its keys are counted row by row instead.
+MOST = 2_000_000
 
 
-PACKED = "bucket int, keys binary, nodes binary, hot_keys binary, hot_nodes binary"
-NAMES = ["bucket", "keys", "nodes", "hot_keys", "hot_nodes"]
+def packed_rows(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, buckets: int) -> pa.RecordBatch:
+    bucket = bucket_of(keys, buckets)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    own = np.flatnonzero(np.diff(edges))
+    columns = [np.ascontiguousarray(x[order].astype(t)) for x, t in zip((keys & np.uint64(0xFFFFFFFF), nodes, sizes), _KINDS)]
+    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(pa.array([c[edges[i] : edges[i + 1]].tobytes() for i in own], pa.binary()) for c in columns)], NAMES)
 
 
-def packed_rows(keys: np.ndarray, nodes: np.ndarray, hot: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Entries (cell key, node), packed by the bucket of the key. hot: entries of keys known to be frequent, which are dealt out by node instead and are not grouped in a task."""
-    rows: dict[int, dict[str, bytes]] = {}
-    for of, k, n, by in (("", keys[~hot], nodes[~hot], keys[~hot]), ("hot_", keys[hot], nodes[hot], nodes[hot] ^ keys[hot])):
-        for b, x in pack({f"{of}keys": k, f"{of}nodes": n}, ((by >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), buckets):
-            rows.setdefault(b, {}).update(x)
-    return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), *(pa.array([r.get(c, b"") for r in rows.values()], pa.binary()) for c in NAMES[1:])], NAMES)
+def _names(nodes: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Cells are named by the sum of what they hold: cells of the same nodes are one."""
+    return mix(np.add.reduceat(mix(nodes), starts) + size.astype(np.uint64))
 
 
-def _cells(group: pa.Table) -> pa.Table:
-    """(cell, node) of the keys that two nodes or more share; cells of the same nodes come once."""
-    join = lambda c: np.frombuffer(b"".join(group.column(c).to_pylist()), np.uint64)
-    keys, nodes, hot_keys, hot_nodes = (join(c) for c in NAMES[1:])
-    if len(keys):
-        order = np.lexsort((nodes, keys))
-        keys, nodes = keys[order], nodes[order]
+def _cells(gap: float):
+    def run(group: pa.Table) -> pa.Table:
+        keys, nodes, sizes = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in zip(NAMES[1:], _KINDS))
+        order = np.lexsort((nodes, sizes, keys))
+        keys, nodes, sizes = keys[order], nodes[order], sizes[order]
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
-        keys, nodes = keys[new], nodes[new]
-        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        keys, nodes, sizes = keys[new], nodes[new], sizes[new]
+        first = np.ones(len(keys), bool)
+        first[1:] = (keys[1:] != keys[:-1]) | (sizes[1:] * gap > sizes[:-1] + 1e-9)
+        starts = np.flatnonzero(first)
         size = np.diff(np.append(starts, len(keys)))
-        # Cells with the same nodes are told by a sum of mixed node ids and the count.
-        from .vec import mix
-
-        sums = np.add.reduceat(mix(nodes), starts) + size.astype(np.uint64)
-        _, first = np.unique(sums, return_index=True)
+        names = _names(nodes, starts, size)
         keep = np.zeros(len(starts), bool)
-        keep[first] = True
+        keep[np.unique(names, return_index=True)[1]] = True
         on = np.repeat(keep & (size > 1), size)
-        keys, nodes = keys[on], nodes[on]
-    return pa.table({"cell": np.concatenate([keys, hot_keys]).view(np.int64), "node": np.concatenate([nodes, hot_nodes]).view(np.int64)})
+        return pa.table({"cell": np.repeat(names, size)[on].view(np.int64), "node": nodes[on].view(np.int64), "size": sizes[on].astype(np.int64)})
+
+    return run
 
 
-def cells(packed: DataFrame) -> DataFrame:
-    """(cell long, node long) from rows of PACKED, written: cells of two nodes or more, and all rows of the hot keys.
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(b.num_rows):
+            keys, nodes, sizes = (np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in zip(NAMES[1:], _KINDS))
+            bucket = int(b.column("bucket")[i].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array((bucket << 32 | keys.astype(np.int64)), pa.int64()), pa.array(nodes.view(np.int64)), pa.array(sizes.astype(np.int64))], ["cell", "node", "size"])
 
-    A key that isn't hot has fewer nodes than the sketch's bound, so a bucket's group is bounded by its share of entries.
+
+def cells(packed: DataFrame, gap: float) -> DataFrame:
+    """(cell long, node long, size long) of the keys that two nodes or more share, from a table of PACKED, written.
+
+    gap: linked nodes' sizes, the smaller by the larger, are at least this, so a cell is cut where neighbours in the order
+    of sizes are further apart. Buckets of more than MOST entries (a key that a large share of all rows has) don't become
+    one group: their entries are counted by key, and none is put together with the others of its key.
     """
-    return shared.written(packed.groupBy("bucket").applyInArrow(_cells, "cell long, node long"), "cells")
+    big = shared.written(packed.groupBy("bucket").agg(F.sum(F.octet_length("keys")).alias("n")).where(F.col("n") > 4 * MOST).select("bucket"), "big")
+    few = big.head(1)
+    grouped = packed.join(F.broadcast(big) if big.count() <= shared.BROADCAST_ROWS else big, "bucket", "left_anti") if few else packed
+    out = grouped.groupBy("bucket").applyInArrow(_cells(gap), "cell long, node long, size long")
+    if few:
+        rows = shared.written(shared.semi(packed, big, "bucket").mapInArrow(_unpacked, "cell long, node long, size long").distinct(), "entries")
+        common = shared.written(rows.groupBy("cell").count().where("count > 1").select("cell"), "common")
+        out = out.unionByName(shared.semi(rows, common, "cell"))
+    return shared.written(out, "cells")
+
+
+#: Counters of the sketch of key frequencies: about one for every 16 bytes of text, within these bounds.
+LEAST_SKETCH, MOST_SKETCH = 1 << 22, 1 << 26
+#: Counters in a row, and how many tasks' rows one group adds up.
+_SLICE, _FAN_IN = 1 << 16, 64
 
 
-#: Counters of the sketch of key frequencies, and the count from which a key is dealt out as hot.
-SKETCH, HOT = 1 << 22, 4096
-_SLICES = 64
+def sketch_size(n_bytes: int) -> int:
+    return min(MOST_SKETCH, max(LEAST_SKETCH, 1 << (n_bytes // 16).bit_length()))
 
 
-def sketch_rows(counts: np.ndarray) -> pa.RecordBatch:
-    """A task's counters (uint32, SKETCH of them) as rows to be summed."""
-    parts = counts.astype(np.uint32).reshape(_SLICES, -1)
-    on = [i for i in range(_SLICES) if parts[i].any()]
-    return pa.RecordBatch.from_arrays([pa.array(on, pa.int32()), pa.array([np.minimum(parts[i], 65535).astype(np.uint16).tobytes() if parts[i].max() < 65536 else parts[i].tobytes() for i in on], pa.binary())], ["slice", "counts"])
+def sketch_rows(counts: np.ndarray, task: int) -> pa.RecordBatch:
+    """A task's counters (uint32) as rows (task, slice, counts) to be summed."""
+    parts = counts.reshape(-1, _SLICE)
+    on = [i for i in range(len(parts)) if parts[i].any()]
+    small = lambda x: x.astype(np.uint8 if x.max() < 256 else np.uint16 if x.max() < 65536 else np.uint32)
+    return pa.RecordBatch.from_arrays([pa.array([task] * len(on), pa.int64()), pa.array(on, pa.int32()), pa.array([small(parts[i]).tobytes() for i in on], pa.binary())], ["task", "slice", "counts"])
+
+
+SKETCHED = "task long, slice int, counts binary"
 
 
 def _add(group: pa.Table) -> pa.Table:
-    n = SKETCH // _SLICES
-    total = np.zeros(n, np.uint64)
+    total = np.zeros(_SLICE, np.uint64)
     for x in group.column("counts").to_pylist():
-        total += np.frombuffer(x, np.uint16 if len(x) == 2 * n else np.uint32)
-    scale = np.zeros(n, np.uint8)
-    on = total > 0
-    scale[on] = (np.log2(total[on]) * 4).astype(np.uint8) + 1
-    return pa.table({"slice": group.column("slice").slice(0, 1), "scale": pa.array([scale.tobytes()], pa.binary())})
-
-
-def sketch(rows: DataFrame) -> np.ndarray:
-    """The summed counters on a log scale (4 steps an octave, rounded down, plus 1), one byte each. Of SKETCH bytes whatever the input."""
-    out = np.zeros((_SLICES, SKETCH // _SLICES), np.uint8)
-    for r in rows.groupBy("slice").applyInArrow(_add, "slice int, scale binary").toLocalIterator():
-        out[r["slice"]] = np.frombuffer(r["scale"], np.uint8)
+        total += np.frombuffer(x, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(x) // _SLICE])
+    total = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
+    return pa.table({"task": pa.array([group.column("task")[0].as_py() // _FAN_IN], pa.int64()), "slice": group.column("slice").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def sketch(rows: DataFrame, size: int) -> np.ndarray:
+    """The summed counters on a log scale (4 steps an octave, rounded down, plus 1), one byte each: MOST_SKETCH bytes at most, whatever the input. Rows are added up in a tree of fan-in _FAN_IN."""
+    rows = shared.written(rows, "sketch")
+    tasks = (rows.agg(F.max("task")).first()[0] or 0) + 1
+    spent = [rows]
+    while True:
+        level = rows.groupBy(F.floor(F.col("task") / _FAN_IN).alias("group"), "slice").applyInArrow(_add, SKETCHED)
+        tasks = -(-tasks // _FAN_IN)
+        if tasks == 1:
+            break
+        rows = shared.written(level, "sketch")
+        spent.append(rows)
+    out = np.zeros((size // _SLICE, _SLICE), np.uint8)
+    for r in level.toLocalIterator():
+        total = np.frombuffer(r["counts"], np.uint32)
+        on = total > 0
+        out[r["slice"], on] = (np.log2(total[on]) * 4).astype(np.uint8) + 1
+    shared.spent(*spent)
     return out.ravel()
 
 
-HOT_SCALE = int(np.log2(HOT) * 4) + 1
-
-
-def link(cells: DataFrame, nodes: DataFrame, fits: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], prune: Callable[[DataFrame], DataFrame], band: Column | None = None) -> DataFrame:
+def link(cells: DataFrame, fits: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], prune: Callable[[DataFrame], DataFrame], band: Column | None = None) -> DataFrame:
     """(node, comp) of the nodes that have a link.
 
-    cells: (cell, node), written. nodes: node and what fits(x, y) and prune() read. The pivot of a cell is its member that
-    shares the most cells with others: what a group of edited copies has in common lies nearest to it.
-    fits: a cheap condition on the columns of structs x and y that every linked pair meets. verify: (a, b) -> the linked
-    ones. prune: (tile, node, comp, ...) -> pairs (a, b) of different comp within a tile that may be linked. band: a whole
-    number of a node's columns that differs by one at most between linked nodes; a cell is then compared band by band.
-    cells may have a column home: members of a cell with the same home are compared in another cell, so not in this one.
+    cells: (cell, node, size), written. The pivot of a cell is its member that shares the most cells with others: what a
+    group of edited copies has in common lies nearest to it. fits: a cheap condition on the sizes of structs x and y that
+    every linked pair meets. verify: (a, b) -> the linked ones. prune: (tile, node, comp, size, query) -> pairs (a, b) of
+    different comp within a tile that may be linked. band: a whole number of a node's size that differs by one at most
+    between linked nodes; a cell is then compared band by band.
     """
-    size = cells.groupBy("cell").agg(F.count("*").alias("size"))
-    score = cells.join(size, "cell").groupBy("node").agg(F.sum("size").alias("weight"))
-    known = shared.written(cells.join(nodes.join(score, "node"), "node"), "members")
-    info = F.struct("node", *[c for c in nodes.columns if c != "node"])
-    pivot = known.groupBy("cell").agg(F.max(F.struct("weight", "node")).alias("top"), F.count("*").alias("size")).select("cell", "size", F.col("top.node").alias("node"))
-    pivot = shared.written(pivot.join(nodes, "node").select("cell", "size", info.alias("y")), "pivots")
-    star = known.withColumn("x", info).join(pivot, "cell").where("x.node <> y.node").where(fits("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    found = shared.written(verify(shared.written(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")), "links")
-    comp = components(found)
-    known = known.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    per_cell = cells.groupBy("cell").agg(F.count("*").alias("members"))
+    score = cells.join(per_cell, "cell").groupBy("node").agg(F.sum("members").alias("weight"))
+    known = shared.written(cells.join(score, "node"), "members")
+    top = F.max(F.struct("weight", "node", "size"))
+    pivot = shared.written(known.groupBy("cell").agg(top.alias("y"), F.count("*").alias("members")), "pivots")
+    star = known.withColumn("x", F.struct("node", "size")).join(pivot, "cell").where("x.node <> y.node").where(fits("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    star = shared.written(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
+    comp = components(verify(star))
     # The pivot has met every member, so it has no part in the second round, and cells of two nodes are done.
-    middle = pivot.where("size > 2").select("cell", "size", F.col("y.node").alias("node")).join(comp, "node", "left").select("cell", "size", F.col("node").alias("pivot"), F.coalesce("comp", "node").alias("main"))
-    marked = known.drop("weight").join(middle, "cell").where("node <> pivot").drop("pivot").withColumn("minor", F.col("comp") != F.col("main"))
-    if "home" in cells.columns:
-        # Let M be the pivot's component and H the largest home of a cell. Who is in neither asks all the others; what is
-        # left are the pairs between M without H and H without M, of which the fewer ask.
-        homes = marked.groupBy("cell", "home").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max(F.struct("n", "home"))["home"].alias("major"))
-        marked = marked.join(homes, "cell").withColumn("away", F.col("home") != F.col("major")).drop("major")
-        sides = marked.groupBy("cell").agg(F.count_if(~F.col("minor") & F.col("away")).alias("only_m"), F.count_if(F.col("minor") & ~F.col("away")).alias("only_h"))
-        asks = F.when(F.col("minor") & F.col("away"), True).when(F.col("minor"), F.col("only_h") < F.col("only_m")).otherwise(F.col("away") & (F.col("only_m") <= F.col("only_h")))
-        marked = marked.join(sides, "cell").withColumn("minor", asks).drop("away", "only_m", "only_h")
-    several = marked.where("minor").groupBy("cell").agg(F.count("*").alias("minors"))
-    marked = shared.written(marked.join(several, "cell").drop("main"), "several")
-    marked = marked.withColumn("band", F.lit(0) if band is None else band)
+    middle = pivot.where("members > 2").select("cell", F.col("y.node").alias("node")).join(comp, "node", "left").select("cell", F.col("node").alias("pivot"), F.coalesce("comp", "node").alias("main"))
+    marked = known.join(comp, "node", "left").select("cell", "node", "size", F.coalesce("comp", "node").alias("comp")).join(middle, "cell").where("node <> pivot")
+    marked = marked.select("cell", "node", "size", "comp", (F.col("comp") != F.col("main")).alias("minor"))
+    several = marked.where("minor").select("cell").distinct()
+    marked = shared.written(marked.join(several, "cell").withColumn("band", F.lit(0) if band is None else band), "several")
+    shared.spent(known, pivot, star)
     asking = marked.where("minor") if band is None else marked.where("minor").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     sizes = asking.groupBy("cell", "band").agg(F.count("*").alias("asking")).join(marked.groupBy("cell", "band").agg(F.count("*").alias("members")), ["cell", "band"])
-    sizes = shared.written(sizes.withColumn("rows", F.ceil(F.col("asking") / TILE)).withColumn("parts", F.ceil(F.col("members") / TILE)).drop("asking", "members"), "sizes")
+    sizes = shared.written(sizes.select("cell", "band", F.ceil(F.col("asking") / TILE).alias("rows"), F.ceil(F.col("members") / TILE).alias("parts")), "sizes")
     # Tile (i, j) of a cell and band holds part i of the minor members that may be linked to the band, those outside the
     # pivot's component, and part j of its members: every minor meets every member once, and a tile has at most about 2 TILE rows.
     last = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
     member = marked.join(sizes, ["cell", "band"]).withColumn("tile_j", F.pmod(F.xxhash64("node"), "parts")).withColumn("tile_i", F.explode(last("rows"))).withColumn("query", F.lit(False))
     query = asking.join(sizes, ["cell", "band"]).withColumn("tile_i", F.pmod(F.xxhash64(F.lit(1), F.col("node")), "rows")).withColumn("tile_j", F.explode(last("parts"))).withColumn("query", F.lit(True))
-    tiles = member.unionByName(query).withColumn("tile", F.xxhash64("cell", "band", "tile_i", "tile_j")).drop("tile_i", "tile_j", "rows", "parts", "minors", "minor", "size", "cell", "band")
+    tiles = member.unionByName(query).select(F.xxhash64("cell", "band", "tile_i", "tile_j").alias("tile"), "node", "comp", "size", "query")
     more = shared.written(prune(tiles).distinct(), "across")
-    return components(found.unionByName(verify(more)))
+    shared.spent(marked, sizes)
+    # Links between components: these are the nodes now.
+    end = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+    across = verify(more).join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+    above = components(across)
+    if not above.head(1):
+        return comp
+    up = above.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
+    inner = comp.join(up, "comp", "left").select("node", F.coalesce("far", "comp").alias("comp"))
+    alone = above.join(comp.select("node"), "node", "left_anti")
+    return shared.written(inner.unionByName(alone), "groups")
 
 
 def dealt(tiles: DataFrame, run: Callable[[pa.Table], pa.Table], buckets: int) -> DataFrame:

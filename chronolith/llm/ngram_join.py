@@ -18,10 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import links, shared, vec
+from .vec import mix
 
 WORDS, NUMER, DENOM = 5, 75, 100
 GROUPS, LEAF = 256, 16
@@ -39,17 +41,17 @@ def node_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _slot(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(42)).astype(np.int64)
+def _slot(s: np.ndarray, size: int) -> np.ndarray:
+    return (s & np.uint64(size - 1)).astype(np.int64)
 
 
-def _frequencies(k: int):
+def _frequencies(k: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(links.SKETCH, np.uint32)
+        counts = np.zeros(size, np.uint32)
         for _, raw, off in vec.slices(batches, 2 << 20):
             h, _, _, woff = vec.words(raw, off)
-            np.add.at(counts, _slot(vec.shingles(h, woff, k)[0]), 1)
-        yield links.sketch_rows(counts)
+            np.add.at(counts, _slot(vec.shingles(h, woff, k)[0], size), 1)
+        yield links.sketch_rows(counts, TaskContext.get().partitionId())
 
     return run
 
@@ -59,49 +61,57 @@ def prefix_size(n: int, numer: int, denom: int) -> int:
     return n + (-n * numer // denom) + 1 if n else 0
 
 
+def vector(s: np.ndarray) -> bytes:
+    """Counts of the shingles by group, one byte each; 255 stands for any larger count, and is read as one that no bound is lowered by."""
+    return np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8).tobytes()
+
+
 def _entries(k: int, numer: int, denom: int, buckets: int, scale):
-    """Per document its node, set size and count vector; per bucket the packed prefix coordinates."""
+    """Per document its node and set size; per bucket the packed prefix coordinates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order_of = scale.value
         seen: set[int] = set()
         for rows, sets in shingle_sets(batches, k):
-            node, size, vector, keys, nodes, hot = [], [], [], [], [], []
+            node, size, keys, nodes, sizes = [], [], [], [], []
             for s in sets:
                 size.append(len(s))
                 if not len(s):
                     node.append(None)
-                    vector.append(None)
                     continue
                 own = node_of(s)
                 node.append(own)
-                # One byte a group; 255 stands for any larger count, and is read as one that no bound is lowered by.
-                vector.append(np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8).tobytes())
                 if own in seen:
                     continue
                 if len(seen) < 1 << 20:
                     seen.add(own)
-                often = order_of[_slot(s)]
+                often = order_of[_slot(s, len(order_of))]
                 p = prefix_size(len(s), numer, denom)
-                first = np.argsort(often, kind="stable")[:p]  # equal frequencies go by hash, as s is sorted
-                keys.append(s[first])
+                # Equal frequencies go by hash: the first p by (often, hash), as s is sorted.
+                if p < len(s):
+                    most = np.partition(often, p - 1)[p - 1]
+                    below, equal = np.flatnonzero(often < most), np.flatnonzero(often == most)
+                    s = np.concatenate([s[below], s[equal[: p - len(below)]]])
+                keys.append(s)
                 nodes.append(np.full(p, own, np.int64).view(np.uint64))
-                hot.append(often[first] >= links.HOT_SCALE)
-            empty = pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(vector, pa.binary()), *(pa.nulls(len(size), t) for t in (pa.int32(), *[pa.binary()] * 4))], ["doc_id", "n_shingles", "node", "vector", *links.NAMES])
-            yield empty
+                sizes.append(np.full(p, size[-1], np.int64))
+            n = len(size)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), *(pa.nulls(n, t) for t in (pa.int32(), *[pa.binary()] * 3))], COLUMNS)
             if keys:
-                packed = links.packed_rows(np.concatenate(keys), np.concatenate(nodes), np.concatenate(hot), buckets)
-                n = packed.num_rows
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), *packed.columns], empty.schema.names)
+                packed = links.packed_rows(mix(np.concatenate(keys)), np.concatenate(nodes), np.concatenate(sizes), buckets)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(packed.num_rows, pa.int64()) for _ in range(3)), *packed.columns], COLUMNS)
 
     return run
 
 
+COLUMNS = ["doc_id", "n_shingles", "node", *links.NAMES]
+
+
 def _prune(numer: int, denom: int):
     """Pairs of a tile that the summed coordinate minima don't rule out, by a packed tree over the members."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, comp, n = (table.column(c).to_numpy() for c in ("node", "comp", "n_shingles"))
+        node, comp, n = (table.column(c).to_numpy() for c in ("node", "comp", "size"))
         points = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.int32)
         points[points == 255] = 1 << 20
         out_a, out_b = [], []
@@ -143,7 +153,7 @@ def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, sets in shingle_sets(batches, k):
             own = [len(s) > 0 and node_of(s) == n for s, n in zip(sets, rows.column("node").to_pylist())]  # else another text with the same doc_id
-            yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "items"]).filter(pa.array(own, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([vector(s) for s in sets], pa.binary())], ["node", "items", "vector"]).filter(pa.array(own, pa.bool_()))
 
     return run
 
@@ -175,34 +185,45 @@ def similar_documents(docs: DataFrame, k: int = WORDS, numer: int = NUMER, denom
     """
     spark = docs.sparkSession
     whole = shared.texts(docs)
-    buckets = shared.buckets_for(shared.text_bytes(whole))
-    scale = spark.sparkContext.broadcast(links.sketch(whole.mapInArrow(_frequencies(k), "slice int, counts binary")))
-    made = shared.written(whole.mapInArrow(_entries(k, numer, denom, buckets, scale), f"doc_id long, n_shingles long, node long, vector binary, {links.PACKED}"), "entries")
-    members = made.where("doc_id is not null").select("doc_id", "n_shingles", "node", "vector")
-    nodes = shared.written(members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("vector").alias("vector")), "nodes")
-    cells = links.cells(made.where("bucket is not null").select(*links.NAMES))
-    busy = cells.select("node").distinct().join(nodes, "node").select(F.col("rep").alias("doc_id"), "node")
-    busy = shared.written(busy, "busy")
-    # A row repeated with its doc_id comes twice here; a set is kept once.
-    fetched = shared.semi(whole, busy.select("doc_id"), "doc_id").join(F.broadcast(busy) if busy.count() <= shared.BROADCAST_ROWS else busy, "doc_id").select("node", "text")
-    sets = shared.written(fetched.mapInArrow(_sets(k), "node long, items binary").dropDuplicates(["node"]), "sets")
+    n_bytes = shared.text_bytes(whole)
+    buckets, size = shared.buckets_for(n_bytes), links.sketch_size(n_bytes)
+    scale = spark.sparkContext.broadcast(links.sketch(whole.select("text").mapInArrow(_frequencies(k, size), links.SKETCHED), size))
+    made = shared.written(whole.mapInArrow(_entries(k, numer, denom, buckets, scale), f"doc_id long, n_shingles long, node long, {links.PACKED}"), "entries")
+    scale.destroy()
+    members = shared.written(made.where("doc_id is not null").select("doc_id", "n_shingles", "node"), "documents")
+    cells = links.cells(made.where("bucket is not null").select(*links.NAMES), numer / denom)
+    shared.spent(made)
+    nodes = shared.written(members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
+    busy = shared.written(cells.select("node").distinct().join(nodes, "node").select(F.col("rep").alias("doc_id"), "node"), "busy")
+    n_busy = busy.count()
+    # One row each fetches its set; only where a doc_id is repeated does a set come twice and must be dropped.
+    fetched = whole.join(F.broadcast(busy) if n_busy <= shared.BROADCAST_ROWS else busy, "doc_id").select("node", "text")
+    sets = shared.written(fetched.mapInArrow(_sets(k), "node long, items binary, vector binary"), "sets")
+    if sets.count() > n_busy:
+        once = shared.written(sets.dropDuplicates(["node"]), "sets")
+        shared.spent(sets)
+        sets = once
 
     def verify(pairs: DataFrame) -> DataFrame:
         x = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
         y = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_overlap(numer, denom), "a long, b long")
+        return shared.written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_overlap(numer, denom), "a long, b long"), "links")
 
     def fits(x: str, y: str):
-        return F.expr(f"{x}.n_shingles * {denom} >= {y}.n_shingles * {numer} and {y}.n_shingles * {denom} >= {x}.n_shingles * {numer}")
+        return F.expr(f"{x}.size * {denom} >= {y}.size * {numer} and {y}.size * {denom} >= {x}.size * {numer}")
+
+    def prune(tiles: DataFrame) -> DataFrame:
+        return links.dealt(tiles.join(sets.select("node", "vector"), "node"), _prune(numer, denom), buckets)
 
-    comp = links.link(cells, nodes.select("node", "n_shingles", "vector"), fits, verify, lambda tiles: links.dealt(tiles, _prune(numer, denom), buckets))
-    named = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    named = shared.written(named.select("node", "comp", "rep"), "named")
+    comp = links.link(cells, fits, verify, prune)
+    shared.spent(cells, busy, sets)
+    # Only linked sets have more than themselves in their component.
+    named = shared.written(nodes.join(comp, "node").select("node", "comp", "rep"), "named")
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     label = named.join(least, "comp").select("node", "component_id")
-    linked = members.select("doc_id", "n_shingles", "node").where("node is not null").join(label, "node").select("doc_id", "n_shingles", "component_id")
-    alone = members.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone)
+    own = shared.written(nodes.join(label, "node", "left").select("node", "n", F.coalesce("component_id", "rep").alias("component_id")), "components")
+    linked = shared.hot_join(members.where("node is not null"), own, "node", "doc_id", "n").select("doc_id", "n_shingles", "component_id")
+    return linked.unionByName(members.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

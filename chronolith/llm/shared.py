@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,21 +14,36 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which the driver and every executor see. Only where the session has none (tests, local mode) is one made here."""
+    """A new folder below spark.checkpoint.dir, which the driver and every executor see. Only a local session without one (tests) gets its own here; on a cluster the setting must be there."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="chronolith-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/chronolith/{uuid.uuid4().hex}"
 
 
+#: Where the tables that written() has made lie.
+_places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, name: str = "t") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives the loss of any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+def spent(*tables: DataFrame) -> None:
+    """Gives the files of tables that written() made back: nothing reads these tables any more. An empty table takes their place."""
+    for t in tables:
+        if path := _places.pop(t, None):
+            t.sparkSession.createDataFrame([], t.schema).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +65,23 @@ def semi(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, on, "left_semi")
 
 
+#: Rows of a key are spread over so many salts where they are at least one in so many of all rows.
+SALTS, SHARE = 64, 1000
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, on: str, by: str, n: str) -> DataFrame:
+    """rows joined to facts (one row a key, with the number n of rows that have the key, which is dropped), spread evenly.
+
+    Keys with a SHARE-th of all rows or more, SHARE of them at most, are broadcast, their rows dealt out by a hash of `by`
+    and their facts repeated for every salt. facts must be a written table.
+    """
+    total = facts.agg(F.sum(n)).first()[0] or 0
+    hot = facts.where(F.col(n) * SHARE >= total).select(on, F.lit(True).alias("_hot"))  # SHARE rows at most
+    salted = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0).cast("int")).drop("_hot")
+    salts = F.when(F.col(n) * SHARE >= F.lit(total), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(facts.withColumn("_salt", F.explode(salts)).drop(n), [on, "_salt"]).drop("_salt")
+
+
 def buckets_for(n_bytes: int, each: int = 4 << 20, least: int = 128) -> int:
     """How many hash buckets deal out work over n_bytes of text."""
     return max(least, -(-n_bytes // each))

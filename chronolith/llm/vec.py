@@ -96,6 +96,16 @@ def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
+def runs(raw: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of all runs of n bytes, in order."""
+    if len(raw) < n:
+        return np.zeros(0, U64)
+    up, down = _table(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, U64)
+    np.cumsum((raw.astype(U64) + U64(1)) * up[: len(raw)], out=total[1:])
+    return mix((total[n:] - total[:-n]) * down[: len(raw) - n + 1])
+
+
 def shingles(h: np.ndarray, woff: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-word shingles of each text in order, and their n + 1 offsets. A text of fewer words has one, its whole sequence; one without words has none."""
     count = np.diff(woff)
