@@ -4,35 +4,46 @@ P(w | before) = (1 - u(p)) P(c | p) n(w) / n(c), with c the class of w, p that o
 text), and u(p) the chance that an unknown word follows p: the share of training words seen once among those after p. An
 unknown word has the probability u(p). Transitions are smoothed towards the classes' own shares.
 
-Exchange: each word has counts of the features beside it, left and right; a feature is one of the most frequent words, the
-end of text, or any other word. The most frequent words begin as classes of their own, all others as one class. In a sweep
-every word moves to the class whose feature distribution gives its counts the greatest likelihood, all words side by side
-against the counts of the sweep before; the counts by class and feature are then summed anew.
-
-Nothing of the vocabulary's size is broadcast or collected. Texts are read once and coded in chunks of a few MB: each chunk's
-distinct words are sorted by hash and cut into buckets of hash ranges. Buckets meet over all chunks to sum the counts, and
-again to answer each chunk with its words' counts and classes.
+Exchange: the most frequent words begin as classes of their own, all others as one class. In a sweep every word's neighbours
+are counted by their classes, left and right, over all training texts; the word's own counts are taken off its class, and it
+goes to the class where the likelihood of the class bigrams gains most: f(N) = N log N of the pair counts, less f of the
+classes' counts on either side. Words that are much seen are put into every class exactly; of the others each count is worth
+what one more is worth, which understates no class but the emptiest. Half of the words, by turns, move side by side; the
+likelihood of the outcome is then computed exactly, and a sweep that lowers it is taken back and ends the exchange.
+
+Nothing of the vocabulary's size is broadcast or collected. Texts are read once and coded in chunks of about CHUNK bytes: each
+chunk's distinct words are sorted by hash and cut into buckets of hash ranges, which meet over all chunks to sum the counts.
+From then on a word is a place in its bucket: buckets answer chunks with classes, chunks answer buckets with counts of
+classes. A chunk and bucket have at most one row, and never more rows than there are distinct words in the chunks.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared, vec
 
-CLASSES, FEATURES, SWEEPS = 32, 64, 3
-#: Features and classes: the last but one is the end of text, the last is any other word.
-F_END, F_REST = FEATURES - 2, FEATURES - 1
-C_END, C_REST = CLASSES - 2, CLASSES - 1
-UNKNOWN, ONCE = 0x3F, 0x40
+SWEEPS = 4
+#: A kind is a class, or UNKNOWN; ONCE marks words seen once.
+MOST_CLASSES, UNKNOWN, ONCE, KINDS = 120, 0x7F, 0x80, 128
 END_WORD = np.uint64(0xE5D0F7E47)
-CHUNK = 8 << 20
+CHUNK, BUCKET = 2 << 20, 8 << 20
 SMOOTH, SMOOTH_UNKNOWN = 20.0, 200.0
+#: Words seen so often are put into every class exactly; so many words are weighed at once.
+EXACT, BLOCK = 1024, 4096
+_log = logging.getLogger(__name__)
+
+
+def class_count(n_tokens: int) -> int:
+    """Classes by default: the fourth root of the training tokens, from 8 to MOST_CLASSES."""
+    return int(max(8, min(MOST_CLASSES, n_tokens**0.25)))
 
 
 def _tokens(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,185 +60,284 @@ def _tokens(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, toff
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words that are a 4096th or more of a slice, with their counts there."""
-    total: dict[int, int] = {}
-    for _, raw, off in vec.slices(batches, 4 << 20):
-        h = vec.words(raw, off)[0]
-        word, count = np.unique(h, return_counts=True)
-        on = count * 4096 >= len(h)
-        for w, c in zip(word[on].view(np.int64).tolist(), count[on].tolist()):
-            total[w] = total.get(w, 0) + c
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
-
-
-CODED = "chunk long, bucket int, words binary, runs binary, codes binary, counts binary, doc_ids binary, held binary, offsets binary, tokens binary, width int"
+CODED = "chunk long, bucket int, words binary, counts binary, doc_ids binary, held binary, offsets binary, tokens binary, width int"
 CODED_NAMES = [x.split()[0] for x in CODED.split(", ")]
-_TYPES = [pa.int64(), pa.int32(), *[pa.binary()] * 8, pa.int32()]
+_TYPES = [pa.int64(), pa.int32(), *[pa.binary()] * 6, pa.int32()]
 
 
-def _bucket(word: np.ndarray, buckets: int) -> np.ndarray:
-    return ((word >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-
-def _code(frequent: list[int], buckets: int):
-    """Rows by bucket: a chunk's distinct words, and for each how many (code, count) it has, from training texts; and one row with the chunk's texts as numbers of its words."""
-    known = np.array(frequent, np.int64).view(np.uint64)
-    by_hash = np.argsort(known)
-    known_sorted = known[by_hash]
+def _code(buckets: int):
+    """Rows by bucket: a chunk's distinct words and their counts in training texts; and one row with the chunk's texts as numbers of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
         for rows, raw, off in vec.slices(batches, CHUNK):
             word, toff = _tokens(raw, off)
             held = rows.column("held_out").to_numpy(zero_copy_only=False)
-            ids = rows.column("doc_id").to_numpy()
             distinct = np.unique(word)
-            number = np.searchsorted(distinct, word)
-            feature_of = np.full(len(distinct), F_REST, np.uint8)
-            if len(known_sorted):
-                at = np.minimum(np.searchsorted(known_sorted, distinct), len(known_sorted) - 1)
-                hit = known_sorted[at] == distinct
-                feature_of[hit] = by_hash[at[hit]]
-            feature_of[distinct == END_WORD] = F_END
-            feature = feature_of[number]
-            left = np.empty(len(word), np.uint8)
-            left[0], left[1:] = F_END, feature[:-1]  # a text begins after an end
-            right = np.empty(len(word), np.uint8)
-            right[-1], right[:-1] = 0, feature[1:]
-            train = np.repeat(~held, np.diff(toff))
-            inner = train & (word != END_WORD)
-            key = np.concatenate([number[train] * 128 + left[train], number[inner] * 128 + 64 + right[inner]])
-            key, count = np.unique(key, return_counts=True)
-            parts = -(-count // 255)
-            key, small = np.repeat(key, parts), np.full(int(parts.sum()), 255)
-            small[np.cumsum(parts) - 1] = count - (parts - 1) * 255
-            per_word = np.bincount(key >> 7, minlength=len(distinct))
-            edges = np.searchsorted(_bucket(distinct, buckets), np.arange(buckets + 1))
-            entry = np.concatenate([[0], np.cumsum(per_word)])
-            runs, codes, small = per_word.astype(np.uint32), (key & 127).astype(np.uint8), small.astype(np.uint8)
-            chunk = int(vec.mix(np.array([int(ids[0]) & (2**64 - 1), len(ids), len(word), int(word.sum(dtype=np.uint64))], np.uint64)).sum(dtype=np.uint64)) >> 1
+            number = np.searchsorted(distinct, word).astype(np.uint32)
+            counts = np.bincount(number[np.repeat(~held, np.diff(toff))], minlength=len(distinct)).astype(np.uint32)
+            bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            edges = np.searchsorted(bucket, np.arange(buckets + 1))
             out: list[list] = []
             for b in np.flatnonzero(np.diff(edges)):
                 a, z = edges[b], edges[b + 1]
-                out.append([chunk, int(b), distinct[a:z].tobytes(), runs[a:z].tobytes(), codes[entry[a] : entry[z]].tobytes(), small[entry[a] : entry[z]].tobytes(), None, None, None, None, None])
-            width = 3 if len(distinct) < 1 << 24 else 4
-            planes = np.ascontiguousarray(number.astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :width].T)
-            out.append([chunk, None, None, None, None, None, ids.tobytes(), held.astype(np.uint8).tobytes(), toff.tobytes(), planes.tobytes(), width])
+                out.append([chunk, int(b), distinct[a:z].tobytes(), counts[a:z].tobytes(), None, None, None, None, None])
+            width = max(1, (int(len(distinct) - 1).bit_length() + 7) // 8)
+            planes = np.ascontiguousarray(number.view(np.uint8).reshape(-1, 4)[:, :width].T)
+            out.append([chunk, None, None, None, rows.column("doc_id").to_numpy().tobytes(), held.astype(np.uint8).tobytes(), toff.tobytes(), planes.tobytes(), width])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], CODED_NAMES)
+            chunk += 1
 
     return run
 
 
-def _cat(column: pa.ChunkedArray, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
-
-
-WORDS = "bucket int, words binary, n binary, runs binary, codes binary, counts binary"
-
-
-def _sum_words(group: pa.Table) -> pa.Table:
-    """One row: a bucket's words in training texts with their counts and (code, count)s."""
-    words, runs = _cat(group.column("words"), np.uint64), _cat(group.column("runs"), np.uint32)
-    codes, counts = _cat(group.column("codes"), np.uint8), _cat(group.column("counts"), np.uint8)
-    distinct = np.unique(words[runs > 0])
-    number = np.searchsorted(distinct, words[runs > 0])
-    key = np.repeat(number, runs[runs > 0]) * 128 + codes
-    order = np.argsort(key, kind="stable")
-    key, counts = key[order], counts[order].astype(np.int64)
-    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    total, key = (np.add.reduceat(counts, starts), key[starts]) if len(key) else (counts, key)
-    n = np.bincount(key >> 7, weights=np.where(key & 64, 0, total), minlength=len(distinct)).astype(np.int64)
-    per_word = np.bincount(key >> 7, minlength=len(distinct)).astype(np.uint32)
-    blobs = [distinct, n, per_word, (key & 127).astype(np.uint8), total]
-    return pa.table([group.column("bucket").slice(0, 1), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], names=["bucket", "words", "n", "runs", "codes", "counts"])
-
-
-class Classes:
-    """Maps words to classes: at first by the list of frequent words, then by a table of log likelihoods (codes by classes)."""
-
-    def __init__(self, frequent: list[int], table: np.ndarray | None):
-        own = np.array(frequent[:C_END], np.int64).view(np.uint64)
-        self.order, self.table = np.argsort(own), table
-        self.known = own[self.order]
-
-    def __call__(self, words: np.ndarray, runs: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        out = np.full(len(words), C_REST, np.uint8)
-        if self.table is None:
-            if len(self.known):
-                at = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
-                hit = self.known[at] == words
-                out[hit] = self.order[at[hit]]
-        else:
-            edges = np.concatenate([[0], np.cumsum(runs, dtype=np.int64)])
-            for a in range(0, len(words), 1 << 14):
-                z = min(len(words), a + (1 << 14))
-                own = slice(edges[a], edges[z])
-                gain = np.add.reduceat(self.table[codes[own]] * counts[own, None].astype(np.float32), edges[a:z] - edges[a], axis=0)
-                out[a:z] = gain.argmax(1)
-        out[words == END_WORD] = C_END
-        return out
+def _of(table: pa.Table, column: str, row: int, kind) -> np.ndarray:
+    return np.frombuffer(table.column(column)[row].as_buffer(), kind)
+
 
+PLACED = "chunk long, bucket int, places binary, words binary, n binary"
 
-def _row(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
-    return tuple(np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in (("words", np.uint64), ("n", np.int64), ("runs", np.uint32), ("codes", np.uint8), ("counts", np.int64)))
+
+def _place(group: pa.Table) -> pa.Table:
+    """A bucket's words with their training counts as one row without a chunk, and per chunk the places of its words among them."""
+    parts = [_of(group, "words", i, np.uint64) for i in range(group.num_rows)]
+    words = np.unique(np.concatenate(parts))
+    n = np.zeros(len(words), np.int64)
+    places = []
+    for i, w in enumerate(parts):
+        at = np.searchsorted(words, w).astype(np.uint32)
+        n[at] += _of(group, "counts", i, np.uint32)
+        places.append(at.tobytes())
+    none = [None] * len(places)
+    bucket = group.column("bucket")[0].as_py()
+    return pa.table([pa.array([*group.column("chunk").to_pylist(), None], pa.int64()), pa.array([bucket] * (len(places) + 1), pa.int32()), pa.array([*places, None], pa.binary()), pa.array([*none, words.tobytes()], pa.binary()), pa.array([*none, n.tobytes()], pa.binary())], names=["chunk", "bucket", "places", "words", "n"])
+
+
+def _most(k: int):
+    """The k most frequent words of each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for words, n in zip(b.column("words"), b.column("n")):
+                words, n = np.frombuffer(words.as_buffer(), np.int64), np.frombuffer(n.as_buffer(), np.int64)
+                top = np.argsort(-n, kind="stable")[:k]
+                yield pa.RecordBatch.from_arrays([pa.array(words[top]), pa.array(n[top]), pa.array([int(n.sum())] * len(top)), pa.array([int((n > 0).sum())] * len(top)), pa.array(np.arange(len(top)) == 0)], ["word", "n", "total", "types", "first"])
+
+    return run
 
 
-def _sweep(classes: Classes):
-    """Counts by class and code, and by class alone (code 128) and its words (code 129), of the task's words."""
+def _begin(own: dict[int, int], n_classes: int):
+    """The classes at first: those words have their own, the others share one, the end of text is the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((CLASSES, 130), np.int64)
         for b in batches:
-            for i in range(b.num_rows):
-                words, n, runs, codes, counts = _row(b, i)
-                own = classes(words, runs, codes, counts)
-                total += np.bincount(np.repeat(own, runs).astype(np.int64) * 130 + codes, weights=counts, minlength=CLASSES * 130).astype(np.int64).reshape(CLASSES, 130)
-                total[:, 128] += np.bincount(own, weights=n, minlength=CLASSES).astype(np.int64)
-                total[:, 129] += np.bincount(own, minlength=CLASSES)
-        c, code = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(code, pa.int32()), pa.array(total[c, code])], ["class", "code", "n"])
+            out = []
+            for words in b.column("words"):
+                words = np.frombuffer(words.as_buffer(), np.int64)
+                kinds = np.full(len(words), n_classes - 2, np.uint8)
+                for i in np.flatnonzero(np.isin(words, np.fromiter(own, np.int64, len(own)))):
+                    kinds[i] = own[int(words[i])]
+                kinds[words.view(np.uint64) == END_WORD] = n_classes - 1
+                out.append(kinds.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("bucket"), b.column("words"), b.column("n"), pa.array(out, pa.binary())], ["bucket", "words", "n", "kinds"])
 
     return run
 
 
-def exchange(words: DataFrame, frequent: list[int], sweeps: int = SWEEPS) -> tuple[Classes, np.ndarray]:
-    """The classes after `sweeps` sweeps, and counts by class and code (CLASSES by 130 numbers, all that reaches the driver)."""
-    classes = Classes(frequent, None)
-    for left in range(sweeps, -1, -1):
-        counts = np.zeros((CLASSES, 130), np.int64)
-        for r in words.mapInArrow(_sweep(classes), "class int, code int, n long").groupBy("class", "code").agg(F.sum("n")).toLocalIterator():
-            counts[r[0], r[1]] = r[2]
-        if left:
-            sides = counts[:, :128].reshape(CLASSES, 2, FEATURES) + 0.1
-            table = np.log(sides / sides.sum(2, keepdims=True)).reshape(CLASSES, 128).T
-            table[:, C_END] = -1e9  # the end of text is a class of its own
-            classes = Classes(frequent, np.ascontiguousarray(table, np.float32))
-    return classes, counts
+VOCABULARY = "bucket int, words binary, n binary, kinds binary"
 
 
-def _answer(classes: Classes):
-    """For each chunk's words of a bucket: their training counts (0: unknown) and classes."""
+def _answer(with_counts: bool):
+    """For each chunk's words of a bucket their classes (UNKNOWN without a training count, marked if seen once) and, if asked, counts."""
 
     def run(asked: pa.Table, known: pa.Table) -> pa.Table:
-        b = known.combine_chunks().to_batches()[0] if known.num_rows else None
-        words, n, *rest = _row(b, 0) if b is not None else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        own = classes(words, *rest) if b is not None else np.zeros(0, np.uint8)
-        count, kind = [], []
-        for x in asked.column("words").to_pylist():
-            w = np.frombuffer(x, np.uint64)
-            c, k = np.zeros(len(w), np.int64), np.full(len(w), UNKNOWN, np.uint8)
-            if len(words):
-                at = np.minimum(np.searchsorted(words, w), len(words) - 1)
-                hit = words[at] == w
-                c[hit], k[hit] = n[at[hit]], own[at[hit]]
-            k[c == 1] |= ONCE
-            count.append(c.astype(np.uint32).tobytes() if c.max(initial=0) < 1 << 32 else c.tobytes())
-            kind.append(k.tobytes())
-        return pa.table([asked.column("chunk"), asked.column("bucket"), pa.array(count, pa.binary()), pa.array(kind, pa.binary())], names=["chunk", "bucket", "n", "kinds"])
+        n, kinds = _of(known, "n", 0, np.int64), _of(known, "kinds", 0, np.uint8).copy()
+        kinds[n == 0] = UNKNOWN
+        kinds[n == 1] |= ONCE
+        small = n.astype(np.uint32) if n.max(initial=0) < 1 << 32 else n
+        places = [_of(asked, "places", i, np.uint32) for i in range(asked.num_rows)]
+        counts = pa.array([small[p].tobytes() if with_counts else None for p in places], pa.binary())
+        return pa.table([asked.column("chunk"), asked.column("bucket"), asked.column("places"), counts, pa.array([kinds[p].tobytes() for p in places], pa.binary())], names=["chunk", "bucket", "places", "n", "kinds"])
+
+    return run
+
+
+ANSWERED = "chunk long, bucket int, places binary, n binary, kinds binary"
+
+
+def _number(coded: pa.Table, row: int) -> np.ndarray:
+    planes = _of(coded, "tokens", row, np.uint8).reshape(coded.column("width")[row].as_py(), -1)
+    number = np.zeros(planes.shape[1], np.int64)
+    for i, p in enumerate(planes):
+        number |= p.astype(np.int64) << (8 * i)
+    return number
+
+
+def _runs(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of keys (number * 256 + code): how many codes each of n numbers has, the codes, and their counts."""
+    keys = np.sort(keys)
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(starts, len(keys)))
+    keys = keys[starts]
+    return np.bincount(keys >> 8, minlength=n).astype(np.uint16), (keys & 255).astype(np.uint8), counts.astype(np.uint32)
+
+
+def _contexts(n_classes: int):
+    """Per bucket the places of a chunk's words with the counts of the classes before (code) and after them (128 + code) in training texts."""
+
+    def run(coded: pa.Table, answers: pa.Table) -> pa.Table:
+        order = np.argsort(answers.column("bucket").to_numpy())
+        parts = [_of(answers, "kinds", int(i), np.uint8) for i in order]
+        kinds = np.concatenate(parts) & UNKNOWN
+        number, toff = _number(coded, 0), _of(coded, "offsets", 0, np.int64)
+        kind = kinds[number].astype(np.int64)
+        train = np.repeat(_of(coded, "held", 0, np.uint8) == 0, np.diff(toff))
+        left = np.empty(len(kind), np.int64)
+        left[0], left[1:] = n_classes - 1, kind[:-1]  # a text begins after an end, as each ends with one
+        last = np.zeros(len(kind), bool)
+        last[toff[1:] - 1] = True
+        inner = np.flatnonzero(train & ~last)
+        keys = np.concatenate([(number * 256 + left)[train], number[inner] * 256 + 128 + kind[inner + 1]])
+        runs, codes, counts = _runs(keys.astype(np.uint32) if len(kinds) < 1 << 24 else keys, len(kinds))
+        word = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        entry = np.concatenate([[0], np.cumsum(runs, dtype=np.int64)])[word]
+        cut = lambda x, e: pa.array([x[a:b].tobytes() for a, b in zip(e[:-1], e[1:])], pa.binary())
+        return pa.table([answers.column("bucket").take(pa.array(order)), answers.column("places").take(pa.array(order)), cut(runs, word), cut(codes, entry), cut(counts, entry)], names=["bucket", "places", "runs", "codes", "counts"])
+
+    return run
+
+
+COUNTED = "bucket int, places binary, runs binary, codes binary, counts binary"
+
+
+def _sum_contexts(group: pa.Table) -> pa.Table:
+    """One row: the counts of a bucket's words by code."""
+    at, codes, counts = [], [], []
+    for i in range(group.num_rows):
+        at.append(np.repeat(_of(group, "places", i, np.uint32), _of(group, "runs", i, np.uint16)))
+        codes.append(_of(group, "codes", i, np.uint8))
+        counts.append(_of(group, "counts", i, np.uint32))
+    at, codes, counts = np.concatenate(at).astype(np.int64), np.concatenate(codes), np.concatenate(counts)
+    size = 1 + max((int(_of(group, "places", i, np.uint32).max(initial=0)) for i in range(group.num_rows)), default=0)
+    out: list[list[np.ndarray]] = [[], [], []]
+    for a in range(0, size, BLOCK):
+        z = min(size, a + BLOCK)
+        own = (at >= a) & (at < z) if size > BLOCK else slice(None)
+        total = np.bincount((at[own] - a) * 256 + codes[own], weights=counts[own], minlength=(z - a) * 256).astype(np.int64)
+        on = np.flatnonzero(total)
+        for x, y in zip(out, (np.bincount(on >> 8, minlength=z - a).astype(np.uint16), (on & 255).astype(np.uint8), total[on])):
+            x.append(y)
+    return pa.table([group.column("bucket").slice(0, 1), pa.nulls(1, pa.binary()), *(pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in out)], names=["bucket", "places", "runs", "codes", "counts"])
+
+
+def _sparse(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
+    """Counts, kinds, and runs, codes and counts of the row's words (words after the last with a training text have no run)."""
+    n, kinds, runs, codes, counts = (np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in (("n", np.int64), ("kinds", np.uint8), ("runs", np.uint16), ("codes", np.uint8), ("counts", np.int64)))
+    return n, kinds, np.concatenate([runs, np.zeros(len(n) - len(runs), np.uint16)]).astype(np.int64), codes, counts
+
+
+def _class_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of (class before, class) of the task's words."""
+    total = np.zeros(KINDS * KINDS, np.int64)
+    for b in batches:
+        for i in range(b.num_rows):
+            _, kinds, runs, codes, counts = _sparse(b, i)
+            own = np.repeat(kinds, runs).astype(np.int64)
+            left = codes < 128
+            total += np.bincount(codes[left].astype(np.int64) * KINDS + own[left], weights=counts[left], minlength=KINDS * KINDS).astype(np.int64)
+    on = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(on, pa.int32()), pa.array(total[on])], ["pair", "n"])
+
+
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def likelihood(pairs: np.ndarray) -> float:
+    """Log likelihood of the class bigrams, but for what doesn't depend on the classes."""
+    return float(_f(pairs).sum() - _f(pairs.sum(0)).sum() - _f(pairs.sum(1)).sum())
+
+
+def best_classes(pairs: np.ndarray, n: np.ndarray, kinds: np.ndarray, runs: np.ndarray, codes: np.ndarray, counts: np.ndarray, n_classes: int, turn: int) -> np.ndarray:
+    """The words' classes after their turn; only words of training texts at every second place move, the end of text never."""
+    free = n_classes - 1
+    pairs = pairs[:n_classes, :n_classes].astype(np.float64)
+    before, after = pairs.sum(1), pairs.sum(0)  # of classes as the first and as the second of a pair
+    one = lambda x: _f(x + 1) - _f(x)
+    # What one more count is worth: rows are codes (left, right), columns the class that the word would be in.
+    worth = np.zeros((256, free), np.float32)
+    worth[:n_classes], worth[128 : 128 + n_classes] = one(pairs)[:, :free], one(pairs)[:free].T
+    cost = (one(before) + one(after))[:free].astype(np.float32)
+    table = np.zeros((256, n_classes))
+    table[:n_classes], table[128 : 128 + n_classes] = pairs, pairs.T
+    edges = np.concatenate([[0], np.cumsum(runs)])
+    out = kinds.copy()
+    for a in range(0, len(n), BLOCK):
+        z = min(len(n), a + BLOCK)
+        own = slice(edges[a], edges[z])
+        row, code, x = np.repeat(np.arange(z - a), runs[a:z]), codes[own].astype(np.int64), counts[own].astype(np.float64)
+        dense = np.zeros((z - a, 256), np.float32)
+        dense[row, code] = x
+        as_second = np.bincount(row, weights=np.where(code < 128, x, 0), minlength=z - a)
+        as_first = np.bincount(row, weights=np.where(code >= 128, x, 0), minlength=z - a)
+        gain = (dense @ worth).astype(np.float64) - n[a:z, None] * cost
+        for w in np.flatnonzero(n[a:z] >= EXACT):
+            e = slice(edges[a + w] - edges[a], edges[a + w + 1] - edges[a])
+            base = table[code[e], :free]
+            gain[w] = (_f(base + x[e, None]) - _f(base)).sum(0) - (_f(after[:free] + as_second[w]) - _f(after[:free])) - (_f(before[:free] + as_first[w]) - _f(before[:free]))
+        # The word's own class, with its counts taken off.
+        home = kinds[a:z].astype(np.int64)
+        with_it = table[code, home[row]]
+        stay = np.bincount(row, weights=_f(with_it) - _f(np.maximum(with_it - x, 0)), minlength=z - a)
+        stay -= _f(after[home]) - _f(np.maximum(after[home] - as_second, 0)) + _f(before[home]) - _f(np.maximum(before[home] - as_first, 0))
+        fixed = home >= free
+        gain[np.arange(z - a)[~fixed], home[~fixed]] = stay[~fixed]
+        moves = ~fixed & (n[a:z] > 0) & ((np.arange(a, z) + turn) % 2 == 0)
+        out[a:z][moves] = gain.argmax(1)[moves]
+    return out
+
+
+def _move(pairs: np.ndarray, n_classes: int, turn: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [best_classes(pairs, *_sparse(b, i), n_classes, turn).tobytes() for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column("bucket"), b.column("words"), b.column("n"), pa.array(out, pa.binary())], ["bucket", "words", "n", "kinds"])
 
     return run
 
 
+def exchange(texts: DataFrame, places: DataFrame, vocabulary: DataFrame, n_classes: int, sweeps: int) -> tuple[DataFrame, list[float]]:
+    """The vocabulary (VOCABULARY, written) with its classes after the exchange, and the likelihood at first and after each sweep that was kept."""
+    likelihoods: list[float] = []
+    kept, counted = vocabulary, None
+    for turn in range(sweeps + 1):
+        answers = places.groupBy("bucket").cogroup(vocabulary.groupBy("bucket")).applyInArrow(_answer(False), ANSWERED)
+        partial = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_contexts(n_classes), COUNTED)
+        sums = partial.groupBy("bucket").applyInArrow(_sum_contexts, COUNTED).drop("places")
+        now = shared.written(vocabulary.join(sums, "bucket"), "counted")
+        pairs = np.zeros(KINDS * KINDS, np.int64)
+        for r in now.mapInArrow(_class_pairs, "pair int, n long").groupBy("pair").agg(F.sum("n")).toLocalIterator():  # KINDS squared rows at most
+            pairs[r[0]] = r[1]
+        pairs = pairs.reshape(KINDS, KINDS)
+        value = likelihood(pairs)
+        _log.info("exchange: likelihood %.1f after %d sweeps", value, turn)
+        if likelihoods and value < likelihoods[-1]:
+            shared.spent(now, vocabulary)
+            break
+        if vocabulary is not kept:
+            shared.spent(kept)
+        likelihoods.append(value)
+        kept = vocabulary
+        if counted is not None:
+            shared.spent(counted)
+        counted = now
+        if turn < sweeps:
+            vocabulary = shared.written(now.mapInArrow(_move(pairs, n_classes, turn), VOCABULARY), "vocabulary")
+    if counted is not None:
+        shared.spent(counted)
+    return kept, likelihoods
+
+
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emission double, kinds binary"
 
 
@@ -235,99 +345,141 @@ def _documents(total: int, types: int, of_class: np.ndarray):
     """Per document its base score, the emissions' log10, and its classes in order."""
 
     def run(coded: pa.Table, answers: pa.Table) -> pa.Table:
-        _, order = np.unique(answers.column("bucket").to_numpy(), return_index=True)  # in the order of the hashes
+        order = np.argsort(answers.column("bucket").to_numpy())  # in the order of the hashes
         n_parts, k_parts = answers.column("n").to_pylist(), answers.column("kinds").to_pylist()
         kinds = np.frombuffer(b"".join(k_parts[i] for i in order), np.uint8)
         n = np.concatenate([np.frombuffer(n_parts[i], np.uint32 if len(n_parts[i]) == 4 * len(k_parts[i]) else np.int64) for i in order]).astype(np.int64)
         base = np.log10((n + 0.5) / (total + 0.5 * (types + 1)))
         emission = np.where(n > 0, np.log10(np.maximum(n, 1) / np.maximum(of_class[kinds & UNKNOWN], 1)), 0.0)
-        out: list[list] = [[] for _ in range(7)]
-        for row in range(coded.num_rows):  # a chunk that is repeated whole has the same rows
-            get = lambda c, t: np.frombuffer(coded.column(c)[row].as_buffer(), t)  # noqa: B023, E731
-            ids, held, toff = get("doc_ids", np.int64), get("held", np.uint8), get("offsets", np.int64)
-            planes = get("tokens", np.uint8).reshape(coded.column("width")[row].as_py(), -1)
-            number = np.zeros(planes.shape[1], np.int64)
-            for i, p in enumerate(planes):
-                number |= p.astype(np.int64) << (8 * i)
-            sums = [np.add.reduceat(x[number], toff[:-1]) for x in (n > 0, base, emission)]
-            text = kinds[number]
-            for column, values in zip(out, (ids, held.astype(bool), np.diff(toff), *sums, [text[a:b].tobytes() for a, b in zip(toff, toff[1:])])):
-                column.extend(values)
+        ids, held, toff, number = _of(coded, "doc_ids", 0, np.int64), _of(coded, "held", 0, np.uint8), _of(coded, "offsets", 0, np.int64), _number(coded, 0)
+        sums = [np.add.reduceat(x[number], toff[:-1]) for x in (n > 0, base, emission)]
+        text = kinds[number]
+        out = (ids, held.astype(bool), np.diff(toff), *sums, [text[a:b].tobytes() for a, b in zip(toff, toff[1:])])
         return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()))], names=[x.split()[0] for x in SCORED.split(", ")])
 
     return run
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(end: int):
     """Counts of (kind before, kind) in training texts; kinds have the mark ONCE."""
-    total = np.zeros(128 * 128, np.int64)
-    for b in batches:
-        for held, text in zip(b.column("held_out").to_pylist(), b.column("kinds")):
-            if not held:
-                x = np.frombuffer(text.as_buffer(), np.uint8).astype(np.int64)
-                total += np.bincount(np.concatenate([[C_END], x[:-1]]) * 128 + x, minlength=128 * 128)
-    on = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(on, pa.int32()), pa.array(total[on])], ["pair", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256 * 256, np.int64)
+        for b in batches:
+            for held, text in zip(b.column("held_out").to_pylist(), b.column("kinds")):
+                if not held:
+                    x = np.frombuffer(text.as_buffer(), np.uint8).astype(np.int64)
+                    total += np.bincount(np.concatenate([[end], x[:-1]]) * 256 + x, minlength=256 * 256) if len(x) > 4096 else 0
+                    if len(x) <= 4096:
+                        np.add.at(total, np.concatenate([[end], x[:-1]]) * 256 + x, 1)
+        on = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(on, pa.int32()), pa.array(total[on])], ["pair", "n"])
+
+    return run
 
 
-def transition_table(pairs: np.ndarray, of_class: np.ndarray) -> np.ndarray:
-    """log10 of the probability of a kind after a kind (64 by 64, UNKNOWN among them), from counts with ONCE (128 by 128)."""
-    merged = pairs[:, :64] + pairs[:, 64:]
-    once = pairs[:, 64:].sum(1)
-    before = merged[:64] + merged[64:]
-    before[UNKNOWN] = merged[64:].sum(0)  # after an unknown word as after one seen once
-    after_once = once[:64] + once[64:]
-    after_once[UNKNOWN] = once[64:].sum()
+def transition_table(pairs: np.ndarray, of_class: np.ndarray, n_classes: int) -> np.ndarray:
+    """log10 of the probability of a kind after a kind (KINDS by KINDS, UNKNOWN among them), from counts with ONCE (twice KINDS on a side)."""
+    merged = pairs[:, :KINDS] + pairs[:, KINDS:]
+    once = pairs[:, KINDS:].sum(1)
+    before = (merged[:KINDS] + merged[KINDS:]).astype(np.float64)
+    before[UNKNOWN] = merged[KINDS:].sum(0)  # after an unknown word as after one seen once
+    after_once = (once[:KINDS] + once[KINDS:]).astype(np.float64)
+    after_once[UNKNOWN] = once[KINDS:].sum()
     seen = before.sum(1)
-    share = np.zeros(64)
-    share[:CLASSES] = (of_class[:CLASSES] + 0.5) / (of_class[:CLASSES].sum() + 0.5 * CLASSES)
-    overall = (after_once[:CLASSES].sum() + 0.5) / (seen[:CLASSES].sum() + 1)
+    share = np.zeros(KINDS)
+    share[:n_classes] = (of_class[:n_classes] + 0.5) / (of_class[:n_classes].sum() + 0.5 * n_classes)
+    overall = (after_once[:n_classes].sum() + 0.5) / (seen[:n_classes].sum() + 1)
     unknown = (after_once + SMOOTH_UNKNOWN * overall) / (seen + SMOOTH_UNKNOWN)
     table = (before + SMOOTH * share) / (seen + SMOOTH)[:, None] * (1 - unknown)[:, None]
     table[:, UNKNOWN] = unknown
     return np.log10(np.maximum(table, 1e-300))
 
 
-def _final(table: np.ndarray, total: int):
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+
+
+def _final(table: np.ndarray, total: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             score = []
             for e, text in zip(b.column("emission").to_pylist(), b.column("kinds")):
                 x = np.frombuffer(text.as_buffer(), np.uint8) & UNKNOWN
-                score.append(e + float(table[np.concatenate([[C_END], x[:-1]]), x].sum()))
+                score.append(e + float(table[np.concatenate([[end], x[:-1]]), x].sum()))
+            n = b.column("n_tokens").to_numpy()
             rows = [b.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known")]
-            yield pa.RecordBatch.from_arrays([*rows, pa.array([total] * b.num_rows, pa.int64()), b.column("base_score"), pa.array(score, pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            perplexity = 10.0 ** np.minimum(-np.array(score) / n, 300)
+            yield pa.RecordBatch.from_arrays([*rows, pa.array([total] * b.num_rows, pa.int64()), b.column("base_score"), pa.array(score, pa.float64()), pa.array(perplexity)], [x.split()[0] for x in RESULT.split(", ")])
 
     return run
 
 
-def scores(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+class Model:
+    """What is learned from the documents that aren't held out, and the coded texts of all."""
+
+    def __init__(self, docs: DataFrame, n_classes: int | None = None, sweeps: int = SWEEPS):
+        whole = shared.texts(docs).withColumn("held_out", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1)
+        buckets = shared.buckets_for(shared.text_bytes(whole), BUCKET, 32)
+        coded = shared.written(whole.select("doc_id", "held_out", "text").mapInArrow(_code(buckets), CODED), "coded")
+        self.texts = coded.where("bucket is null").select("chunk", "doc_ids", "held", "offsets", "tokens", "width")
+        placed = shared.written(coded.where("bucket is not null").select("chunk", "bucket", "words", "counts").groupBy("bucket").applyInArrow(_place, PLACED), "placed")
+        self.places = placed.where("chunk is not null").select("chunk", "bucket", "places")
+        words = placed.where("chunk is null").select("bucket", "words", "n")
+        most = shared.written(words.mapInArrow(_most(MOST_CLASSES), "word long, n long, total long, types long, first boolean"), "most")
+        self.total, self.types = (int(x or 0) for x in most.where("first").agg(F.sum("total"), F.sum("types")).first())
+        self.n_classes = n_classes or class_count(self.total)
+        end = int(np.array([END_WORD]).view(np.int64)[0])
+        top = [r["word"] for r in most.where(F.col("word") != end).orderBy(F.desc("n"), "word").limit(self.n_classes - 2).collect()]  # MOST_CLASSES rows at most
+        begin = shared.written(words.mapInArrow(_begin({w: i for i, w in enumerate(top)}, self.n_classes), VOCABULARY), "vocabulary")
+        self.vocabulary, self.likelihoods = exchange(self.texts, self.places, begin, self.n_classes, sweeps if self.total else 0)
+
+    def of_class(self) -> np.ndarray:
+        """Training tokens by class."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for n, kinds in zip(b.column("n"), b.column("kinds")):
+                    total = np.bincount(np.frombuffer(kinds.as_buffer(), np.uint8), weights=np.frombuffer(n.as_buffer(), np.int64), minlength=KINDS)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(KINDS, dtype=np.int32)), pa.array(total.astype(np.int64))], ["class", "n"])
+
+        out = np.zeros(KINDS, np.int64)
+        for r in self.vocabulary.select("n", "kinds").mapInArrow(run, "class int, n long").groupBy("class").agg(F.sum("n")).collect():  # KINDS rows
+            out[r[0]] = r[1]
+        return out
+
+    def word_classes(self) -> DataFrame:
+        """word (hash as in vec.words, or END_WORD), n, class of every word of a training text."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for words, n, kinds in zip(b.column("words"), b.column("n"), b.column("kinds")):
+                    words, n, kinds = (np.frombuffer(x.as_buffer(), t) for x, t in ((words, np.int64), (n, np.int64), (kinds, np.uint8)))
+                    on = n > 0
+                    yield pa.RecordBatch.from_arrays([pa.array(words[on]), pa.array(n[on]), pa.array(kinds[on].astype(np.int32))], ["word", "n", "class"])
+
+        return self.vocabulary.select("words", "n", "kinds").mapInArrow(run, "word long, n long, class int")
+
+    def scores(self) -> DataFrame:
+        of_class, end = self.of_class(), self.n_classes - 1
+        answers = self.places.groupBy("bucket").cogroup(self.vocabulary.groupBy("bucket")).applyInArrow(_answer(True), ANSWERED).drop("places")
+        scored = shared.written(self.texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_documents(self.total, self.types, of_class), SCORED), "scored")
+        pairs = np.zeros(256 * 256, np.int64)
+        for r in scored.select("held_out", "kinds").mapInArrow(_pairs(end), "pair int, n long").groupBy("pair").agg(F.sum("n")).toLocalIterator():
+            pairs[r[0]] = r[1]
+        return scored.mapInArrow(_final(transition_table(pairs.reshape(256, 256), of_class, self.n_classes), self.total, end), RESULT)
+
+
+def scores(docs: DataFrame, n_classes: int | None = None, sweeps: int = SWEEPS) -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Words are runs of bytes other than white space (0x20, 0x09-0x0D) after lower-casing A-Z; an end follows each text and
     counts as a token. The model learns from the documents that aren't held out (crc32 of the doc_id's text mod 5 is not 1)
-    and scores all. base_score is that of the smoothed unigram model. A null or empty text is the end alone. Repeated
+    and scores all. base_score is that of the smoothed unigram model; perplexity is 10 ** (-score / n_tokens). n_classes
+    (3 to MOST_CLASSES) is class_count of the training tokens if not given. A null or empty text is the end alone. Repeated
     rows count each and get a row each; rows without a doc_id are left out; an empty table gives an empty result; without
     a training text every word is unknown and train_tokens is 0.
     """
-    whole = shared.texts(docs).withColumn("held_out", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1)
-    buckets = shared.buckets_for(shared.text_bytes(whole))
-    top = whole.where("not held_out").select("text").mapInArrow(_frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    frequent = [r["word"] for r in top.orderBy(F.desc("n"), "word").limit(F_END).collect()]  # F_END rows
-    coded = shared.written(whole.select("doc_id", "held_out", "text").mapInArrow(_code(frequent, buckets), CODED), "coded")
-    asked = coded.where("bucket is not null")
-    words = shared.written(asked.select("bucket", "words", "runs", "codes", "counts").groupBy("bucket").applyInArrow(_sum_words, WORDS), "words")
-    classes, counts = exchange(words, frequent)
-    of_class = np.zeros(64, np.int64)
-    of_class[:CLASSES] = counts[:, 128]
-    total, types = int(counts[:, 128].sum()), int(counts[:, 129].sum())
-    answers = asked.select("chunk", "bucket", "words").groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_answer(classes), "chunk long, bucket int, n binary, kinds binary")
-    texts = coded.where("bucket is null").select("chunk", "doc_ids", "held", "offsets", "tokens", "width")
-    scored = shared.written(texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_documents(total, types, of_class), SCORED), "scored")
-    pairs = np.zeros((128, 128), np.int64)
-    for r in scored.select("held_out", "kinds").mapInArrow(_pairs, "pair int, n long").groupBy("pair").agg(F.sum("n")).toLocalIterator():
-        pairs[r[0] // 128, r[0] % 128] = r[1]
-    return scored.mapInArrow(_final(transition_table(pairs, of_class), total), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return Model(docs, n_classes, sweeps).scores()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,15 @@ import brute
 import numpy as np
 from pyspark.sql import functions as F
 
-from chronolith.llm import brown_lm, quality
+from chronolith.llm import brown_lm, quality, vec
 
 SMALL = brute.SMALL
 
 
+def brute_docs(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
 def base_scores(rows):
     held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
     counts = Counter()
@@ -48,14 +52,74 @@ def test_score_edges(spark):
 
 
 def test_transitions_are_probabilities():
-    rng = np.random.default_rng(0)
-    pairs = rng.integers(0, 50, (128, 128))
-    pairs[brown_lm.CLASSES : 64], pairs[64 + brown_lm.CLASSES :] = 0, 0
-    pairs[:, brown_lm.CLASSES : 64], pairs[:, 64 + brown_lm.CLASSES :] = 0, 0
-    of_class = np.zeros(64, np.int64)
-    of_class[: brown_lm.CLASSES] = rng.integers(1, 900, brown_lm.CLASSES)
-    table = 10 ** brown_lm.transition_table(pairs, of_class)
-    assert np.allclose(table[: brown_lm.CLASSES].sum(1), 1)
+    rng, c, k = np.random.default_rng(0), 20, brown_lm.KINDS
+    pairs = rng.integers(0, 50, (2 * k, 2 * k))
+    pairs[c:k], pairs[k + c :] = 0, 0
+    pairs[:, c:k], pairs[:, k + c :] = 0, 0
+    of_class = np.zeros(k, np.int64)
+    of_class[:c] = rng.integers(1, 900, c)
+    table = 10 ** brown_lm.transition_table(pairs, of_class, c)
+    assert np.allclose(table[:c].sum(1), 1)
+
+
+def test_score_by_hand(spark):
+    """The model's scores from its word classes, with plain counts; and the exchange's likelihood from these classes."""
+    rows = brute.table("documents", "doc_id, text")
+    model = brown_lm.Model(brute_docs(spark, rows))
+    assert len(model.likelihoods) > 2 and model.likelihoods == sorted(model.likelihoods)
+    known = {r["word"]: (r["n"], r["class"]) for r in model.word_classes().collect()}
+    c, end = model.n_classes, int(np.array([brown_lm.END_WORD]).view(np.int64)[0])
+
+    def coded(t):
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        return [*vec.words(raw, np.array([0, len(raw)]))[0].view(np.int64).tolist(), end]
+
+    train = [coded(t) for d, t in rows if zlib.crc32(str(d).encode()) % 5 != 1]
+    assert Counter(w for t in train for w in t) == {w: n for w, (n, _) in known.items()}
+    pair, once = Counter(), Counter()
+    for t in train:
+        for p, w in zip([end, *t], t):
+            pair[known[p][1], known[w][1]] += 1
+            once[known[p][1]] += known[w][0] == 1
+    as_first, as_second = Counter(), Counter()
+    for (p, w), n in pair.items():
+        as_first[p] += n
+        as_second[w] += n
+    f = lambda x: x * math.log(x)
+    assert math.isclose(model.likelihoods[-1], sum(map(f, pair.values())) - sum(map(f, as_first.values())) - sum(map(f, as_second.values())), rel_tol=1e-9)
+    # After an unknown word as after a word seen once.
+    after_once, once_after = Counter(), 0
+    for t in train:
+        for p, w in zip(t, t[1:]):
+            if known[p][0] == 1:
+                after_once[known[w][1]] += 1
+                once_after += known[w][0] == 1
+    size, types = model.total, c
+    overall = (sum(once.values()) + 0.5) / (size + 1)
+
+    def step(p, w):
+        counts, seen, ones = (lambda x: pair[known[p][1], x], as_first[known[p][1]], once[known[p][1]]) if p in known else (lambda x: after_once[x], sum(after_once.values()), once_after)
+        u = (ones + brown_lm.SMOOTH_UNKNOWN * overall) / (seen + brown_lm.SMOOTH_UNKNOWN)
+        if w not in known:
+            return math.log10(u)
+        n, k = known[w]
+        share = (as_second[k] + 0.5) / (size + 0.5 * types)
+        return math.log10((counts(k) + brown_lm.SMOOTH * share) / (seen + brown_lm.SMOOTH) * (1 - u)) + math.log10(n / as_second[k])
+
+    want = {d: sum(step(p, w) for p, w in zip([end, *coded(t)], coded(t))) for d, t in rows}
+    got = model.scores().collect()
+    assert len(got) == len(want) and all(math.isclose(r.score, want[r.doc_id], rel_tol=1e-9) and math.isclose(r.perplexity, 10 ** (-r.score / r.n_tokens), rel_tol=1e-9) for r in got)
+
+
+def test_exchange_finds_classes(spark):
+    """Sentences of noun, verb, noun: words of a kind end up together."""
+    rng = np.random.default_rng(3)
+    nouns, verbs = [f"n{i}" for i in range(30)], [f"v{i}" for i in range(30)]
+    rows = [(i, " ".join(f"the {rng.choice(nouns)} {rng.choice(verbs)} the {rng.choice(nouns)} ." for _ in range(20))) for i in range(60)]
+    model = brown_lm.Model(brute_docs(spark, rows), n_classes=6, sweeps=10)
+    known = {r["word"]: r["class"] for r in model.word_classes().collect()}
+    hashed = lambda w: int(vec.words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0].view(np.int64)[0])
+    assert not {known[hashed(w)] for w in nouns} & {known[hashed(w)] for w in verbs}
 
 
 def test_top_k(spark):
