@@ -142,6 +142,34 @@ def test_quality_held_out(spark):
     assert np.mean([r.kept for r in good]) > 0.95 and np.mean([r.kept for r in bad]) < 0.3
 
 
+def test_sampling_by_hand(spark):
+    """Ratios from plain counts, keys that are Gumbel numbers above them, the k largest kept, and another seed another sample."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    rows = dict(brute.table("documents", "doc_id, text"))
+    sample = {r.doc_id: (r.quality, r.fold) for r in quality.sample_of(labels).collect()}
+    grams = {}
+    for d, t in rows.items():
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        grams[d] = quality.features(raw, np.array([0, len(raw)]))[0].tolist()
+    raw, target = Counter(g for x in grams.values() for g in x), Counter(g for d, x in grams.items() if d in sample and sample[d][0] == 1 and sample[d][1] > 0 for g in x)
+    b = quality.BUCKETS
+    p = lambda c, total, g: (c[g] + 0.5) / (total + 0.5 * b)
+    n_raw, n_target = raw.total(), target.total()
+    ratio = {g: math.log(p(target, n_target, g)) - math.log(p(raw, n_raw, g)) for g in raw}
+    want = {d: sum(ratio[g] for g in x) for d, x in grams.items()}
+    other = [(want[d], q) for d, (q, fold) in sample.items() if fold == 0 and d in want]
+    cost = lambda cut: sum(quality.REJECT_COST * (r < cut) if q == 1 else r >= cut for r, q in other)
+    got = quality.resample(docs, labels).collect()
+    assert all(math.isclose(r.log_ratio, want[r.doc_id], rel_tol=1e-6, abs_tol=1e-5) for r in got)
+    k = sum(r.kept for r in got)
+    assert {r.doc_id for r in got if r.kept} == {r.doc_id for r in sorted(got, key=lambda r: -r.sample_key)[:k]}
+    assert cost(sorted(want.values())[-k] - 1e-9) == min(cost(r) for r in [-1e18, *(x + 1e-9 for x, _ in other)])
+    noise = [r.sample_key - r.log_ratio for r in got]
+    assert abs(np.mean(noise) - 0.577) < 0.3 and abs(np.std(noise) - 1.283) < 0.3
+    few = [{r.doc_id for r in quality.resample(docs, labels, 60, seed).where("kept").collect()} for seed in (1, 2, 3)]
+    assert all(len(x) == 60 for x in few) and len(set(map(frozenset, few))) > 1
+
+
 def test_quality_edges(spark):
     rows = [(i, t) for i, t in enumerate([None, "", "good words here", "bad bad bad $$$", "good words there", "bad $$$ bad"])] + [(2, "good words here"), (None, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("quality", "kept", "key", "bin")})
@@ -149,7 +177,7 @@ def test_quality_edges(spark):
     got = quality.resample(df, labels).collect()
     assert len(got) == 7
     by = {r.doc_id: r for r in got}
-    assert by[0].log_ratio == by[1].log_ratio == -50 and by[4].log_ratio > by[5].log_ratio
+    assert by[0].log_ratio == by[1].log_ratio == 0 and by[4].log_ratio > by[5].log_ratio
     assert quality.resample(df, labels.limit(0)).where("kept").count() == 7
     assert quality.resample(df.limit(0), labels).count() == 0
     assert quality.kept_documents(df, labels).columns == df.columns
