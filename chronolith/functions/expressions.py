@@ -15,6 +15,29 @@ LEVELS = [
 #: Levels of the other two indices.
 SIGMA_PHI_THRESHOLDS = {"watch": 0.10, "warning": 0.25, "severe": 0.50}
 ROTI_THRESHOLDS = {"watch": 0.5, "warning": 1.0, "severe": 2.0}
+#: What a level means for a sector.
+SECTOR_IMPACTS = {
+    "aviation": {
+        "watch": "Increased positioning noise. Monitor RNP compliance.",
+        "warning": "SBAS outages possible. Increase separation standards.",
+        "severe": "GNSS-based approaches suspended. Use conventional aids.",
+    },
+    "maritime": {
+        "watch": "Reduced GNSS accuracy. Cross-check with LORAN/radar.",
+        "warning": "Position jumps expected. Reduce speed in confined waters.",
+        "severe": "Radar-only navigation recommended.",
+    },
+    "agriculture": {
+        "watch": "Variable tractor guidance accuracy.",
+        "warning": "Precision seeding/spraying degraded. Suspend operations.",
+        "severe": "All RTK operations suspended.",
+    },
+    "surveying": {
+        "watch": "Extended observation times required.",
+        "warning": "Static observations recommended. Suspend kinematic surveys.",
+        "severe": "All GNSS survey operations suspended.",
+    },
+}
 #: Physical bounds of features.
 BOUNDS = {
     "s4": (0.0, 1.0),

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions.expressions import clip, micros
+from chronolith.operators.ordered import quantiles
 
 AGGREGATES = {"mean": F.avg, "max": F.max, "min": F.min, "sum": F.sum, "median": F.median, "count": F.count}
 
@@ -63,9 +64,9 @@ def upsample(df: DataFrame, grid: DataFrame, time: str, column: str, by: list[st
 
 def outliers(df: DataFrame, columns: list[str], by: list[str], k: float = 3.0, replace: str = "nan") -> DataFrame:
     """Values beyond k interquartile ranges from the quartiles of their key are nulled, or with replace="clip" set to the bound."""
-    quartiles = df.groupBy(*by).agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q_{c}") for c in columns])
-    df = df.join(quartiles, by, "left") if by else df.crossJoin(quartiles)  # without a key, one row
     for c in columns:
+        quartiles = quantiles(df, c, by, [0.25, 0.75]).select(*by, F.col("q").alias(f"_q_{c}"))
+        df = df.join(quartiles, by, "left") if by else df.join(F.broadcast(quartiles), how="left")  # without a key, one row
         q = F.col(f"_q_{c}")
         lo, hi = q[0] - k * (q[1] - q[0]), q[1] + k * (q[1] - q[0])
         df = df.withColumn(c, F.when(F.col(c).between(lo, hi), F.col(c)) if replace == "nan" else F.coalesce(clip(F.col(c), lo, hi), F.col(c)))
@@ -80,11 +81,23 @@ def fit_scaler(df: DataFrame, columns: list[str], bounds: Mapping[str, tuple[flo
 
 
 def scale(df: DataFrame, params: DataFrame, columns: list[str], inverse: bool = False) -> DataFrame:
-    """Columns mapped from [lo, hi] to [0, 1] and clipped, or back. params has a row a feature and is read once."""
-    own = {r["feature"]: (r["lo"], r["hi"]) for r in params.where(F.col("feature").isin(columns)).collect()}  # a row a feature
+    """Columns mapped from [lo, hi] to [0, 1] and clipped, or back. params has a row a feature, of which one row is made and broadcast; a column without a feature becomes null."""
+    ends = params.agg(*[F.max(F.when(F.col("feature") == c, F.struct("lo", "hi"))).alias(f"_p_{i}") for i, c in enumerate(columns)])  # one row
 
-    def mapped(c: str) -> Column:
-        lo, hi = own[c]
+    def mapped(i: int, c: str) -> Column:
+        lo, hi = F.col(f"_p_{i}.lo"), F.col(f"_p_{i}.hi")
         return F.col(c) * (hi - lo) + lo if inverse else clip((F.col(c) - lo) / (hi - lo), 0.0, 1.0)
 
-    return df.withColumns({c: mapped(c) for c in columns})
+    return df.crossJoin(F.broadcast(ends)).withColumns({c: mapped(i, c) for i, c in enumerate(columns)}).drop(*[f"_p_{i}" for i in range(len(columns))])
+
+
+SCALER = "feature string, lo double, hi double"
+
+
+def save_scaler(params: DataFrame, path: str) -> None:
+    """The parameters as JSON lines."""
+    params.select("feature", "lo", "hi").coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_scaler(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SCALER).json(path)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.functions.expressions import LEVELS, level_of
-from chronolith.operators.ordered import position
+from chronolith.functions.expressions import LEVELS, SECTOR_IMPACTS, level_of
+from chronolith.operators.ordered import position, quantiles
 
 
 def level_table(thresholds: dict[str, float] | None = None) -> Column:
@@ -35,11 +35,13 @@ def detect(df: DataFrame, value: str, time: str, key: str, minutes: int = 30, le
     A null ends a run, a missing time step doesn't; a run has at least max(1, least_minutes // minutes) rows. Events are
     numbered by key, then the higher threshold, then onset. Without events the table is empty, with the same columns.
     """
-    rows = df.select(key, time, value, F.inline(level_table(thresholds)))
-    order = Window.partitionBy(key, "level").orderBy(time)
-    rows = rows.withColumn("_on", F.coalesce(F.col(value) >= F.col("threshold"), F.lit(False)))
-    rows = rows.withColumn("_island", F.sum(F.when(F.col("_on"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = rows.where("_on").groupBy(key, "level", "threshold", "_island").agg(F.min(time).alias("onset"), F.max(time).alias("end"), F.max(value).alias("peak_s4"), F.avg(value).alias("mean_s4"), F.count("*").alias("n"))
+    at = thresholds or {name: least for name, least, *_ in LEVELS}
+    upto = Window.partitionBy(key).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    on = lambda least: F.coalesce(F.col(value) >= least, F.lit(False))
+    # One window numbers the islands of all levels; rows are only then stacked by level.
+    rows = df.select(key, time, value, *[F.sum(F.when(on(least), 0).otherwise(1)).over(upto).alias(f"_{i}") for i, least in enumerate(at.values())])
+    levels = [F.struct(F.lit(n).alias("level"), F.lit(least).alias("threshold"), F.when(on(least), F.col(f"_{i}")).alias("_island")) for i, (n, least) in enumerate(at.items())]
+    runs = rows.select(key, time, value, F.inline(F.array(*levels))).where("_island is not null").groupBy(key, "level", "threshold", "_island").agg(F.min(time).alias("onset"), F.max(time).alias("end"), F.max(value).alias("peak_s4"), F.avg(value).alias("mean_s4"), F.count("*").alias("n"))
     runs = runs.where(F.col("n") >= max(1, least_minutes // minutes))
     numbered = position(runs, F.col(key), [F.desc("threshold"), F.col("onset")], "event_id")
     return numbered.select("event_id", key, "level", "onset", "end", "peak_s4", "mean_s4", (F.col("n") * minutes).alias("duration_min"), colour_of(F.col("level")).alias("colour"))
@@ -47,7 +49,8 @@ def detect(df: DataFrame, value: str, time: str, key: str, minutes: int = 30, le
 
 def calibrate(df: DataFrame, value: str, least_rows: int = 100) -> DataFrame:
     """One row: watch, warning, severe from the 75th, 90th and 99th percentile, held in their ranges and apart; below least_rows rows .3, .4, .7."""
-    q = df.agg(F.percentile(value, F.array(F.lit(0.75), F.lit(0.9), F.lit(0.99))).alias("q"), F.count("*").alias("n"))
+    n = df.agg(F.count("*").alias("n"))  # one row
+    q = n.join(F.broadcast(quantiles(df, value, [], [0.75, 0.9, 0.99]).select("q")), how="left")
     held = lambda c, lo, hi: F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
     q = q.withColumn("watch", held(F.col("q")[0], 0.15, 0.40)).withColumn("warning", F.greatest(held(F.col("q")[1], 0.30, 0.60), F.col("watch") + 0.05)).withColumn("severe", F.greatest(held(F.col("q")[2], 0.60, 0.95), F.col("warning") + 0.10))
     few = (F.col("n") < least_rows) | F.col("q").isNull()
@@ -85,3 +88,15 @@ def dashboard(stations: DataFrame, forecast: DataFrame, time: str, key: str, val
     s4 = F.coalesce(F.col(value), F.lit(0.0))
     out = stations.join(last, "id", "left").withColumn("s4", s4).withColumn("level", level_of(F.col("s4")))
     return out.select("id", "lat", "lon", "s4", "level", colour_of(F.col("level")).alias("colour"), (12 + 20 * F.col("s4")).alias("radius"))
+
+
+def feature_collections(rows: DataFrame, by: list[str]) -> DataFrame:
+    """map_rows as one FeatureCollection (JSON) for each value of `by`, such as a station or a day: by, n_features, collection. `by` is to bound what one collection holds."""
+    features = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "feature"))), lambda x: x["feature"])
+    return rows.groupBy(*by).agg(F.count("*").alias("n_features"), F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(features, ","), F.lit("]}")).alias("collection"))
+
+
+def impacts(alerts: DataFrame) -> DataFrame:
+    """Alerts with a row for each sector: sector and what the level means there."""
+    table = F.array(*[F.struct(F.lit(s).alias("sector"), F.lit(n).alias("_level"), F.lit(text).alias("impact")) for s, own in SECTOR_IMPACTS.items() for n, text in own.items()])
+    return alerts.select("*", F.inline(table)).where(F.col("_level") == F.lower("level")).drop("_level")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronolith.functions.expressions import haversine_km
+from chronolith.functions.expressions import EARTH_KM, haversine_km
 
 KM_PER_DEGREE = 111.1
 
@@ -17,13 +19,35 @@ def distances(stations: DataFrame) -> DataFrame:
     return pairs.select("src", "dst", haversine_km(F.col("lat_src"), F.col("lon_src"), F.col("lat_dst"), F.col("lon_dst")).alias("dist_km"))
 
 
+def _cells(band: Column, most_km: float, height: float) -> Column:
+    """How many cells of longitude a band has: each at least as wide as a pair at most most_km apart can be, with one end in the band and the other in it or a neighbour."""
+    furthest = F.least(F.greatest(F.abs(band - 1), F.abs(band + 2)) * height, F.lit(90.0))
+    reach = F.sin(F.least(F.lit(most_km / (2 * EARTH_KM)), F.pi() / 2)) / F.greatest(F.cos(F.radians(furthest)), F.lit(1e-9))
+    width = 2 * F.degrees(F.asin(F.least(reach, F.lit(1.0)))) + 1e-9
+    return F.greatest(F.floor(360 / width), F.lit(1))
+
+
 def near(stations: DataFrame, most_km: float) -> DataFrame:
-    """(src, dst, dist_km) of ordered pairs at most most_km apart: an equi-join on bands of latitude, each as high as most_km."""
-    band = F.floor(F.col("lat") * KM_PER_DEGREE / most_km)
+    """(src, dst, dist_km) of ordered pairs at most most_km apart: an equi-join on bands of latitude, each as high as most_km, and cells of longitude within them."""
+    height = most_km / KM_PER_DEGREE
+    band = F.floor(F.col("lat") / height)
+    cell = lambda lon, n: F.pmod(F.floor((lon + 180) / 360 * n), n)
     a = stations.select(F.col("id").alias("src"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    a = a.withColumn("n", _cells(F.col("band"), most_km, height)).withColumn("own", cell(F.col("lon_a"), F.col("n")))
+    a = a.withColumn("cell", F.explode(F.array_distinct(F.array(*[F.pmod(F.col("own") + d, F.col("n")) for d in (-1, 0, 1)])))).drop("n", "own")
     b = stations.select(F.col("id").alias("dst"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), band.alias("band"))
+    b = b.withColumn("cell", cell(F.col("lon_b"), _cells(F.col("band"), most_km, height)))
     d = haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
-    return a.join(b, "band").where("src <> dst").select("src", "dst", d.alias("dist_km")).where(F.col("dist_km") <= most_km)
+    return a.join(b, ["band", "cell"]).where("src <> dst").select("src", "dst", d.alias("dist_km")).where(F.col("dist_km") <= most_km)
+
+
+def closest_km(stations: DataFrame, begin_km: float = 2000.0) -> DataFrame:
+    """One row, dist_km: the least distance of two stations that aren't at one place, looked for in ever wider rings; null if there is none."""
+    while True:
+        least = near(stations, begin_km).where("dist_km > 0").agg(F.min("dist_km").alias("dist_km"))
+        if begin_km > math.pi * EARTH_KM or least.first()["dist_km"] is not None:
+            return least
+        begin_km *= 2
 
 
 def correlations(series: DataFrame, value: str, time: str = "t", key: str = "station_id") -> DataFrame:
@@ -35,13 +59,38 @@ def correlations(series: DataFrame, value: str, time: str = "t", key: str = "sta
     return a.join(b, time).where("src < dst").groupBy("src", "dst").agg(F.coalesce(r, F.lit(0.0)).alias("corr"), F.count("*").alias("n"))
 
 
-def weights(edges: DataFrame, all_pairs: DataFrame, stations: DataFrame, self_loops: bool = True) -> DataFrame:
-    """(src, dst, weight): the inverse distance over the largest of all pairs; stations at one place have none; self loops weigh 1."""
-    top = all_pairs.agg(F.max(F.try_divide(F.lit(1.0), F.col("dist_km"))).alias("top"))  # one row
-    out = edges.crossJoin(F.broadcast(top)).select("src", "dst", F.coalesce(F.try_divide(F.lit(1.0), F.col("dist_km")) / F.col("top"), F.lit(0.0)).alias("weight")).where("weight <> 0")
+def linked(stations: DataFrame, most_km: float, correlated: DataFrame, least: float) -> DataFrame:
+    """(src, dst, dist_km) of ordered pairs that are near, or whose correlation (of correlations()) is at least `least` either way."""
+    pairs = correlated.where(F.abs("corr") >= least).select("src", "dst")
+    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    a, b = (stations.select(F.col("id").alias(n), F.col("lat").alias(f"lat_{n}"), F.col("lon").alias(f"lon_{n}")) for n in ("src", "dst"))
+    far = both.join(a, "src").join(b, "dst").select("src", "dst", haversine_km(F.col("lat_src"), F.col("lon_src"), F.col("lat_dst"), F.col("lon_dst")).alias("dist_km"))
+    return near(stations, most_km).unionByName(far).dropDuplicates(["src", "dst"])
+
+
+def weights(edges: DataFrame, closest: DataFrame, stations: DataFrame, self_loops: bool = True) -> DataFrame:
+    """(src, dst, weight): the inverse distance over that of the closest pair (one row, dist_km); stations at one place have none; self loops weigh 1."""
+    top = closest.select(F.col("dist_km").alias("_least"))
+    out = edges.crossJoin(F.broadcast(top)).select("src", "dst", F.coalesce(F.try_divide(F.col("_least"), F.col("dist_km")), F.lit(0.0)).alias("weight")).where("weight <> 0")
     return out.unionByName(stations.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("weight"))) if self_loops else out
 
 
+META = "most_km double, least_corr double, n_nodes long, n_edges long"
+
+
+def save(edges: DataFrame, stations: DataFrame, folder: str, most_km: float, least_corr: float) -> None:
+    """Edges and stations as Parquet and the settings as JSON below the folder."""
+    edges.write.mode("overwrite").parquet(f"{folder}/edges")
+    stations.write.mode("overwrite").parquet(f"{folder}/stations")
+    spark = edges.sparkSession
+    spark.createDataFrame([(most_km, least_corr, stations.count(), spark.read.parquet(f"{folder}/edges").count())], META).write.mode("overwrite").json(f"{folder}/meta")
+
+
+def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, stations, settings: one row) of save()."""
+    return spark.read.parquet(f"{folder}/edges"), spark.read.parquet(f"{folder}/stations"), spark.read.schema(META).json(f"{folder}/meta")
+
+
 def neighbour_mean(edges: DataFrame, features: DataFrame, value: str, time: str = "t", key: str = "station_id") -> DataFrame:
     """(station, time, mean): the weighted mean of the neighbours' values at each time."""
     msg = edges.join(features.select(F.col(key).alias("src"), time, value).where(F.col(value).isNotNull()), "src")

@@ -32,3 +32,30 @@ def previous(df: DataFrame, bucket: Column, order: list[str], value: str, name:
     inner = Window.partitionBy("_bucket").orderBy(*order)
     out = df.join(carry, "_bucket", "left").withColumn("_prev", F.lag(F.struct(value)).over(inner))
     return out.withColumn(name, F.coalesce("_prev", "_carry")[value]).drop("_bucket", "_carry", "_prev")
+
+
+def quantiles(df: DataFrame, value: str, by: list[str], probabilities: list[float], buckets: int = 256) -> DataFrame:
+    """by, n (rows with a value) and q: the exact quantiles of value, on the line between the two ranks beside.
+
+    Rows are first counted by distinct value; these lie in equal steps between a key's extremes, a window numbers the ranks
+    in a step, and a second one, of at most `buckets` rows a key, carries what came before. No key's values meet in one buffer.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    ends = counted.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("n"))
+    rows = counted.join(ends, by) if by else counted.crossJoin(F.broadcast(ends))  # without a key, one row
+    step = F.least(F.floor(F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * buckets), F.lit(buckets - 1))
+    rows = rows.withColumn("_step", step)
+    upto = F.sum("_n").over(Window.partitionBy(*by, "_step").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    sums = rows.groupBy(*by, "_step").agg(F.sum("_n").alias("_sum"))
+    order = Window.partitionBy(*by).orderBy("_step") if by else Window.orderBy("_step")
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    placed = rows.withColumn("_upto", upto).join(sums, [*by, "_step"]).withColumn("_upto", F.col("_upto") + F.col("_before"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank), F.col("_v")))
+
+    rank = [F.lit(float(p)) * (F.col("n") - 1) for p in probabilities]
+    sides = [x for i, r in enumerate(rank) for x in (at(F.floor(r)).alias(f"_a{i}"), at(F.ceil(r)).alias(f"_b{i}"))]
+    found = placed.groupBy(*by, "n").agg(*sides)
+    part = lambda i: F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (rank[i] - F.floor(rank[i]))
+    return found.select(*by, "n", F.array(*[part(i) for i in range(len(rank))]).alias("q"))

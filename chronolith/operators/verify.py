@@ -10,9 +10,14 @@ from chronolith.operators.ordered import running_total
 EPS = 1e-9
 
 
+def complete(df: DataFrame, truth: str, pred: str) -> DataFrame:
+    """The rows that are verified. What depends on the row before, as the skill does, is taken after this."""
+    return df.where(F.col(truth).isNotNull() & F.col(pred).isNotNull())
+
+
 def regression(df: DataFrame, truth: str, pred: str, by: list[str] | None = None, before: str | None = None) -> DataFrame:
-    """mae, rmse, mbe, r2, and with `before` (the truth of the row before) the skill against it."""
-    own = df.where(F.col(truth).isNotNull() & F.col(pred).isNotNull())
+    """mae, rmse, mbe, r2, and with `before` (the truth of the row before, in complete(df)) the skill against it."""
+    own = complete(df, truth, pred)
     e, n = F.col(pred) - F.col(truth), F.count("*")
     rmse = F.sqrt(F.avg(e * e))
     out = [F.avg(F.abs(e)).alias("mae"), rmse.alias("rmse"), F.avg(e).alias("mbe"), (1 - F.sum(e * e) / (F.var_pop(truth) * n + EPS)).alias("r2"), n.alias("n")]
@@ -25,19 +30,46 @@ def regression(df: DataFrame, truth: str, pred: str, by: list[str] | None = None
 
 
 def contingency(df: DataFrame, truth: str, pred: str, thresholds: Column, by: list[str] | None = None) -> DataFrame:
-    """By level of `thresholds` (an array of (level, threshold)): n_events, f1, precision, recall, pod, far, csi."""
+    """By level of `thresholds` (an array of (level, threshold)): n_events, f1, precision, recall, pod, far, csi; these are null where the truth has no event."""
     by = by or []
     own = df.where(F.col(truth).isNotNull() & F.col(pred).isNotNull()).select(*by, truth, pred, F.inline(thresholds))
     t, p = F.col(truth) >= F.col("threshold"), F.col(pred) >= F.col("threshold")
     c = own.groupBy(*by, "level").agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"), F.count_if(~t & ~p).alias("tn"))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    some = lambda x: F.when(tp + fn > 0, F.coalesce(x, F.lit(0.0)))
     return c.select(
-        *by, "level", (tp + fn).alias("n_events"), zero(F.try_divide(2 * tp, 2 * tp + fp + fn)).alias("f1"), zero(F.try_divide(tp, tp + fp)).alias("precision"), zero(F.try_divide(tp, tp + fn)).alias("recall"),
-        (tp / (tp + fn + EPS)).alias("pod"), (fp / (tp + fp + EPS)).alias("far"), (tp / (tp + fp + fn + EPS)).alias("csi"),
+        *by, "level", (tp + fn).alias("n_events"), some(F.try_divide(2 * tp, 2 * tp + fp + fn)).alias("f1"), some(F.try_divide(tp, tp + fp)).alias("precision"), some(F.try_divide(tp, tp + fn)).alias("recall"),
+        some(tp / (tp + fn + EPS)).alias("pod"), some(fp / (tp + fp + EPS)).alias("far"), some(tp / (tp + fp + fn + EPS)).alias("csi"),
     )
 
 
+def level_aucs(df: DataFrame, truth: str, pred: str, thresholds: Column) -> DataFrame:
+    """(level, auc) of every level in one pass: the running count goes on from level to level, and what came before a level is taken off. Scores lie between -1000 and 1000."""
+    own = complete(df, truth, pred).select(truth, F.col(pred).alias("score"), F.posexplode(thresholds).alias("i", "l")).select(truth, "score", "i", "l.*")
+    own = own.groupBy("i", "level", "score").agg(F.count_if(F.col(truth) >= F.col("threshold")).alias("pos"), F.count_if(F.col(truth) < F.col("threshold")).alias("neg"))
+    below = running_total(own, F.col("i") * 10_000_000 + F.floor(F.col("score") * 1000), [F.col("score")], F.col("neg"), "upto")
+    sums = below.groupBy("level").agg(F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2)).alias("wins"), F.min(F.col("upto") - F.col("neg")).alias("base"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return sums.select("level", F.try_divide(F.col("wins") - F.col("pos") * F.col("base"), (F.col("pos") * F.col("neg")).cast("double")).alias("auc"))
+
+
+def suite(df: DataFrame, truth: str, pred: str, before: str, time: str, by: list[str], thresholds: Column, warning: float, most_steps: int, minutes: int) -> DataFrame:
+    """The whole validation as (section, level, metric, value): regression, events by level with their AUC, lead times, targets (1 where met)."""
+
+    def stacked(row: DataFrame, section: str, metrics: list[str], level: Column | None = None) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+        return row.select(F.lit(section).alias("section"), (F.lit("") if level is None else level).alias("level"), F.inline(pairs))
+
+    metrics = regression(df, truth, pred, before=before)
+    levels = contingency(df, truth, pred, thresholds).join(level_aucs(df, truth, pred, thresholds), "level")
+    leads = lead_times(df, truth, pred, time, by, warning, most_steps, minutes)
+    f1 = levels.agg(*[F.max(F.when(F.col("level") == x, F.col("f1"))).alias(f"f1_{x}") for x in ("warning", "severe")])  # one row
+    targets = compliance(metrics.crossJoin(F.broadcast(f1)))
+    out = stacked(metrics, "regression", ["mae", "rmse", "mbe", "r2", "n", "skill"])
+    out = out.unionByName(stacked(levels, "events", ["n_events", "f1", "precision", "recall", "pod", "far", "csi", "auc"], F.col("level")))
+    out = out.unionByName(stacked(leads, "lead_time", ["mean_lead", "median_lead", "n_leads", "n_events"]))
+    return out.unionByName(targets.select(F.lit("targets").alias("section"), F.lit("").alias("level"), "metric", F.col("passed").cast("double").alias("value")))
+
+
 def auc(df: DataFrame, truth: str, pred: str, threshold: float, bucket: Column | None = None) -> DataFrame:
     """One row: the area under the curve for truth >= threshold, ties counted half; null if a class is missing.
 

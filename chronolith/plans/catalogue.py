@@ -207,6 +207,32 @@ def cumulative_mean_24h(spark, sf):
     return features.rolling_mean(V.geomag(spark, sf), "dst", "t", ["station_id"], ties=["event_id"]).select("event_id", "mean_24h")
 
 
+@query(f"""WITH {V.WIND}, {V.GEO}, {V.AURORA}, {V.OBS}, {V.STATIONS},
+sw0 AS (SELECT event_id, t, bz, v_sw, n_p, CASE WHEN bz < 0 THEN v_sw * -bz ELSE 0 END AS epsilon FROM wind), au AS (SELECT t, max_by(hp_north, event_id) AS hp FROM aur GROUP BY 1),
+sb AS (SELECT s.*, a.t AS at, a.hp FROM sw0 s ASOF LEFT JOIN au a ON s.t >= a.t), sa AS (SELECT s.event_id, a.t AS at, a.hp FROM sw0 s ASOF LEFT JOIN au a ON s.t <= a.t),
+sw1 AS (SELECT b.event_id, b.t, bz, v_sw, n_p, epsilon, CASE WHEN b.at IS NOT NULL AND (a.at IS NULL OR b.t - b.at <= a.at - b.t) THEN CASE WHEN b.t - b.at <= INTERVAL '1 hour' THEN b.hp END WHEN a.at - b.t <= INTERVAL '1 hour' THEN a.hp END AS hp_north FROM sb b JOIN sa a USING (event_id)),
+w AS (SELECT t, max_by(bz, event_id) AS bz, max_by(v_sw, event_id) AS v_sw, max_by(n_p, event_id) AS n_p, max_by(epsilon, event_id) AS epsilon, arg_max_null(hp_north, event_id) AS hp_north FROM sw1 GROUP BY 1), g AS (SELECT t, max_by(dst, event_id) AS dst FROM geo GROUP BY 1),
+d AS (SELECT o.event_id, o.station_id, o.t, (tec - lag(tec) OVER k) / nullif((epoch_us(o.t) - epoch_us(lag(o.t) OVER k)) / 60e6, 0) AS rot, row_number() OVER k AS i, dayofyear(o.t) AS doy, hour(o.t) + minute(o.t) / 60.0::DOUBLE + lon / 15 AS h FROM obs o JOIN stations ON id = station_id WINDOW k AS (PARTITION BY station_id ORDER BY t, event_id)),
+r AS (SELECT *, CASE WHEN count(rot) OVER f >= 3 THEN stddev_samp(rot) OVER f END AS roti FROM d WINDOW f AS (PARTITION BY station_id ORDER BY i ROWS 11 PRECEDING)),
+wb AS (SELECT r.*, w.t AS wt, w.bz, w.v_sw, w.epsilon, w.hp_north FROM r ASOF LEFT JOIN w ON r.t >= w.t), wa AS (SELECT r.event_id, w.t AS wt, w.bz, w.v_sw, w.epsilon, w.hp_north FROM r ASOF LEFT JOIN w ON r.t <= w.t),
+gb AS (SELECT r.event_id, g.t AS gt, g.dst FROM r ASOF LEFT JOIN g ON r.t >= g.t), ga AS (SELECT r.event_id, g.t AS gt, g.dst FROM r ASOF LEFT JOIN g ON r.t <= g.t),
+j AS (SELECT wb.*, wa.wt AS at, wa.bz AS abz, wa.v_sw AS av, wa.epsilon AS ae, wa.hp_north AS ahp, gb.gt AS bgt, gb.dst AS bdst, ga.gt AS agt, ga.dst AS adst,
+CASE WHEN wb.wt IS NOT NULL AND (wa.wt IS NULL OR wb.t - wb.wt <= wa.wt - wb.t) THEN CASE WHEN wb.t - wb.wt <= INTERVAL '30 minutes' THEN 1 END WHEN wa.wt - wb.t <= INTERVAL '30 minutes' THEN 2 END AS pick,
+CASE WHEN gb.gt IS NOT NULL AND (ga.gt IS NULL OR wb.t - gb.gt <= ga.gt - wb.t) THEN CASE WHEN wb.t - gb.gt <= INTERVAL '3 hours' THEN 1 END WHEN ga.gt - wb.t <= INTERVAL '3 hours' THEN 2 END AS gpick FROM wb JOIN wa USING (event_id) JOIN gb USING (event_id) JOIN ga USING (event_id))
+SELECT event_id, station_id, t, round(rot, 6) AS rot, round(roti, 6) AS roti, round(h - 24 * floor(h / 24), 6) AS lt_hour, round(sin(2 * pi() * doy / 365.25), 6) AS sin_doy_1, round(CASE pick WHEN 1 THEN bz WHEN 2 THEN abz END, 6) AS bz, round(CASE pick WHEN 1 THEN v_sw WHEN 2 THEN av END, 6) AS v_sw, round(CASE pick WHEN 1 THEN epsilon WHEN 2 THEN ae END, 6) AS epsilon, round(CASE pick WHEN 1 THEN hp_north WHEN 2 THEN ahp END, 6) AS hp_north, round(CASE gpick WHEN 1 THEN bdst WHEN 2 THEN adst END, 6) AS dst FROM j""")
+def features_step(spark, sf):
+    """Every observation with its rates, harmonics, and the nearest wind (with coupling and aurora) and geomagnetic index."""
+    six, day = 6 * 3_600_000_000, 24 * 3_600_000_000
+    wind = V.wind(spark, sf).drop("station_id")
+    wind = wind.withColumns(X.coupling(F.col("bz"), F.col("v_sw"), F.col("n_p")))
+    wind = asof.asof_join(wind, V.aurora(spark, sf).withColumnRenamed("event_id", "seq"), "t", ["hp_north"], 3_600_000_000, sequence="seq", bucket_us=six)
+    own = features.rate_of_change(V.obs(spark, sf), "tec", "t", ["station_id"], ties=["event_id"])
+    own = features.rolling_std(own, "rot", "t", ["station_id"], ties=["event_id"]).join(V.stations(spark, sf).select(F.col("id").alias("station_id"), "lon"), "station_id")
+    own = own.withColumns(X.harmonics(F.col("t"), F.col("lon"))).select("event_id", "station_id", "t", "rot", "roti", "lt_hour", "sin_doy_1")
+    own = asof.asof_join(own, wind.withColumnRenamed("event_id", "seq"), "t", ["bz", "v_sw", "epsilon", "hp_north"], 30 * 60_000_000, sequence="seq", bucket_us=six)
+    return asof.asof_join(own, V.geomag(spark, sf).withColumnRenamed("event_id", "seq"), "t", ["dst"], 3 * 3_600_000_000, sequence="seq", bucket_us=day)
+
+
 # Graph
 
 _DIST = f"{V.STATIONS}, d AS (SELECT a.id AS src, b.id AS dst, 2 * 6371.0 * asin(sqrt(least(1, sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2))) AS dist_km FROM stations a, stations b WHERE a.id <> b.id)"
@@ -233,7 +259,7 @@ _WEIGHTS = f"{_DIST}, w AS (SELECT src, dst, (1 / dist_km) / (SELECT max(1 / dis
 
 def _weights(spark, sf):
     s = V.stations(spark, sf)
-    return graph.weights(graph.near(s, 2000.0), graph.distances(s), s)
+    return graph.weights(graph.near(s, 2000.0), graph.closest_km(s), s)
 
 
 @query(f"WITH {_WEIGHTS} SELECT src, dst, round(weight, 6) AS weight FROM w")
@@ -251,6 +277,19 @@ def attention_softmax(spark, sf):
     return graph.attention(_weights(spark, sf), "weight").select("src", "dst", "alpha")
 
 
+_LINKED = f"""{V.GRID}, {_DIST}, p AS (SELECT a.station_id AS src, b.station_id AS dst, a.tec AS x, b.tec AS y FROM grid a JOIN grid b ON a.t = b.t AND a.station_id < b.station_id WHERE a.tec IS NOT NULL AND b.tec IS NOT NULL),
+c AS (SELECT src, dst FROM p GROUP BY 1, 2 HAVING abs(coalesce(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 0)) >= 0.05),
+e AS (SELECT src, dst, dist_km FROM d WHERE dist_km <= 2000 OR EXISTS (SELECT 1 FROM c WHERE (c.src = d.src AND c.dst = d.dst) OR (c.src = d.dst AND c.dst = d.src))),
+w AS (SELECT src, dst, (SELECT min(dist_km) FROM d WHERE dist_km > 0) / dist_km AS weight FROM e WHERE dist_km > 0 UNION ALL SELECT id, id, 1.0 FROM stations)"""
+
+
+@query(f"WITH {_LINKED} SELECT src, dst, round(weight, 6) AS weight FROM w")
+def graph_build(spark, sf):
+    """Edges by distance or by correlation, weighted."""
+    s = V.stations(spark, sf)
+    return graph.weights(graph.linked(s, 2000.0, graph.correlations(V.grid(spark, sf), "tec"), 0.05), graph.closest_km(s), s)
+
+
 # Events and alerts
 
 _EVENTS = f"""{V.GRID}, lv AS (SELECT * FROM (VALUES ('severe', 0.7, 'red', 3, 'Suspend critical GNSS-dependent operations. Switch to INS/backup.'), ('warning', 0.4, 'orange', 2, 'Prepare for signal degradation. Check backup positioning.'), ('watch', 0.3, 'yellow', 1, 'Monitor GNSS performance closely.')) v(level, thr, colour, rk, action)),
@@ -291,9 +330,37 @@ def latest_per_station(spark, sf):
     return events.latest(V.grid(spark, sf), "t", "station_id", ["s4", "tec"])
 
 
-@query(f"WITH {_EVENTS}, {V.STATIONS} SELECT event_id, station_id, level, round(coalesce(lon, 0.0), 4) AS lon, round(coalesce(lat, 0.0), 4) AS lat, coalesce(country, '') AS country FROM ev LEFT JOIN stations ON id = station_id AND id < 10")
+_FEATURES = f"""{_EVENTS}, {V.STATIONS}, fr AS (SELECT event_id, station_id, level, round(coalesce(lon, 0.0), 4) AS lon, round(coalesce(lat, 0.0), 4) AS lat, coalesce(country, '') AS country, round(peak_s4, 4) AS peak, duration_min FROM ev LEFT JOIN stations ON id = station_id),
+fj AS (SELECT event_id, station_id, level, lon, lat, country, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || lon || ',' || lat || ']}},"properties":{{"event_id":' || event_id || ',"station_id":' || station_id || ',"level":"' || level || '","country":"' || country || '","peak_s4":' || peak || ',"duration_min":' || duration_min || '}}}}' AS feature FROM fr)"""
+
+
+@query(f"WITH {_FEATURES} SELECT * FROM fj")
 def events_geojson_rows(spark, sf):
-    return events.map_rows(_events(spark, sf), V.stations(spark, sf).where("id < 10"), "station_id").drop("feature")
+    return events.map_rows(_events(spark, sf), V.stations(spark, sf), "station_id")
+
+
+@query(f"""WITH {_FEATURES} SELECT station_id, count(*) AS n_features, '{{"type":"FeatureCollection","features":[' || string_agg(feature, ',' ORDER BY event_id) || ']}}' AS collection FROM fj GROUP BY 1""")
+def events_geojson_collections(spark, sf):
+    return events.feature_collections(events.map_rows(_events(spark, sf), V.stations(spark, sf), "station_id"), ["station_id"])
+
+
+_IMPACTS = ", ".join(f"('{sector}', '{level}', '{text}')" for sector, own in X.SECTOR_IMPACTS.items() for level, text in own.items())
+
+
+@query(f"""WITH {_EVENTS}, act AS (SELECT * FROM ev WHERE "end" >= TIMESTAMP '2024-01-15') SELECT format('EVT-{{:05d}}', event_id) AS code, station_id, upper(act.level) AS level, sector, impact FROM act JOIN (VALUES {_IMPACTS}) v(sector, lv, impact) ON lv = act.level""")
+def sector_impacts(spark, sf):
+    rows = events.alerts(_events(spark, sf), F.expr("TIMESTAMP_NTZ'2024-01-15 00:00:00'"), "station_id")
+    return events.impacts(rows).select("code", "station_id", "level", "sector", "impact")
+
+
+def _case(column: str, at: dict[str, float]) -> str:
+    return "CASE " + " ".join(f"WHEN {column} >= {v} THEN '{n}'" for n, v in sorted(at.items(), key=lambda x: -x[1])) + " ELSE 'quiet' END"
+
+
+@query(f"WITH {V.OBS} SELECT event_id, {_case('s4', X.SIGMA_PHI_THRESHOLDS)} AS phase_level, {_case('tec / 25', X.ROTI_THRESHOLDS)} AS rate_level FROM obs")
+def classify_other_indices(spark, sf):
+    """Levels of the phase and rate indices, for which two columns stand in."""
+    return V.obs(spark, sf).select("event_id", X.level_of(F.col("s4"), X.SIGMA_PHI_THRESHOLDS).alias("phase_level"), X.level_of(F.col("tec") / 25, X.ROTI_THRESHOLDS).alias("rate_level"))
 
 
 @query(f"""WITH {V.GRID}, {V.STATIONS}, l AS (SELECT station_id, max_by(s4, t) FILTER (WHERE s4 IS NOT NULL) AS v FROM grid GROUP BY 1), j AS (SELECT id, lat, lon, coalesce(v, 0) AS s4 FROM stations LEFT JOIN l ON station_id = id)
@@ -314,6 +381,45 @@ def regression_metrics(spark, sf):
     return verify.regression(own, "y_true", "y_pred", before="before")
 
 
+_HOLES = f"{V.PAIRS}, holes AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 2 THEN NULL ELSE y_true END AS y_true, CASE WHEN l_linenumber = 5 THEN NULL ELSE y_pred END AS y_pred FROM pairs)"
+
+
+@query(f"""WITH {_HOLES}, p AS (SELECT *, y_true - lag(y_true) OVER (ORDER BY l_orderkey, l_linenumber, y_true, y_pred) AS d FROM holes WHERE y_true IS NOT NULL AND y_pred IS NOT NULL), m AS (SELECT {_REG}, count(*) AS n, sqrt(avg(d * d)) AS ref FROM p)
+SELECT round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(mbe, 6) AS mbe, round(r2, 6) AS r2, n, round(1 - rmse / (ref + 1e-9), 6) AS skill FROM m""")
+def regression_metrics_missing(spark, sf):
+    """Pairs with missing values: they are left out before the row before is looked for."""
+    line = F.col("l_linenumber")
+    holes = V.pairs(spark, sf).withColumns({"y_true": F.when(line != 2, F.col("y_true")), "y_pred": F.when(line != 5, F.col("y_pred"))})
+    own = ordered.previous(verify.complete(holes, "y_true", "y_pred"), F.floor(F.col("l_orderkey") / 4096), ["l_orderkey", "l_linenumber", "y_true", "y_pred"], "y_true", "before")
+    return verify.regression(own, "y_true", "y_pred", before="before")
+
+
+@query(f"""WITH {V.GRID}, f AS (SELECT station_id, t, s4 AS y_true, lag(s4) OVER (PARTITION BY station_id ORDER BY t) AS y_pred FROM grid), p AS (SELECT *, y_true - lag(y_true) OVER (ORDER BY station_id, t) AS d FROM f WHERE y_true IS NOT NULL AND y_pred IS NOT NULL),
+m AS (SELECT {_REG}, count(*) AS n, sqrt(avg(d * d)) AS ref FROM p), lv AS (SELECT * FROM (VALUES ('watch', 0.3), ('warning', 0.4), ('severe', 0.7), ('beyond', 1.5)) v(level, thr)),
+c AS (SELECT level, count(*) FILTER (WHERE y_true >= thr AND y_pred >= thr) AS tp, count(*) FILTER (WHERE y_true < thr AND y_pred >= thr) AS fp, count(*) FILTER (WHERE y_true >= thr AND y_pred < thr) AS fn FROM p, lv GROUP BY 1),
+r AS (SELECT level, y_true >= thr AS pos, rank() OVER (PARTITION BY level ORDER BY y_pred) + (count(*) OVER (PARTITION BY level, y_pred) - 1) / 2 AS rk FROM p, lv),
+u AS (SELECT level, (sum(rk) FILTER (WHERE pos) - count(*) FILTER (WHERE pos) * (count(*) FILTER (WHERE pos) + 1) / 2) / nullif(count(*) FILTER (WHERE pos) * count(*) FILTER (WHERE NOT pos), 0) AS auc FROM r GROUP BY 1),
+k AS (SELECT level, tp + fn AS n_events, CASE WHEN tp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) END AS f1, CASE WHEN tp + fn > 0 THEN coalesce(tp / nullif(tp + fp, 0), 0) END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS recall, CASE WHEN tp + fn > 0 THEN tp / (tp + fn + 1e-9) END AS pod, CASE WHEN tp + fn > 0 THEN fp / (tp + fp + 1e-9) END AS far, CASE WHEN tp + fn > 0 THEN tp / (tp + fp + fn + 1e-9) END AS csi, auc FROM c JOIN u USING (level)),
+s AS (SELECT station_id, t, coalesce(y_true >= 0.4, false) AS onn, y_pred AS pred, row_number() OVER (PARTITION BY station_id ORDER BY t) AS i FROM f),
+o AS (SELECT a.station_id, a.i FROM s a JOIN s b ON a.station_id = b.station_id AND b.i = a.i - 1 WHERE a.onn AND NOT b.onn),
+l AS (SELECT o.station_id, o.i, max(o.i - q.i) * 60 AS lead FROM o LEFT JOIN s q ON q.station_id = o.station_id AND q.i BETWEEN o.i - 3 AND o.i - 1 AND q.pred >= 0.4 GROUP BY 1, 2),
+g AS (SELECT coalesce(avg(lead), 0) AS mean_lead, coalesce(quantile_cont(lead::DOUBLE, 0.5), 0) AS median_lead, count(lead) AS n_leads, count(*) AS n_events FROM l), z AS (SELECT (SELECT f1 FROM k WHERE level = 'warning') AS w, (SELECT f1 FROM k WHERE level = 'severe') AS v),
+x AS (SELECT 'regression' AS section, '' AS level, unnest(['mae', 'rmse', 'mbe', 'r2', 'n', 'skill']) AS metric, unnest([mae, rmse, mbe, r2, n::DOUBLE, 1 - rmse / (ref + 1e-9)]) AS value FROM m
+UNION ALL SELECT 'events', level, unnest(['n_events', 'f1', 'precision', 'recall', 'pod', 'far', 'csi', 'auc']), unnest([n_events::DOUBLE, f1, precision, recall, pod, far, csi, auc]) FROM k
+UNION ALL SELECT 'lead_time', '', unnest(['mean_lead', 'median_lead', 'n_leads', 'n_events']), unnest([mean_lead, median_lead, n_leads::DOUBLE, n_events::DOUBLE]) FROM g
+UNION ALL SELECT 'targets', '', unnest(['mae', 'rmse', 'f1_warning', 'f1_severe']), unnest([(mae < 0.08)::INT::DOUBLE, (rmse < 0.12)::INT::DOUBLE, (w > 0.85)::INT::DOUBLE, (v > 0.8)::INT::DOUBLE]) FROM m, z)
+SELECT section, level, metric, round(value, 6) AS value FROM x""")
+def validation_suite(spark, sf):
+    """Forecasts of the value an hour before, validated as a whole; one level that the truth never reaches."""
+    from pyspark.sql import Window
+
+    own = V.grid(spark, sf).select("station_id", "t", F.col("s4").alias("y_true"), F.lag("s4").over(Window.partitionBy("station_id").orderBy("t")).alias("y_pred"))
+    day = F.col("station_id") * 1_000_000 + F.unix_date(F.to_date("t"))
+    before = ordered.previous(verify.complete(own, "y_true", "y_pred"), day, ["station_id", "t"], "y_true", "before")
+    levels = events.level_table({"watch": 0.3, "warning": 0.4, "severe": 0.7, "beyond": 1.5})
+    return verify.suite(own.join(before.select("station_id", "t", "before"), ["station_id", "t"], "left"), "y_true", "y_pred", "before", "t", ["station_id"], levels, 0.4, 3, 60)
+
+
 @query(f"""WITH {V.PAIRS}, c AS (SELECT level, count(*) FILTER (WHERE y_true >= thr AND y_pred >= thr) AS tp, count(*) FILTER (WHERE y_true < thr AND y_pred >= thr) AS fp, count(*) FILTER (WHERE y_true >= thr AND y_pred < thr) AS fn FROM pairs, (VALUES ('watch', 0.3), ('warning', 0.4), ('severe', 0.7)) v(level, thr) GROUP BY 1)
 SELECT level, tp + fn AS n_events, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(tp / (tp + fn + 1e-9), 6) AS pod, round(fp / (tp + fp + 1e-9), 6) AS far, round(tp / (tp + fp + fn + 1e-9), 6) AS csi FROM c""")
 def event_metrics(spark, sf):
@@ -444,58 +550,87 @@ def rollout_linear(spark, sf):
 # Sources
 
 
-def _text(spark, *rows: str) -> DataFrame:
-    return spark.createDataFrame([(r,) for r in rows], "body string")
+# Feeds are made up from whole tables, a text a day, and read back; the SQL takes the values from the tables.
 
 
-_MAG = '[["time_tag","bx","by","bz","lon","lat","bt"],["2024-01-01 00:00:00","1","2","-3.5","0","0","5"],["2024-01-01 00:01:00","1","2","-999.9","0","0",null],["2024-01-01 00:02:00","1","2","7.25","0","0","-999.9"]]'
+def _daily(df: DataFrame, body) -> DataFrame:
+    return df.groupBy(F.to_date("t").alias("d")).agg(body.alias("body"))
 
 
-@query(f"""WITH r AS (SELECT unnest(CAST('{_MAG}'::JSON AS JSON[])) AS r), s AS (SELECT json_extract_string(r, '$[0]') AS a, json_extract_string(r, '$[3]') AS b, json_extract_string(r, '$[6]') AS c FROM r)
-SELECT CAST(a AS TIMESTAMP) AS timestamp, CAST(nullif(b, '-999.9') AS DOUBLE) AS bz, CAST(nullif(c, '-999.9') AS DOUBLE) AS bt FROM s WHERE a <> 'time_tag'""")
+@query(f"WITH {V.WIND} SELECT t AS timestamp, round(CASE WHEN event_id % 7 <> 0 THEN bz END, 6) AS bz, round(CASE WHEN event_id % 5 <> 0 THEN v_sw END, 6) AS bt FROM wind")
 def dscovr_json_parse(spark, sf):
-    return parsers.array_mag(_text(spark, _MAG), "body")
+    some = lambda c, every: F.when(F.col("event_id") % every == 0, "-999.9").otherwise(F.col(c).cast("string"))
+    row = F.array(F.col("t").cast("string"), F.lit("1"), F.lit("2"), some("bz", 7), F.lit("0"), F.lit("0"), some("v_sw", 5))
+    head = F.array(F.array(*[F.lit(x) for x in ("time_tag", "bx", "by", "bz", "lon", "lat", "bt")]))
+    return parsers.array_mag(_daily(V.wind(spark, sf), F.to_json(F.concat(head, F.collect_list(row)))), "body")
 
 
-_OBJ = '[{"time_tag":"2024-01-01 00:00:00","bz_gsm":"-1.5","bt":"4"},{"time_tag":"2024-01-01 00:01:00","bt":"x"},{"time_tag":"bad","bt":"1"}]'
+@query(f"WITH {V.WIND} SELECT t AS timestamp, round(CASE WHEN event_id % 5 <> 0 THEN n_p END, 6) AS n_p, round(CASE WHEN event_id % 7 <> 0 THEN v_sw END, 6) AS v_sw, round(CASE WHEN event_id % 3 <> 0 THEN 1000 * n_p END, 6) AS t_p FROM wind")
+def plasma_json_parse(spark, sf):
+    some = lambda c, every, mark: F.when(F.col("event_id") % every == 0, mark).otherwise(c.cast("string"))
+    row = F.array(F.col("t").cast("string"), some(F.col("n_p"), 5, "-9999.9"), some(F.col("v_sw"), 7, "-9999.9"), some(1000 * F.col("n_p"), 3, "-1.00e+05"))
+    head = F.array(F.array(*[F.lit(x) for x in ("time_tag", "density", "speed", "temperature")]))
+    return parsers.array_plasma(_daily(V.wind(spark, sf), F.to_json(F.concat(head, F.collect_list(row)))), "body")
 
 
-@query(f"""WITH r AS (SELECT unnest(CAST('{_OBJ}'::JSON AS JSON[])) AS r)
-SELECT TRY_CAST(r->>'time_tag' AS TIMESTAMP) AS timestamp, TRY_CAST(r->>'bz_gsm' AS DOUBLE) AS bz, TRY_CAST(r->>'bt' AS DOUBLE) AS bt FROM r WHERE TRY_CAST(r->>'time_tag' AS TIMESTAMP) IS NOT NULL""")
+@query(f"WITH {V.WIND} SELECT t AS timestamp, round(CASE WHEN event_id % 7 <> 0 THEN bz END, 6) AS bz, round(CASE WHEN event_id % 5 <> 0 THEN v_sw END, 6) AS bt FROM wind WHERE event_id % 11 <> 0")
 def ace_json_parse(spark, sf):
-    return parsers.object_rows(_text(spark, _OBJ), "body", {"bz": "bz_gsm", "bt": "bt"})
-
-
-_OVATION = '{"coordinates":[[0,0,4],[1,0,6],[2,0],[3,0,11]]}'
+    at = F.when(F.col("event_id") % 11 == 0, "bad").otherwise(F.col("t").cast("string"))
+    row = F.struct(at.alias("time_tag"), F.when(F.col("event_id") % 7 != 0, F.col("bz").cast("string")).alias("bz_gsm"), F.when(F.col("event_id") % 5 == 0, "x").otherwise(F.col("v_sw").cast("string")).alias("bt"))
+    return parsers.object_rows(_daily(V.wind(spark, sf), F.to_json(F.collect_list(row))), "body", {"bz": "bz_gsm", "bt": "bt"})
 
 
-@query(f"WITH c AS (SELECT unnest(CAST('{_OVATION}'::JSON->'coordinates' AS DOUBLE[][])) AS c) SELECT round(avg(c[3]), 6) AS hp_north, round(0.9 * avg(c[3]), 6) AS hp_south FROM c WHERE len(c) >= 3")
+@query(f"WITH {V.AURORA} SELECT round(avg(hp_north) FILTER (WHERE event_id % 3 <> 0), 6) AS hp_north, round(0.9 * avg(hp_north) FILTER (WHERE event_id % 3 <> 0), 6) AS hp_south FROM aur GROUP BY CAST(t AS DATE)")
 def aurora_json_mean(spark, sf):
-    return parsers.hemispheric_power(_text(spark, _OVATION), "body")
+    row = F.when(F.col("event_id") % 3 == 0, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.array(F.lit(0.0), F.lit(0.0), F.col("hp_north")))
+    return parsers.hemispheric_power(_daily(V.aurora(spark, sf), F.to_json(F.struct(F.collect_list(row).alias("coordinates")))), "body")
 
 
-_KP = ["# comment", "2024 01 01 27 30 33 10 0 7 20 13", "2024 01 02 1 2 x 4 5 6 7 8", "2024 01 09 1 2 3 4 5 6 7 8", "2024 01 03 1"]
+# A day has a line for each of two halves of the stations, so dates repeat; counts that end in 3 are unreadable.
+_BINS = "c AS (SELECT CAST(t AS DATE) AS d, station_id % 2 AS half, i, count(*) FILTER (WHERE hour(t) // {w} = i) AS n FROM obs, (SELECT unnest(range(0, {k})) AS i) GROUP BY 1, 2, 3), b AS (SELECT d, half, min(i) FILTER (WHERE n % 10 = 3) AS bad FROM c GROUP BY 1, 2)"
 
 
-@query(f"""WITH l AS (SELECT string_split_regex(trim(unnest([{', '.join(repr(x) for x in _KP)}])), '\\s+') AS f), d AS (SELECT f, make_date(f[1]::INT, f[2]::INT, f[3]::INT) AS day FROM (SELECT f FROM l WHERE f[1] <> '#' AND len(f) >= 11)), u AS (SELECT day, i, f[3 + i] AS v, f FROM d, (SELECT unnest(range(1, 9)) AS i) WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-05')
-SELECT CAST(day AS TIMESTAMP) + to_hours(3 * (i - 1)) AS timestamp, round(TRY_CAST(v AS DOUBLE) / 10, 6) AS kp FROM u WHERE i < coalesce((SELECT min(j) FROM (SELECT unnest(range(1, 9)) AS j) WHERE TRY_CAST(f[3 + j] AS INT) IS NULL), 9)""")
-def kp_text_parse(spark, sf):
-    return parsers.kp_lines(_text(spark, *_KP), "body", "2024-01-01", "2024-01-05")
+def _line(spark, sf, width: int, head: str, count) -> DataFrame:
+    at = F.floor(F.hour("t") / width)
+    counts = F.array_join(F.array(*[count(F.count_if(at == i)) for i in range(24 // width)]), " ")
+    return V.obs(spark, sf).groupBy(F.to_date("t").alias("d"), (F.col("station_id") % 2).alias("half")).agg(counts.alias("v")).select("d", F.concat_ws(" ", F.date_format("d", head), "v").alias("line"))
 
 
-_DST = "<html><pre class=x>\nDst Jan 1 2024 " + " ".join(str(-5 * i) if i != 7 else "9999" for i in range(24)) + "\nDst Feb 3 2024 " + " ".join(str(i) for i in range(24)) + "\nDst Mar 4 2024 1 2 3\n</pre></html>"
+@query(f"WITH {V.OBS}, {_BINS.format(w=3, k=8)} SELECT CAST(d AS TIMESTAMP) + to_hours(CAST(3 * i AS INTEGER)) AS timestamp, round(n / 10, 6) AS kp FROM c JOIN b USING (d, half) WHERE (bad IS NULL OR i < bad) AND d BETWEEN DATE '2024-01-05' AND DATE '2024-01-25'")
+def kp_text_parse(spark, sf):
+    count = lambda n: F.when(n % 10 == 3, "x").otherwise(n.cast("string"))
+    lines = _line(spark, sf, 3, "yyyy MM dd", count)
+    notes = lines.select("d", F.lit("# a comment of more than eleven words that is no line of values at all").alias("line"))
+    return parsers.kp_lines(lines.unionByName(notes), "line", "2024-01-05", "2024-01-25")
 
 
-@query("SELECT TIMESTAMP '2024-01-01' + to_hours(i) AS timestamp, CASE WHEN i <> 7 THEN CAST(-5 * i AS DOUBLE) END AS dst FROM (SELECT CAST(unnest(range(0, 24)) AS INTEGER) AS i) UNION ALL SELECT TIMESTAMP '2024-02-03' + to_hours(i), CAST(i AS DOUBLE) FROM (SELECT CAST(unnest(range(0, 24)) AS INTEGER) AS i)")
+@query(f"WITH {V.OBS}, {_BINS.format(w=1, k=24)} SELECT CAST(d AS TIMESTAMP) + to_hours(CAST(i AS INTEGER)) AS timestamp, CASE WHEN n > 0 THEN CAST(-n AS DOUBLE) END AS dst FROM c JOIN b USING (d, half) WHERE bad IS NULL")
 def dst_html_parse(spark, sf):
-    return parsers.dst_block(_text(spark, _DST), "body")
-
-
-@query(f"""WITH {V.MAPS}, o AS (SELECT *, 0 AS new FROM maps WHERE lat % 3 <> 0), n AS (SELECT lat, lon, epoch, tec + 1 AS tec, 1 AS new FROM maps WHERE lat % 2 = 0), u AS (SELECT * FROM o UNION ALL SELECT * FROM n)
-SELECT lat, lon, epoch, round(arg_min(tec, new), 6) AS tec FROM u GROUP BY 1, 2, 3""")
+    count = lambda n: F.when(n % 10 == 3, "1.5").when(n == 0, "9999").otherwise((-n).cast("string"))
+    lines = _line(spark, sf, 1, "'Dst' MMM d yyyy", count)
+    # A page a week, a block a line, and lines outside of any block.
+    pages = lines.groupBy(F.date_trunc("week", "d").alias("w")).agg(F.concat(F.lit("<html>Dst Jan 1 2000 1 2"), F.array_join(F.collect_list(F.concat(F.lit("<PRE class=x>\nhead\n"), "line", F.lit("\n</PRE>"))), "\n"), F.lit("</html>")).alias("page"))
+    return parsers.dst_block(pages, "page")
+
+
+# Twelve stations as three latitudes by four longitudes of a map a day; no count is a missing value.
+@query(f"WITH {V.OBS}, c AS (SELECT CAST(t AS DATE) AS d, s, count(*) FILTER (WHERE station_id = s) AS n FROM obs, (SELECT unnest(range(0, 12)) AS s) GROUP BY 1, 2) SELECT CAST(d AS TIMESTAMP) AS epoch, CAST(20 - 20 * (s // 4) AS DOUBLE) AS lat, CAST(-30 + 30 * (s % 4) AS DOUBLE) AS lon, CASE WHEN n > 0 THEN round(n / 10, 6) END AS tec FROM c")
+def ionex_maps(spark, sf):
+    tagged = lambda text, tag: F.concat(F.rpad(text, 60, " "), F.lit(tag))
+    n = lambda s: F.lpad(F.when(F.count_if(F.col("station_id") == s) == 0, F.lit(9999)).otherwise(F.count_if(F.col("station_id") == s)).cast("string"), 5, " ")
+    lines = [tagged(F.lit("    -1"), "EXPONENT"), tagged(F.lit("     1"), "START OF TEC MAP"), tagged(F.date_format(F.first("d"), "  yyyy     M     d     0     0     0"), "EPOCH OF CURRENT MAP")]
+    for i, lat in enumerate((20.0, 0.0, -20.0)):
+        lines += [tagged(F.lit(f"  {lat:6.1f}{-30.0:6.1f}{60.0:6.1f}{30.0:6.1f}{450.0:6.1f}"), "LAT/LON1/LON2/DLON/H"), F.concat(*[n(4 * i + j) for j in range(4)])]
+    lines.append(tagged(F.lit("     1"), "END OF TEC MAP"))
+    files = V.obs(spark, sf).withColumn("d", F.to_date("t")).groupBy(F.col("d").alias("day")).agg(F.concat_ws("\n", *lines).alias("file"))
+    return parsers.ionosphere_maps(files, "file")
+
+
+@query(f"""WITH {V.MAPS}, u AS (SELECT *, 0 AS new FROM maps UNION ALL SELECT lat, lon + 3, epoch, tec + 1, 1 FROM maps) SELECT lat, lon, epoch, round(arg_min(tec, new), 6) AS tec FROM u GROUP BY 1, 2, 3""")
 def merge_dedupe_keep_first(spark, sf):
+    """All maps, and the same moved by three, of which some meet others' keys."""
     maps = V.maps(spark, sf)
-    return tables.merge_first(maps.where("lat % 3 <> 0"), maps.where("lat % 2 = 0").withColumn("tec", F.col("tec") + 1), ["lat", "lon", "epoch"], ["tec"])
+    return tables.merge_first(maps, maps.withColumns({"lon": F.col("lon") + 3, "tec": F.col("tec") + 1}), ["lat", "lon", "epoch"], ["tec"])
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")

@@ -48,21 +48,24 @@ def kp_lines(df: DataFrame, line: str, first: str, last: str) -> DataFrame:
     """timestamp, kp: eight values of tenths a day, of days between first and last; comments and lines of under 11 fields are none."""
     f = df.select(F.split(F.trim(line), r"\s+").alias("f")).where(~F.get("f", F.lit(0)).startswith("#") & (F.size("f") >= 11))
     day = F.concat_ws("-", F.get("f", F.lit(0)), F.get("f", F.lit(1)), F.get("f", F.lit(2))).try_cast("date")
-    rows = f.select(day.alias("d"), F.posexplode(F.slice("f", 4, 8)).alias("i", "v")).where(F.col("d").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
     # The values before a bad one stay, as a line is read from left to right.
-    good = rows.groupBy("d").agg(F.min(F.when(F.col("v").try_cast("int").isNull(), F.col("i"))).alias("bad"))
-    rows = rows.join(good, "d").where("bad is null or i < bad")
-    return rows.select((F.col("d").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("i") * 3)).alias("timestamp"), (F.col("v").cast("int") / 10).alias("kp"))
+    values = F.transform(F.slice("f", 4, 8), lambda x: x.try_cast("int"))
+    bad = F.array_position(F.transform(values, lambda x: x.isNull()), F.lit(True))  # 0: none
+    good = F.when(bad == 0, values).otherwise(F.slice(values, F.lit(1), F.greatest(bad - 1, F.lit(0)).cast("int")))
+    rows = f.select(day.alias("d"), F.posexplode(good).alias("i", "v")).where(F.col("d").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    return rows.select((F.col("d").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("i") * 3)).alias("timestamp"), (F.col("v") / 10).alias("kp"))
 
 
 def dst_block(df: DataFrame, html: str) -> DataFrame:
-    """timestamp, dst: lines `Dst Mon D YYYY` and 24 hourly values within <pre>; 9999 is missing."""
-    lines = df.select(F.explode(F.split(F.regexp_extract(html, r"(?s)<pre[^>]*>(.*?)</pre>", 1), "\n")).alias("line"))
+    """timestamp, dst: lines `Dst Mon D YYYY` and 24 hourly values within <pre>, of which a page may have several; 9999 is missing, and a line with anything but whole numbers is none."""
+    blocks = F.regexp_extract_all(html, F.lit(r"(?is)<pre[^>]*>(.*?)</pre>"), F.lit(1))
+    lines = df.select(F.explode(blocks).alias("block")).select(F.explode(F.split("block", "\n")).alias("line"))
     f = lines.select(F.split(F.trim("line"), r"\s+").alias("f")).where((F.get("f", F.lit(0)) == "Dst") & (F.size("f") >= 28))
     month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.get("f", F.lit(1)))
     day = F.try_make_timestamp_ntz(F.get("f", F.lit(3)).try_cast("int"), month.cast("int"), F.get("f", F.lit(2)).try_cast("int"), F.lit(0), F.lit(0), F.lit(0)) if hasattr(F, "try_make_timestamp_ntz") else F.concat_ws("-", F.get("f", F.lit(3)), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.get("f", F.lit(2)), 2, "0")).try_cast("timestamp_ntz")
-    rows = f.select(day.alias("d"), F.posexplode(F.slice("f", 5, 24)).alias("i", "v")).where("d is not null")
-    return rows.select((F.col("d") + F.make_dt_interval(F.lit(0), F.col("i"))).alias("timestamp"), F.nullif(F.col("v").try_cast("double"), F.lit(9999.0)).alias("dst"))
+    values = F.transform(F.slice("f", 5, 24), lambda x: x.try_cast("int"))
+    rows = f.select(day.alias("d"), values.alias("values")).where(F.col("d").isNotNull() & ~F.exists("values", lambda x: x.isNull())).select("d", F.posexplode("values").alias("i", "v"))
+    return rows.select((F.col("d") + F.make_dt_interval(F.lit(0), F.col("i"))).alias("timestamp"), F.nullif(F.col("v").cast("double"), F.lit(9999.0)).alias("dst"))
 
 
 def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

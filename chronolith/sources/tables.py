@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -9,10 +10,12 @@ from pyspark.sql.types import StructType
 
 def read_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """The Parquet table at path with this schema, or an empty one if nothing is there."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+    try:
         return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def latest_csv(spark: SparkSession, folder: str, schema: str) -> DataFrame:

@@ -187,3 +187,91 @@ def test_streams(spark, tmp_path):
     q = series.resample_stream(source, "t", "30 minutes", "k", "v").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.peak for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [0.5, 0.8]
+
+
+def test_kp_lines_are_read_one_by_one(spark):
+    lines = ["2024 01 02 1 2 x 4 5 6 7 8", "2024 01 02 10 20 30 40 50 60 70 80", "2024 01 03 x 2 3 4 5 6 7 8"]
+    rows = parsers.kp_lines(spark.createDataFrame([(x,) for x in lines], "body string"), "body", "2024-01-01", "2024-01-05").collect()
+    assert len(rows) == 10 and sorted(r.kp for r in rows) == [0.1, 0.2, 1, 2, 3, 4, 5, 6, 7, 8]
+
+
+def test_dst_blocks(spark):
+    good, bad = " ".join(map(str, range(24))), " ".join(["1.5", *map(str, range(23))])
+    page = f"<PRE>\nDst Jan 1 2024 {good}\nDst Jan 2 2024 {bad}\n</PRE> Dst Jan 3 2024 {good}\n<pre id=2>Dst Feb 30 2024 {good}\nDst Jan 4 2024 {good.replace('7', '9999', 1)}</pre>"
+    rows = parsers.dst_block(spark.createDataFrame([(page,)], "body string"), "body").collect()
+    assert len(rows) == 48 and {r.timestamp.day for r in rows} == {1, 4} and sum(r.dst is None for r in rows) == 1
+
+
+def test_skill_is_masked_first(spark):
+    df = spark.createDataFrame([(i, t, 0.9 * i) for i, t in enumerate([1.0, N, 3.0, 4.0])], "i long, y double, p double")
+    own = df.select("*", F.lit(0).alias("b"))
+    from chronolith.operators import ordered
+
+    before = ordered.previous(verify.complete(own, "y", "p"), F.col("b"), ["i"], "y", "before")
+    got = verify.regression(before, "y", "p", before="before").first()
+    e = [0 - 1.0, 1.8 - 3, 2.7 - 4]
+    assert abs(got.skill - (1 - (sum(x * x for x in e) / 3) ** 0.5 / ((4 + 1) / 2) ** 0.5)) < 1e-6
+
+
+def test_levels_without_events(spark):
+    df = spark.createDataFrame([(0.5, 0.5), (0.2, 0.6)], "y double, p double")
+    rows = {r.level: r for r in verify.contingency(df, "y", "p", events.level_table()).collect()}
+    assert rows["severe"].n_events == 0 and rows["severe"].f1 is None and rows["watch"].recall == 1
+
+
+def test_quantiles(spark):
+    from chronolith.operators import ordered
+
+    rows = [(k, float(v)) for k in (1, 2) for v in [3, 3, 3, -1, 10, 7.5, *range(k * 40)]] + [(3, 5.0), (4, N)]
+    df = spark.createDataFrame(rows, "k long, v double")
+    got = {r.k: r.q for r in ordered.quantiles(df, "v", ["k"], [0.0, 0.25, 0.5, 0.9, 1.0], buckets=7).collect()}
+    want = {r.k: r.q for r in df.where("v is not null").groupBy("k").agg(F.percentile("v", F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.9, 1.0)])).alias("q")).collect()}
+    assert set(got) == {1, 2, 3} and all(abs(a - b) < 1e-9 for k in got for a, b in zip(got[k], want[k]))
+    assert ordered.quantiles(df.limit(0), "v", [], [0.5]).count() == 0
+
+
+def test_near_everywhere(spark):
+    import math
+    import random
+
+    rng = random.Random(2)
+    places = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(300)] + [(400, 89.9, 0.0), (401, 89.9, 180.0), (402, 0.0, 179.9), (403, 0.0, -179.9), (404, 0.0, 179.9)]
+
+    def km(a, b):
+        (p, q), (r, s) = ((math.radians(x) for x in y[1:]) for y in (a, b))
+        return 2 * X.EARTH_KM * math.asin(math.sqrt(min(1, math.sin((r - p) / 2) ** 2 + math.cos(p) * math.cos(r) * math.sin((s - q) / 2) ** 2)))
+
+    df = spark.createDataFrame(places, "id long, lat double, lon double")
+    for most in (300.0, 1500.0, 9000.0):
+        got = [(r.src, r.dst) for r in graph.near(df, most).collect()]
+        assert len(got) == len(set(got)) and set(got) == {(a[0], b[0]) for a in places for b in places if a[0] != b[0] and km(a, b) <= most}
+    want = min(km(a, b) for a in places for b in places if km(a, b) > 0)
+    assert abs(graph.closest_km(df, 1.0).first().dist_km - want) < 1e-6
+    assert graph.closest_km(df.limit(1)).first().dist_km is None
+
+
+def test_saved_graph_and_scaler(spark, tmp_path):
+    s = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 1.0), (3, 50.0, 50.0)], "id long, lat double, lon double")
+    c = spark.createDataFrame([(1, 3, -0.9, 5), (2, 3, 0.1, 5)], "src long, dst long, corr double, n long")
+    edges = graph.linked(s, 500.0, c, 0.7)
+    assert {(r.src, r.dst) for r in edges.collect()} == {(1, 2), (2, 1), (1, 3), (3, 1)}
+    graph.save(edges, s, f"file://{tmp_path}/g", 500.0, 0.7)
+    back, nodes, meta = graph.load(spark, f"file://{tmp_path}/g")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, edges.collect())) and nodes.count() == 3
+    assert tuple(meta.select("most_km", "least_corr", "n_nodes", "n_edges").first()) == (500.0, 0.7, 3, 4)
+    params = clean.fit_scaler(frame(spark, [1.0, 5.0]), ["v"])
+    clean.save_scaler(params, f"file://{tmp_path}/s")
+    assert clean.load_scaler(spark, f"file://{tmp_path}/s").collect() == params.collect()
+
+
+def test_sinks(spark, tmp_path):
+    from chronolith.sources import sinks
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "k long, v string")
+    sinks.write_layer(df, f"file://{tmp_path}/layer", "k")
+    assert sorted((r.k, r.v) for r in spark.read.parquet(f"file://{tmp_path}/layer").collect()) == [(1, "a"), (2, "b"), (2, "c")]
+    assert tables.read_or_empty(spark, f"file://{tmp_path}/layer/k=2", "v string").count() == 2 and tables.read_or_empty(spark, f"file://{tmp_path}/none", "v string").count() == 0
+    for _ in range(2):
+        sinks.append_csv(df, f"file://{tmp_path}/history")
+        sinks.write_json(df, f"file://{tmp_path}/latest")
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/history").count() == 6 and spark.read.json(f"file://{tmp_path}/latest").count() == 3
