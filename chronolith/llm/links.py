@@ -1,9 +1,11 @@
 """Connected groups from candidate cells, without all pairs of a cell.
 
-A cell is a set of nodes any two of which may be linked. Linking runs in two rounds. First every node of a cell is
-compared with one pivot of it. What that has joined into one component needs no more comparisons among itself; cells that
-still hold several components are compared across these, in tiles of bounded size, so that no link between components is
-lost. Linked copies of one text cost one comparison each, whatever the size of their group.
+A cell is a set of nodes any two of which may be linked. Cells of TILE nodes at most are compared whole, in tasks that keep
+track of what is connected already, so that a group of linked copies costs about one comparison each; cells that have their
+least node in common are in one task. Larger cells are first compared with one pivot, in parts; what is in the pivot's
+component by then needs no more comparisons with it, and the rest of the cell is compared with all of it in tiles of bounded
+size, so that no link between components is lost. Comparing gives links that span what it has connected, no more of them
+than nodes.
 """
 
 from __future__ import annotations
@@ -102,8 +104,11 @@ def _cells(gap: float):
         names = _names(nodes, starts, size)
         keep = np.zeros(len(starts), bool)
         keep[np.unique(names, return_index=True)[1]] = True
-        on = np.repeat(keep & (size > 1), size)
-        return pa.table({"cell": np.repeat(names, size)[on].view(np.int64), "node": nodes[on].view(np.int64), "size": sizes[on].astype(np.int64)})
+        keep &= size > 1
+        on = np.repeat(keep, size)
+        each = lambda x: np.repeat(x[keep], size[keep])
+        lead = np.minimum.reduceat(nodes, starts) if len(starts) else nodes
+        return pa.table({"cell": each(names).view(np.int64), "node": nodes[on].view(np.int64), "size": sizes[on].astype(np.int64), "lead": each(lead).view(np.int64), "members": each(size).astype(np.int64)})
 
     return run
 
@@ -116,8 +121,11 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array((bucket << 32 | keys.astype(np.int64)), pa.int64()), pa.array(nodes.view(np.int64)), pa.array(sizes.astype(np.int64))], ["cell", "node", "size"])
 
 
+CELLS = "cell long, node long, size long, lead long, members long"
+
+
 def cells(packed: DataFrame, gap: float) -> DataFrame:
-    """(cell long, node long, size long) of the keys that two nodes or more share, from a table of PACKED, written.
+    """Rows of CELLS from a table of PACKED, written: the keys that two nodes or more share, with the least node and the number of nodes; cells of the same nodes are one.
 
     gap: linked nodes' sizes, the smaller by the larger, are at least this, so a cell is cut where neighbours in the order
     of sizes are further apart. Buckets of more than MOST entries (a key that a large share of all rows has) don't become
@@ -126,12 +134,12 @@ def cells(packed: DataFrame, gap: float) -> DataFrame:
     big = shared.written(packed.groupBy("bucket").agg(F.sum(F.octet_length("keys")).alias("n")).where(F.col("n") > 4 * MOST).select("bucket"), "big")
     few = big.head(1)
     grouped = packed.join(F.broadcast(big) if big.count() <= shared.BROADCAST_ROWS else big, "bucket", "left_anti") if few else packed
-    out = grouped.groupBy("bucket").applyInArrow(_cells(gap), "cell long, node long, size long")
+    out = grouped.groupBy("bucket").applyInArrow(_cells(gap), CELLS)
     if few:
         rows = shared.written(shared.semi(packed, big, "bucket").mapInArrow(_unpacked, "cell long, node long, size long").distinct(), "entries")
-        common = shared.written(rows.groupBy("cell").count().where("count > 1").select("cell"), "common")
-        out = out.unionByName(shared.semi(rows, common, "cell"))
-    return shared.written(out, "cells")
+        common = rows.groupBy("cell").agg(F.min("node").alias("lead"), F.count("*").alias("members")).where("members > 1")
+        out = out.unionByName(rows.join(shared.written(common, "common"), "cell"))
+    return shared.written(out.distinct(), "cells")
 
 
 #: Counters of the sketch of key frequencies: about one for every 16 bytes of text, within these bounds.
@@ -184,44 +192,54 @@ def sketch(rows: DataFrame, size: int) -> np.ndarray:
     return out.ravel()
 
 
-def link(cells: DataFrame, fits: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], prune: Callable[[DataFrame], DataFrame], band: Column | None = None) -> DataFrame:
+def link(cells: DataFrame, facts: DataFrame, compare: Callable[[pa.Table], pa.Table], buckets: int, band: Column | None = None) -> DataFrame:
     """(node, comp) of the nodes that have a link.
 
-    cells: (cell, node, size), written. The pivot of a cell is its member that shares the most cells with others: what a
-    group of edited copies has in common lies nearest to it. fits: a cheap condition on the sizes of structs x and y that
-    every linked pair meets. verify: (a, b) -> the linked ones. prune: (tile, node, comp, size, query) -> pairs (a, b) of
-    different comp within a tile that may be linked. band: a whole number of a node's size that differs by one at most
-    between linked nodes; a cell is then compared band by band.
+    cells: rows of CELLS, written. facts: (node, ...), what compare reads of a node, written. compare: a table of tile,
+    node, comp, size, query and the facts -> links (a, b), see spanning(). band: a whole number of a node's size that differs
+    by one at most between linked nodes; a large cell is then compared band by band.
     """
-    per_cell = cells.groupBy("cell").agg(F.count("*").alias("members"))
-    score = cells.join(per_cell, "cell").groupBy("node").agg(F.sum("members").alias("weight"))
-    known = shared.written(cells.join(score, "node"), "members")
-    top = F.max(F.struct("weight", "node", "size"))
-    pivot = shared.written(known.groupBy("cell").agg(top.alias("y"), F.count("*").alias("members")), "pivots")
-    star = known.withColumn("x", F.struct("node", "size")).join(pivot, "cell").where("x.node <> y.node").where(fits("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    star = shared.written(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
-    comp = components(verify(star))
-    # The pivot has met every member, so it has no part in the second round, and cells of two nodes are done.
-    middle = pivot.where("members > 2").select("cell", F.col("y.node").alias("node")).join(comp, "node", "left").select("cell", F.col("node").alias("pivot"), F.coalesce("comp", "node").alias("main"))
-    marked = known.join(comp, "node", "left").select("cell", "node", "size", F.coalesce("comp", "node").alias("comp")).join(middle, "cell").where("node <> pivot")
-    marked = marked.select("cell", "node", "size", "comp", (F.col("comp") != F.col("main")).alias("minor"))
+
+    def linked(tiles: DataFrame, deal: Column) -> DataFrame:
+        own = tiles.join(facts, "node").withColumn("deal", F.pmod(F.xxhash64(deal), F.lit(buckets)))
+        return shared.written(own.groupBy("deal").applyInArrow(compare, "a long, b long"), "links")
+
+    columns = ["tile", "node", "comp", "size", "query"]
+    small = cells.where(F.col("members") <= TILE).select(F.col("cell").alias("tile"), "node", F.col("node").alias("comp"), "size", F.lit(BOTH).alias("query"), "lead")
+    found = linked(small, F.col("lead"))
+    large = shared.written(cells.where(F.col("members") > TILE).select("cell", "node", "size", F.ceil(F.col("members") / TILE).alias("parts")), "large")
+    if not large.head(1):
+        return components(found)
+    # The pivot is the member that shares the most large cells: what a group of edited copies has in common lies nearest to it.
+    weight = large.groupBy("node").agg(F.count("*").alias("weight"))
+    pivot = large.join(weight, "node").groupBy("cell", "parts").agg(F.max(F.struct("weight", "node", "size")).alias("y"))
+    pivot = shared.written(pivot.select("cell", "parts", "y.node", "y.size"), "pivots")
+    part = lambda c: F.xxhash64("cell", c)
+    star = large.withColumn("part", F.pmod(F.xxhash64("node"), "parts")).withColumn("query", F.lit(MEMBER))
+    star = star.unionByName(pivot.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("query", F.lit(QUERY)))
+    star = star.select(part("part").alias("tile"), "node", F.col("node").alias("comp"), "size", "query")
+    near = linked(star, F.col("tile"))
+    comp = components(found.unionByName(near))
+    named = lambda t: t.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    # The pivot has met every member, so it has no part in what follows. Who isn't in its component asks.
+    middle = named(pivot.select("cell", "node")).select("cell", F.col("node").alias("pivot"), F.col("comp").alias("main"))
+    marked = named(large).join(middle, "cell").where("node <> pivot").select("cell", "node", "size", "comp", (F.col("comp") != F.col("main")).alias("minor"))
     several = marked.where("minor").select("cell").distinct()
     marked = shared.written(marked.join(several, "cell").withColumn("band", F.lit(0) if band is None else band), "several")
-    shared.spent(known, pivot, star)
     asking = marked.where("minor") if band is None else marked.where("minor").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     sizes = asking.groupBy("cell", "band").agg(F.count("*").alias("asking")).join(marked.groupBy("cell", "band").agg(F.count("*").alias("members")), ["cell", "band"])
     sizes = shared.written(sizes.select("cell", "band", F.ceil(F.col("asking") / TILE).alias("rows"), F.ceil(F.col("members") / TILE).alias("parts")), "sizes")
-    # Tile (i, j) of a cell and band holds part i of the minor members that may be linked to the band, those outside the
-    # pivot's component, and part j of its members: every minor meets every member once, and a tile has at most about 2 TILE rows.
+    # Tile (i, j) of a cell and band holds part i of those that ask and may be linked to the band, and part j of the band's
+    # members: every one that asks meets every member once, and a tile has at most about 2 TILE rows.
     last = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
-    member = marked.join(sizes, ["cell", "band"]).withColumn("tile_j", F.pmod(F.xxhash64("node"), "parts")).withColumn("tile_i", F.explode(last("rows"))).withColumn("query", F.lit(False))
-    query = asking.join(sizes, ["cell", "band"]).withColumn("tile_i", F.pmod(F.xxhash64(F.lit(1), F.col("node")), "rows")).withColumn("tile_j", F.explode(last("parts"))).withColumn("query", F.lit(True))
-    tiles = member.unionByName(query).select(F.xxhash64("cell", "band", "tile_i", "tile_j").alias("tile"), "node", "comp", "size", "query")
-    more = shared.written(prune(tiles).distinct(), "across")
-    shared.spent(marked, sizes)
+    member = marked.join(sizes, ["cell", "band"]).withColumn("tile_j", F.pmod(F.xxhash64("node"), "parts")).withColumn("tile_i", F.explode(last("rows"))).withColumn("query", F.lit(MEMBER))
+    query = asking.join(sizes, ["cell", "band"]).withColumn("tile_i", F.pmod(F.xxhash64(F.lit(1), F.col("node")), "rows")).withColumn("tile_j", F.explode(last("parts"))).withColumn("query", F.lit(QUERY))
+    tiles = member.unionByName(query).withColumn("tile", F.xxhash64("cell", "band", "tile_i", "tile_j")).select(*columns)
+    more = linked(tiles, F.col("tile"))
+    shared.spent(large, pivot, marked, sizes)
     # Links between components: these are the nodes now.
     end = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
-    across = verify(more).join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+    across = more.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
     above = components(across)
     if not above.head(1):
         return comp
@@ -231,18 +249,39 @@ def link(cells: DataFrame, fits: Callable[[str, str], Column], verify: Callable[
     return shared.written(inner.unionByName(alone), "groups")
 
 
-def dealt(tiles: DataFrame, run: Callable[[pa.Table], pa.Table], buckets: int) -> DataFrame:
-    """run over tables of whole tiles: pairs (a, b)."""
-    return tiles.withColumn("deal", F.pmod("tile", F.lit(buckets))).groupBy("deal").applyInArrow(run, "a long, b long")
+MEMBER, QUERY, BOTH = 0, 1, 2
 
 
-def each_tile(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of the queries and of the members of each tile that has both."""
-    tile, query = table.column("tile").to_numpy(), table.column("query").to_numpy(zero_copy_only=False)
-    order = np.lexsort((~query, tile))
-    tile, query = tile[order], query[order]
-    starts = np.flatnonzero(np.append(True, tile[1:] != tile[:-1])) if len(tile) else []
-    for a, b in zip(starts, np.append(starts[1:], len(tile)) if len(tile) else []):
-        n = int(query[a:b].sum())
-        if n and n < b - a:
-            yield order[a : a + n], order[a + n : b]
+def spanning(table: pa.Table, candidates: Callable[[int, np.ndarray], np.ndarray], confirm: Callable[[int, int], bool], first: np.ndarray, place: np.ndarray, arranged: Callable[[np.ndarray], np.ndarray] | None = None) -> pa.Table:
+    """Links (a, b) that connect what is linked in the table's tiles, tile after tile; what they have connected isn't compared again.
+
+    Nodes are numbered by place (of each row; first: a row of each). In a tile queries meet members, or BOTH each other.
+    candidates(x, others) narrows numbers of nodes of other components down to those that may be linked to x; confirm says.
+    arranged: puts a tile's members into an order that candidates is made for.
+    """
+    node, query = table.column("node").to_numpy()[first], table.column("query").to_numpy()
+    label = np.unique(table.column("comp").to_numpy()[first], return_inverse=True)[1]
+    tile = table.column("tile").to_numpy()
+    order = np.lexsort((query == MEMBER, tile))
+    edges = np.append(np.flatnonzero(np.append(True, tile[order][1:] != tile[order][:-1])), len(order)) if len(order) else np.zeros(1, np.int64)
+    out_a, out_b = [], []
+    for a, z in zip(edges[:-1], edges[1:]):
+        rows = order[a:z]
+        kind = query[rows]
+        both = bool(kind[0] == BOTH)
+        asks, members = (place[rows], place[rows]) if both else (place[rows[kind == QUERY]], place[rows[kind == MEMBER]])
+        members = np.unique(members)
+        if arranged is not None:
+            members = arranged(members)
+        asks = members if both else np.unique(asks)
+        for i, x in enumerate(asks):
+            others = members[i + 1 :] if both else members
+            others = others[label[others] != label[x]]
+            if not len(others):
+                continue
+            for y in candidates(x, others):
+                if label[y] != label[x] and confirm(x, y):
+                    out_a.append(node[x])
+                    out_b.append(node[y])
+                    label[label == label[y]] = label[x]
+    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})

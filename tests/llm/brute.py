@@ -64,13 +64,13 @@ def kept_lines(rows):
                 lines[n] = min(lines.get(n, (d, i)), (d, i))
     names = sorted(lines)
     size = np.array([len(x) for x in names])
-    # An edit changes at most four counts of pairs of neighbouring characters by one.
-    profiles = np.array([np.frombuffer(line_dedup.profile(x.ljust(2)), np.uint8) for x in names]).astype(np.int16)
+    # An edit changes at most six counts of runs of three characters by one.
+    profiles = line_dedup.profiles(names).astype(np.int16)
     edges = []
     for i in range(len(names)):
         j = np.arange(i + 1, len(names))
         most = np.floor(np.maximum(size[j], size[i]) * (1 - line_dedup.SIMILARITY) + 1e-9)
-        for k in j[(np.abs(size[j] - size[i]) <= most) & (np.abs(profiles[j] - profiles[i]).sum(1) <= 4 * most)]:
+        for k in j[(np.abs(size[j] - size[i]) <= most) & (np.abs(profiles[j] - profiles[i]).sum(1) <= 6 * most)]:
             a, b = names[i], names[k]
             if line_dedup.similar(a, b):  # held against distance() in a test of its own
                 edges.append((a, b))
@@ -104,15 +104,19 @@ def contaminated(rows, items):
     cut = lambda w: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
     for item_id, text in items:
         item = plain_words(text)
+        if not item:
+            continue
         if len(item) < k:
+            found |= {(d, item_id) for d, t in rows if any((w := plain_words(t))[i : i + len(item)] == item for i in range(len(plain_words(t))))}
             continue
         own = Counter(cut(item))
         total = sum(own.values())
         for doc_id, t in rows:
             s = cut(plain_words(t))
-            for at in range(len(s) - total + 1):
-                common = sum((own & Counter(s[at : at + total])).values())
-                if common / (2 * total - common) >= decontaminate.SIMILARITY:
+            for at in range(max(1, len(s) - total + 1)):
+                window = s[at : at + total]
+                common = sum((own & Counter(window)).values())
+                if common / (total + len(window) - common) >= decontaminate.SIMILARITY:
                     found.add((doc_id, item_id))
                     break
     return found

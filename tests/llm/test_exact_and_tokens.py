@@ -45,6 +45,7 @@ def test_exact_edges(spark, nasty):
 
 def test_tree_is_the_same_for_any_fan_in(spark, nasty):
     marked = exact_dedup.digests(nasty)
+    assert exact_dedup.verified(nasty, exact_dedup.merge_runs(marked, 4)).count() == 0
     trees = [sorted(map(tuple, exact_dedup.merge_runs(marked, runs, fan).collect())) for runs, fan in ((1, 2), (64, 2), (64, 4), (7, 3))]
     assert all(t == trees[0] for t in trees)
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronolith.llm import decontaminate, line_dedup, ngram_join, quotations
+from chronolith.llm import decontaminate, line_dedup, links, ngram_join, quotations
 
 SMALL = brute.SMALL
 CLASH = ("node", "cell", "comp", "first", "keep", "line_no", "kept", "items", "windows", "h", "n_words", "rep", "fingerprint")
@@ -39,6 +39,25 @@ def test_jaccard_edges_and_hot_groups(spark):
     assert ngram_join.similar_documents(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_jaccard_in_tiles_and_row_by_row(spark, monkeypatch):
+    """Large cells go by pivot and tiles, oversize buckets row by row, with the same result."""
+    monkeypatch.setattr(links, "TILE", 4)
+    monkeypatch.setattr(links, "MOST", 3)
+    rng, base = random.Random(4), varied(60, 2)
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(i % 9):
+            w[rng.randrange(60)] = f"y{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join(base[:12] + varied(48, 70 + i))) for i in range(20)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_documents(docs_of(spark, rows)).collect()}
+    assert got == brute.jaccard_components(rows)
+    lines = [(d, t[: 200 + 20 * (d % 5)]) for d, t in rows]
+    keep, _ = brute.kept_lines(lines)
+    assert {(r.doc_id, r.line_no) for r in line_dedup.fuzzy_lines(docs_of(spark, lines)).where("kept").collect()} == keep
+
+
 def test_lines(spark):
     rows = [(d, t) for d, t in brute.table("documents", "doc_id, text")]
     keep, every = brute.kept_lines(rows)
@@ -80,8 +99,8 @@ def test_bounds_of_the_distance():
         b = "".join(b)[rng.randrange(5) :]
         d = brute.distance(a, b)
         assert all(line_dedup.edit_distance(a, b, most) == min(d, most + 1) for most in {0, d // 2, max(d - 1, 0), d, d + 5})
-        counts = [[np.frombuffer(line_dedup.profile(x or " "), np.uint8).astype(int) for x in (a, b)], [line_dedup._triples(x) for x in (a, b)]]
-        assert all(np.abs(x - y).sum() <= most for (x, y), most in zip(counts, (4 * d, 6 * d)))
+        x, y = line_dedup.profiles([a, b]).astype(int)
+        assert np.abs(x - y).sum() <= 6 * d
 
 
 def test_benchmark_of_the_table(spark):
@@ -104,14 +123,18 @@ def test_benchmark_edges(spark):
         (8, " ".join(varied(300, 11))),
         (1, " ".join(varied(200, 8) + item + varied(100, 9))),
         (None, " ".join(item)),
+        (11, " ".join(item[:-1])),  # shorter than the item
+        (12, " ".join(varied(80, 21) + item[20:] + item[:20] + varied(80, 22))),  # its halves the other way round
+        (13, "Something TOO, short for a shingle"),
+        (14, "too"),
     ]
     items = [(1, " ".join(item)), (2, "too short"), (3, None), (None, "a b c d e f g h"), (4, " ".join(item)), (5, "rep " * 12)]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumns({"doc_id": F.lit(1), "at": F.lit(2)})
     got = decontaminate.matches(docs_of(spark, rows), bench).collect()
     want = brute.contaminated([r for r in rows if r[0] is not None], [r for r in items if r[0] is not None])
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
-    assert {d for d, _ in want} == {1, 2, 6, 7}
-    assert sorted({r.doc_id for r in decontaminate.clean_documents(docs_of(spark, rows), bench).where("doc_id is not null").collect()}) == [3, 4, 5, 8]
+    assert {d for d, _ in want} == {1, 2, 6, 7, 11, 12, 13}
+    assert sorted({r.doc_id for r in decontaminate.clean_documents(docs_of(spark, rows), bench).where("doc_id is not null").collect()}) == [3, 4, 5, 8, 14]
     assert decontaminate.matches(docs_of(spark, rows).limit(0), bench).count() == 0
     assert decontaminate.matches(docs_of(spark, rows), bench.limit(0)).count() == 0
 
