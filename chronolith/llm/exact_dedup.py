@@ -1,4 +1,4 @@
-"""Exact deduplication by a tree-merge of digest runs. DataFrame functions only."""
+"""Exact deduplication by a tree-merge of sorted digest runs. DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -7,50 +7,76 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Runs at the leaves of the tree, and how many runs one round merges into one (a power of two: log2 binomial rounds at once).
-RUNS, FAN_IN = 64, 4
+#: Rows of a run, about, and how many runs one round merges (2: binomial rounds; 4: two of them at once). LEAST runs at any rate.
+RUN_ROWS, FAN_IN, LEAST = 1_000_000, 4, 64
+KEY = ["text_sha256", "n_bytes", "check"]
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id and what identifies a text: its SHA-256, and for verification its length and an independent 64-bit hash."""
+    """doc_id and what identifies a text: its SHA-256, and its length and an independent 64-bit hash."""
     return shared.texts(docs).select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.octet_length("text").alias("n_bytes"), F.xxhash64("text").alias("check"))
 
 
-def merge_runs(marked: DataFrame, runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
-    """(text_sha256, n_bytes, check, keep_id, group_size) of each distinct text.
+def merge_runs(marked: DataFrame, runs: int, fan_in: int = FAN_IN) -> DataFrame:
+    """KEY, keep_id, group_size of each distinct text.
 
-    Every document belongs to a leaf run by the hash of its doc_id. A round merges `fan_in` neighbouring runs: entries of
-    equal digest, length and check meet and keep the smallest identifier in the order of preference (the largest doc_id
-    comes first) and the summed count. Work is keyed by (run, digest), so each round is spread over all tasks, a digest
-    has at most one entry in each run, and a text that a third of all rows share arrives pre-aggregated, fan_in entries
-    at a time. Runs of the last round number one.
+    A run is a partition, sorted by digest. Every document begins in the run of its doc_id's hash, as a number of so many
+    digits to the base fan_in; `runs` is rounded up to a power of it. In round j partitions whose numbers differ in digit j
+    alone exchange their runs: an entry goes to that partition of the fan_in which has the digest's digit j. There the
+    sorted runs are merged: entries of equal digest, length and check meet and keep the smallest identifier in the order of
+    preference (the largest doc_id comes first) and the summed count. After the last round a partition's number is its
+    digests', so every digest is in one run only and no run ever holds more than its share. A digest has at most one entry
+    in each run, so a text that a third of all rows share arrives pre-aggregated, fan_in entries at a time.
     """
-    key = ["text_sha256", "n_bytes", "check"]
-    level = marked.select(F.pmod(F.xxhash64("doc_id"), F.lit(runs)).alias("run"), *key, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    level = level.groupBy("run", *key).agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    while runs > 1:
-        runs = -(-runs // fan_in)
-        level = level.withColumn("run", F.floor(F.col("run") / fan_in)).groupBy("run", *key).agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    rounds = 0
+    while fan_in**rounds < runs:
+        rounds += 1
+    runs = fan_in**rounds
+    target = F.pmod(F.conv(F.substring("text_sha256", 1, 12), 16, 10).cast("long"), F.lit(runs))
+    merged = [F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")]
+    level = marked.select(F.pmod(F.xxhash64("doc_id"), F.lit(runs)).alias("run"), *KEY, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    level = level.groupBy("run", *KEY).agg(*merged)
+    for j in range(rounds):
+        digit = lambda x: F.floor(x / fan_in**j) % fan_in  # noqa: B023, E731
+        to = F.col("run") + (digit(target) - digit(F.col("run"))) * fan_in**j
+        level = level.withColumn("run", to).repartition("run").sortWithinPartitions("run", *KEY).groupBy("run", *KEY).agg(*merged)
     return level.drop("run")
 
 
+def verified(docs: DataFrame, merged: DataFrame) -> DataFrame:
+    """(doc_id, text_sha256) of documents whose text isn't that of the document which stands for their digest: none, unless SHA-256, length and a second hash all agree for two texts.
+
+    Texts meet in pairs with the one that stays, hot ones salted; only those of groups of two or more are read.
+    """
+    several = merged.where("group_size > 1")
+    rows = shared.texts(docs).withColumn("text_sha256", F.sha2("text", 256))
+    stays = shared.written(several.select("text_sha256", F.col("keep_id").alias("doc_id"), "group_size"), "stays")
+    wide = rows.join(stays, ["doc_id", "text_sha256"]).groupBy("text_sha256", "group_size").agg(F.max("text").alias("kept_text"))
+    wide = shared.written(wide, "kept")
+    met = shared.hot_join(rows.join(several.select("text_sha256"), "text_sha256", "left_semi"), wide, "text_sha256", "doc_id", "group_size")
+    return met.where("text <> kept_text").select("doc_id", "text_sha256")
+
+
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without any change, case and white space included; null counts as empty, and all empty
     texts form one group. The largest doc_id of a group stays. Rows without a doc_id are left out. A row that is repeated
     with its doc_id counts in group_size each time and gets a row each time (kept if its doc_id is the group's keep_id);
-    an empty table gives an empty result. Other columns, whatever their names, are not read.
+    an empty table gives an empty result. Other columns, whatever their names, are not read. Equality is told by SHA-256,
+    length and an independent hash at every level; verified() compares the texts themselves.
     """
     marked = digests(docs)
-    merged = merge_runs(marked)
-    return marked.join(merged, ["text_sha256", "n_bytes", "check"]).select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    runs = max(LEAST, -(-shared.texts(docs).count() // RUN_ROWS))
+    merged = shared.written(merge_runs(marked, runs).withColumn("n", F.col("group_size")), "merged")
+    out = shared.hot_join(marked.drop("n_bytes", "check"), merged.drop("n_bytes", "check"), "text_sha256", "doc_id", "n")
+    return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns; rows that repeat a kept doc_id and text are dropped as well."""
-    keep = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi").dropDuplicates(["doc_id"])
+    keep = exact_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

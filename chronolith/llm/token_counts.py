@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,25 +68,25 @@ def token_counts(docs: DataFrame, model: str, cache: str | None = None, limit: i
     whole = shared.texts(docs).withColumn("text_digest", F.sha2("text", 256))
     known = _stored(spark, cache, version)
     # A text that a third of all rows hold is one row after the partial aggregation; texts themselves move once, by doc_id.
-    misses = whole.groupBy("text_digest").agg(F.min("doc_id").alias("doc_id")).join(known, "text_digest", "left_anti")
+    groups = shared.written(whole.groupBy("text_digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "digests")
+    misses = groups.drop("n").join(known, "text_digest", "left_anti")
     todo = whole.select("doc_id", "text_digest", "text").join(misses, ["doc_id", "text_digest"], "left_semi")
     encoded = todo.select("text_digest", "text").mapInArrow(_count(model), "text_digest string, n_tokens long")
     new = encoded.groupBy("text_digest").agg(F.max("n_tokens").alias("n_tokens"))  # a repeated row of the same doc_id is encoded twice at most
     new.select("text_digest", F.lit(version).alias("tokenizer"), "n_tokens").write.parquet(f"{cache}/part={uuid.uuid4().hex}")
-    counts = _stored(spark, cache, version)
-    return (
-        whole.select("doc_id", "text_digest", F.octet_length("text").cast("long").alias("n_bytes"))
-        .join(counts, "text_digest")
-        .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-    )
+    facts = shared.written(groups.drop("doc_id").join(_stored(spark, cache, version), "text_digest"), "counts")
+    own = whole.select("doc_id", "text_digest", F.octet_length("text").cast("long").alias("n_bytes"))
+    return shared.hot_join(own, facts, "text_digest", "doc_id", "n").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def _stored(spark: SparkSession, cache: str, version: str) -> DataFrame:
     """text_digest and n_tokens of this tokenizer, one row per digest even if two runs have appended the same one."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(cache)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    try:
+        rows = spark.read.schema(CACHE_SCHEMA + ", part string").parquet(cache).where(F.col("tokenizer") == version)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "text_digest string, n_tokens long")
-    rows = spark.read.schema(CACHE_SCHEMA + ", part string").parquet(cache).where(F.col("tokenizer") == version)
     return rows.groupBy("text_digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
