@@ -1,12 +1,16 @@
 """Benchmark decontamination by SimHash of item-sized windows. DataFrame and SQL functions only.
 
 Words are the runs of letters and digits, lower-cased; shingles are WORDS words in a row, by their 64-bit hashes. A window
-is as many words as an item has. A window as similar as asked must hold shingles of its item, so windows are laid only where
-document and item share one: at the offsets at which shared shingles would line up, and at all offsets between two of these
-that one window can span. (Moving a window towards the nearest such offset never loses a shared shingle, so no better window
-lies outside.) Each window's fingerprint is then looked up among the items of its length by blocks: RADIUS + 1 of them, of
-which two fingerprints within RADIUS share at least one. What is within RADIUS is verified: the weighted Jaccard similarity
-of the shingles, each weighing as often as it occurs.
+is as many words as an item has, or the whole of a shorter text. A window as similar as asked must hold shingles of its
+item, so windows are laid only where document and item share one: at the offsets at which shared shingles would line up,
+and at all offsets between two of these that one window can reach. Each window's fingerprint is looked up among the items of
+its length by blocks, RADIUS + 1 of them, of which two fingerprints within RADIUS share at least one. What is within RADIUS
+is verified: the weighted Jaccard similarity of the shingles, each weighing as often as it occurs.
+
+The index is what the method names, but not what saves work: at a similarity of 0.75 fingerprints differ in 11 bits of 64
+and unrelated ones in 32, so a radius that loses nothing leaves blocks of two or three bits, which nearly all pairs share.
+That documents and items share a shingle is what selects; the index then holds a window against items of its length. Items
+of less than WORDS words have no shingle and are found as a whole sequence of words.
 """
 
 from __future__ import annotations
@@ -46,17 +50,32 @@ def _blocks(fingerprint: str) -> str:
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """item_id, n_words, shingles, fingerprint of the items that can be told apart: those of WORDS words or more. A null item_id or text is left out."""
+    """item_id, n_words, h (word hashes), item_shingles, item_print of the items that have a word. A null item_id or text is left out."""
     own = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.expr(_hashes("cast(text as string)")).alias("h"))
-    own = own.where(f"size(h) >= {WORDS}").select("item_id", F.expr("size(h)").alias("n_words"), F.expr(_shingles("h")).alias("item_shingles"))
+    own = own.where("size(h) > 0").select("item_id", F.expr("size(h)").alias("n_words"), "h", F.expr(_shingles("h")).alias("item_shingles"))
     return own.distinct().withColumn("item_print", F.expr(_fingerprint("item_shingles")))
 
 
+def _short_matches(whole: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, at_word (the first), similarity (1) of items of less than WORDS words, which a document holds as they are."""
+    lengths = sorted(r[0] for r in items.where(f"n_words < {WORDS}").select("n_words").distinct().collect())  # WORDS - 1 at most
+    if not lengths:
+        return whole.sparkSession.createDataFrame([], "doc_id long, item_id long, at_word long, similarity double")
+    keys = items.where(f"n_words < {WORDS}").select("item_id", "n_words", F.expr("xxhash64(h)").alias("sequence"))
+    # From 0 up to the last place, or down to below 0 in a text that is shorter: these fall to the filter.
+    parts = ", ".join(f"transform(sequence(0, size(h) - {n}), i -> named_struct('n_words', {n}, 'at', i, 'sequence', xxhash64(slice(h, greatest(i, 0) + 1, {n}))))" for n in lengths)
+    own = whole.select("doc_id", F.expr(_hashes("text")).alias("h")).where(f"size(h) >= {lengths[0]}")
+    flat = own.select("doc_id", F.explode(F.expr(f"filter(flatten(array({parts})), x -> x.at >= 0 and x.at + x.n_words <= size(h))")).alias("x")).select("doc_id", "x.*")
+    small = keys.count() <= BROADCAST_SHINGLES
+    met = flat.join(F.broadcast(keys) if small else keys, ["n_words", "sequence"])
+    return met.groupBy("doc_id", "item_id").agg(F.min("at").cast("long").alias("at_word")).withColumn("similarity", F.lit(1.0))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, at_word (from 0, of the best window, the first of equals), similarity.
 
-    A document shorter than an item, or an item of less than WORDS words, has no window. A null text is empty. Repeated
-    rows of a doc_id give one row; items with the same text are matched each; empty tables give an empty result.
+    A document shorter than an item is one window. A null text is empty. Repeated rows of a doc_id give one row; items with
+    the same text are matched each; items without a word are left out; empty tables give an empty result.
     """
     items = shared.written(items_of(benchmark), "items")
     parts = items.select("item_id", "n_words", F.posexplode("item_shingles").alias("q", "shingle"))
@@ -72,37 +91,38 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     # Items of which a document holds fewer shingles than any similar window must are out; counts are per document and item.
     found = hits.join(F.broadcast(parts) if small else parts, "shingle")
     offsets = found.groupBy("doc_id", "item_id", "n_words", (F.col("p") - F.col("q")).alias("at")).agg(F.count("*").alias("n"))
-    enough = F.ceil(2 * F.lit(similarity) * (F.col("n_words") - (WORDS - 1)) / (1 + similarity))
+    enough = F.ceil(F.lit(similarity) * (F.col("n_words") - (WORDS - 1)))
     whole_item = offsets.groupBy("doc_id", "item_id").agg(F.sum("n").alias("total"))
     offsets = offsets.join(whole_item, ["doc_id", "item_id"]).where(F.col("total") >= enough)
     offsets = offsets.groupBy("doc_id", "item_id", "n_words").agg(F.sort_array(F.collect_set("at")).alias("at"))
-    # From each offset on to the next, where one window can hold shingles of both.
-    starts = F.expr("flatten(transform(at, (a, i) -> if(i + 1 < size(at) and at[i + 1] - a < n_words, sequence(a, at[i + 1]), array(a))))")
+    # From each offset on to the next, where one window can hold shingles of both: each side's shared shingles lie within the item.
+    starts = F.expr(f"flatten(transform(at, (a, i) -> if(i + 1 < size(at) and at[i + 1] - a <= 2 * (n_words - {WORDS}), sequence(a, at[i + 1]), array(a))))")
     laid = shared.written(offsets.select("doc_id", "n_words", F.explode(starts).alias("at")).distinct(), "laid")
     near = laid.groupBy("doc_id").agg(F.collect_list(F.struct("n_words", "at")).alias("windows"))
     ids = shared.written(near, "windows")
     texts = shared.semi(whole, ids.select("doc_id"), "doc_id").join(ids, "doc_id")
     cut = texts.select("doc_id", "windows", F.expr(_hashes("text")).alias("h")).select("doc_id", "windows", F.expr(_shingles("h")).alias("shingles"))
     window = cut.select("doc_id", F.explode("windows").alias("w"), "shingles").select("doc_id", "w.n_words", "w.at", "shingles")
-    # A window that would stick out at an end is moved in.
-    window = window.withColumn("at", F.expr(f"greatest(0, least(at, size(shingles) - (n_words - {WORDS - 1})))")).where(f"size(shingles) >= n_words - {WORDS - 1}")
+    # A window that would stick out at an end is moved in; of a text that is shorter it is the whole.
+    window = window.withColumn("at", F.expr(f"greatest(0, least(at, size(shingles) - (n_words - {WORDS - 1})))"))
     window = window.select("doc_id", "n_words", "at", F.expr(f"slice(shingles, at + 1, n_words - {WORDS - 1})").alias("window_shingles")).dropDuplicates(["doc_id", "n_words", "at"])
     window = shared.written(window.withColumn("window_print", F.expr(_fingerprint("window_shingles"))), "prints")
     looked = window.select("doc_id", "n_words", "at", "window_print", F.explode(F.expr(_blocks("window_print"))).alias("block"))
-    index = items.select("item_id", "n_words", "item_print", F.explode(F.expr(_blocks("item_print"))).alias("block"))
+    index = items.where(f"n_words >= {WORDS}").select("item_id", "n_words", "item_print", F.explode(F.expr(_blocks("item_print"))).alias("block"))
     candidates = looked.join(index, ["n_words", "block"]).where(f"bit_count(window_print ^ item_print) <= {RADIUS}").select("doc_id", "n_words", "at", "item_id").distinct()
     pairs = candidates.join(window.select("doc_id", "n_words", "at", "window_shingles"), ["doc_id", "n_words", "at"]).join(items.select("item_id", "item_shingles"), "item_id")
-    # Both have n_words - WORDS + 1 shingles: the smaller counts add up to the weight in common.
+    # The smaller counts add up to the weight in common.
     common = "aggregate(array_distinct(item_shingles), 0, (n, s) -> n + least(size(filter(item_shingles, x -> x = s)), size(filter(window_shingles, x -> x = s))))"
-    scored = pairs.withColumn("common", F.expr(common)).withColumn("similarity", F.expr("common / (2.0D * size(item_shingles) - common)"))
+    scored = pairs.withColumn("common", F.expr(common)).withColumn("similarity", F.expr("common / (1.0D * size(item_shingles) + size(window_shingles) - common)"))
     best = scored.where(F.col("similarity") >= similarity).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("at")).alias("at"))).alias("best"))
-    return best.select("doc_id", "item_id", (-F.col("best.at")).cast("long").alias("at_word"), F.round("best.similarity", 6).alias("similarity"))
+    best = best.select("doc_id", "item_id", (-F.col("best.at")).cast("long").alias("at_word"), F.round("best.similarity", 6).alias("similarity"))
+    return best.unionByName(_short_matches(whole, items))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item, all columns."""
     found = shared.written(matches(docs, benchmark).select(F.col("doc_id").alias("_found")).distinct(), "found")
-    return docs.join(found, docs["doc_id"] == found["_found"], "left_anti")
+    return docs.join(found.withColumnRenamed("_found", "doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,8 +165,8 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that resample() keeps, all columns."""
-    keep = resample(docs, labels).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi")
+    keep = resample(docs, labels).where("kept").select("doc_id").distinct()
+    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
