@@ -95,7 +95,19 @@ def _of(table: pa.Table, column: str, row: int, kind) -> np.ndarray:
     return np.frombuffer(table.column(column)[row].as_buffer(), kind)
 
 
-PLACED = "chunk long, bucket int, places binary, words binary, n binary"
+def _thin(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes each as the largest needs."""
+    most = int(x.max(initial=0))
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.int64).tobytes()
+
+
+def _thick(table: pa.Table, column: str, row: int, n: int) -> np.ndarray:
+    """The n numbers of _thin."""
+    raw = table.column(column)[row].as_buffer()
+    return np.frombuffer(raw, {0: np.uint8, 1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[raw.size // max(n, 1)])
+
+
+PLACED = "chunk long, bucket int, n_words int, places binary, words binary, n binary"
 
 
 def _place(group: pa.Table) -> pa.Table:
@@ -107,10 +119,10 @@ def _place(group: pa.Table) -> pa.Table:
     for i, w in enumerate(parts):
         at = np.searchsorted(words, w).astype(np.uint32)
         n[at] += _of(group, "counts", i, np.uint32)
-        places.append(at.tobytes())
+        places.append(_thin(at))
     none = [None] * len(places)
     bucket = group.column("bucket")[0].as_py()
-    return pa.table([pa.array([*group.column("chunk").to_pylist(), None], pa.int64()), pa.array([bucket] * (len(places) + 1), pa.int32()), pa.array([*places, None], pa.binary()), pa.array([*none, words.tobytes()], pa.binary()), pa.array([*none, n.tobytes()], pa.binary())], names=["chunk", "bucket", "places", "words", "n"])
+    return pa.table([pa.array([*group.column("chunk").to_pylist(), None], pa.int64()), pa.array([bucket] * (len(places) + 1), pa.int32()), pa.array([*map(len, parts), None], pa.int32()), pa.array([*places, None], pa.binary()), pa.array([*none, words.tobytes()], pa.binary()), pa.array([*none, n.tobytes()], pa.binary())], names=["chunk", "bucket", "n_words", "places", "words", "n"])
 
 
 def _most(k: int):
@@ -154,9 +166,8 @@ def _answer(with_counts: bool):
         n, kinds = _of(known, "n", 0, np.int64), _of(known, "kinds", 0, np.uint8).copy()
         kinds[n == 0] = UNKNOWN
         kinds[n == 1] |= ONCE
-        small = n.astype(np.uint32) if n.max(initial=0) < 1 << 32 else n
-        places = [_of(asked, "places", i, np.uint32) for i in range(asked.num_rows)]
-        counts = pa.array([small[p].tobytes() if with_counts else None for p in places], pa.binary())
+        places = [_thick(asked, "places", i, k) for i, k in enumerate(asked.column("n_words").to_pylist())]
+        counts = pa.array([_thin(n[p]) if with_counts else None for p in places], pa.binary())
         return pa.table([asked.column("chunk"), asked.column("bucket"), asked.column("places"), counts, pa.array([kinds[p].tobytes() for p in places], pa.binary())], names=["chunk", "bucket", "places", "n", "kinds"])
 
     return run
@@ -201,24 +212,26 @@ def _contexts(n_classes: int):
         runs, codes, counts = _runs(keys.astype(np.uint32) if len(kinds) < 1 << 24 else keys, len(kinds))
         word = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         entry = np.concatenate([[0], np.cumsum(runs, dtype=np.int64)])[word]
-        cut = lambda x, e: pa.array([x[a:b].tobytes() for a, b in zip(e[:-1], e[1:])], pa.binary())
-        return pa.table([answers.column("bucket").take(pa.array(order)), answers.column("places").take(pa.array(order)), cut(runs, word), cut(codes, entry), cut(counts, entry)], names=["bucket", "places", "runs", "codes", "counts"])
+        cut = lambda x, e: pa.array([_thin(x[a:b]) for a, b in zip(e[:-1], e[1:])], pa.binary())
+        return pa.table([answers.column("bucket").take(pa.array(order)), pa.array([len(p) for p in parts], pa.int32()), answers.column("places").take(pa.array(order)), cut(runs, word), cut(codes, entry), cut(counts, entry)], names=["bucket", "n_words", "places", "runs", "codes", "counts"])
 
     return run
 
 
-COUNTED = "bucket int, places binary, runs binary, codes binary, counts binary"
+COUNTED = "bucket int, n_words int, places binary, runs binary, codes binary, counts binary"
+SUMMED = "bucket int, runs binary, codes binary, counts binary"
 
 
 def _sum_contexts(group: pa.Table) -> pa.Table:
     """One row: the counts of a bucket's words by code."""
-    at, codes, counts = [], [], []
-    for i in range(group.num_rows):
-        at.append(np.repeat(_of(group, "places", i, np.uint32), _of(group, "runs", i, np.uint16)))
+    at, codes, counts, size = [], [], [], 1
+    for i, n in enumerate(group.column("n_words").to_pylist()):
+        places = _thick(group, "places", i, n)
+        size = max(size, 1 + int(places.max(initial=0)))
+        at.append(np.repeat(places.astype(np.int64), _thick(group, "runs", i, n)))
         codes.append(_of(group, "codes", i, np.uint8))
-        counts.append(_of(group, "counts", i, np.uint32))
-    at, codes, counts = np.concatenate(at).astype(np.int64), np.concatenate(codes), np.concatenate(counts)
-    size = 1 + max((int(_of(group, "places", i, np.uint32).max(initial=0)) for i in range(group.num_rows)), default=0)
+        counts.append(_thick(group, "counts", i, len(codes[-1])))
+    at, codes, counts = np.concatenate(at), np.concatenate(codes), np.concatenate(counts)
     out: list[list[np.ndarray]] = [[], [], []]
     for a in range(0, size, BLOCK):
         z = min(size, a + BLOCK)
@@ -227,7 +240,7 @@ def _sum_contexts(group: pa.Table) -> pa.Table:
         on = np.flatnonzero(total)
         for x, y in zip(out, (np.bincount(on >> 8, minlength=z - a).astype(np.uint16), (on & 255).astype(np.uint8), total[on])):
             x.append(y)
-    return pa.table([group.column("bucket").slice(0, 1), pa.nulls(1, pa.binary()), *(pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in out)], names=["bucket", "places", "runs", "codes", "counts"])
+    return pa.table([group.column("bucket").slice(0, 1), *(pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in out)], names=["bucket", "runs", "codes", "counts"])
 
 
 def _sparse(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
@@ -313,7 +326,7 @@ def exchange(texts: DataFrame, places: DataFrame, vocabulary: DataFrame, n_class
     for turn in range(sweeps + 1):
         answers = places.groupBy("bucket").cogroup(vocabulary.groupBy("bucket")).applyInArrow(_answer(False), ANSWERED)
         partial = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_contexts(n_classes), COUNTED)
-        sums = partial.groupBy("bucket").applyInArrow(_sum_contexts, COUNTED).drop("places")
+        sums = partial.groupBy("bucket").applyInArrow(_sum_contexts, SUMMED)
         now = shared.written(vocabulary.join(sums, "bucket"), "counted")
         pairs = np.zeros(KINDS * KINDS, np.int64)
         for r in now.mapInArrow(_class_pairs, "pair int, n long").groupBy("pair").agg(F.sum("n")).toLocalIterator():  # KINDS squared rows at most
@@ -346,9 +359,9 @@ def _documents(total: int, types: int, of_class: np.ndarray):
 
     def run(coded: pa.Table, answers: pa.Table) -> pa.Table:
         order = np.argsort(answers.column("bucket").to_numpy())  # in the order of the hashes
-        n_parts, k_parts = answers.column("n").to_pylist(), answers.column("kinds").to_pylist()
+        k_parts = answers.column("kinds").to_pylist()
         kinds = np.frombuffer(b"".join(k_parts[i] for i in order), np.uint8)
-        n = np.concatenate([np.frombuffer(n_parts[i], np.uint32 if len(n_parts[i]) == 4 * len(k_parts[i]) else np.int64) for i in order]).astype(np.int64)
+        n = np.concatenate([_thick(answers, "n", int(i), len(k_parts[i])) for i in order]).astype(np.int64)
         base = np.log10((n + 0.5) / (total + 0.5 * (types + 1)))
         emission = np.where(n > 0, np.log10(np.maximum(n, 1) / np.maximum(of_class[kinds & UNKNOWN], 1)), 0.0)
         ids, held, toff, number = _of(coded, "doc_ids", 0, np.int64), _of(coded, "held", 0, np.uint8), _of(coded, "offsets", 0, np.int64), _number(coded, 0)
@@ -423,7 +436,7 @@ class Model:
         coded = shared.written(whole.select("doc_id", "held_out", "text").mapInArrow(_code(buckets), CODED), "coded")
         self.texts = coded.where("bucket is null").select("chunk", "doc_ids", "held", "offsets", "tokens", "width")
         placed = shared.written(coded.where("bucket is not null").select("chunk", "bucket", "words", "counts").groupBy("bucket").applyInArrow(_place, PLACED), "placed")
-        self.places = placed.where("chunk is not null").select("chunk", "bucket", "places")
+        self.places = placed.where("chunk is not null").select("chunk", "bucket", "n_words", "places")
         words = placed.where("chunk is null").select("bucket", "words", "n")
         most = shared.written(words.mapInArrow(_most(MOST_CLASSES), "word long, n long, total long, types long, first boolean"), "most")
         self.total, self.types = (int(x or 0) for x in most.where("first").agg(F.sum("total"), F.sum("types")).first())
