@@ -1,8 +1,9 @@
 """Quotation linking of messages. DataFrame and SQL functions only.
 
-A line's quote level is how many '>' it begins with. Runs of lines of one level are passages; quoted passages, and their
-single lines, are normalised and hashed and joined to the message of the conversation in which the same text first stood
-unquoted. The message that a reply quotes at the lowest level is its parent.
+A line's quote level is how many '>' it begins with. Runs of lines of one level are passages. Quoted passages, and their
+paragraphs, lines and sentences, are normalised and hashed and joined to the message of the conversation in which the same
+piece first stood unquoted; so a paragraph that a mail program has wrapped anew, or a sentence taken out of its line, is
+found as well. The message that a reply quotes at the lowest level is its parent.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 KEY = ["conv_id", "turn", "text_hash"]
+#: Sentences of fewer words say too little of where they come from.
+SENTENCE_WORDS = 3
 
 
 def _normal(c: str):
@@ -33,17 +36,33 @@ def passages(own: DataFrame) -> DataFrame:
     return lines.groupBy(*KEY, "level", "run").agg(F.expr("array_join(transform(array_sort(collect_set(struct(i, line))), x -> x.line), '\\n')").alias("text"))
 
 
+def pieces_of(runs: DataFrame) -> DataFrame:
+    """KEY, level, run, kind (3: the passage, 2: a paragraph, 1: a line, 0: a sentence), piece (hash of the conversation and the normalised text)."""
+    paragraphs = F.split("text", r"\n[ \t\r]*\n")
+    sentences = F.filter(F.flatten(F.transform(paragraphs, lambda x: F.split(x, r"(?<=[.!?])\s+"))), lambda x: F.size(F.split(F.trim(x), r"\s+")) >= SENTENCE_WORDS)
+    each = lambda kind, xs: F.transform(xs, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("text")))
+    every = F.concat(each(3, F.array("text")), each(2, paragraphs), each(1, F.split("text", "\n")), each(0, sentences))
+    out = runs.select(*KEY, "level", "run", F.explode(every).alias("x")).select(*KEY, "level", "run", "x.*").withColumn("normal", _normal("text")).where("normal <> ''")
+    return out.select(*KEY, "level", "run", "kind", F.xxhash64("conv_id", "normal").alias("piece"))
+
+
 def quotations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(passages, links). links: KEY, level, run, source_turn of each quoted passage; source_turn is null where no earlier message of the conversation has the text."""
     runs = shared.written(passages(messages(conversations).select("conv_id", "turn", "text").distinct()), "passages")
-    pieces = runs.select(*KEY, "level", "run", F.lit(True).alias("full"), "text").unionByName(runs.select(*KEY, "level", "run", F.lit(False).alias("full"), F.explode(F.split("text", "\n")).alias("text")))
-    pieces = pieces.withColumn("normal", _normal("text")).where("normal <> ''").withColumn("hash", F.xxhash64("normal"))
+    # Only conversations with a quote are looked into.
+    quoting = shared.written(runs.where("level > 0").select("conv_id").distinct(), "quoting")
+    pieces = shared.written(pieces_of(shared.semi(runs, quoting, "conv_id")), "pieces")
     # The original is where the text first stood: one row per conversation and text, however often it is said again.
-    originals = pieces.where("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("source_turn"))
-    quoted = pieces.where("level > 0").join(originals, ["conv_id", "hash"], "left").withColumn("source_turn", F.when(F.col("source_turn") < F.col("turn"), F.col("source_turn")))
-    # A whole passage tells more than its lines; among lines, the source of the most, then the latest.
-    votes = quoted.groupBy(*KEY, "level", "run", "source_turn").agg(F.max(F.col("full")).alias("full"), F.count("*").alias("n"))
-    links = votes.groupBy(*KEY, "level", "run").agg(F.max(F.when(F.col("source_turn").isNotNull(), F.struct("full", "n", "source_turn")))["source_turn"].alias("source_turn"))
+    originals = pieces.where("level = 0").groupBy("piece").agg(F.min("turn").alias("source_turn"))
+    quoted = pieces.where("level > 0")
+    # A line quoted all over one conversation is many rows of one key: these are salted.
+    sources = shared.written(quoted.groupBy("piece").agg(F.count("*").alias("n_quotes")).join(originals, "piece", "left"), "sources")
+    met = shared.hot_join(quoted, sources, "piece", "turn", "n_quotes").withColumn("source_turn", F.when(F.col("source_turn") < F.col("turn"), F.col("source_turn")))
+    # A whole passage tells more than a paragraph, that more than a line or a sentence; then the source of the most, then the latest.
+    votes = met.groupBy(*KEY, "level", "run", "source_turn").agg(F.max("kind").alias("kind"), F.count("*").alias("n"))
+    links = votes.groupBy(*KEY, "level", "run").agg(F.max(F.when(F.col("source_turn").isNotNull(), F.struct("kind", "n", "source_turn")))["source_turn"].alias("source_turn"))
+    # A quoted passage without a word has no piece and no source.
+    links = runs.where("level > 0").where(_normal("text") != "").select(*KEY, "level", "run").join(links, [*KEY, "level", "run"], "left")
     return runs, links
 
 
