@@ -40,7 +40,7 @@ RULES = [
     ("CC-BY-4.0", ["ccby-short"]),
     ("BSD", ["bsd-head", "bsd-source"]),
 ]
-#: Sentences and rules that the SQL form doesn't have; their numbers follow those of RULES.
+#: Fixed values, as above; the rules' numbers follow those of RULES.
 MORE_SENTENCES = {
     "gpl2-redistribute": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "gpl2-later": "either version 2 of the License, or (at your option) any later version",
@@ -70,6 +70,45 @@ MORE_RULES = [
     ("BSD-3-Clause", ["bsd-head", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-head", "bsd-source", "bsd-binary"]),
 ]
+#: The public-licence families by their members: sentences and rules are made from these.
+SPDX = """0BSD AFL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC0-1.0 CDDL-1.0 CDDL-1.1 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 GFDL-1.3-only
+GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL MulanPSL-2.0 NCSA OFL-1.1 OSL-3.0 PostgreSQL
+PSF-2.0 Python-2.0 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1""".split()
+CREATIVE_COMMONS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+GNU = {"GPL-2.0": ("General", "2"), "GPL-3.0": ("General", "3"), "LGPL-2.1": ("Lesser General", "2.1"), "LGPL-3.0": ("Lesser General", "3"), "AGPL-3.0": ("Affero General", "3")}
+#: Sentences of further licences; each tells its own.
+SINGLE = {
+    "Zlib": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0",
+    "WTFPL": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "PostgreSQL": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies",
+    "OFL-1.1": "This Font Software is licensed under the SIL Open Font License, Version 1.1",
+}
+
+
+def catalogue() -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
+    """All sentences by identifier, and all rules in order."""
+    sentences, rules = SENTENCES | MORE_SENTENCES, RULES + MORE_RULES
+
+    def one(identifier: str, sentence: str, licence: str) -> None:
+        if sentence not in sentences.values():
+            sentences[identifier] = sentence
+            rules.append((licence, [identifier]))
+
+    for licence, sentence in SINGLE.items():
+        one(f"single-{licence}", sentence, licence)
+    for x in SPDX:
+        one(f"spdx-{x}", f"SPDX-License-Identifier: {x}", x)
+    for x, name in CREATIVE_COMMONS.items():
+        for version, kind in (("4.0", "International"), ("3.0", "Unported")):
+            one(f"cc-{x}-{version}", f"Licensed under CC {x} {version}", f"CC-{x}-{version}")
+            one(f"cc-{x}-{version}-long", f"This work is licensed under a Creative Commons {name} {version} {kind} License", f"CC-{x}-{version}")
+    for x, (name, version) in GNU.items():
+        one(f"gnu-{x}", f"This work is licensed under the GNU {name} Public License, version {version}", f"{x}-only")
+    return sentences, rules
+
+
 SPLIT = r"[.!?;]+[ \t\r]+|[\r\n]+"
 #: Comment marks at the beginning or end of a line; blank lines, but for one before an address; sentence ends within a paragraph, where a colon at a line's end and a list mark cut too.
 MARKS = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|--+|;+|%+|<!--)[ \t]*|[ \t]*(?:\*+/|-->)?[ \t\r]*$"
@@ -82,39 +121,62 @@ def normal(c: str) -> str:
     return f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' '))"
 
 
-def identified(docs: DataFrame, sentences: dict[str, str] | None = None) -> DataFrame:
-    """doc_id, wrapped, part, at, sentence_id of the known sentences, in the order of (part, at). The catalogue is fixed and small, and broadcast.
+def sentence_table(spark: SparkSession, sentences: dict[str, str]) -> DataFrame:
+    """(sentence_id, sentence) as scan() takes it."""
+    return spark.createDataFrame(list(sentences.items()), "sentence_id string, sentence string")
+
+
+def rule_table(spark: SparkSession, rules: list[tuple[str, list[str]]]) -> DataFrame:
+    """(rule, licence, sentence_ids) as scan() takes it."""
+    return spark.createDataFrame([(i, licence, ids) for i, (licence, ids) in enumerate(rules)], "rule long, licence string, sentence_ids array<string>")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast if its counted rows allow it."""
+    return F.broadcast(df) if df.count() <= shared.BROADCAST_ROWS else df
+
+
+def identified(docs: DataFrame, sentences: DataFrame) -> DataFrame:
+    """doc_id, wrapped, part, at, sentence_id of the known sentences, in the order of (part, at); a sentence of two identifiers gives both.
 
     Texts are cut twice: into lines (wrapped is false, at the sentence's number), and into paragraphs without comment
     marks, whose single line ends are blanks (wrapped is true, part the paragraph, at the place in it).
     A paragraph's own lines count there as well, so that sentences of either form stand in one order.
     """
-    spark = docs.sparkSession
-    known = spark.createDataFrame(list((sentences or SENTENCES | MORE_SENTENCES).items()), "sentence_id string, sentence string").selectExpr("sentence_id", f"{normal('sentence')} as sentence")
+    known = sentences.selectExpr("sentence_id", f"{normal('sentence')} as sentence").where("sentence <> ''")
     texts = shared.texts(docs)
     lines = texts.select("doc_id", F.lit(False).alias("wrapped"), F.lit(0).alias("part"), F.posexplode(F.split("text", SPLIT)).alias("at", "sentence"), F.lit("").alias("paragraph"))
     parts = texts.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", MARKS, ""), PARAGRAPHS)).alias("part", "paragraph"))
     cuts = F.array_distinct(F.concat(F.split("paragraph", WITHIN), F.split("paragraph", SPLIT)))
     joined = parts.select("doc_id", F.lit(True).alias("wrapped"), "part", F.lit(0).alias("at"), F.explode(cuts).alias("sentence"), "paragraph")
-    found = lines.unionByName(joined).withColumn("sentence", F.expr(normal("sentence"))).join(F.broadcast(known), "sentence")
+    found = lines.unionByName(joined).withColumn("sentence", F.expr(normal("sentence"))).join(_small(known), "sentence")
     return found.selectExpr("doc_id", "wrapped", "part", f"if(wrapped, instr({normal('paragraph')}, sentence), at) as at", "sentence_id")
 
 
-def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
-    """One row per document and licence: doc_id, licence, rule (number from 0 of the first rule of the licence that is met), n_sentences (known ones in the document).
+def scan(docs: DataFrame, sentences: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
+    """One row per document and licence: doc_id, licence, rule (number of the first rule of the licence that is met), n_sentences (known ones in the document).
 
-    A rule is met if its identifiers occur in its order, in the lines or in the paragraphs. A null or empty text has no
-    sentence; sentences without letters or digits are none; repeated rows of a doc_id give one row. Documents without a
-    known licence have no row. BSD-2-Clause is given where BSD-3-Clause isn't met.
+    sentences and rules are tables as of sentence_table and rule_table, the built-in catalogue if not given. A rule is met
+    if its identifiers occur in its order, in the lines or in the paragraphs; others may stand between, and of several
+    identifiers of one sentence, or equal ones at one place, each counts. A null or empty text has no sentence; sentences
+    without letters or digits are none; repeated rows of a doc_id give one row. Documents without a known licence have no
+    row. BSD-2-Clause is given where BSD-3-Clause isn't met.
     """
-    found = identified(docs, sentences).groupBy("doc_id", "wrapped").agg(F.expr("concat(',', array_join(transform(array_sort(collect_set(struct(part, at, sentence_id))), x -> x.sentence_id), ','), ',')").alias("ids"), F.countDistinct("part", "at", "sentence_id").alias("n_sentences"))
-    rules = rules or RULES + MORE_RULES
-    tests = [F.when(F.regexp_count("ids", F.lit("(?:^|.*)" + "(?:.*)".join(f",{x}(?=,)" for x in sequence))) > 0, F.struct(F.lit(licence).alias("licence"), F.lit(i).cast("long").alias("rule"))) for i, (licence, sequence) in enumerate(rules)]
-    each = found.select("doc_id", "n_sentences", F.filter(F.array(*tests), lambda x: x.isNotNull()).alias("m"))
-    each = each.groupBy("doc_id").agg(F.flatten(F.collect_list("m")).alias("m"), F.max("n_sentences").alias("n_sentences"))
-    each = each.withColumn("m", F.expr("if(exists(m, x -> x.licence = 'BSD-3-Clause'), filter(m, x -> x.licence <> 'BSD-2-Clause'), m)"))
-    met = each.select("doc_id", "n_sentences", F.explode("m").alias("m"))
-    return met.groupBy("doc_id", F.col("m.licence").alias("licence")).agg(F.min("m.rule").alias("rule"), F.max("n_sentences").cast("long").alias("n_sentences"))
+    spark = docs.sparkSession
+    own_sentences, own_rules = catalogue()
+    sentences = sentence_table(spark, own_sentences) if sentences is None else sentences
+    rules = rule_table(spark, own_rules) if rules is None else rules
+    found = identified(docs, sentences).groupBy("doc_id", "wrapped").agg(F.expr("transform(array_sort(collect_set(struct(part, at, sentence_id))), x -> x.sentence_id)").alias("ids"), F.countDistinct("part", "at", "sentence_id").alias("n_sentences"))
+    begin = found.select("doc_id", "ids", "n_sentences", F.explode(F.array_distinct("ids")).alias("first"))
+    met = begin.join(_small(rules.withColumn("first", F.get("sentence_ids", F.lit(0)))), "first")
+    # How many of the rule's identifiers have been met in order, along the document's.
+    walked = F.aggregate("ids", F.lit(0), lambda k, x: F.when(F.get("sentence_ids", k) == x, k + 1).otherwise(k))
+    met = met.where(walked == F.size("sentence_ids"))
+    each = met.groupBy("doc_id", "licence").agg(F.min("rule").alias("rule"), F.max("n_sentences").alias("n_sentences"))
+    every = found.groupBy("doc_id").agg(F.max("n_sentences").alias("n"))
+    three = each.where("licence = 'BSD-3-Clause'").select("doc_id", F.lit("BSD-2-Clause").alias("licence"))
+    out = each.drop("n_sentences").join(three, ["doc_id", "licence"], "left_anti").join(every, "doc_id")
+    return out.select("doc_id", "licence", F.col("rule").cast("long").alias("rule"), F.col("n").cast("long").alias("n_sentences"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,23 +184,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
+    """By containment in the whole normalised text instead of cutting it: sentences are looked for as runs of words, and rules are walked from place to place."""
+    sentences, rules = catalogue()
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    known = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in SENTENCES.items())
-    single = [(i, licence, ids[0]) for i, (licence, ids) in enumerate(RULES) if len(ids) == 1]
-    double = [(i, licence, ids) for i, (licence, ids) in enumerate(RULES) if len(ids) > 1]
-    norm = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
-    parts = [f"SELECT doc_id, '{licence}' AS licence, {i} AS rule FROM hit WHERE sentence_id = {quote(x)}" for i, licence, x in single]
-    for i, licence, ids in double:
-        joins = " ".join(f"JOIN hit h{k} ON h{k}.doc_id = h0.doc_id AND h{k}.pos > h{k - 1}.pos AND h{k}.sentence_id = {quote(x)}" for k, x in enumerate(ids) if k)
-        parts.append(f"SELECT h0.doc_id, '{licence}' AS licence, {i} AS rule FROM hit h0 {joins} WHERE h0.sentence_id = {quote(ids[0])}")
+    norm = "' ' || trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')) || ' '"
+    known = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in sentences.items())
+    steps = ", ".join(f"({i}, {quote(licence)}, {k}, {quote(x)}, {len(ids)})" for i, (licence, ids) in enumerate(rules) for k, x in enumerate(ids))
     return f"""
-WITH known AS (SELECT id AS sentence_id, {norm.format('s')} AS sentence FROM (VALUES {known}) v(id, s)),
-split AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '[.!?;]+[ \\t\\r]+|[\\r\\n]+') AS parts FROM documents WHERE doc_id IS NOT NULL),
-each AS (SELECT DISTINCT doc_id, i AS pos, {norm.format('parts[i]')} AS sentence FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM split)),
-hit AS (SELECT doc_id, pos, sentence_id FROM each JOIN known USING (sentence)),
-met AS ({' UNION ALL '.join(parts)}),
-n AS (SELECT doc_id, count(*) AS n_sentences FROM hit GROUP BY doc_id)
-SELECT doc_id, licence, CAST(min(rule) AS BIGINT) AS rule, CAST(max(n_sentences) AS BIGINT) AS n_sentences FROM met JOIN n USING (doc_id) GROUP BY doc_id, licence
+WITH RECURSIVE known AS (SELECT id, {norm.format('s')} AS s FROM (VALUES {known}) v(id, s)),
+step AS (SELECT * FROM (VALUES {steps}) v(rule, licence, k, id, n)),
+d AS (SELECT doc_id, {norm.format("coalesce(text, '')")} AS t FROM documents WHERE doc_id IS NOT NULL),
+hit AS (SELECT doc_id, id, t, s, (length(t) - length(replace(t, s, ' '))) // (length(s) - 1) AS times FROM d, known WHERE contains(t, s)),
+walk AS (SELECT doc_id, rule, licence, 0 AS k, n, instr(t, s) AS pos FROM hit JOIN step USING (id) WHERE k = 0
+UNION ALL SELECT w.doc_id, w.rule, w.licence, w.k + 1, w.n, w.pos + instr(substr(t, w.pos + 1), s) FROM walk w JOIN step x ON x.rule = w.rule AND x.k = w.k + 1 JOIN hit h ON h.doc_id = w.doc_id AND h.id = x.id WHERE instr(substr(t, w.pos + 1), s) > 0),
+met AS (SELECT DISTINCT doc_id, licence, rule FROM walk WHERE k = n - 1)
+SELECT doc_id, licence, CAST(min(rule) AS BIGINT) AS rule, CAST(any_value(n_sentences) AS BIGINT) AS n_sentences FROM met JOIN (SELECT doc_id, sum(times) AS n_sentences FROM hit GROUP BY 1) USING (doc_id)
+WHERE licence <> 'BSD-2-Clause' OR doc_id NOT IN (SELECT doc_id FROM met WHERE licence = 'BSD-3-Clause') GROUP BY 1, 2
 """
 
 

@@ -34,6 +34,12 @@ def test_wrapped(spark):
         (14, wrapped("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. " + S["mpl2-copy"] + ".", "// ")),
         (13, wrapped(S["lgpl3-redistribute"] + ".")),
     ]
+    rows += [
+        (20, "// SPDX-License-Identifier: BSL-1.0\nint main() {}"),
+        (21, "This work is licensed under a Creative Commons\nAttribution-NonCommercial-ShareAlike 4.0 International License."),
+        (22, "This work is licensed under the GNU Affero General Public License, version 3."),
+        (23, wrapped(licenses.SINGLE["Zlib"].replace(":", ".") + " And more.", " * ")),
+    ]
     got = {}
     for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         got.setdefault(r.doc_id, set()).add(r.licence)
@@ -43,5 +49,14 @@ def test_wrapped(spark):
             assert (r.rule, r.n_sentences) == (3, 2)
     assert got == {
         1: {"Apache-2.0"}, 2: {"MIT"}, 3: {"GPL-3.0-or-later"}, 4: {"BSD", "BSD-2-Clause"}, 5: {"BSD", "BSD-3-Clause"}, 6: {"GPL-2.0-or-later"}, 7: {"LGPL-2.1-or-later"},
-        8: {"ISC"}, 9: {"AGPL-3.0-or-later"}, 10: {"Unlicense"}, 12: {"CC-BY-SA-4.0"}, 13: {"LGPL-3.0-or-later"}, 14: {"MPL-2.0"},
+        8: {"ISC"}, 9: {"AGPL-3.0-or-later"}, 10: {"Unlicense"}, 12: {"CC-BY-SA-4.0"}, 13: {"LGPL-3.0-or-later"}, 14: {"MPL-2.0"}, 20: {"BSL-1.0"}, 21: {"CC-BY-NC-SA-4.0"}, 22: {"AGPL-3.0-only"}, 23: {"Zlib"},
     }
+
+
+def test_own_catalogue(spark):
+    """Any identifiers, two for one sentence, rules that repeat an identifier."""
+    sentences = licenses.sentence_table(spark, {"a.*(": "Do what you like", "b,": "Do what  you LIKE!", "c": "keep this notice", "empty": "..."})
+    rules = licenses.rule_table(spark, [("one", ["a.*(", "c", "a.*("]), ("two", ["b,"]), ("three", ["c", "b,", "c"])])
+    rows = [(1, "Do what you like.\nKeep this notice.\nDo what you like."), (2, "Keep this notice. Do what you like."), (3, "...\n!"), (4, None)]
+    got = {(r.doc_id, r.licence): r.rule for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), sentences, rules).collect()}
+    assert got == {(1, "one"): 0, (1, "two"): 1, (2, "two"): 1}
