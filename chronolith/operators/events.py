@@ -100,3 +100,8 @@ def impacts(alerts: DataFrame) -> DataFrame:
     """Alerts with a row for each sector: sector and what the level means there."""
     table = F.array(*[F.struct(F.lit(s).alias("sector"), F.lit(n).alias("_level"), F.lit(text).alias("impact")) for s, own in SECTOR_IMPACTS.items() for n, text in own.items()])
     return alerts.select("*", F.inline(table)).where(F.col("_level") == F.lower("level")).drop("_level")
+
+
+def first_alerts(alerts: DataFrame, n: int) -> DataFrame:
+    """The n highest alerts, by level, then peak, then code: what a short message has room for."""
+    return alerts.orderBy(rank_of(F.lower("level")).desc(), F.desc("peak_s4"), "code").limit(n)

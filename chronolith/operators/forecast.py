@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,3 +87,27 @@ def rollout(samples: DataFrame, x: str, coefficients: list[float], intercept: fl
 def ensemble(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Mean and both deviations over members: std_dropout of a sample, std_members of the whole."""
     return df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std_dropout"), F.stddev_pop(value).alias("std_members"), F.count(value).alias("n"))
+
+
+def fit_linear(samples: DataFrame, x: str, y: str, mask: str) -> tuple[list[float], float]:
+    """Coefficients and intercept of the linear scorer of rollout(), by least squares over all samples whose target is there."""
+    own = samples.where(F.col(mask)).select(array_to_vector(x).alias("features"), F.col(y).cast("double").alias("label"))
+    model = LinearRegression(solver="normal", standardization=False).fit(own)
+    return [float(c) for c in model.coefficients], float(model.intercept)
+
+
+def cross_validate(rows: DataFrame, x: str, y: str, fold: str, held: str) -> DataFrame:
+    """By fold of `rows` (fold, held, x, y): slope and intercept of a one-feature scorer fitted on what isn't held out, and its mae, rmse and n on what is.
+
+    The fits are aggregates of all folds at once. A fold that can't be fitted, or holds nothing out, has no row.
+    """
+    own = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    fits = own.where(~F.col(held)).groupBy(fold).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept")).where("slope is not null")
+    e = F.col("slope") * F.col(x) + F.col("intercept") - F.col(y)
+    return own.where(F.col(held)).join(fits, fold).groupBy(fold, "slope", "intercept").agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.count("*").alias("n"))
+
+
+def over_folds(scores: DataFrame, metrics: list[str]) -> DataFrame:
+    """(metric, mean, std) over the folds of cross_validate()."""
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])
+    return scores.select(F.inline(rows)).groupBy("metric").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))

@@ -547,6 +547,58 @@ def rollout_linear(spark, sf):
     return forecast.rollout(last, "x", _COEF, _ICPT, 12, 0.1)
 
 
+_LAGGED = f"{V.GRID}, lagged AS (SELECT station_id, t, s4 AS y, lag(s4) OVER (PARTITION BY station_id ORDER BY t) AS x FROM grid)"
+_CV = "own AS (SELECT * FROM f WHERE x IS NOT NULL AND y IS NOT NULL), fit AS (SELECT fold, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM own WHERE NOT held GROUP BY 1), e AS (SELECT fold, slope, intercept, slope * x + intercept - y AS e FROM own JOIN fit USING (fold) WHERE held AND slope IS NOT NULL), cv AS (SELECT fold, slope, intercept, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, count(*) AS n FROM e GROUP BY 1, 2, 3)"
+
+
+def _lagged(spark, sf):
+    from pyspark.sql import Window
+
+    return V.grid(spark, sf).select("station_id", "t", F.col("s4").alias("y"), F.lag("s4").over(Window.partitionBy("station_id").orderBy("t")).alias("x"))
+
+
+def _weekly(spark, sf):
+    """Folds that train on all before a week and are validated in it."""
+    plan = F.array(*[F.struct(F.lit(k).cast("long").alias("fold"), F.expr(f"TIMESTAMP_NTZ'2024-01-{8 + 7 * k:02d} 00:00:00'").alias("at")) for k in range(3)])
+    return _lagged(spark, sf).select("*", F.inline(plan)).where(F.col("t") < F.expr("at + interval 7 days")).withColumn("held", F.col("t") >= F.col("at"))
+
+
+_WEEKLY = f"{_LAGGED}, f AS (SELECT *, t >= a AS held FROM lagged, (VALUES (0::BIGINT, TIMESTAMP '2024-01-08'), (1, TIMESTAMP '2024-01-15'), (2, TIMESTAMP '2024-01-22')) v(fold, a) WHERE t < a + INTERVAL '7 days'), {_CV}"
+
+
+@query(f"WITH {_WEEKLY} SELECT fold, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(mae, 6) AS mae, round(rmse, 6) AS rmse, n FROM cv")
+def cv_temporal(spark, sf):
+    return forecast.cross_validate(_weekly(spark, sf), "x", "y", "fold", "held")
+
+
+@query(f"WITH {_WEEKLY} SELECT 'mae' AS metric, round(avg(mae), 6) AS mean, round(stddev_pop(mae), 6) AS std FROM cv UNION ALL SELECT 'rmse', round(avg(rmse), 6), round(stddev_pop(rmse), 6) FROM cv")
+def cv_summary(spark, sf):
+    return forecast.over_folds(forecast.cross_validate(_weekly(spark, sf), "x", "y", "fold", "held"), ["mae", "rmse"])
+
+
+@query(f"WITH {_LAGGED}, f AS (SELECT k AS fold, station_id % 5 = k AS held, x, y FROM lagged, (SELECT unnest(range(0, 5)) AS k)), {_CV} SELECT fold, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(mae, 6) AS mae, round(rmse, 6) AS rmse, n FROM cv")
+def cv_spatial(spark, sf):
+    """Folds that hold every fifth station out."""
+    folds = _lagged(spark, sf).withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")))).withColumn("held", F.col("station_id") % 5 == F.col("fold"))
+    return forecast.cross_validate(folds, "x", "y", "fold", "held")
+
+
+@query(f"""WITH RECURSIVE {V.GRID}, num AS (SELECT station_id, s4 IS NOT NULL AS mask, coalesce(s4, 0) AS y, lag(coalesce(s4, 0)) OVER (PARTITION BY station_id ORDER BY t) AS x, row_number() OVER (PARTITION BY station_id ORDER BY t DESC) AS i FROM grid),
+fit AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM num WHERE mask AND x IS NOT NULL), r AS (SELECT station_id, 0::BIGINT AS forecast_step, x AS v FROM num WHERE i = 1 UNION ALL SELECT station_id, forecast_step + 1, greatest(0, least(1, a * v + b)) FROM r, fit WHERE forecast_step < 12)
+SELECT station_id, forecast_step, round(v, 6) AS s4_forecast FROM r WHERE forecast_step > 0""")
+def rollout_fitted(spark, sf):
+    """A scorer fitted on all samples of one step, rolled out from each station's last sample."""
+    own = forecast.windows(V.grid(spark, sf), "s4", "t", ["station_id"], 1)
+    last = own.groupBy("station_id").agg(F.max_by("x", "t").alias("x"))
+    return forecast.rollout(last, "x", *forecast.fit_linear(own, "x", "y", "mask"), 12).select("station_id", "forecast_step", "s4_forecast")
+
+
+@query(f"""WITH {_EVENTS}, act AS (SELECT * FROM ev WHERE "end" >= TIMESTAMP '2024-01-15') SELECT format('EVT-{{:05d}}', event_id) AS code, station_id, upper(act.level) AS level, round(peak_s4, 4) AS peak_s4 FROM act JOIN lv ON lv.level = act.level ORDER BY rk DESC, round(peak_s4, 4) DESC, code LIMIT 5""")
+def first_alerts(spark, sf):
+    rows = events.alerts(_events(spark, sf), F.expr("TIMESTAMP_NTZ'2024-01-15 00:00:00'"), "station_id")
+    return events.first_alerts(rows, 5).select("code", "station_id", "level", "peak_s4")
+
+
 # Sources
 
 

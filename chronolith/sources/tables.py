@@ -18,6 +18,24 @@ def read_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> D
         return spark.createDataFrame([], schema)
 
 
+def station_layer(spark: SparkSession, folder: str, name: str = "station_id") -> DataFrame:
+    """All `<station>.parquet` files or folders below the folder, with the station from the path."""
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(folder)
+    return rows.withColumn(name, F.regexp_extract("_metadata.file_path", r"/([^/]+)\.parquet(?:/[^/]*)?$", 1))
+
+
+def settings(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row: the JSON settings at path, as `schema` has them; what is missing there is null."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def thresholds(spark: SparkSession, path: str, default: dict[str, float]) -> dict[str, float]:
+    """events.thresholds of the settings (a number a level), or the default of a level that has none."""
+    row = settings(spark, path, "events struct<thresholds: map<string, double>>").first()
+    own = (row["events"]["thresholds"] if row and row["events"] else None) or {}
+    return {level: own.get(level) if own.get(level) is not None else least for level, least in default.items()}
+
+
 def latest_csv(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """The CSV file whose name sorts last."""
     rows = spark.read.schema(schema).option("header", True).csv(folder).withColumn("_file", F.col("_metadata.file_name"))

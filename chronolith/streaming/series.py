@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 
 def resample_stream(df: DataFrame, time: str, step: str, key: str, value: str, late: str = "1 hour") -> DataFrame:
@@ -19,3 +20,13 @@ def sessions_stream(df: DataFrame, time: str, key: str, value: str, threshold: f
     """Runs of values at the threshold or above, broken by a gap in time."""
     on = df.withWatermark(time, late).where(F.col(value) >= threshold)
     return on.groupBy(key, F.session_window(time, gap)).agg(F.max(value).alias("peak"), F.count("*").alias("n")).select(key, F.col("session_window.start").alias("onset"), "peak", "n")
+
+
+def write_batches(df: DataFrame, path: str, checkpoint: str, partition: str | None = None) -> DataStreamWriter:
+    """A stream into a Parquet layer, a folder a batch: a batch that is run again after a failure takes its own folder's place, so no row comes twice."""
+
+    def put(rows: DataFrame, batch: int) -> None:
+        writer = rows.write.mode("overwrite")
+        (writer.partitionBy(partition) if partition else writer).parquet(f"{path}/batch={batch}")
+
+    return df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)

@@ -275,3 +275,37 @@ def test_sinks(spark, tmp_path):
         sinks.append_csv(df, f"file://{tmp_path}/history")
         sinks.write_json(df, f"file://{tmp_path}/latest")
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/history").count() == 6 and spark.read.json(f"file://{tmp_path}/latest").count() == 3
+
+
+def test_stations_from_paths_and_settings(spark, tmp_path):
+    for station in ("LAG1", "NKLG"):
+        spark.createDataFrame([(station.lower(), 1.0)], "v string, s4 double").coalesce(1).write.parquet(f"file://{tmp_path}/layer/{station}.parquet")
+    assert sorted((r.station_id, r.v) for r in tables.station_layer(spark, f"file://{tmp_path}/layer").collect()) == [("LAG1", "lag1"), ("NKLG", "nklg")]
+    (tmp_path / "c.json").write_text('{"events": {\n "thresholds": {"watch": 0.2}}}')
+    assert tables.thresholds(spark, f"file://{tmp_path}/c.json", {"watch": 0.3, "severe": 0.7}) == {"watch": 0.2, "severe": 0.7}
+    (tmp_path / "d.json").write_text("{}")
+    assert tables.thresholds(spark, f"file://{tmp_path}/d.json", {"watch": 0.3}) == {"watch": 0.3}
+
+
+def test_fitted_scorer(spark):
+    rows = [([float(i % 7), float(i % 5)], 0.5 * (i % 7) - 0.25 * (i % 5) + 1, True) for i in range(60)] + [([100.0, 3.0], 0.0, False)]
+    coefficients, intercept = forecast.fit_linear(spark.createDataFrame(rows, "x array<double>, y double, mask boolean"), "x", "y", "mask")
+    assert [round(c, 6) for c in [*coefficients, intercept]] == [0.5, -0.25, 1]
+
+
+def _stream(spark, tmp_path, rows):
+    spark.createDataFrame([(k, T0 + dt.timedelta(minutes=m), v) for k, m, v in rows], "k long, t timestamp, v double").write.parquet(f"{tmp_path}/in")
+    return spark.readStream.schema("k long, t timestamp, v double").parquet(f"{tmp_path}/in")
+
+
+def test_dedupe_stream_in_batches(spark, tmp_path):
+    source = _stream(spark, tmp_path, [(1, 0, 1.0), (1, 0, 1.0), (2, 5, 2.0), (1, 0, 3.0)])
+    for _ in range(2):  # started again, it finds nothing new
+        series.write_batches(series.dedupe_stream(source, "t", ["k", "t"]), f"{tmp_path}/out", f"{tmp_path}/cp", "k").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2]
+
+
+def test_sessions_stream(spark, tmp_path):
+    source = _stream(spark, tmp_path, [(1, m, v) for m, v in ((0, 0.5), (10, 0.9), (20, 0.1), (30, 0.6), (70, 0.4), (100, 0.1), (3000, 0.5))])
+    series.sessions_stream(source, "t", "k", "v", 0.4).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.peak, r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(0.4, 1), (0.9, 3)]
