@@ -23,9 +23,12 @@ def resample(df: DataFrame, time: str, step: str, how: Mapping[str, str], by: li
     bins = df.groupBy(*by, F.window(time, step).alias("_w")).agg(*[agg(c, f).alias(c) for c, f in how.items()]).select(*by, F.col("_w.start").alias(time), *how)
     if not dense:
         return bins
-    span = bins.groupBy(*by).agg(F.min(time).alias("_lo"), F.max(time).alias("_hi"))
-    grid = span.select(*by, F.explode(F.sequence("_lo", "_hi", F.expr(f"interval {step}"))).alias(time))
-    return grid.join(bins, [*by, time], "left")
+    # A bin gives itself and the empty ones up to the next: one window, no second pass over the rows.
+    following = F.lead(time).over(Window.partitionBy(*by).orderBy(time))
+    width = F.expr(f"interval {step}")
+    spread = bins.withColumn("_at", F.sequence(F.col(time), F.coalesce(following - width, F.col(time)), width))
+    rows = spread.select(*by, F.posexplode("_at").alias("_i", "_t"), *how)
+    return rows.select(*by, F.col("_t").alias(time), *[F.when(F.col("_i") == 0, F.col(c)).alias(c) for c in how])
 
 
 def fill_gaps(df: DataFrame, time: str, columns: list[str], by: list[str], limit: int, strict: bool = False, by_time: bool = False) -> DataFrame:

@@ -56,10 +56,12 @@ b AS (SELECT s.lat, s.lon, s.epoch, m.epoch AS pe, m.tec AS pv FROM steps s ASOF
 f AS (SELECT s.lat, s.lon, s.epoch, m.epoch AS ne, m.tec AS nv FROM steps s ASOF LEFT JOIN maps m ON m.lat = s.lat AND m.lon = s.lon AND s.epoch <= m.epoch)
 SELECT lat, lon, epoch, round(CASE WHEN pv IS NULL THEN NULL WHEN nv IS NULL OR ne = pe THEN pv ELSE pv + (nv - pv) * (epoch_us(epoch) - epoch_us(pe)) / (epoch_us(ne) - epoch_us(pe)) END, 6) AS tec FROM b JOIN f USING (lat, lon, epoch)""")
 def upsample_time_linear(spark, sf):
-    maps = V.maps(spark, sf)
-    ends = maps.agg(F.min("epoch").alias("lo"), F.max("epoch").alias("hi"))
-    steps = ends.select(F.explode(F.sequence("lo", "hi", F.expr("interval 30 days"))).alias("epoch"))
-    return clean.upsample(maps, maps.select("lat", "lon").distinct().crossJoin(steps), "epoch", "tec", ["lat", "lon"])
+    # Cells and ends come from the rows themselves, so that the maps are aggregated once.
+    rows = V.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("lat"), F.col("l_linenumber").cast("long").alias("lon"), F.col("l_shipdate").alias("epoch"))
+    ends = rows.agg(F.min("epoch").alias("lo"), F.max("epoch").alias("hi"))  # one row
+    steps = ends.select(F.sequence("lo", "hi", F.expr("interval 30 days")).alias("steps"))
+    grid = rows.select("lat", "lon").distinct().crossJoin(F.broadcast(steps)).select("lat", "lon", F.explode("steps").alias("epoch"))
+    return clean.upsample(V.maps(spark, sf), grid, "epoch", "tec", ["lat", "lon"])
 
 
 _IQR = f"WITH {V.OBS}, q AS (SELECT station_id, quantile_cont(s4, 0.25) AS a, quantile_cont(s4, 0.75) AS b FROM obs GROUP BY 1)"
