@@ -139,7 +139,9 @@ def _compare(numer: int, denom: int):
             least = np.minimum(points[others], points[x]).sum(1, dtype=np.int64)
             if full[x]:
                 least[full[others]] = 1 << 40
-            return others[least * (numer + denom) >= numer * (n[x] + n[others])]
+            on = np.flatnonzero(least * (numer + denom) >= numer * (n[x] + n[others]))
+            # The nearest first: once linked, what else is in its component needs no comparison.
+            return others[on[np.argsort((n[x] + n[others[on]]) / np.maximum(least[on], 1), kind="stable")]]
 
         def confirm(x: int, y: int) -> bool:
             both = np.concatenate([sets[x], sets[y]])
