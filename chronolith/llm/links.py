@@ -196,7 +196,7 @@ def link(cells: DataFrame, facts: DataFrame, compare: Callable[[pa.Table], pa.Ta
     """(node, comp) of the nodes that have a link.
 
     cells: rows of CELLS, written. facts: (node, ...), what compare reads of a node, written. compare: a table of tile,
-    node, comp, size, query and the facts -> links (a, b), see spanning(). band: a whole number of a node's size that differs
+    node, comp, size, query, cell, own and the facts -> links (a, b), see spanning(). band: a whole number of a node's size that differs
     by one at most between linked nodes; a large cell is then compared band by band.
     """
 
@@ -204,8 +204,9 @@ def link(cells: DataFrame, facts: DataFrame, compare: Callable[[pa.Table], pa.Ta
         own = tiles.join(facts, "node").withColumn("deal", F.pmod(F.xxhash64(deal), F.lit(buckets)))
         return shared.written(own.groupBy("deal").applyInArrow(compare, "a long, b long"), "links")
 
-    columns = ["tile", "node", "comp", "size", "query"]
-    small = cells.where(F.col("members") <= TILE).select(F.col("cell").alias("tile"), "node", F.col("node").alias("comp"), "size", F.lit(BOTH).alias("query"), "lead")
+    columns = ["tile", "node", "comp", "size", "query", "cell", "own"]
+    alone = F.array().cast("array<long>").alias("own")
+    small = cells.where(F.col("members") <= TILE).select(F.col("cell").alias("tile"), "node", F.col("node").alias("comp"), "size", F.lit(BOTH).alias("query"), "cell", alone, "lead")
     found = linked(small, F.col("lead"))
     large = shared.written(cells.where(F.col("members") > TILE).select("cell", "node", "size", F.ceil(F.col("members") / TILE).alias("parts")), "large")
     if not large.head(1):
@@ -217,20 +218,22 @@ def link(cells: DataFrame, facts: DataFrame, compare: Callable[[pa.Table], pa.Ta
     part = lambda c: F.xxhash64("cell", c)
     star = large.withColumn("part", F.pmod(F.xxhash64("node"), "parts")).withColumn("query", F.lit(MEMBER))
     star = star.unionByName(pivot.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("query", F.lit(QUERY)))
-    star = star.select(part("part").alias("tile"), "node", F.col("node").alias("comp"), "size", "query")
+    star = star.select(part("part").alias("tile"), "node", F.col("node").alias("comp"), "size", "query", "cell", alone)
     near = linked(star, F.col("tile"))
     comp = components(found.unionByName(near))
     named = lambda t: t.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     # The pivot has met every member, so it has no part in what follows. Who isn't in its component asks.
     middle = named(pivot.select("cell", "node")).select("cell", F.col("node").alias("pivot"), F.col("comp").alias("main"))
-    marked = named(large).join(middle, "cell").where("node <> pivot").select("cell", "node", "size", "comp", (F.col("comp") != F.col("main")).alias("minor"))
+    # Nodes that share several large cells are compared in the least of these, which each node's list of cells tells.
+    own = large.groupBy("node").agg(F.sort_array(F.collect_set("cell")).alias("own"))
+    marked = named(large).join(middle, "cell").where("node <> pivot").join(own, "node").select("cell", "node", "size", "comp", (F.col("comp") != F.col("main")).alias("minor"), "own")
     several = marked.where("minor").select("cell").distinct()
     marked = shared.written(marked.join(several, "cell").withColumn("band", F.lit(0) if band is None else band), "several")
     asking = marked.where("minor") if band is None else marked.where("minor").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     sizes = asking.groupBy("cell", "band").agg(F.count("*").alias("asking")).join(marked.groupBy("cell", "band").agg(F.count("*").alias("members")), ["cell", "band"])
-    sizes = shared.written(sizes.select("cell", "band", F.ceil(F.col("asking") / TILE).alias("rows"), F.ceil(F.col("members") / TILE).alias("parts")), "sizes")
+    sizes = shared.written(sizes.select("cell", "band", F.ceil(F.col("asking") / (TILE // 4)).alias("rows"), F.ceil(F.col("members") / TILE).alias("parts")), "sizes")
     # Tile (i, j) of a cell and band holds part i of those that ask and may be linked to the band, and part j of the band's
-    # members: every one that asks meets every member once, and a tile has at most about 2 TILE rows.
+    # members: every one that asks meets every member once, and a tile has at most about 1.25 TILE rows.
     last = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
     member = marked.join(sizes, ["cell", "band"]).withColumn("tile_j", F.pmod(F.xxhash64("node"), "parts")).withColumn("tile_i", F.explode(last("rows"))).withColumn("query", F.lit(MEMBER))
     query = asking.join(sizes, ["cell", "band"]).withColumn("tile_i", F.pmod(F.xxhash64(F.lit(1), F.col("node")), "rows")).withColumn("tile_j", F.explode(last("parts"))).withColumn("query", F.lit(QUERY))
@@ -245,8 +248,8 @@ def link(cells: DataFrame, facts: DataFrame, compare: Callable[[pa.Table], pa.Ta
         return comp
     up = above.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
     inner = comp.join(up, "comp", "left").select("node", F.coalesce("far", "comp").alias("comp"))
-    alone = above.join(comp.select("node"), "node", "left_anti")
-    return shared.written(inner.unionByName(alone), "groups")
+    single = above.join(comp.select("node"), "node", "left_anti")
+    return shared.written(inner.unionByName(single), "groups")
 
 
 MEMBER, QUERY, BOTH = 0, 1, 2
@@ -256,12 +259,25 @@ def spanning(table: pa.Table, candidates: Callable[[int, np.ndarray], np.ndarray
     """Links (a, b) that connect what is linked in the table's tiles, tile after tile; what they have connected isn't compared again.
 
     Nodes are numbered by place (of each row; first: a row of each). In a tile queries meet members, or BOTH each other.
-    candidates(x, others) narrows numbers of nodes of other components down to those that may be linked to x; confirm says.
-    arranged: puts a tile's members into an order that candidates is made for.
+    Nodes that share another cell before this one, by their lists `own`, are compared there. candidates(x, others) narrows
+    numbers of nodes of other components down to those that may be linked to x; confirm says. arranged: puts a tile's members into an order that candidates is made for.
     """
     node, query = table.column("node").to_numpy()[first], table.column("query").to_numpy()
     label = np.unique(table.column("comp").to_numpy()[first], return_inverse=True)[1]
-    tile = table.column("tile").to_numpy()
+    tile, cell = table.column("tile").to_numpy(), table.column("cell").to_numpy()
+    lists = table.column("own").take(pa.array(first)).to_pylist()
+    long = np.array([len(x) for x in lists], np.int64)
+    width = int(long.max(initial=0))
+    filled = np.arange(width) >= long[:, None]
+    own = np.zeros((len(lists), width), np.int64)
+    own[~filled] = [c for x in lists for c in x]
+
+    def elsewhere(x: int, others: np.ndarray, here: int) -> np.ndarray:
+        """Which of the others share a cell below this one with x."""
+        mine = own[x][~filled[x]]
+        mine = mine[mine < here]
+        return (np.isin(own[others], mine) & ~filled[others]).any(1) if len(mine) else np.zeros(len(others), bool)
+
     order = np.lexsort((query == MEMBER, tile))
     edges = np.append(np.flatnonzero(np.append(True, tile[order][1:] != tile[order][:-1])), len(order)) if len(order) else np.zeros(1, np.int64)
     out_a, out_b = [], []
@@ -277,6 +293,8 @@ def spanning(table: pa.Table, candidates: Callable[[int, np.ndarray], np.ndarray
         for i, x in enumerate(asks):
             others = members[i + 1 :] if both else members
             others = others[label[others] != label[x]]
+            if not both and len(others) and width:
+                others = others[~elsewhere(x, others, cell[rows[0]])]
             if not len(others):
                 continue
             for y in candidates(x, others):
