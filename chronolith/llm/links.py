@@ -142,14 +142,14 @@ def cells(packed: DataFrame, gap: float) -> DataFrame:
     return shared.written(out.distinct(), "cells")
 
 
-#: Counters of the sketch of key frequencies: about one for every 16 bytes of text, within these bounds.
-LEAST_SKETCH, MOST_SKETCH = 1 << 22, 1 << 26
+#: Counters of the sketch of key frequencies: about one for every 128 bytes of text, within these bounds (four bytes each in a task).
+LEAST_SKETCH, MOST_SKETCH = 1 << 22, 1 << 24
 #: Counters in a row, and how many tasks' rows one group adds up.
 _SLICE, _FAN_IN = 1 << 16, 64
 
 
 def sketch_size(n_bytes: int) -> int:
-    return min(MOST_SKETCH, max(LEAST_SKETCH, 1 << (n_bytes // 16).bit_length()))
+    return min(MOST_SKETCH, max(LEAST_SKETCH, 1 << (n_bytes // 128).bit_length()))
 
 
 def sketch_rows(counts: np.ndarray, task: int) -> pa.RecordBatch:
