@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import links, shared, vec
+from . import links, pivots, shared, vec
 from .vec import mix
 
 WORDS, NUMER, DENOM = 5, 75, 100
@@ -61,9 +61,9 @@ def prefix_size(n: int, numer: int, denom: int) -> int:
     return n + (-n * numer // denom) + 1 if n else 0
 
 
-def vector(s: np.ndarray) -> np.ndarray:
+def vector(s: np.ndarray) -> bytes:
     """Counts of the shingles by group, one byte each; 255 stands for any larger count, and is read as one that no bound is lowered by."""
-    return np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8)
+    return np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8).tobytes()
 
 
 def _entries(k: int, numer: int, denom: int, buckets: int, scale):
@@ -107,60 +107,35 @@ def _entries(k: int, numer: int, denom: int, buckets: int, scale):
 COLUMNS = ["doc_id", "n_shingles", "node", *links.NAMES]
 
 
-def _compare(numer: int, denom: int):
-    """Links of tiles: what the summed coordinate minima don't rule out, by a packed tree over the members, is compared by its set."""
+def _prune(numer: int, denom: int):
+    """Pairs of a tile that the summed coordinate minima don't rule out, by a packed tree over the members."""
 
     def run(table: pa.Table) -> pa.Table:
-        _, first, place = np.unique(table.column("node").to_numpy(), return_index=True, return_inverse=True)
-        n = table.column("size").to_numpy()[first]
-        column = table.column("items")
-        sets = [np.frombuffer(column[int(i)].as_buffer(), np.uint64) for i in first]
-        points = np.stack([vector(s) for s in sets]) if sets else np.zeros((0, GROUPS), np.uint8)
-        full = (points == 255).any(1)
-        leaves: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def arranged(members: np.ndarray) -> np.ndarray:
+        node, comp, n = (table.column(c).to_numpy() for c in ("node", "comp", "size"))
+        points = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.int32)
+        points[points == 255] = 1 << 20
+        out_a, out_b = [], []
+        for queries, members in pivots.each_tile(table):
             members = _packed_order(points, n, members)
-            leaves.clear()
-            if len(members) > 4 * LEAF:
-                edges = np.arange(0, len(members), LEAF)
-                of_node = np.zeros(len(n), np.int64)
-                of_node[members] = np.arange(len(members)) // LEAF
-                leaves.append((of_node, _wide(np.maximum.reduceat(points[members], edges, axis=0)), np.minimum.reduceat(n[members], edges), np.maximum.reduceat(n[members], edges)))
-            return members
-
-        def candidates(x: int, others: np.ndarray) -> np.ndarray:
-            if leaves:
-                of_node, corner, small, large = leaves[0]
-                need = -(-numer * (n[x] + small) // (numer + denom))
-                open_ = (np.minimum(corner, _wide(points[x])).sum(1) >= need) & (large * denom >= n[x] * numer) & (small * numer <= n[x] * denom)
-                others = others[open_[of_node[others]]]
-            others = others[(n[others] * denom >= n[x] * numer) & (n[x] * denom >= n[others] * numer)]
-            least = np.minimum(points[others], points[x]).sum(1, dtype=np.int64)
-            if full[x]:
-                least[full[others]] = 1 << 40
-            on = np.flatnonzero(least * (numer + denom) >= numer * (n[x] + n[others]))
-            # The nearest first: once linked, what else is in its component needs no comparison.
-            return others[on[np.argsort((n[x] + n[others[on]]) / np.maximum(least[on], 1), kind="stable")]]
-
-        def confirm(x: int, y: int) -> bool:
-            both = np.concatenate([sets[x], sets[y]])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            return denom * common >= numer * (n[x] + n[y] - common)
-
-        return links.spanning(table, candidates, confirm, first, place, arranged)
+            edges = np.arange(0, len(members), LEAF)
+            corner = np.maximum.reduceat(points[members], edges, axis=0)
+            small, large = np.minimum.reduceat(n[members], edges), np.maximum.reduceat(n[members], edges)
+            leaf_of = np.arange(len(members)) // LEAF
+            for q in queries:
+                need = -(-numer * (n[q] + small) // (numer + denom))
+                open_ = (np.minimum(corner, points[q]).sum(1) >= need) & (large * denom >= n[q] * numer) & (small * numer <= n[q] * denom)
+                m = members[open_[leaf_of]]
+                m = m[(comp[m] != comp[q]) & (n[m] * denom >= n[q] * numer) & (n[q] * denom >= n[m] * numer)]
+                m = m[np.minimum(points[m], points[q]).sum(1) * (numer + denom) >= numer * (n[q] + n[m])]
+                out_a.append(np.full(len(m), node[q]))
+                out_b.append(node[m])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.table({"a": both[0], "b": both[1]})
 
     return run
 
 
-def _wide(points: np.ndarray) -> np.ndarray:
-    """Counts to be summed; 255 stands for any larger one."""
-    out = points.astype(np.int32)
-    out[points == 255] = 1 << 20
-    return out
-
-
 def _packed_order(points: np.ndarray, n: np.ndarray, members: np.ndarray) -> np.ndarray:
     """Sort-tile-recursive order: tiles by size, within them by the coordinates that vary most."""
     if len(members) <= LEAF:
@@ -178,7 +153,22 @@ def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, sets in shingle_sets(batches, k):
             own = [len(s) > 0 and node_of(s) == n for s, n in zip(sets, rows.column("node").to_pylist())]  # else another text with the same doc_id
-            yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "items"]).filter(pa.array(own, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([vector(s) for s in sets], pa.binary())], ["node", "items", "vector"]).filter(pa.array(own, pa.bool_()))
+
+    return run
+
+
+def _overlap(numer: int, denom: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("x"), b.column("y")):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = np.concatenate([x, y])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                keep.append(denom * common >= numer * (len(x) + len(y) - common))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -208,13 +198,24 @@ def similar_documents(docs: DataFrame, k: int = WORDS, numer: int = NUMER, denom
     n_busy = busy.count()
     # One row each fetches its set; only where a doc_id is repeated does a set come twice and must be dropped.
     fetched = whole.join(F.broadcast(busy) if n_busy <= shared.BROADCAST_ROWS else busy, "doc_id").select("node", "text")
-    sets = shared.written(fetched.mapInArrow(_sets(k), "node long, items binary"), "sets")
+    sets = shared.written(fetched.mapInArrow(_sets(k), "node long, items binary, vector binary"), "sets")
     if sets.count() > n_busy:
         once = shared.written(sets.dropDuplicates(["node"]), "sets")
         shared.spent(sets)
         sets = once
 
-    comp = links.link(cells, sets, _compare(numer, denom), buckets)
+    def verify(pairs: DataFrame) -> DataFrame:
+        x = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
+        y = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
+        return shared.written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_overlap(numer, denom), "a long, b long"), "links")
+
+    def fits(x: str, y: str):
+        return F.expr(f"{x}.size * {denom} >= {y}.size * {numer} and {y}.size * {denom} >= {x}.size * {numer}")
+
+    def prune(tiles: DataFrame) -> DataFrame:
+        return pivots.dealt(tiles.join(sets.select("node", "vector"), "node"), _prune(numer, denom), buckets)
+
+    comp = pivots.link(cells.select("cell", "node", "size"), fits, verify, prune)
     shared.spent(cells, busy, sets)
     # Only linked sets have more than themselves in their component.
     named = shared.written(nodes.join(comp, "node").select("node", "comp", "rep"), "named")
