@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown_lm, byte_bpe, decontaminate, exact_dedup, licenses, line_dedup, ngram_join, quality, quotations, token_counts
+from . import brown_lm, byte_bpe, decontaminate, exact_dedup, fill_middle, host_rules, licenses, line_dedup, ngram_join, quality, quotations, token_counts, vector_codes
 
 QUERIES = {
     "op1_lm_scoring": brown_lm.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_byte_bpe": byte_bpe.query,
     "op9_ngram_jaccard_join": ngram_join.query,
     "op10_quality_classifier": quality.query,
+    "op11_vector_codes": vector_codes.query,
+    "op12_host_rules": host_rules.query,
+    "op13_fill_middle": fill_middle.query,
 }
-ORACLES = {"op7_license_scan": licenses.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op6_exact_dedup": exact_dedup.ORACLE, "op7_license_scan": licenses.ORACLE, "op11_vector_codes": vector_codes.ORACLE, "op12_host_rules": host_rules.ORACLE, "op13_fill_middle": fill_middle.ORACLE}

@@ -63,21 +63,26 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[t
             at = to
 
 
-def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of each word, and the n + 1 word offsets of the texts."""
+def solid(raw: np.ndarray) -> np.ndarray:
+    """Which bytes are part of a word."""
+    return ~_SPACE[raw]
+
+
+def words(raw: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each word, and the n + 1 word offsets of the texts. lower: A-Z are lower-cased first."""
     n = len(raw)
     if n == 0:
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    solid = ~_SPACE[raw]
+    inside = solid(raw)
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     before = np.empty(n, bool)
-    before[0], before[1:] = True, ~solid[:-1]
-    starts = np.flatnonzero(solid & (before | edge[:-1]))
+    before[0], before[1:] = True, ~inside[:-1]
+    starts = np.flatnonzero(inside & (before | edge[:-1]))
     after = np.empty(n, bool)
-    after[-1], after[:-1] = True, ~solid[1:]
-    ends = np.flatnonzero(solid & (after | edge[1:])) + 1
-    return hashes(_LOWER[raw], starts, ends), starts, ends, np.searchsorted(starts, off)
+    after[-1], after[:-1] = True, ~inside[1:]
+    ends = np.flatnonzero(inside & (after | edge[1:])) + 1
+    return hashes(_LOWER[raw] if lower else raw, starts, ends), starts, ends, np.searchsorted(starts, off)
 
 
 def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
