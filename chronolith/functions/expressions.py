@@ -95,8 +95,13 @@ def harmonics(t: Column, lon: Column, diurnal: int = 2, seasonal: int = 2) -> di
     return out
 
 
-def coupling(bz: Column, v: Column, n: Column, bt: Column | None = None) -> dict[str, Column]:
-    """epsilon, newell, ey, beta_sw. Without bt it is the size of bz."""
+#: What stands for a measurement that a table doesn't have at all.
+ABSENT_BZ, ABSENT_SPEED, ABSENT_DENSITY = 0.0, 400.0, 5.0
+
+
+def coupling(bz: Column | None = None, v: Column | None = None, n: Column | None = None, bt: Column | None = None) -> dict[str, Column]:
+    """epsilon, newell, ey, beta_sw. A measurement that is None has its fixed value; without bt it is the size of bz. A null stays one."""
+    bz, v, n = (F.lit(d) if c is None else c for c, d in ((bz, ABSENT_BZ), (v, ABSENT_SPEED), (n, ABSENT_DENSITY)))
     bt = F.abs(bz) if bt is None else bt
     angle = F.atan2(F.abs(bz), F.when(bt == 0, 1e-9).otherwise(bt))
     return {
@@ -118,3 +123,31 @@ def level_of(s4: Column, thresholds: dict[str, float] | None = None) -> Column:
     for name in sorted(at, key=at.get, reverse=True):
         out = out.when(s4 >= at[name], name)
     return out.otherwise("quiet")
+
+
+def nested(c: Column, *keys: str, default: Column | None = None) -> Column:
+    """What a map of maps holds under the keys one below the other; the default where a key is missing on the way, or null."""
+    value = c
+    for k in keys:
+        value = F.try_element_at(value, F.lit(k))
+    return value if default is None else F.coalesce(value, default)
+
+
+def json_nested(text: Column, *keys: str, default: Column | None = None) -> Column:
+    """As nested(), of JSON text; a string."""
+    value = F.get_json_object(text, "$" + "".join(f"['{k}']" for k in keys))
+    return value if default is None else F.coalesce(value, default)
+
+
+#: Parts of a daily observation file's name: station, year, day of the year, kind and ending.
+_FILE = r"^([A-Za-z0-9]{4})[A-Za-z0-9]*_(\d{4})(\d{3})\d{4}_(\w+?)_(\w+?)_(\w{2})\.([a-z]+)(?:\.(gz|Z))?$"
+
+
+def file_tokens(path: Column) -> dict[str, Column]:
+    """station (upper case), day, span, rate, kind, format, packed of a file's name, as `abcd0000_20240150000_01D_30S_MO.crx.gz`; all null for another name."""
+    name = F.element_at(F.split(path, "/"), -1)
+    part = lambda i: F.when(name.rlike(_FILE), F.regexp_extract(name, _FILE, i))
+    # A day that its year doesn't have is none.
+    day = F.date_add(F.make_date(part(2).try_cast("int"), F.lit(1), F.lit(1)), part(3).try_cast("int") - 1)
+    valid = F.year(day) == part(2).try_cast("int")
+    return {"station": F.upper(part(1)), "day": F.when(valid, day), "span": part(4), "rate": part(5), "kind": part(6), "format": part(7), "packed": F.nullif(part(8), F.lit(""))}

@@ -38,10 +38,11 @@ def asof_join(left: DataFrame, right: DataFrame, time: str, payload: list[str],
     both = l.unionByName(r)
     part = Window.partitionBy(*by, "_b")
     back = part.orderBy("_at", F.desc("_side"), "_seq").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = part.orderBy("_at", "_side", F.desc("_seq")).rowsBetween(0, Window.unboundedFollowing)
+    # From the end, as a frame to the end of an ascending window would be gone through anew for each row.
+    ahead = part.orderBy(F.desc("_at"), F.desc("_side"), "_seq").rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("_p", F.last("_r", True).over(back))
     if direction == "nearest":
-        both = both.withColumn("_n", F.first("_r", True).over(ahead))
+        both = both.withColumn("_n", F.last("_r", True).over(ahead))
         before, after = F.col("_at") - F.col("_p.at"), F.col("_n.at") - F.col("_at")
         both = both.withColumn("_p", F.when(after.isNull() | (before <= after), F.col("_p")).otherwise(F.col("_n")))
     hit = F.abs(F.col("_at") - F.col("_p.at")) <= tolerance_us

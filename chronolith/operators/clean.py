@@ -1,14 +1,15 @@
-"""Resampling, gap filling, outliers and scaling of series, a key at a time; all parts are windows or aggregates by key."""
+"""Resampling, gap filling, outliers and scaling of series by key, in buckets of time (see segments) and aggregates."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.functions.expressions import clip, micros
 from chronolith.operators.ordered import quantiles
+from chronolith.operators.segments import DAY_US, numbered, scan
 
 AGGREGATES = {"mean": F.avg, "max": F.max, "min": F.min, "sum": F.sum, "median": F.median, "count": F.count}
 
@@ -23,10 +24,9 @@ def resample(df: DataFrame, time: str, step: str, how: Mapping[str, str], by: li
     bins = df.groupBy(*by, F.window(time, step).alias("_w")).agg(*[agg(c, f).alias(c) for c, f in how.items()]).select(*by, F.col("_w.start").alias(time), *how)
     if not dense:
         return bins
-    # A bin gives itself and the empty ones up to the next: one window, no second pass over the rows.
-    following = F.lead(time).over(Window.partitionBy(*by).orderBy(time))
+    # A bin gives itself and the empty ones up to the next.
     width = F.expr(f"interval {step}")
-    spread = bins.withColumn("_at", F.sequence(F.col(time), F.coalesce(following - width, F.col(time)), width))
+    spread = scan(bins, by, [time], leads={"_next": F.col(time)}).withColumn("_at", F.sequence(F.col(time), F.coalesce(F.col("_next") - width, F.col(time)), width))
     rows = spread.select(*by, F.posexplode("_at").alias("_i", "_t"), *how)
     return rows.select(*by, F.col("_t").alias(time), *[F.when(F.col("_i") == 0, F.col(c)).alias(c) for c in how])
 
@@ -37,31 +37,30 @@ def fill_gaps(df: DataFrame, time: str, columns: list[str], by: list[str], limit
     A null is filled if one of the values beside it is at most `limit` rows away; strict: only if its gap has at most
     `limit` rows and a value on either side. by_time: the line follows the time instead of the row number.
     """
-    order = Window.partitionBy(*by).orderBy(time)
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    df = df.withColumn("_row", F.row_number().over(order).cast("long")).withColumn("_x", micros(time) if by_time else F.col("_row"))
+    df = numbered(df, by, [time]).withColumn("_x", micros(time) if by_time else F.col("_row"))
+    seen = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("_row").alias("r"), F.col("_x").alias("x"))) for c in columns}
+    df = scan(df, by, [time, "_row"], lasts={f"_p_{c}": x for c, x in seen.items()}, nexts={f"_n_{c}": x for c, x in seen.items()})
     for c in columns:
-        seen = F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("_row").alias("r"), F.col("_x").alias("x")))
-        df = df.withColumn("_p", F.last(seen, True).over(back)).withColumn("_n", F.first(seen, True).over(ahead))
-        p, n, row = F.col("_p"), F.col("_n"), F.col("_row")
+        p, n, row = F.col(f"_p_{c}"), F.col(f"_n_{c}"), F.col("_row")
         line = p["v"] + (n["v"] - p["v"]) * F.try_divide(F.col("_x") - p["x"], n["x"] - p["x"])
         if strict:
             fill = F.when(n["r"] - p["r"] - 1 <= limit, line)
         else:
             fill = F.when((row - p["r"] <= limit) | (n["r"] - row <= limit), F.coalesce(line, p["v"], n["v"]))
-        df = df.withColumn(c, F.coalesce(c, fill)).drop("_p", "_n")
+        df = df.withColumn(c, F.coalesce(c, fill)).drop(f"_p_{c}", f"_n_{c}")
     return df.drop("_row", "_x")
 
 
-def upsample(df: DataFrame, grid: DataFrame, time: str, column: str, by: list[str]) -> DataFrame:
-    """`column` on the times of `grid` (by and time), on the line in time between the values beside; before the first value null, after the last the last."""
+def upsample(df: DataFrame, grid: DataFrame, time: str, column: str, by: list[str], width_us: int = 365 * DAY_US) -> DataFrame:
+    """`column` on the times of `grid` (by and time), on the line in time between the values beside; before the first value null, after the last the last. width_us: how much time a task's bucket of a key spans."""
     known = df.where(F.col(column).isNotNull()).select(*by, time, column, F.lit(False).alias("_wanted"))
     both = known.unionByName(grid.select(*by, time, F.lit(None).cast("double").alias(column), F.lit(True).alias("_wanted")))
-    order = Window.partitionBy(*by).orderBy(time)
+    # At one time the known value comes before the wanted time on the way up, and is found from it on the way down.
+    both = both.withColumn("_rank", F.col("_wanted").cast("int"))
     seen = F.when(F.col(column).isNotNull(), F.struct(F.col(column).alias("v"), micros(time).alias("x")))
-    both = both.withColumn("_p", F.last(seen, True).over(order.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first(seen, True).over(order.rangeBetween(0, Window.unboundedFollowing)))
+    both = scan(both, by, [time, "_rank"], width_us=width_us, lasts={"_p": seen}, nexts={"_n": seen}).drop("_rank")
     p, n = F.col("_p"), F.col("_n")
-    line = p["v"] + (n["v"] - p["v"]) * F.coalesce(F.try_divide(micros(time) - p["x"], n["x"] - p["x"]), F.lit(0.0))
+    line = F.when(p["x"] == micros(time), p["v"]).otherwise(p["v"] + (n["v"] - p["v"]) * F.try_divide(micros(time) - p["x"], n["x"] - p["x"]))
     return both.where("_wanted").withColumn(column, F.coalesce(line, p["v"])).drop("_p", "_n", "_wanted")
 
 

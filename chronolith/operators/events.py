@@ -1,12 +1,13 @@
-"""Threshold events as gaps and islands, alerts and map rows."""
+"""Threshold events as gaps and islands in buckets of time, alerts and map rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.functions.expressions import LEVELS, SECTOR_IMPACTS, level_of
 from chronolith.operators.ordered import position, quantiles
+from chronolith.operators.segments import scan
 
 
 def level_table(thresholds: dict[str, float] | None = None) -> Column:
@@ -36,10 +37,9 @@ def detect(df: DataFrame, value: str, time: str, key: str, minutes: int = 30, le
     numbered by key, then the higher threshold, then onset. Without events the table is empty, with the same columns.
     """
     at = thresholds or {name: least for name, least, *_ in LEVELS}
-    upto = Window.partitionBy(key).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
     on = lambda least: F.coalesce(F.col(value) >= least, F.lit(False))
-    # One window numbers the islands of all levels; rows are only then stacked by level.
-    rows = df.select(key, time, value, *[F.sum(F.when(on(least), 0).otherwise(1)).over(upto).alias(f"_{i}") for i, least in enumerate(at.values())])
+    # One scan numbers the islands of all levels; rows are only then stacked by level.
+    rows = scan(df.select(key, time, value), [key], [time], sums={f"_{i}": F.when(on(least), 0).otherwise(1) for i, least in enumerate(at.values())})
     levels = [F.struct(F.lit(n).alias("level"), F.lit(least).alias("threshold"), F.when(on(least), F.col(f"_{i}")).alias("_island")) for i, (n, least) in enumerate(at.items())]
     runs = rows.select(key, time, value, F.inline(F.array(*levels))).where("_island is not null").groupBy(key, "level", "threshold", "_island").agg(F.min(time).alias("onset"), F.max(time).alias("end"), F.max(value).alias("peak_s4"), F.avg(value).alias("mean_s4"), F.count("*").alias("n"))
     runs = runs.where(F.col("n") >= max(1, least_minutes // minutes))

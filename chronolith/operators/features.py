@@ -1,4 +1,4 @@
-"""Window features of series by key."""
+"""Features of series by key, in buckets of time (see segments)."""
 
 from __future__ import annotations
 
@@ -6,46 +6,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions.expressions import micros
+from chronolith.operators.segments import DAY_US, bucket, overlapping, own, scan
 
 
 def rate_of_change(df: DataFrame, value: str, time: str, by: list[str], name: str = "rot", ties: list[str] | None = None) -> DataFrame:
     """Difference to the row before over the minutes between; null on a key's first row and where no time has passed."""
-    order = Window.partitionBy(*by).orderBy(time, *(ties or []))
-    minutes = (micros(time) - F.lag(micros(time)).over(order)) / 60e6
-    return df.withColumn(name, F.try_divide(F.col(value) - F.lag(value).over(order), minutes))
+    beside = scan(df, by, [time, *(ties or [])], lags={"_v": F.col(value), "_t": micros(time)})
+    return beside.withColumn(name, F.try_divide(F.col(value) - F.col("_v"), (micros(time) - F.col("_t")) / 60e6)).drop("_v", "_t")
 
 
 def rolling_std(df: DataFrame, value: str, time: str, by: list[str], rows: int = 12, name: str = "roti", ties: list[str] | None = None) -> DataFrame:
     """Sample deviation over the last `rows` rows, if at least max(2, rows // 4) of them have a value."""
-    frame = Window.partitionBy(*by).orderBy(time, *(ties or [])).rowsBetween(1 - rows, 0)
-    return df.withColumn(name, F.when(F.count(value).over(frame) >= max(2, rows // 4), F.stddev_samp(value).over(frame)))
+    blocks, series = overlapping(df, by, [time, *(ties or [])], before=rows - 1)
+    frame = series.rowsBetween(1 - rows, 0)
+    return own(blocks.withColumn(name, F.when(F.count(value).over(frame) >= max(2, rows // 4), F.stddev_samp(value).over(frame))))
 
 
 def range_variation(df: DataFrame, value: str, time: str, by: list[str], span_us: int = 60_000_000, name: str = "s4_index") -> DataFrame:
     """Sample deviation over mean of the last span_us microseconds (open at the far end), between 0 and 1; null with one value or a mean of 0."""
-    frame = Window.partitionBy(*by).orderBy(micros(time)).rangeBetween(1 - span_us, 0)
+    width = max(DAY_US, span_us)
+    # A row also goes to the next bucket if the frames of rows there can reach it.
+    last = F.floor((micros(time) + (span_us - 1)) / width)
+    rows = df.withColumn("_at", micros(time)).withColumn("_in", F.explode(F.when(F.col(time).isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(bucket(time, width), last))))
+    frame = Window.partitionBy(*by, "_in").orderBy("_at").rangeBetween(1 - span_us, 0)
     cv = F.try_divide(F.stddev_samp(value).over(frame), F.avg(value).over(frame))
-    return df.withColumn(name, F.when(cv.isNotNull(), F.least(F.greatest(cv, F.lit(0.0)), F.lit(1.0))))
+    rows = rows.withColumn(name, F.when(cv.isNotNull(), F.least(F.greatest(cv, F.lit(0.0)), F.lit(1.0))))
+    return rows.where(F.col(time).isNull() | (F.col("_in") == bucket(time, width))).drop("_in", "_at")
 
 
 def rolling_mean(df: DataFrame, value: str, time: str, by: list[str], rows: int = 48, name: str = "mean_24h", ties: list[str] | None = None) -> DataFrame:
-    return df.withColumn(name, F.avg(value).over(Window.partitionBy(*by).orderBy(time, *(ties or [])).rowsBetween(1 - rows, 0)))
+    blocks, series = overlapping(df, by, [time, *(ties or [])], before=rows - 1)
+    return own(blocks.withColumn(name, F.avg(value).over(series.rowsBetween(1 - rows, 0))))
 
 
-def gradient(value: str, order) -> Column:
+def gradient(here: Column, before: Column, after: Column, first: Column, last: Column) -> Column:
     """Half the difference of the neighbours; at the ends the difference to the one neighbour. Null for a single row."""
-    before, here, after = F.lag(value).over(order), F.col(value), F.lead(value).over(order)
-    first, last = F.lag(F.lit(1)).over(order).isNull(), F.lead(F.lit(1)).over(order).isNull()
     return F.when(first, after - here).when(last, here - before).otherwise((after - before) / 2)
 
 
 def storm(df: DataFrame, dst: str, time: str, by: list[str], onset_below: float = -50.0, ties: list[str] | None = None) -> DataFrame:
     """onset, hours_since_onset (72 before the first), gradient, phase (0 quiet, 1 initial, 2 main, 3 recovery; null without dst)."""
-    order = Window.partitionBy(*by).orderBy(time, *(ties or []))
-    inside = F.coalesce(F.col(dst) <= onset_below, F.lit(False))
-    df = df.withColumn("_in", inside).withColumn("onset", F.col("_in") & ~F.coalesce(F.lag("_in").over(order), F.lit(True)))
-    at = F.last(F.when(F.col("onset"), micros(time)), True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    df = df.withColumn("hours_since_onset", F.coalesce((micros(time) - at) / 3.6e9, F.lit(72.0))).withColumn("gradient", gradient(dst, order))
-    first = F.lag(F.lit(1)).over(order).isNull()
+    order = [time, *(ties or [])]
+    there = F.lit(True)
+    df = scan(df, by, order, lags={"_before": F.col(dst), "_behind": there}, leads={"_after": F.col(dst), "_ahead": there})
+    first, last = F.col("_behind").isNull(), F.col("_ahead").isNull()
+    inside = lambda c: F.coalesce(F.col(c) <= onset_below, F.lit(False))
+    df = df.withColumn("onset", inside(dst) & ~first & ~inside("_before")).withColumn("gradient", gradient(F.col(dst), F.col("_before"), F.col("_after"), first, last))
     phase = F.when(F.col(dst).isNull(), None).when(first, 0).when(F.col(dst) > onset_below, F.when(F.col("gradient") > 20, 1).otherwise(0)).otherwise(F.when(F.col("gradient") < 0, 2).otherwise(3))
-    return df.withColumn("phase", phase.cast("long")).drop("_in")
+    df = df.withColumn("phase", phase.cast("long")).drop("_before", "_behind", "_after", "_ahead")
+    df = scan(df, by, order, lasts={"_at": F.when(F.col("onset"), micros(time))})
+    return df.withColumn("hours_since_onset", F.coalesce((micros(time) - F.col("_at")) / 3.6e9, F.lit(72.0))).drop("_at")

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.operators.ordered import position
+from chronolith.operators.segments import overlapping, own
 
 
 def windows(df: DataFrame, value: str, time: str, by: list[str], steps: int = 12) -> DataFrame:
     """by, time, x (the `steps` values before), y, mask (whether y is there); nulls are 0 in x and y. Rows with fewer before them have no sample."""
-    frame = Window.partitionBy(*by).orderBy(time).rowsBetween(-steps, -1)
+    blocks, series = overlapping(df, by, [time], before=steps)
     filled = F.coalesce(F.col(value), F.lit(0.0))
-    return df.withColumn("x", F.collect_list(filled).over(frame)).withColumn("y", filled).withColumn("mask", F.col(value).isNotNull()).where(F.size("x") == steps)
+    return own(blocks.withColumn("x", F.collect_list(filled).over(series.rowsBetween(-steps, -1))).withColumn("y", filled).withColumn("mask", F.col(value).isNotNull())).where(F.size("x") == steps)
 
 
 def temporal_split(time: Column, train_end: Column, val_end: Column) -> Column:
@@ -61,20 +62,22 @@ def persistence(df: DataFrame, value: str, steps: int, minutes: int) -> DataFram
 
 def pairs_at_leads(df: DataFrame, value: str, time: str, by: list[str], steps: int) -> DataFrame:
     """(step, y_true, y_pred) of persistence: the value `step` rows later against the value now."""
-    order = Window.partitionBy(*by).orderBy(time)
-    rows = F.array(*[F.struct(F.lit(k).cast("long").alias("step"), F.lead(value, k).over(order).alias("y_true"), F.col(value).alias("y_pred")) for k in range(1, steps + 1)])
-    return df.select(*by, rows.alias("_rows")).select(*by, F.inline("_rows")).where("y_true is not null and y_pred is not null")
+    blocks, series = overlapping(df.select(*by, time, value), by, [time], after=steps)
+    rows = F.array(*[F.struct(F.lit(k).cast("long").alias("step"), F.lead(value, k).over(series).alias("y_true"), F.col(value).alias("y_pred")) for k in range(1, steps + 1)])
+    return own(blocks.withColumn("_rows", rows)).select(*by, F.inline("_rows")).where("y_true is not null and y_pred is not null")
 
 
-def rollout(samples: DataFrame, x: str, coefficients: list[float], intercept: float, steps: int, std: float = 0.0) -> DataFrame:
+def rollout(samples: DataFrame, x: str, coefficients: list[float] | Column, intercept: float | Column, steps: int, std: float = 0.0) -> DataFrame:
     """Recursive forecast of a linear model over the window in x: forecast_step, s4_forecast, s4_lower, s4_upper.
 
-    Each step's clipped value joins the window, whose oldest goes; std gives the bounds of 95 %.
+    Each step's clipped value joins the window, whose oldest goes; std gives the bounds of 95 %. A model is given in numbers
+    or by columns of the samples.
     """
-    w = F.array(*[F.lit(float(c)) for c in coefficients])
+    w = coefficients if isinstance(coefficients, Column) else F.array(*[F.lit(float(c)) for c in coefficients])
+    n = F.size(w)
 
     def step(state: Column, _: Column) -> Column:
-        window = F.slice(state, -len(coefficients), len(coefficients))
+        window = F.slice(state, -n, n)
         value = F.aggregate(F.zip_with(window, w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) + intercept
         return F.concat(state, F.array(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))))
 
@@ -111,3 +114,10 @@ def over_folds(scores: DataFrame, metrics: list[str]) -> DataFrame:
     """(metric, mean, std) over the folds of cross_validate()."""
     rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])
     return scores.select(F.inline(rows)).groupBy("metric").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+
+
+def lead_summary(leads: DataFrame, step: str, metrics: list[str], minutes: int) -> DataFrame:
+    """step, lead_time_min and the metrics of each lead, and a row of their means over the leads that have one, whose step is null."""
+    each = leads.select(F.col(step).cast("long").alias(step), (F.col(step) * minutes).cast("long").alias("lead_time_min"), *metrics)
+    means = each.agg(*[F.avg(m).alias(m) for m in metrics])
+    return each.unionByName(means, allowMissingColumns=True)

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronolith.functions.expressions import EARTH_KM, haversine_km
+from chronolith.functions.expressions import EARTH_KM, haversine_km, micros
+from chronolith.operators.segments import DAY_US
 
 KM_PER_DEGREE = 111.1
 
@@ -41,22 +44,91 @@ def near(stations: DataFrame, most_km: float) -> DataFrame:
     return a.join(b, ["band", "cell"]).where("src <> dst").select("src", "dst", d.alias("dist_km")).where(F.col("dist_km") <= most_km)
 
 
-def closest_km(stations: DataFrame, begin_km: float = 2000.0) -> DataFrame:
-    """One row, dist_km: the least distance of two stations that aren't at one place, looked for in ever wider rings; null if there is none."""
-    while True:
-        least = near(stations, begin_km).where("dist_km > 0").agg(F.min("dist_km").alias("dist_km"))
-        if begin_km > math.pi * EARTH_KM or least.first()["dist_km"] is not None:
-            return least
-        begin_km *= 2
+#: How many pairs a station may meet in the cells of a ring, on average, before the ring is made smaller.
+CROWD = 32
 
 
-def correlations(series: DataFrame, value: str, time: str = "t", key: str = "station_id") -> DataFrame:
-    """(src, dst, corr, n) of ordered pairs src < dst, over the times at which both have a value; a constant series has 0. Duplicates at a time are averaged."""
-    own = series.where(F.col(value).isNotNull()).groupBy(key, time).agg(F.avg(value).alias("v"))
-    a = own.select(F.col(key).alias("src"), time, F.col("v").alias("x"))
-    b = own.select(F.col(key).alias("dst"), time, F.col("v").alias("y"))
-    r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
-    return a.join(b, time).where("src < dst").groupBy("src", "dst").agg(F.coalesce(r, F.lit(0.0)).alias("corr"), F.count("*").alias("n"))
+def _crowd(places: DataFrame, km: float) -> float:
+    """The mean number of places in a place's cell, of cells as near() makes them: one count by cell."""
+    height = km / KM_PER_DEGREE
+    band = F.floor(F.col("lat") / height)
+    n = _cells(band, km, height)
+    cells = places.groupBy(band.alias("band"), F.pmod(F.floor((F.col("lon") + 180) / 360 * n), n).alias("cell")).agg(F.count("*").alias("c"))
+    row = cells.agg(F.sum(F.col("c") * F.col("c")).alias("met"), F.sum("c").alias("n")).first()
+    return row["met"] / row["n"] if row["n"] else 0.0
+
+
+def closest_km(stations: DataFrame, begin_km: float | None = None) -> DataFrame:
+    """One row, dist_km: the least distance of two stations that aren't at one place; null if there is none. Runs jobs when it is called.
+
+    Stations at one place are one. The ring that is looked in begins at what evenly spread stations would have, is made
+    smaller while its cells are crowded, and wider while it holds no pair; no pair closer than a ring means that few fit into
+    the next one, so the work stays in proportion to the stations, however they lie.
+    """
+    places = stations.where("lat is not null and lon is not null").groupBy("lat", "lon").agg(F.min("id").alias("id"))
+    km = begin_km or max(1e-6, 0.25 * EARTH_KM / max(places.count(), 1))
+    while _crowd(places, km) > CROWD and km > 1e-9:
+        km /= 4
+    least = None
+    while least is None and km <= 4 * math.pi * EARTH_KM:
+        least = near(places, km).where("dist_km > 0").agg(F.min("dist_km")).first()[0]
+        km *= 4
+    return stations.sparkSession.range(1).select(F.lit(least).cast("double").alias("dist_km"))
+
+
+MOMENTS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+#: Times at once in a task's matrices.
+_TIMES = 4096
+
+
+def _moments(group: pa.Table) -> pa.Table:
+    """Sums over the times at which both stations of a pair have a value, of all pairs of two blocks of stations in a bucket of time: products of matrices with a row a time and a column a station."""
+    names, key = np.unique(group.column("key").to_numpy(), return_inverse=True)
+    times, at = np.unique(group.column("at").to_numpy(), return_inverse=True)
+    value, block = group.column("v").to_numpy(), group.column("block").to_numpy()
+    one, two = group.column("one")[0].as_py(), group.column("two")[0].as_py()
+    side = np.zeros(len(names), np.int64)
+    side[key] = block
+    a, b = np.flatnonzero(side == one), np.flatnonzero(side == two)
+    total = [np.zeros((len(a), len(b))) for _ in MOMENTS]
+    for start in range(0, len(times), _TIMES):
+        on = (at >= start) & (at < start + _TIMES)
+        x, there = np.zeros((min(_TIMES, len(times) - start), len(names))), np.zeros((min(_TIMES, len(times) - start), len(names)))
+        x[at[on] - start, key[on]], there[at[on] - start, key[on]] = value[on], 1
+        xa, xb, ta, tb = x[:, a], x[:, b], there[:, a], there[:, b]
+        for i, (p, q) in enumerate(((ta, tb), (xa, tb), (ta, xb), (xa * xa, tb), (ta, xb * xb), (xa, xb))):
+            total[i] += p.T @ q
+    i, j = np.nonzero((total[0] > 0) & (names[a][:, None] != names[b][None, :] if one != two else names[a][:, None] < names[b][None, :]))
+    flip = names[a][i] > names[b][j]  # the smaller key is src
+    of = lambda k, other: np.where(flip, total[other][i, j], total[k][i, j])
+    columns = [total[0][i, j].astype(np.int64), of(1, 2), of(2, 1), of(3, 4), of(4, 3), total[5][i, j]]
+    kind = group.schema.field("key").type
+    return pa.table({"src": pa.array(np.where(flip, names[b][j], names[a][i]), kind), "dst": pa.array(np.where(flip, names[a][i], names[b][j]), kind), **dict(zip(MOMENTS, map(pa.array, columns)))})
+
+
+def correlations(series: DataFrame, value: str, time: str = "t", key: str = "station_id", blocks: int = 1, width_us: int = DAY_US) -> DataFrame:
+    """(src, dst, corr, n) of ordered pairs src < dst, over the times at which both have a value; a constant series has 0. Duplicates at a time are averaged.
+
+    No row stands for a pair and a time: a task has a bucket of time and two blocks of stations (of some hundreds each;
+    `blocks` in all), gives the pairs' sums in it, and these are added. A row is moved `blocks` times. Values are
+    taken from their station's least, so that the sums of large values don't cancel.
+    """
+    own = series.where(F.col(value).isNotNull() & F.col(key).isNotNull() & F.col(time).isNotNull()).groupBy(F.col(key).alias("key"), micros(time).alias("at")).agg(F.avg(value).alias("v"))
+    least = own.groupBy("key").agg(F.min("v").alias("least"))
+    own = own.join(least, "key").select("key", "at", (F.col("v") - F.col("least")).alias("v"), F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"))
+    other = F.sequence(F.lit(0), F.lit(blocks - 1))
+    dealt = own.select("*", F.explode(other).alias("_o")).select("key", "at", "v", "block", F.least("block", "_o").alias("one"), F.greatest("block", "_o").alias("two"))
+    kind = series.schema[key].dataType.simpleString()
+    parts = dealt.groupBy(F.floor(F.col("at") / width_us).alias("bucket"), "one", "two").applyInArrow(lambda group: _moments(group), f"src {kind}, dst {kind}, n long, " + ", ".join(f"{m} double" for m in MOMENTS[1:]))
+    sums = parts.groupBy("src", "dst").agg(*[F.sum(m).alias(m) for m in MOMENTS])
+    mean = lambda m: F.col(m) / F.col("n")
+
+    def spread(square: str, plain: str) -> Column:
+        var = mean(square) - mean(plain) * mean(plain)
+        return F.when(var > 1e-12 * mean(square), F.sqrt(var))  # less is rounding: a constant
+
+    r = F.try_divide(mean("sxy") - mean("sx") * mean("sy"), spread("sxx", "sx") * spread("syy", "sy"))
+    return sums.select("src", "dst", F.coalesce(r, F.lit(0.0)).alias("corr"), "n")
 
 
 def linked(stations: DataFrame, most_km: float, correlated: DataFrame, least: float) -> DataFrame:

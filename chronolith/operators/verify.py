@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronolith.functions.expressions import clip
 from chronolith.operators.ordered import running_total
+from chronolith.operators.segments import overlapping
+from chronolith.operators.segments import own as own_rows
 
 EPS = 1e-9
 
@@ -44,16 +47,20 @@ def contingency(df: DataFrame, truth: str, pred: str, thresholds: Column, by: li
 
 
 def level_aucs(df: DataFrame, truth: str, pred: str, thresholds: Column) -> DataFrame:
-    """(level, auc) of every level in one pass: the running count goes on from level to level, and what came before a level is taken off. Scores lie between -1000 and 1000."""
+    """(level, auc) of every level in one pass: the running count goes on from level to level, and what came before a level is taken off."""
     own = complete(df, truth, pred).select(truth, F.col(pred).alias("score"), F.posexplode(thresholds).alias("i", "l")).select(truth, "score", "i", "l.*")
     own = own.groupBy("i", "level", "score").agg(F.count_if(F.col(truth) >= F.col("threshold")).alias("pos"), F.count_if(F.col(truth) < F.col("threshold")).alias("neg"))
-    below = running_total(own, F.col("i") * 10_000_000 + F.floor(F.col("score") * 1000), [F.col("score")], F.col("neg"), "upto")
+    below = running_total(own, F.struct("i", F.floor(F.col("score") * 1000).alias("step")), [F.col("score")], F.col("neg"), "upto")
     sums = below.groupBy("level").agg(F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2)).alias("wins"), F.min(F.col("upto") - F.col("neg")).alias("base"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return sums.select("level", F.try_divide(F.col("wins") - F.col("pos") * F.col("base"), (F.col("pos") * F.col("neg")).cast("double")).alias("auc"))
 
 
 def suite(df: DataFrame, truth: str, pred: str, before: str, time: str, by: list[str], thresholds: Column, warning: float, most_steps: int, minutes: int) -> DataFrame:
-    """The whole validation as (section, level, metric, value): regression, events by level with their AUC, lead times, targets (1 where met)."""
+    """The whole validation as (section, level, metric, value): regression, events by level with their AUC, lead times, targets (1 where met).
+
+    Predictions are held in [0, 1] first, as an index of scintillation is.
+    """
+    df = df.withColumn(pred, clip(F.col(pred), 0.0, 1.0))
 
     def stacked(row: DataFrame, section: str, metrics: list[str], level: Column | None = None) -> DataFrame:
         pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
@@ -83,12 +90,11 @@ def auc(df: DataFrame, truth: str, pred: str, threshold: float, bucket: Column |
 
 def lead_times(df: DataFrame, truth: str, pred: str, time: str, by: list[str], threshold: float, most_steps: int, minutes: int) -> DataFrame:
     """One row: mean_lead, median_lead, n_leads, n_events. A lead is how long before an up-crossing of the truth the forecast, at most most_steps back, was first at the threshold."""
-    order = Window.partitionBy(*by).orderBy(time)
+    blocks, series = overlapping(df.select(*by, time, truth, pred), by, [time], before=max(1, most_steps))
     on = F.coalesce(F.col(truth) >= threshold, F.lit(False))
-    df = df.withColumn("_on", on)
-    onset = F.col("_on") & ~F.coalesce(F.lag("_on").over(order), F.lit(True))
-    back = F.coalesce(*[F.when(F.lag(pred, k).over(order) >= threshold, k * minutes) for k in range(most_steps, 0, -1)])
-    own = df.withColumn("_onset", onset).withColumn("_lead", back.cast("double")).where("_onset")
+    onset = on & ~F.coalesce(F.lag(on).over(series), F.lit(True))
+    back = F.coalesce(*[F.when(F.lag(pred, k).over(series) >= threshold, k * minutes) for k in range(most_steps, 0, -1)])
+    own = own_rows(blocks.withColumn("_onset", onset).withColumn("_lead", back.cast("double"))).where("_onset")
     return own.agg(F.coalesce(F.avg("_lead"), F.lit(0.0)).alias("mean_lead"), F.coalesce(F.percentile("_lead", 0.5), F.lit(0.0)).alias("median_lead"), F.count("_lead").alias("n_leads"), F.count("*").alias("n_events"))
 
 

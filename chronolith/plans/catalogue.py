@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.functions import expressions as X
-from chronolith.operators import asof, clean, events, features, forecast, graph, ordered, verify
+from chronolith.operators import asof, clean, events, features, forecast, graph, ordered, regress, verify
 from chronolith.plans import views as V
 from chronolith.sources import parsers, tables
 
@@ -396,7 +396,8 @@ def regression_metrics_missing(spark, sf):
     return verify.regression(own, "y_true", "y_pred", before="before")
 
 
-@query(f"""WITH {V.GRID}, f AS (SELECT station_id, t, s4 AS y_true, lag(s4) OVER (PARTITION BY station_id ORDER BY t) AS y_pred FROM grid), p AS (SELECT *, y_true - lag(y_true) OVER (ORDER BY station_id, t) AS d FROM f WHERE y_true IS NOT NULL AND y_pred IS NOT NULL),
+def _suite_sql(pred: str) -> str:
+    return f"""WITH {V.GRID}, f AS (SELECT station_id, t, s4 AS y_true, {pred} AS y_pred FROM grid), p AS (SELECT *, y_true - lag(y_true) OVER (ORDER BY station_id, t) AS d FROM f WHERE y_true IS NOT NULL AND y_pred IS NOT NULL),
 m AS (SELECT {_REG}, count(*) AS n, sqrt(avg(d * d)) AS ref FROM p), lv AS (SELECT * FROM (VALUES ('watch', 0.3), ('warning', 0.4), ('severe', 0.7), ('beyond', 1.5)) v(level, thr)),
 c AS (SELECT level, count(*) FILTER (WHERE y_true >= thr AND y_pred >= thr) AS tp, count(*) FILTER (WHERE y_true < thr AND y_pred >= thr) AS fp, count(*) FILTER (WHERE y_true >= thr AND y_pred < thr) AS fn FROM p, lv GROUP BY 1),
 r AS (SELECT level, y_true >= thr AS pos, rank() OVER (PARTITION BY level ORDER BY y_pred) + (count(*) OVER (PARTITION BY level, y_pred) - 1) / 2 AS rk FROM p, lv),
@@ -410,18 +411,34 @@ x AS (SELECT 'regression' AS section, '' AS level, unnest(['mae', 'rmse', 'mbe',
 UNION ALL SELECT 'events', level, unnest(['n_events', 'f1', 'precision', 'recall', 'pod', 'far', 'csi', 'auc']), unnest([n_events::DOUBLE, f1, precision, recall, pod, far, csi, auc]) FROM k
 UNION ALL SELECT 'lead_time', '', unnest(['mean_lead', 'median_lead', 'n_leads', 'n_events']), unnest([mean_lead, median_lead, n_leads::DOUBLE, n_events::DOUBLE]) FROM g
 UNION ALL SELECT 'targets', '', unnest(['mae', 'rmse', 'f1_warning', 'f1_severe']), unnest([(mae < 0.08)::INT::DOUBLE, (rmse < 0.12)::INT::DOUBLE, (w > 0.85)::INT::DOUBLE, (v > 0.8)::INT::DOUBLE]) FROM m, z)
-SELECT section, level, metric, round(value, 6) AS value FROM x""")
-def validation_suite(spark, sf):
-    """Forecasts of the value an hour before, validated as a whole; one level that the truth never reaches."""
+SELECT section, level, metric, round(value, 6) AS value FROM x"""
+
+
+_HOUR_BEFORE = "lag(s4) OVER (PARTITION BY station_id ORDER BY t)"
+
+
+def _suite(spark, sf, pred) -> DataFrame:
     from pyspark.sql import Window
 
-    own = V.grid(spark, sf).select("station_id", "t", F.col("s4").alias("y_true"), F.lag("s4").over(Window.partitionBy("station_id").orderBy("t")).alias("y_pred"))
+    own = V.grid(spark, sf).select("station_id", "t", F.col("s4").alias("y_true"), pred(F.lag("s4").over(Window.partitionBy("station_id").orderBy("t"))).alias("y_pred"))
     day = F.col("station_id") * 1_000_000 + F.unix_date(F.to_date("t"))
     before = ordered.previous(verify.complete(own, "y_true", "y_pred"), day, ["station_id", "t"], "y_true", "before")
     levels = events.level_table({"watch": 0.3, "warning": 0.4, "severe": 0.7, "beyond": 1.5})
     return verify.suite(own.join(before.select("station_id", "t", "before"), ["station_id", "t"], "left"), "y_true", "y_pred", "before", "t", ["station_id"], levels, 0.4, 3, 60)
 
 
+@query(_suite_sql(_HOUR_BEFORE))
+def validation_suite(spark, sf):
+    """Forecasts of the value an hour before, validated as a whole; one level that the truth never reaches."""
+    return _suite(spark, sf, lambda before: before)
+
+
+@query(_suite_sql(f"CASE WHEN {_HOUR_BEFORE} IS NOT NULL THEN greatest(0, least(1, 3 * {_HOUR_BEFORE} - 0.8)) END"))
+def validation_suite_clipped(spark, sf):
+    """Forecasts between -0.8 and 2.2, which count as 0 to 1."""
+    return _suite(spark, sf, lambda before: 3 * before - 0.8)
+
+
 @query(f"""WITH {V.PAIRS}, c AS (SELECT level, count(*) FILTER (WHERE y_true >= thr AND y_pred >= thr) AS tp, count(*) FILTER (WHERE y_true < thr AND y_pred >= thr) AS fp, count(*) FILTER (WHERE y_true >= thr AND y_pred < thr) AS fn FROM pairs, (VALUES ('watch', 0.3), ('warning', 0.4), ('severe', 0.7)) v(level, thr) GROUP BY 1)
 SELECT level, tp + fn AS n_events, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(tp / (tp + fn + 1e-9), 6) AS pod, round(fp / (tp + fp + 1e-9), 6) AS far, round(tp / (tp + fp + fn + 1e-9), 6) AS csi FROM c""")
 def event_metrics(spark, sf):
@@ -465,6 +482,12 @@ def persistence_eval(spark, sf):
     return _persistence(spark, sf).drop("mbe")
 
 
+@query(f"WITH {_PERS} SELECT step, step * 60 AS lead_time_min, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(r2, 6) AS r2, round(f1_warning, 6) AS f1_warning FROM m UNION ALL SELECT NULL, NULL, round(avg(mae), 6), round(avg(rmse), 6), round(avg(r2), 6), round(avg(f1_warning), 6) FROM m")
+def persistence_summary(spark, sf):
+    """Each lead, and the mean over the leads, whose step is null."""
+    return forecast.lead_summary(_persistence(spark, sf), "step", ["mae", "rmse", "r2", "f1_warning"], 60)
+
+
 @query(f"WITH {_PERS}, {V.PAIRS}, a AS (SELECT sqrt(avg((y_pred - y_true) ** 2)) AS rmse FROM pairs) SELECT m.step, round(1 - a.rmse / nullif(m.rmse, 0), 6) AS skill FROM m, a")
 def skill_score(spark, sf):
     model = verify.regression(V.pairs(spark, sf), "y_true", "y_pred").select(F.col("rmse").alias("own"))
@@ -595,6 +618,39 @@ def rollout_fitted(spark, sf):
     return forecast.rollout(last, "x", *forecast.fit_linear(own, "x", "y", "mask"), 12).select("station_id", "forecast_step", "s4_forecast")
 
 
+@query(f"""WITH {V.GRID}, lagged AS (SELECT station_id, t, coalesce(s4, 0) AS y, coalesce(lag(s4, 2) OVER w, 0) AS a, coalesce(lag(s4) OVER w, 0) AS b, row_number() OVER w AS i FROM grid WINDOW w AS (PARTITION BY station_id ORDER BY t)),
+f AS (SELECT k AS fold, station_id % 5 = k AS held, a, b, y FROM lagged, (SELECT unnest(range(0, 5)) AS k) WHERE i > 2),
+s AS (SELECT fold, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS bee, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM f WHERE NOT held GROUP BY 1),
+c AS (SELECT fold, (ay * bb - bee * ab) / (aa * bb - ab * ab) AS ca, (bee * aa - ay * ab) / (aa * bb - ab * ab) AS cb, ma, mb, my FROM s), m AS (SELECT fold, ca, cb, my - ca * ma - cb * mb AS icpt FROM c),
+e AS (SELECT fold, ca, cb, icpt, y, ca * a + cb * b + icpt - y AS e FROM f JOIN m USING (fold) WHERE held)
+SELECT fold, round(ca, 6) AS second_lag, round(cb, 6) AS first_lag, round(icpt, 6) AS intercept, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(1 - avg(e * e) / var_pop(y), 6) AS r2, count(*) AS n FROM e GROUP BY fold, ca, cb, icpt""")
+def cv_two_lags(spark, sf):
+    """A scorer of two features, fitted for five folds at once, each of which holds every fifth station out."""
+    own = forecast.windows(V.grid(spark, sf), "s4", "t", ["station_id"], 2)
+    folds = own.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")))).withColumn("held", F.col("station_id") % 5 == F.col("fold"))
+    out = regress.cross_validate(folds, "x", 2, "y", "fold", "held")
+    return out.select("fold", F.col("coefficients")[0].alias("second_lag"), F.col("coefficients")[1].alias("first_lag"), "intercept", "mae", "rmse", "r2", "n")
+
+
+_DRAWS = " + ".join(f"(u >= {d!r})::BIGINT" for d in regress.DRAWS)
+
+
+@query(f"""WITH RECURSIVE {V.GRID}, num AS (SELECT station_id, t, s4 IS NOT NULL AS mask, coalesce(s4, 0) AS y, lag(coalesce(s4, 0)) OVER (PARTITION BY station_id ORDER BY t) AS x, row_number() OVER (PARTITION BY station_id ORDER BY t DESC) AS i FROM grid),
+u AS (SELECT member, x, y, CAST('0x' || md5('7:' || member || ':' || station_id || ':' || epoch_us(t))[1:8] AS BIGINT) / 4294967296.0::DOUBLE AS u FROM num, (SELECT unnest(range(0, 8)) AS member) WHERE mask AND x IS NOT NULL),
+w AS (SELECT member, x, y, {_DRAWS} AS w FROM u), g AS (SELECT member, sum(w)::DOUBLE AS n, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM w GROUP BY 1),
+fit AS (SELECT member, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS a, (sy - (n * sxy - sx * sy) / (n * sxx - sx * sx) * sx) / n AS b FROM g),
+r AS (SELECT station_id, member, 0::BIGINT AS forecast_step, x AS v FROM num, fit WHERE i = 1 UNION ALL SELECT station_id, r.member, forecast_step + 1, greatest(0, least(1, a * v + b)) FROM r JOIN fit ON fit.member = r.member WHERE forecast_step < 12),
+m AS (SELECT station_id, forecast_step, avg(v) AS f, stddev_pop(v) AS std FROM r WHERE forecast_step > 0 GROUP BY 1, 2)
+SELECT station_id, forecast_step, round(f, 6) AS s4_forecast, round(std, 6) AS std, round(greatest(0, least(1, f - 1.96 * std)), 6) AS s4_lower, round(greatest(0, least(1, f + 1.96 * std)), 6) AS s4_upper FROM m""")
+def rollout_ensemble(spark, sf):
+    """Eight scorers fitted on bootstrap draws of all samples, rolled out from each station's last one; bounds from the members' spread."""
+    own = forecast.windows(V.grid(spark, sf), "s4", "t", ["station_id"], 1)
+    drawn = regress.bootstrap(own.where("mask"), [F.col("station_id"), X.micros("t")], 8, seed=7)
+    models = regress.fit(drawn, ["member"], "x", 1, "y", F.col("draws"))
+    last = own.groupBy("station_id").agg(F.max_by("x", "t").alias("x"))
+    return regress.rollout_ensemble(last, models, "x", ["station_id"], 12)
+
+
 @query(f"""WITH {_EVENTS}, act AS (SELECT * FROM ev WHERE "end" >= TIMESTAMP '2024-01-15') SELECT format('EVT-{{:05d}}', event_id) AS code, station_id, upper(act.level) AS level, round(peak_s4, 4) AS peak_s4 FROM act JOIN lv ON lv.level = act.level ORDER BY rk DESC, round(peak_s4, 4) DESC, code LIMIT 5""")
 def first_alerts(spark, sf):
     rows = events.alerts(_events(spark, sf), F.expr("TIMESTAMP_NTZ'2024-01-15 00:00:00'"), "station_id")
@@ -698,6 +754,40 @@ def bbox_filter(spark, sf):
     return parsers.in_region(V.stations(spark, sf), (-10.0, 10.0), (0.0, 40.0))
 
 
+@query(f"WITH {V.OBS}, {V.STATIONS} SELECT event_id, lat, lon, country, id IS NOT NULL AS found FROM obs LEFT JOIN stations ON id = station_id * 3")
+def station_lookup(spark, sf):
+    """Every observation with its station's record; numbers that no station has find none."""
+    own = V.obs(spark, sf).select("event_id", (F.col("station_id") * 3).alias("station"))
+    return tables.lookup(own, V.stations(spark, sf), "station", "id", ["lat", "lon", "country"], "found").select("event_id", "lat", "lon", "country", "found")
+
+
+_NAMED = "SELECT o_orderkey, o_orderdate, o_orderkey % 7 AS k, CASE WHEN o_orderkey % 7 = 6 THEN 'other_' || o_orderkey || '.txt' ELSE 'st' || lpad(CAST(o_orderkey % 40 AS VARCHAR), 2, '0') || '0000_' || year(o_orderdate) || lpad(CAST(dayofyear(o_orderdate) AS VARCHAR), 3, '0') || '0000_01D_30S_MO.crx' || CASE WHEN o_orderkey % 7 > 3 THEN '.gz' ELSE '' END END AS name FROM orders"
+
+
+@query(f"WITH n AS ({_NAMED}) SELECT o_orderkey, CASE WHEN k < 6 THEN upper(name[1:4]) END AS station, CASE WHEN k < 6 THEN CAST(o_orderdate AS DATE) END AS day, CASE WHEN k < 6 THEN '30S' END AS rate, CASE WHEN k < 6 THEN 'crx' END AS format, CASE WHEN k IN (4, 5) THEN 'gz' END AS packed FROM n")
+def file_tokens(spark, sf):
+    """What the names of daily files say, made from the dates of all orders."""
+    k, number = F.col("o_orderkey") % 7, F.lpad((F.col("o_orderkey") % 40).cast("string"), 2, "0")
+    day = F.concat(F.year("o_orderdate"), F.lpad(F.dayofyear("o_orderdate").cast("string"), 3, "0"))
+    name = F.when(k == 6, F.concat(F.lit("other_"), "o_orderkey", F.lit(".txt"))).otherwise(F.concat(F.lit("/raw/st"), number, F.lit("0000_"), day, F.lit("0000_01D_30S_MO.crx"), F.when(k > 3, ".gz").otherwise("")))
+    made = X.file_tokens(name)
+    return V.table(spark, sf, "orders").select("o_orderkey", *[made[c].alias(c) for c in ("station", "day", "rate", "format", "packed")])
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'none' ELSE json_extract_string(props, '$.k') END AS k FROM events")
+def nested_default(spark, sf):
+    """A value two maps down, of maps that lack it for every third row."""
+    inner = F.when(F.col("event_id") % 3 != 0, F.create_map(F.lit("k"), X.json_nested(F.col("props"), "k")))
+    return V.events(spark, sf).select("event_id", X.nested(F.create_map(F.lit("props"), inner), "props", "k", default=F.lit("none")).alias("k"))
+
+
+@query(f"WITH {V.WIND} SELECT event_id, round(CASE WHEN bz < 0 THEN 400 * -bz ELSE 0 END, 6) AS epsilon, round(-400 * bz / 1000, 6) AS ey, 5.0 * 400 * 400::DOUBLE AS beta_sw FROM wind")
+def coupling_absent(spark, sf):
+    """Coupling of a table that has the field alone."""
+    made = X.coupling(F.col("bz"))
+    return V.wind(spark, sf).select("event_id", *[made[c].alias(c) for c in ("epsilon", "ey", "beta_sw")])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which stations had which events, and where: resample, drop outliers, fill short gaps, detect, locate."""
     own = clean.outliers(V.grid(spark, sf_dir), ["s4"], ["station_id"], 3.0)

@@ -68,43 +68,69 @@ def dst_block(df: DataFrame, html: str) -> DataFrame:
     return rows.select((F.col("d") + F.make_dt_interval(F.lit(0), F.col("i"))).alias("timestamp"), F.nullif(F.col("v").cast("double"), F.lit(9999.0)).alias("dst"))
 
 
+def _map_rows(text: str) -> list[tuple]:
+    """(epoch, lat, lon, tec) of a map file; ValueError at a number that is none."""
+    out: list[tuple] = []
+    scale, inside, epoch, lat, axis, values = -1, False, None, None, [], []
+
+    def close():
+        if lat is not None and axis and len(values) == len(axis):
+            out.extend((epoch, lat, lon, None if v == 9999 else v * 10.0**scale) for lon, v in zip(axis, values))
+
+    for line in text.split("\n"):
+        tag = line[60:].strip()
+        if tag == "EXPONENT":
+            scale = int(line[:6])
+        elif tag == "START OF TEC MAP":
+            inside, lat, values = True, None, []
+        elif tag == "END OF TEC MAP":
+            close()
+            inside, lat = False, None
+        elif tag == "EPOCH OF CURRENT MAP" and inside:
+            y, mo, d, h, mi, s = (int(x) for x in line[:60].split()[:6])
+            epoch = f"{y:04}-{mo:02}-{d:02} {h:02}:{mi:02}:{s:02}"
+        elif tag.startswith("LAT/LON1/LON2/DLON/H") and inside:
+            close()
+            # Fixed columns: numbers may touch.
+            lat, lo, hi, step = (float(line[i : i + 6]) for i in (2, 8, 14, 20))
+            axis, values = [lo + step * i for i in range(int(round((hi - lo) / step)) + 1)], []
+        elif inside and lat is not None:
+            values += [int(x) for x in line.split()]
+    return out
+
+
 def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[tuple] = []
         for text in b.column(0).to_pylist():
-            scale, inside, epoch, lat, axis, values = -1, False, None, None, [], []
-
-            def close():
-                if lat is not None and axis and len(values) == len(axis):  # noqa: B023
-                    out.extend((epoch, lat, lon, None if v == 9999 else v * 10.0**scale) for lon, v in zip(axis, values))  # noqa: B023
-
-            for line in (text or "").split("\n"):
-                tag = line[60:].strip()
-                if tag == "EXPONENT":
-                    scale = int(line[:6])
-                elif tag == "START OF TEC MAP":
-                    inside, lat, values = True, None, []
-                elif tag == "END OF TEC MAP":
-                    close()
-                    inside, lat = False, None
-                elif tag == "EPOCH OF CURRENT MAP" and inside:
-                    y, mo, d, h, mi, s = (int(x) for x in line[:60].split()[:6])
-                    epoch = f"{y:04}-{mo:02}-{d:02} {h:02}:{mi:02}:{s:02}"
-                elif tag.startswith("LAT/LON1/LON2/DLON/H") and inside:
-                    close()
-                    # Fixed columns: numbers may touch.
-                    lat, lo, hi, step = (float(line[i : i + 6]) for i in (2, 8, 14, 20))
-                    axis, values = [lo + step * i for i in range(int(round((hi - lo) / step)) + 1)], []
-                elif inside and lat is not None:
-                    values += [int(x) for x in line.split()]
+            try:
+                out += _map_rows(text or "")
+            except ValueError:
+                pass  # unreadable: no rows, as said below
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.float64()))], ["epoch", "lat", "lon", "tec"])
 
 
 def ionosphere_maps(df: DataFrame, text: str, lat: tuple[float, float] = (-20.0, 20.0), lon: tuple[float, float] = (-30.0, 60.0)) -> DataFrame:
-    """epoch, lat, lon, tec of map files, a row a file (spark.read.text(..., wholetext=True)); rows of a latitude with another number of values than the axis has are left out, 9999 is missing."""
+    """epoch, lat, lon, tec of map files, a row a file (spark.read.text(..., wholetext=True)); rows of a latitude with another number of values than the axis has are left out, 9999 is missing. A file with a number that can't be read has no rows, and unreadable_maps() names it."""
     rows = df.select(text).mapInArrow(_maps, "epoch string, lat double, lon double, tec double")
     return rows.withColumn("epoch", F.col("epoch").cast("timestamp_ntz")).where(F.col("lat").between(*lat) & F.col("lon").between(*lon))
 
 
+def _unreadable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            try:
+                _map_rows(text or "")
+            except ValueError as e:
+                out.append((path, str(e)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in (0, 1)], ["path", "problem"])
+
+
+def unreadable_maps(df: DataFrame, path: str, text: str) -> DataFrame:
+    """path and problem of the map files that ionosphere_maps() gives no rows of because a number can't be read."""
+    return df.select(F.col(path).cast("string").alias("path"), text).mapInArrow(_unreadable, "path string, problem string")
+
+
 def in_region(df: DataFrame, lat: tuple[float, float] = (-20.0, 20.0), lon: tuple[float, float] = (-30.0, 60.0)) -> DataFrame:
     return df.where(F.col("lat").between(*lat) & F.col("lon").between(*lon))

@@ -224,7 +224,7 @@ def test_quantiles(spark):
 
     rows = [(k, float(v)) for k in (1, 2) for v in [3, 3, 3, -1, 10, 7.5, *range(k * 40)]] + [(3, 5.0), (4, N)]
     df = spark.createDataFrame(rows, "k long, v double")
-    got = {r.k: r.q for r in ordered.quantiles(df, "v", ["k"], [0.0, 0.25, 0.5, 0.9, 1.0], buckets=7).collect()}
+    got = {r.k: r.q for r in ordered.quantiles(df, "v", ["k"], [0.0, 0.25, 0.5, 0.9, 1.0], accuracy=7).collect()}
     want = {r.k: r.q for r in df.where("v is not null").groupBy("k").agg(F.percentile("v", F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.9, 1.0)])).alias("q")).collect()}
     assert set(got) == {1, 2, 3} and all(abs(a - b) < 1e-9 for k in got for a, b in zip(got[k], want[k]))
     assert ordered.quantiles(df.limit(0), "v", [], [0.5]).count() == 0
