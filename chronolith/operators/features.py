@@ -22,6 +22,15 @@ def rolling_std(df: DataFrame, value: str, time: str, by: list[str], rows: int =
     return own(blocks.withColumn(name, F.when(F.count(value).over(frame) >= max(2, rows // 4), F.stddev_samp(value).over(frame))))
 
 
+def rate_and_spread(df: DataFrame, value: str, time: str, by: list[str], rows: int = 12, name: str = "rot", spread: str = "roti", ties: list[str] | None = None) -> DataFrame:
+    """rate_of_change() and rolling_std() of it, from one look along the series."""
+    blocks, series = overlapping(df, by, [time, *(ties or [])], before=rows)
+    minutes = (micros(time) - F.lag(micros(time)).over(series)) / 60e6
+    blocks = blocks.withColumn(name, F.try_divide(F.col(value) - F.lag(value).over(series), minutes))
+    frame = series.rowsBetween(1 - rows, 0)
+    return own(blocks.withColumn(spread, F.when(F.count(name).over(frame) >= max(2, rows // 4), F.stddev_samp(name).over(frame))))
+
+
 def range_variation(df: DataFrame, value: str, time: str, by: list[str], span_us: int = 60_000_000, name: str = "s4_index") -> DataFrame:
     """Sample deviation over mean of the last span_us microseconds (open at the far end), between 0 and 1; null with one value or a mean of 0."""
     width = max(DAY_US, span_us)

@@ -160,8 +160,7 @@ def rot(spark, sf):
 n AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY t) AS i FROM d)
 SELECT a.station_id, a.t, round(CASE WHEN count(b.rot) >= 3 THEN stddev_samp(b.rot) END, 6) AS roti FROM n a JOIN n b ON a.station_id = b.station_id AND b.i BETWEEN a.i - 11 AND a.i GROUP BY 1, 2""")
 def roti(spark, sf):
-    own = features.rate_of_change(V.grid(spark, sf), "tec", "t", ["station_id"])
-    return features.rolling_std(own, "rot", "t", ["station_id"]).select("station_id", "t", "roti")
+    return features.rate_and_spread(V.grid(spark, sf), "tec", "t", ["station_id"]).select("station_id", "t", "roti")
 
 
 @query(f"""WITH {V.OBS}, c AS (SELECT event_id, count(*) OVER w AS n, stddev_samp(s4) OVER w / nullif(avg(s4) OVER w, 0) AS cv FROM obs WINDOW w AS (PARTITION BY station_id ORDER BY epoch_us(t) RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW))
@@ -228,8 +227,7 @@ def features_step(spark, sf):
     wind = V.wind(spark, sf).drop("station_id")
     wind = wind.withColumns(X.coupling(F.col("bz"), F.col("v_sw"), F.col("n_p")))
     wind = asof.asof_join(wind, V.aurora(spark, sf).withColumnRenamed("event_id", "seq"), "t", ["hp_north"], 3_600_000_000, sequence="seq", bucket_us=six)
-    own = features.rate_of_change(V.obs(spark, sf), "tec", "t", ["station_id"], ties=["event_id"])
-    own = features.rolling_std(own, "rot", "t", ["station_id"], ties=["event_id"]).join(V.stations(spark, sf).select(F.col("id").alias("station_id"), "lon"), "station_id")
+    own = features.rate_and_spread(V.obs(spark, sf), "tec", "t", ["station_id"], ties=["event_id"]).join(V.stations(spark, sf).select(F.col("id").alias("station_id"), "lon"), "station_id")
     own = own.withColumns(X.harmonics(F.col("t"), F.col("lon"))).select("event_id", "station_id", "t", "rot", "roti", "lt_hour", "sin_doy_1")
     own = asof.asof_join(own, wind.withColumnRenamed("event_id", "seq"), "t", ["bz", "v_sw", "epsilon", "hp_north"], 30 * 60_000_000, sequence="seq", bucket_us=six)
     return asof.asof_join(own, V.geomag(spark, sf).withColumnRenamed("event_id", "seq"), "t", ["dst"], 3 * 3_600_000_000, sequence="seq", bucket_us=day)

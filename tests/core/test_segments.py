@@ -59,6 +59,12 @@ def test_range_frame_over_bucket_ends(spark):
     both(features.range_variation(df, "v", "t", ["k"], 60_000_000, "x"), want.withColumn("x", F.when(F.col("x").isNotNull(), F.least(F.col("x"), F.lit(1.0)))))
 
 
+def test_rate_and_spread_are_both_steps(series):
+    own = series.where("t is not null")
+    rate = features.rate_of_change(own, "v", "t", ["k"], ties=["i"])
+    both(features.rate_and_spread(own, "v", "t", ["k"], 6, ties=["i"]), features.rolling_std(rate, "rot", "t", ["k"], 6, ties=["i"]))
+
+
 def test_one_series_is_many_tasks(spark):
     df = spark.range(200 * 24).select(F.lit(1).alias("k"), F.timestamp_seconds(F.col("id") * 3600).cast("timestamp_ntz").alias("t"), F.rand(3).alias("v"))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
