@@ -15,6 +15,8 @@ from . import shared, vec
 BUCKETS, FIT_ROWS = 1 << 16, 20_000
 #: A wrongly rejected good document costs as much as so many wrongly kept bad ones.
 REJECT_COST = 8.0
+#: A document weighs as this many of its n-grams would: its mean log ratio times STRENGTH. The mean is taken as if PRIOR n-grams more had a ratio of 0, so that a text of a few words isn't sure of anything.
+STRENGTH, PRIOR = 2.5, 20
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[128:] = 1, 2, 4, 8
@@ -74,7 +76,8 @@ def _scores(ratio):
             grams, size = features(raw, off)
             edges = np.concatenate([[0], np.cumsum(size)])
             total = np.concatenate([[0.0], np.cumsum(of[grams])])
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.round(total[edges[1:]] - total[edges[:-1]], 6))], ["doc_id", "log_ratio"])
+            summed = np.round(total[edges[1:]] - total[edges[:-1]], 6)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(summed), pa.array(np.round(STRENGTH * summed / (size + PRIOR), 9))], ["doc_id", "log_ratio", "log_weight"])
 
     return run
 
@@ -86,7 +89,7 @@ def sample_of(labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
 
 
 def cut_of(good: np.ndarray, bad: np.ndarray) -> float:
-    """The log ratio that tells these apart at the least cost: in the middle of the gap between a row that is rejected and one that is kept. Without bad ones nothing is cut off."""
+    """The log weight that tells these apart at the least cost: in the middle of the gap between a row that is rejected and one that is kept. Without bad ones nothing is cut off."""
     if not len(bad):
         return -np.inf
     ratio = np.concatenate([good, bad])
@@ -102,12 +105,13 @@ def cut_of(good: np.ndarray, bad: np.ndarray) -> float:
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
-    """(doc_id, log_ratio), written, and the cut.
+    """(doc_id, log_ratio, log_weight), written, and the cut in log_weight.
 
     log_ratio is the sum over a text's n-grams of log(p_target / p_raw): the raw model counts the n-grams of all
     documents, the target model those of the documents labelled good in three folds of sample_of(labels), which at FIT_ROWS
     ids is small enough to be broadcast. The cut is where the fourth fold's documents are told apart best, so no text is
-    cut by what was learned from it. A text without words has the ratio 0. Without good labels all ratios are 0 and
+    cut by what was learned from it. log_weight tempers the sum: a document's n-grams aren't
+    independent, and a sum over thousands of them would leave nothing to chance. A text without words has the ratio 0. Without good labels all ratios are 0 and
     nothing is cut off; nor is it without bad ones.
     """
     spark = docs.sparkSession
@@ -120,11 +124,11 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
         model[:, r[0]] = r[1], r[2]
     raw, target = model
     ratio = np.log((target + 0.5) / (target.sum() + 0.5 * BUCKETS)) - np.log((raw + 0.5) / (raw.sum() + 0.5 * BUCKETS)) if target.any() else np.zeros(BUCKETS)
-    scored = shared.written(whole.mapInArrow(_scores(spark.sparkContext.broadcast(ratio)), "doc_id long, log_ratio double"), "ratios")
+    scored = shared.written(whole.mapInArrow(_scores(spark.sparkContext.broadcast(ratio)), "doc_id long, log_ratio double, log_weight double"), "ratios")
     if not target.any():
         return scored, -np.inf
     other = sample.where("fold = 0").select("doc_id", "quality")
-    rows = scored.join(F.broadcast(other), "doc_id").groupBy("doc_id").agg(F.first("log_ratio"), F.first("quality")).collect()  # FIT_ROWS rows at most
+    rows = scored.join(F.broadcast(other), "doc_id").groupBy("doc_id").agg(F.min("log_weight"), F.min("quality")).collect()  # FIT_ROWS rows at most; of a repeated doc_id the least counts
     return scored, cut_of(np.array([r[1] for r in rows if r[2] == 1]), np.array([r[1] for r in rows if r[2] != 1]))
 
 
@@ -148,24 +152,25 @@ def top_k(keys: DataFrame, k: int) -> DataFrame:
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 0) -> DataFrame:
-    """One row per document: doc_id, log_ratio, sample_key, kept.
+    """One row per document: doc_id, log_ratio, log_weight, sample_key, kept.
 
-    sample_key = log_ratio + a standard Gumbel number from the hash of seed and doc_id; kept are the k largest, which is a
-    sample of k without replacement whose weights are the importance weights p_target / p_raw. Without k, it is the number
-    of documents whose ratio is at the cut or above: the labels say how many, the sampling which. Repeated rows count
-    each; rows without a doc_id are left out; an empty table gives an empty result.
+    sample_key = log_weight + a standard Gumbel number from the hash of seed and doc_id; kept are the k largest, which is a
+    sample of k without replacement in proportion to the weights, the tempered ratios of target and raw model. k is the
+    caller's budget; without one it is the number of documents whose weight is at the cut or above: the labels say how many,
+    the sampling which. A document whose weight is a few units below another's may be drawn in its stead, one far below
+    hardly. Repeated rows count each; rows without a doc_id are left out; an empty table gives an empty result.
     """
     scored, cut = log_ratios(docs, labels)
     uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    keys = shared.written(scored.withColumn("key", F.col("log_ratio") - F.log(-F.log(uniform))), "keys")
-    k = keys.where(F.col("log_ratio") >= F.lit(float(cut))).count() if k is None else k
+    keys = shared.written(scored.withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))), "keys")
+    k = keys.where(F.col("log_weight") >= F.lit(float(cut))).count() if k is None else k
     top = shared.written(top_k(keys.select("doc_id", "key"), k).select("doc_id").distinct().withColumn("kept", F.lit(True)), "top")
-    return keys.join(top, "doc_id", "left").select("doc_id", "log_ratio", F.col("key").alias("sample_key"), F.coalesce("kept", F.lit(False)).alias("kept"))
+    return keys.join(top, "doc_id", "left").select("doc_id", "log_ratio", "log_weight", F.col("key").alias("sample_key"), F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def kept_documents(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 0) -> DataFrame:
     """The documents that resample() keeps, all columns."""
-    keep = resample(docs, labels).where("kept").select("doc_id").distinct()
+    keep = resample(docs, labels, k, seed).where("kept").select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
 
 

@@ -137,7 +137,7 @@ def test_quality_held_out(spark):
     other = labels.where("doc_id % 2 = 1 and quality is not null").select("doc_id", "quality").collect()
     good = [got[r.doc_id] for r in other if r.quality == 1 and r.doc_id in got]
     bad = [got[r.doc_id] for r in other if r.quality == 0 and r.doc_id in got]
-    better = np.mean([[g.log_ratio > b.log_ratio for b in bad] for g in good])
+    better = np.mean([[g.log_weight > b.log_weight for b in bad] for g in good])
     assert better > 0.9
     assert np.mean([r.kept for r in good]) > 0.95 and np.mean([r.kept for r in bad]) < 0.3
 
@@ -157,19 +157,34 @@ def test_sampling_by_hand(spark):
     n_raw, n_target = raw.total(), target.total()
     ratio = {g: math.log(p(target, n_target, g)) - math.log(p(raw, n_raw, g)) for g in raw}
     want = {d: sum(ratio[g] for g in x) for d, x in grams.items()}
-    other = [(want[d], q) for d, (q, fold) in sample.items() if fold == 0 and d in want]
+    weight = {d: quality.STRENGTH * want[d] / (len(x) + quality.PRIOR) for d, x in grams.items()}
+    other = [(weight[d], q) for d, (q, fold) in sample.items() if fold == 0 and d in want]
     cost = lambda cut: sum(quality.REJECT_COST * (r < cut) if q == 1 else r >= cut for r, q in other)
     got = quality.resample(docs, labels).collect()
     assert all(math.isclose(r.log_ratio, want[r.doc_id], rel_tol=1e-6, abs_tol=1e-5) for r in got)
     k = sum(r.kept for r in got)
     assert {r.doc_id for r in got if r.kept} == {r.doc_id for r in sorted(got, key=lambda r: -r.sample_key)[:k]}
-    assert cost(sorted(want.values())[-k] - 1e-9) == min(cost(r) for r in [-1e18, *(x + 1e-9 for x, _ in other)])
-    noise = [r.sample_key - r.log_ratio for r in got]
+    assert cost(sorted(weight.values())[-k] - 1e-9) == min(cost(r) for r in [-1e18, *(x + 1e-9 for x, _ in other)])
+    assert all(math.isclose(r.log_weight, weight[r.doc_id], rel_tol=1e-5, abs_tol=1e-6) for r in got)
+    noise = [r.sample_key - r.log_weight for r in got]
     assert abs(np.mean(noise) - 0.577) < 0.3 and abs(np.std(noise) - 1.283) < 0.3
     few = [{r.doc_id for r in quality.resample(docs, labels, 60, seed).where("kept").collect()} for seed in (1, 2, 3)]
     assert all(len(x) == 60 for x in few) and len(set(map(frozenset, few))) > 1
 
 
+def test_seeds_differ_at_the_query_s_own_k(spark):
+    """On sf0.01 and with its own k another seed keeps others, and yet nearly all good and hardly any bad documents."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    made = [{r.doc_id: r for r in quality.resample(docs, labels, seed=seed).collect()} for seed in (0, 1)]
+    kept = [{d for d, r in m.items() if r.kept} for m in made]
+    assert len(kept[0]) == len(kept[1]) and 2 <= len(kept[0] ^ kept[1]) < 60
+    plain = {r.doc_id for r in sorted(made[0].values(), key=lambda r: -r.log_weight)[: len(kept[0])]}
+    assert any(plain != k for k in kept)
+    of = {r.doc_id: r.quality for r in labels.where("quality is not null").collect()}
+    good, bad = ([d for d, q in of.items() if q == x and d in made[0]] for x in (1, 0))
+    assert all(np.mean([d in k for d in good]) > 0.98 and np.mean([d in k for d in bad]) < 0.1 for k in kept)
+
+
 def test_quality_edges(spark):
     rows = [(i, t) for i, t in enumerate([None, "", "good words here", "bad bad bad $$$", "good words there", "bad $$$ bad"])] + [(2, "good words here"), (None, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("quality", "kept", "key", "bin")})
@@ -177,7 +192,7 @@ def test_quality_edges(spark):
     got = quality.resample(df, labels).collect()
     assert len(got) == 7
     by = {r.doc_id: r for r in got}
-    assert by[0].log_ratio == by[1].log_ratio == 0 and by[4].log_ratio > by[5].log_ratio
+    assert by[0].log_ratio == by[1].log_weight == 0 and by[4].log_weight > by[5].log_weight
     assert quality.resample(df, labels.limit(0)).where("kept").count() == 7
     assert quality.resample(df.limit(0), labels).count() == 0
     assert quality.kept_documents(df, labels).columns == df.columns
