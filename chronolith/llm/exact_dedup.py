@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -17,44 +17,55 @@ def digests(docs: DataFrame) -> DataFrame:
     return shared.texts(docs).select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.octet_length("text").alias("n_bytes"), F.xxhash64("text").alias("check"))
 
 
+def merged_entries(runs: DataFrame) -> DataFrame:
+    """The entries of sorted runs, merged in the order of KEY: of entries of one text, which lie side by side then, one stays, with the preferred identifier and the summed count."""
+    same = Window.partitionBy("run", *KEY)
+    lead = Window.partitionBy("run", *KEY).orderBy(F.desc("keep_id"))
+    ordered = runs.sortWithinPartitions("run", *KEY, F.desc("keep_id"))
+    return ordered.withColumn("_at", F.row_number().over(lead)).withColumn("group_size", F.sum("group_size").over(same)).where("_at = 1").drop("_at")
+
+
 def merge_runs(marked: DataFrame, runs: int, fan_in: int = FAN_IN) -> DataFrame:
     """KEY, keep_id, group_size of each distinct text.
 
-    A run is a partition, sorted by digest. Every document begins in the run of its doc_id's hash, as a number of so many
-    digits to the base fan_in; `runs` is rounded up to a power of it. In round j partitions whose numbers differ in digit j
-    alone exchange their runs: an entry goes to that partition of the fan_in which has the digest's digit j. There the
-    sorted runs are merged: entries of equal digest, length and check meet and keep the smallest identifier in the order of
-    preference (the largest doc_id comes first) and the summed count. After the last round a partition's number is its
-    digests', so every digest is in one run only and no run ever holds more than its share. A digest has at most one entry
-    in each run, so a text that a third of all rows share arrives pre-aggregated, fan_in entries at a time.
+    A run is sorted by KEY and lies in one partition, of which there are as many as runs (by a
+    hash of the run's number, so one may have two and another none). Every document begins in the run of its doc_id's
+    hash, as a number of so many digits to the base fan_in; `runs` is rounded up to a power of it. In round j runs whose numbers differ in digit
+    j alone exchange entries: an entry goes to that run of the fan_in which has the digest's digit j. There the
+    fan_in sorted runs that have come are merged: entries of equal digest, length and check lie side by side, and the one
+    with the preferred identifier (the largest doc_id comes first) stays, with the summed count. After the last round a
+    run's number is its digests', so every digest is in one run only and no run ever holds more than its share. A
+    task sums up equal texts before the first round, so a text that a third of all rows share is an entry a run from the
+    start, and arrives fan_in entries at a time.
     """
     rounds = 0
     while fan_in**rounds < runs:
         rounds += 1
     runs = fan_in**rounds
     target = F.pmod(F.conv(F.substring("text_sha256", 1, 12), 16, 10).cast("long"), F.lit(runs))
-    merged = [F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")]
-    level = marked.select(F.pmod(F.xxhash64("doc_id"), F.lit(runs)).alias("run"), *KEY, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    level = level.groupBy("run", *KEY).agg(*merged)
+    first = marked.select(F.pmod(F.xxhash64("doc_id"), F.lit(runs)).alias("run"), *KEY, "doc_id")
+    level = first.groupBy("run", *KEY).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     for j in range(rounds):
         digit = lambda x: F.floor(x / fan_in**j) % fan_in  # noqa: B023, E731
         to = F.col("run") + (digit(target) - digit(F.col("run"))) * fan_in**j
-        level = level.withColumn("run", to).repartition("run").sortWithinPartitions("run", *KEY).groupBy("run", *KEY).agg(*merged)
+        level = merged_entries(level.withColumn("run", to).repartition(runs, "run"))
     return level.drop("run")
 
 
-def verified(docs: DataFrame, merged: DataFrame) -> DataFrame:
-    """(doc_id, text_sha256) of documents whose text isn't that of the document which stands for their digest: none, unless SHA-256, length and a second hash all agree for two texts.
+def unlike(docs: DataFrame, merged: DataFrame) -> DataFrame:
+    """doc_id, text_sha256 and text of the documents whose text isn't that of the document which stands for their digest: none, unless SHA-256, length and a second hash all agree for two texts.
 
-    Texts meet in pairs with the one that stays, hot ones salted; only those of groups of two or more are read.
+    Texts meet in pairs with the one that stays, hot ones salted; only those of groups of two or more move. merged: as
+    merge_runs() gives it, written.
     """
     several = merged.where("group_size > 1")
     rows = shared.texts(docs).withColumn("text_sha256", F.sha2("text", 256))
-    stays = shared.written(several.select("text_sha256", F.col("keep_id").alias("doc_id"), "group_size"), "stays")
+    stays = several.select("text_sha256", F.col("keep_id").alias("doc_id"), "group_size")
+    # Rows that repeat a doc_id with several texts of one digest can't be told apart by it; the largest text stands for them.
     wide = rows.join(stays, ["doc_id", "text_sha256"]).groupBy("text_sha256", "group_size").agg(F.max("text").alias("kept_text"))
     wide = shared.written(wide, "kept")
     met = shared.hot_join(rows.join(several.select("text_sha256"), "text_sha256", "left_semi"), wide, "text_sha256", "doc_id", "group_size")
-    return met.where("text <> kept_text").select("doc_id", "text_sha256")
+    return met.where("text <> kept_text").select("doc_id", "text_sha256", "text")
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -64,12 +75,20 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     texts form one group. The largest doc_id of a group stays. Rows without a doc_id are left out. A row that is repeated
     with its doc_id counts in group_size each time and gets a row each time (kept if its doc_id is the group's keep_id);
     an empty table gives an empty result. Other columns, whatever their names, are not read. Equality is told by SHA-256,
-    length and an independent hash at every level; verified() compares the texts themselves.
+    length and an independent hash at every level, and the texts of every group are held against the one that stays; should
+    one differ for all that, unlike texts are grouped by themselves.
     """
     marked = digests(docs)
     runs = max(LEAST, -(-shared.texts(docs).count() // RUN_ROWS))
     merged = shared.written(merge_runs(marked, runs).withColumn("n", F.col("group_size")), "merged")
+    other = shared.written(unlike(docs, merged), "unlike")
     out = shared.hot_join(marked.drop("n_bytes", "check"), merged.drop("n_bytes", "check"), "text_sha256", "doc_id", "n")
+    if other.head(1):
+        lost = other.groupBy("text_sha256").agg(F.count("*").alias("lost"))
+        own = other.groupBy("text_sha256", "text").agg(F.max("doc_id").alias("own_id"), F.count("*").alias("own_size"))
+        own = other.join(own, ["text_sha256", "text"]).groupBy("doc_id", "text_sha256").agg(F.max("own_id").alias("own_id"), F.max("own_size").alias("own_size"))
+        out = out.join(lost, "text_sha256", "left").join(own, ["doc_id", "text_sha256"], "left")
+        out = out.withColumns({"keep_id": F.coalesce("own_id", "keep_id"), "group_size": F.coalesce("own_size", F.col("group_size") - F.coalesce("lost", F.lit(0)))})
     return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
 
 

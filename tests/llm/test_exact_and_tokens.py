@@ -5,7 +5,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from chronolith.llm import byte_bpe, exact_dedup, licenses, token_counts
+from chronolith.llm import byte_bpe, exact_dedup, licenses, shared, token_counts
 
 P = pytest.importorskip("public_tokenizers")
 SMALL = brute.SMALL
@@ -45,11 +45,38 @@ def test_exact_edges(spark, nasty):
 
 def test_tree_is_the_same_for_any_fan_in(spark, nasty):
     marked = exact_dedup.digests(nasty)
-    assert exact_dedup.verified(nasty, exact_dedup.merge_runs(marked, 4)).count() == 0
+    assert exact_dedup.unlike(nasty, shared.written(exact_dedup.merge_runs(marked, 4))).count() == 0
     trees = [sorted(map(tuple, exact_dedup.merge_runs(marked, runs, fan).collect())) for runs, fan in ((1, 2), (64, 2), (64, 4), (7, 3))]
     assert all(t == trees[0] for t in trees)
 
 
+def test_runs_are_sorted_partitions(spark, nasty):
+    """A sort for every round is in the optimised plan, and no exchange but the rounds' own comes between; a partition holds whole runs, in order."""
+    merged = exact_dedup.merge_runs(exact_dedup.digests(nasty), 64)
+    assert merged._jdf.queryExecution().optimizedPlan().toString().count("Sort [") == 3
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 4  # three rounds, and the first sums
+    parts = {}
+    for r in merged.select(F.spark_partition_id().alias("p"), "*").collect():
+        parts.setdefault(r.p, []).append((int(r.text_sha256[:12], 16) % 64, r.text_sha256))
+    owners = [{run for run, _ in own} for own in parts.values()]
+    assert sum(map(len, owners)) == len(set.union(*owners)) and all(own == sorted(own) for own in parts.values())
+
+
+def test_texts_that_only_share_their_digests(spark, monkeypatch):
+    """With a digest that says nothing, the texts themselves decide."""
+    rows = [(i, t) for i, t in enumerate(["a", "b", "a", "b", "b", "c", None])] + [(None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sha2 = F.sha2
+
+    def weak(c, bits):
+        return sha2(F.when(F.lit(True), F.lit("x")), bits)
+
+    monkeypatch.setattr(exact_dedup, "digests", lambda d: shared.texts(d).select("doc_id", weak("text", 256).alias("text_sha256"), F.lit(1).alias("n_bytes"), F.lit(1).cast("long").alias("check")))
+    monkeypatch.setattr(exact_dedup.F, "sha2", weak)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(df).collect()}
+    assert got == {0: (2, 2, False), 1: (4, 3, False), 2: (2, 2, True), 3: (4, 3, False), 4: (4, 3, True), 5: (5, 1, True), 6: (6, 1, True)}
+
+
 def test_token_counts(spark, nasty, tmp_path):
     import sentencepiece
     from tokenizers import Tokenizer
