@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
@@ -83,8 +83,13 @@ SINGLE = {
     "WTFPL": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed",
     "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     "PostgreSQL": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies",
+    "GPL-2.0-only": "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "EPL-1.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
     "OFL-1.1": "This Font Software is licensed under the SIL Open Font License, Version 1.1",
 }
+#: Licences that are often offered together, and exceptions with the licences they are made to; expressions are made from these.
+TOGETHER = ["MIT", "Apache-2.0", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-or-later", "MPL-2.0", "Unlicense"]
+EXCEPTIONS = {"Classpath-exception-2.0": ["GPL-2.0-only", "GPL-2.0-or-later"], "GCC-exception-3.1": ["GPL-3.0-or-later"], "Linux-syscall-note": ["GPL-2.0-only", "GPL-2.0-or-later"], "LLVM-exception": ["Apache-2.0"]}
 
 
 def catalogue() -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
@@ -106,6 +111,16 @@ def catalogue() -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
             one(f"cc-{x}-{version}-long", f"This work is licensed under a Creative Commons {name} {version} {kind} License", f"CC-{x}-{version}")
     for x, (name, version) in GNU.items():
         one(f"gnu-{x}", f"This work is licensed under the GNU {name} Public License, version {version}", f"{x}-only")
+    # An expression of two licences gives both.
+    for a in TOGETHER:
+        for b in TOGETHER:
+            for word in ("OR", "AND"):
+                if a != b:
+                    sentences[f"spdx-{a}-{word}-{b}"] = f"SPDX-License-Identifier: ({a} {word} {b})"
+                    rules += [(x, [f"spdx-{a}-{word}-{b}"]) for x in (a, b)]
+    for exception, licences in EXCEPTIONS.items():
+        for x in licences:
+            one(f"spdx-{x}-{exception}", f"SPDX-License-Identifier: {x} WITH {exception}", f"{x} WITH {exception}")
     return sentences, rules
 
 
@@ -121,6 +136,10 @@ def normal(c: str) -> str:
     return f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' '))"
 
 
+def _normal(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+
+
 def sentence_table(spark: SparkSession, sentences: dict[str, str]) -> DataFrame:
     """(sentence_id, sentence) as scan() takes it."""
     return spark.createDataFrame(list(sentences.items()), "sentence_id string, sentence string")
@@ -145,12 +164,15 @@ def identified(docs: DataFrame, sentences: DataFrame) -> DataFrame:
     """
     known = sentences.selectExpr("sentence_id", f"{normal('sentence')} as sentence").where("sentence <> ''")
     texts = shared.texts(docs)
-    lines = texts.select("doc_id", F.lit(False).alias("wrapped"), F.lit(0).alias("part"), F.posexplode(F.split("text", SPLIT)).alias("at", "sentence"), F.lit("").alias("paragraph"))
+    lines = texts.select("doc_id", F.lit(False).alias("wrapped"), F.lit(0).alias("part"), F.posexplode(F.split("text", SPLIT)).alias("at", "sentence")).withColumn("sentence", F.expr(normal("sentence")))
     parts = texts.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", MARKS, ""), PARAGRAPHS)).alias("part", "paragraph"))
-    cuts = F.array_distinct(F.concat(F.split("paragraph", WITHIN), F.split("paragraph", SPLIT)))
-    joined = parts.select("doc_id", F.lit(True).alias("wrapped"), "part", F.lit(0).alias("at"), F.explode(cuts).alias("sentence"), "paragraph")
-    found = lines.unionByName(joined).withColumn("sentence", F.expr(normal("sentence"))).join(_small(known), "sentence")
-    return found.selectExpr("doc_id", "wrapped", "part", f"if(wrapped, instr({normal('paragraph')}, sentence), at) as at", "sentence_id")
+    cuts = F.array_distinct(F.transform(F.concat(F.split("paragraph", WITHIN), F.split("paragraph", SPLIT)), _normal))
+    # What isn't known by its hash goes before a paragraph's sentences become rows: a paragraph is as long as a text can be.
+    hashes = F.array(*[F.lit(r[0]) for r in known.select(F.xxhash64("sentence")).distinct().collect()] or [F.lit(0)])  # as many as the catalogue has
+    spots = parts.select("doc_id", "part", "paragraph", F.filter(cuts, lambda x: F.array_contains(hashes, F.xxhash64(x))).alias("some")).where(F.size("some") > 0)
+    spots = spots.select("doc_id", "part", "some", F.expr(normal("paragraph")).alias("paragraph"))
+    joined = spots.select("doc_id", F.lit(True).alias("wrapped"), "part", F.explode(F.transform("some", lambda x: F.struct(F.instr("paragraph", x).alias("at"), x.alias("sentence")))).alias("x")).select("doc_id", "wrapped", "part", "x.at", "x.sentence")
+    return lines.unionByName(joined).join(_small(known), "sentence").select("doc_id", "wrapped", "part", "at", "sentence_id")
 
 
 def scan(docs: DataFrame, sentences: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:

@@ -54,8 +54,10 @@ def token_counts(docs: DataFrame, model: str, cache: str | None = None, limit: i
     """One row per document: doc_id, n_bytes, n_tokens, over_limit.
 
     Content is normalised by nothing but null to empty, so that a stored count is the count of every text with the digest.
-    The texts' SHA-256 and the tokenizer's version are joined to the table `cache` (Parquet, CACHE_SCHEMA); of the digests
-    that it lacks, one document each is encoded, and the new counts are appended as one more folder of the cache.
+    The texts' SHA-256 and the tokenizer's version are joined to the table `cache` (Parquet, CACHE_SCHEMA, a folder for each
+    tokenizer); of the digests that it lacks, one document each is encoded, and the new counts are appended as one more
+    folder. Up to shared.BROADCAST_ROWS misses are sent to where the texts are, so that texts that the cache covers don't
+    move.
     Without `cache` a new, empty one is made in the shared folder. model: a .model file of sentencepiece or a .json of
     tokenizers, at the same path on every executor. No begin, end or added special tokens, no truncation or padding.
 
@@ -69,11 +71,12 @@ def token_counts(docs: DataFrame, model: str, cache: str | None = None, limit: i
     known = _stored(spark, cache, version)
     # A text that a third of all rows hold is one row after the partial aggregation; texts themselves move once, by doc_id.
     groups = shared.written(whole.groupBy("text_digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "digests")
-    misses = groups.drop("n").join(known, "text_digest", "left_anti")
-    todo = whole.select("doc_id", "text_digest", "text").join(misses, ["doc_id", "text_digest"], "left_semi")
+    misses = shared.written(groups.drop("n").join(known, "text_digest", "left_anti"), "misses")
+    few = misses.count() <= shared.BROADCAST_ROWS // 4  # a digest is four times as long as an id
+    todo = whole.select("doc_id", "text_digest", "text").join(F.broadcast(misses) if few else misses, ["doc_id", "text_digest"], "left_semi")
     encoded = todo.select("text_digest", "text").mapInArrow(_count(model), "text_digest string, n_tokens long")
     new = encoded.groupBy("text_digest").agg(F.max("n_tokens").alias("n_tokens"))  # a repeated row of the same doc_id is encoded twice at most
-    new.select("text_digest", F.lit(version).alias("tokenizer"), "n_tokens").write.parquet(f"{cache}/part={uuid.uuid4().hex}")
+    new.select("text_digest", "n_tokens").write.parquet(f"{cache}/tokenizer={version}/part={uuid.uuid4().hex}")
     facts = shared.written(groups.drop("doc_id").join(_stored(spark, cache, version), "text_digest"), "counts")
     own = whole.select("doc_id", "text_digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return shared.hot_join(own, facts, "text_digest", "doc_id", "n").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
@@ -82,7 +85,7 @@ def token_counts(docs: DataFrame, model: str, cache: str | None = None, limit: i
 def _stored(spark: SparkSession, cache: str, version: str) -> DataFrame:
     """text_digest and n_tokens of this tokenizer, one row per digest even if two runs have appended the same one."""
     try:
-        rows = spark.read.schema(CACHE_SCHEMA + ", part string").parquet(cache).where(F.col("tokenizer") == version)
+        rows = spark.read.schema("text_digest string, n_tokens long, part string").parquet(f"{cache}/tokenizer={version}")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

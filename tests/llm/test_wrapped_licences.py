@@ -40,16 +40,24 @@ def test_wrapped(spark):
         (22, "This work is licensed under the GNU Affero General Public License, version 3."),
         (23, wrapped(licenses.SINGLE["Zlib"].replace(":", ".") + " And more.", " * ")),
     ]
+    rows += [
+        (24, wrapped("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", "# ")),
+        (25, wrapped("All rights reserved. " + licenses.SINGLE["EPL-1.0"], " * ")),
+        (26, "// SPDX-License-Identifier: (MIT OR Apache-2.0)\nx"),
+        (27, "/* SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 */"),
+        (28, "# SPDX-License-Identifier: MPL-2.0 AND BSD-3-Clause"),
+    ]
     got = {}
     for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         got.setdefault(r.doc_id, set()).add(r.licence)
-        if r.licence == "Apache-2.0":
+        if r.licence == "Apache-2.0" and r.doc_id == 1:
             assert (r.rule, r.n_sentences) == (0, 3)
-        if r.licence == "MIT":
+        if r.licence == "MIT" and r.doc_id == 2:
             assert (r.rule, r.n_sentences) == (3, 2)
     assert got == {
         1: {"Apache-2.0"}, 2: {"MIT"}, 3: {"GPL-3.0-or-later"}, 4: {"BSD", "BSD-2-Clause"}, 5: {"BSD", "BSD-3-Clause"}, 6: {"GPL-2.0-or-later"}, 7: {"LGPL-2.1-or-later"},
         8: {"ISC"}, 9: {"AGPL-3.0-or-later"}, 10: {"Unlicense"}, 12: {"CC-BY-SA-4.0"}, 13: {"LGPL-3.0-or-later"}, 14: {"MPL-2.0"}, 20: {"BSL-1.0"}, 21: {"CC-BY-NC-SA-4.0"}, 22: {"AGPL-3.0-only"}, 23: {"Zlib"},
+        24: {"GPL-2.0-only"}, 25: {"EPL-1.0"}, 26: {"MIT", "Apache-2.0"}, 27: {"GPL-2.0-or-later WITH Classpath-exception-2.0"}, 28: {"MPL-2.0", "BSD-3-Clause"},
     }
 
 
