@@ -55,16 +55,19 @@ def merge_runs(marked: DataFrame, runs: int, fan_in: int = FAN_IN) -> DataFrame:
 def unlike(docs: DataFrame, merged: DataFrame) -> DataFrame:
     """doc_id, text_sha256 and text of the documents whose text isn't that of the document which stands for their digest: none, unless SHA-256, length and a second hash all agree for two texts.
 
-    Texts meet in pairs with the one that stays, hot ones salted; only those of groups of two or more move. merged: as
-    merge_runs() gives it, written.
+    Texts meet in pairs with the one that stays, hot ones salted. Up to a quarter of shared.BROADCAST_ROWS digests of groups
+    of two or more are sent to where the texts are, and only these texts move; beyond that all do. merged: as merge_runs()
+    gives it, written.
     """
     several = merged.where("group_size > 1")
-    rows = shared.texts(docs).withColumn("text_sha256", F.sha2("text", 256))
+    digests = several.select("text_sha256")
+    few = digests.count() <= shared.BROADCAST_ROWS // 4  # a digest is four times as long as an id
+    rows = shared.texts(docs).withColumn("text_sha256", F.sha2("text", 256)).join(F.broadcast(digests) if few else digests, "text_sha256", "left_semi")
     stays = several.select("text_sha256", F.col("keep_id").alias("doc_id"), "group_size")
     # Rows that repeat a doc_id with several texts of one digest can't be told apart by it; the largest text stands for them.
     wide = rows.join(stays, ["doc_id", "text_sha256"]).groupBy("text_sha256", "group_size").agg(F.max("text").alias("kept_text"))
     wide = shared.written(wide, "kept")
-    met = shared.hot_join(rows.join(several.select("text_sha256"), "text_sha256", "left_semi"), wide, "text_sha256", "doc_id", "group_size")
+    met = shared.hot_join(rows, wide, "text_sha256", "doc_id", "group_size")
     return met.where("text <> kept_text").select("doc_id", "text_sha256", "text")
 
 
