@@ -164,14 +164,14 @@ def identified(docs: DataFrame, sentences: DataFrame) -> DataFrame:
     """
     known = sentences.selectExpr("sentence_id", f"{normal('sentence')} as sentence").where("sentence <> ''")
     texts = shared.texts(docs)
-    lines = texts.select("doc_id", F.lit(False).alias("wrapped"), F.lit(0).alias("part"), F.posexplode(F.split("text", SPLIT)).alias("at", "sentence")).withColumn("sentence", F.expr(normal("sentence")))
-    parts = texts.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", MARKS, ""), PARAGRAPHS)).alias("part", "paragraph"))
+    lines = texts.select("doc_id", F.lit(False).alias("wrapped"), F.lit(0).alias("part"), F.posexplode_outer(F.split("text", SPLIT)).alias("at", "sentence")).withColumn("sentence", F.expr(normal("sentence")))
+    parts = texts.select("doc_id", F.posexplode_outer(F.split(F.regexp_replace("text", MARKS, ""), PARAGRAPHS)).alias("part", "paragraph"))
     cuts = F.array_distinct(F.transform(F.concat(F.split("paragraph", WITHIN), F.split("paragraph", SPLIT)), _normal))
     # What isn't known by its hash goes before a paragraph's sentences become rows: a paragraph is as long as a text can be.
     hashes = F.array(*[F.lit(r[0]) for r in known.select(F.xxhash64("sentence")).distinct().collect()] or [F.lit(0)])  # as many as the catalogue has
-    spots = parts.select("doc_id", "part", "paragraph", F.filter(cuts, lambda x: F.array_contains(hashes, F.xxhash64(x))).alias("some")).where(F.size("some") > 0)
-    spots = spots.select("doc_id", "part", "some", F.expr(normal("paragraph")).alias("paragraph"))
-    joined = spots.select("doc_id", F.lit(True).alias("wrapped"), "part", F.explode(F.transform("some", lambda x: F.struct(F.instr("paragraph", x).alias("at"), x.alias("sentence")))).alias("x")).select("doc_id", "wrapped", "part", "x.at", "x.sentence")
+    # The outer forms: for the others Spark pushes a test of the array's size down, and computes the array once more for it.
+    some = F.transform(F.filter(cuts, lambda x: F.array_contains(hashes, F.xxhash64(x))), lambda x: F.struct(F.instr(_normal(F.col("paragraph")), x).alias("at"), x.alias("sentence")))
+    joined = parts.select("doc_id", F.lit(True).alias("wrapped"), "part", F.explode_outer(some).alias("x")).where("x is not null").select("doc_id", "wrapped", "part", "x.at", "x.sentence")
     return lines.unionByName(joined).join(_small(known), "sentence").select("doc_id", "wrapped", "part", "at", "sentence_id")
 
 
