@@ -75,13 +75,16 @@ _KINDS = (np.uint32, np.uint64, np.uint32)
 MOST = 2_000_000
 
 
-def packed_rows(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, buckets: int) -> pa.RecordBatch:
+def packed_rows(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, buckets: int, marks: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows of PACKED; with marks (a row of whole numbers for each entry) these are one more column, `marks`."""
     bucket = bucket_of(keys, buckets)
     order = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
     own = np.flatnonzero(np.diff(edges))
     columns = [np.ascontiguousarray(x[order].astype(t)) for x, t in zip((keys & np.uint64(0xFFFFFFFF), nodes, sizes), _KINDS)]
-    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(pa.array([c[edges[i] : edges[i + 1]].tobytes() for i in own], pa.binary()) for c in columns)], NAMES)
+    if marks is not None:
+        columns.append(marks[order])
+    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(pa.array([c[edges[i] : edges[i + 1]].tobytes() for i in own], pa.binary()) for c in columns)], NAMES if marks is None else [*NAMES, "marks"])
 
 
 def _names(nodes: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -89,7 +92,22 @@ def _names(nodes: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarra
     return mix(np.add.reduceat(mix(nodes), starts) + size.astype(np.uint64))
 
 
-def _cells(gap: float):
+#: Pairs of a cell's entries, or of several cells', whose marks are held together at once.
+PAIRS = 1 << 19
+
+
+def _partnered(sizes: np.ndarray, marks: np.ndarray, starts: np.ndarray, size: np.ndarray, fits: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Which entries have another in their cell that fits; in cells of more than TILE all are said to. Cells of one size are looked at side by side."""
+    out = np.ones(len(sizes), bool)
+    for s in np.unique(size[(size > 1) & (size <= TILE)]).tolist():
+        own, step = starts[size == s], max(1, PAIRS // s**2)
+        for a in range(0, len(own), step):
+            at = own[a : a + step, None] + np.arange(s)
+            out[at] = fits(sizes[at], marks[at])
+    return out
+
+
+def _cells(gap: float, fits: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
     def run(group: pa.Table) -> pa.Table:
         keys, nodes, sizes = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in zip(NAMES[1:], _KINDS))
         order = np.lexsort((nodes, sizes, keys))
@@ -97,6 +115,13 @@ def _cells(gap: float):
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
         keys, nodes, sizes = keys[new], nodes[new], sizes[new]
+        if fits is not None and len(keys):
+            marks = np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint64).reshape(len(order), -1)[order][new]
+            first = np.ones(len(keys), bool)
+            first[1:] = (keys[1:] != keys[:-1]) | (sizes[1:] * gap > sizes[:-1] + 1e-9)
+            starts = np.flatnonzero(first)
+            stay = _partnered(sizes, marks, starts, np.diff(np.append(starts, len(keys))), fits)
+            keys, nodes, sizes = keys[stay], nodes[stay], sizes[stay]
         first = np.ones(len(keys), bool)
         first[1:] = (keys[1:] != keys[:-1]) | (sizes[1:] * gap > sizes[:-1] + 1e-9)
         starts = np.flatnonzero(first)
@@ -124,17 +149,18 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 CELLS = "cell long, node long, size long, lead long, members long"
 
 
-def cells(packed: DataFrame, gap: float) -> DataFrame:
+def cells(packed: DataFrame, gap: float, fits: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Rows of CELLS from a table of PACKED, written: the keys that two nodes or more share, with the least node and the number of nodes; cells of the same nodes are one.
 
     gap: linked nodes' sizes, the smaller by the larger, are at least this, so a cell is cut where neighbours in the order
-    of sizes are further apart. Buckets of more than MOST entries (a key that a large share of all rows has) don't become
+    of sizes are further apart. fits(sizes, marks), of cells of one size side by side, says which entries have a partner among
+    the others; packed has a column `marks` then, and entries without a partner are left out. Buckets of more than MOST entries (a key that a large share of all rows has) don't become
     one group: their entries are counted by key, and none is put together with the others of its key.
     """
     big = shared.written(packed.groupBy("bucket").agg(F.sum(F.octet_length("keys")).alias("n")).where(F.col("n") > 4 * MOST).select("bucket"), "big")
     few = big.head(1)
     grouped = packed.join(F.broadcast(big) if big.count() <= shared.BROADCAST_ROWS else big, "bucket", "left_anti") if few else packed
-    out = grouped.groupBy("bucket").applyInArrow(_cells(gap), CELLS)
+    out = grouped.groupBy("bucket").applyInArrow(_cells(gap, fits), CELLS)
     if few:
         rows = shared.written(shared.semi(packed, big, "bucket").mapInArrow(_unpacked, "cell long, node long, size long").distinct(), "entries")
         common = rows.groupBy("cell").agg(F.min("node").alias("lead"), F.count("*").alias("members")).where("members > 1")
