@@ -3,14 +3,17 @@
 Words are the runs of letters and digits, lower-cased; shingles are WORDS words in a row, by their 64-bit hashes. A window
 is as many words as an item has, or the whole of a shorter text. A window as similar as asked must hold shingles of its
 item, so windows are laid only where document and item share one: at the offsets at which shared shingles would line up,
-and at all offsets between two of these that one window can reach. Each window's fingerprint is looked up among the items of
-its length by blocks, RADIUS + 1 of them, of which two fingerprints within RADIUS share at least one. What is within RADIUS
-is verified: the weighted Jaccard similarity of the shingles, each weighing as often as it occurs.
-
-The index is what the method names, but not what saves work: at a similarity of 0.75 fingerprints differ in 11 bits of 64
-and unrelated ones in 32, so a radius that loses nothing leaves blocks of two or three bits, which nearly all pairs share.
-That documents and items share a shingle is what selects; the index then holds a window against items of its length. Items
-of less than WORDS words have no shingle and are found as a whole sequence of words.
+and at all offsets between two of these that one window can reach.
+
+Windows of the same shingles are one entry: a passage that a third of all documents hold is looked up and verified once. An
+entry's fingerprint of 128 bits is looked up among the items of its length by its BLOCKS blocks of BLOCK_BITS bits. The index
+holds every block of an item in all forms with up to PROBES bits changed, so each fingerprint within RADIUS shares at least
+one key, and by chance some 9 in 100 others do, of which the distance leaves next to none. What is within RADIUS is verified:
+the weighted Jaccard similarity of the shingles, each weighing as often as it occurs.
+
+At a similarity of 0.75 fingerprints differ in 22 bits on average, with a standard deviation of 4.3, so some 1 in 70 windows
+right at the limit lies beyond RADIUS (31), and far fewer above it. Items of less than WORDS words have no shingle and are
+found as a whole sequence of words.
 """
 
 from __future__ import annotations
@@ -21,8 +24,10 @@ from pyspark.sql import functions as F
 from . import shared
 
 WORDS, SIMILARITY = 5, 0.75
-#: At a similarity of 0.75, fingerprints of 64 bits differ in 11 bits on average, with a standard deviation of 3.
-RADIUS = 22
+#: Blocks of a fingerprint, their bits, and how many of these an item's block has changed at most in the index.
+BLOCKS, BLOCK_BITS, PROBES = 8, 16, 3
+#: Two fingerprints that differ in more than PROBES bits of every block differ in more than this.
+RADIUS = BLOCKS * (PROBES + 1) - 1
 #: Item shingles up to which they are broadcast (24 bytes each, 12 MB in all); above it the join shuffles.
 BROADCAST_SHINGLES = 500_000
 
@@ -38,15 +43,24 @@ def _shingles(hashes: str) -> str:
     return f"if(size({hashes}) >= {WORDS}, transform(sequence(1, size({hashes}) - {WORDS - 1}), i -> xxhash64({parts})), cast(array() as array<bigint>))"
 
 
+def _half(hashes: str) -> str:
+    """SQL: SimHash of an array of 64-bit hashes: bit b is set if more than half of them have it."""
+    return f"aggregate(sequence(0, 63), 0L, (f, b) -> f | if(2 * aggregate({hashes}, 0, (n, h) -> n + cast(shiftright(h, b) & 1 as int)) > size({hashes}), shiftleft(1L, b), 0L))"
+
+
 def _fingerprint(shingles: str) -> str:
-    """SQL: 64-bit SimHash of an array of hashes: bit b is set if more than half of them have it."""
-    return f"aggregate(sequence(0, 63), 0L, (f, b) -> f | if(2 * aggregate({shingles}, 0, (n, h) -> n + cast(shiftright(h, b) & 1 as int)) > size({shingles}), shiftleft(1L, b), 0L))"
+    """SQL: SimHash of 128 bits as an array of two numbers: of the shingles' hashes and of the hashes of these."""
+    return f"array({_half(shingles)}, {_half(f'transform({shingles}, s -> xxhash64(s))')})"
 
 
-def _blocks(fingerprint: str) -> str:
-    """SQL: the blocks of a fingerprint, each with its number."""
-    edges = [64 * i // (RADIUS + 1) for i in range(RADIUS + 2)]
-    return "array(" + ", ".join(f"{i} * 65536L + (shiftrightunsigned({fingerprint}, {a}) & {(1 << (b - a)) - 1})" for i, (a, b) in enumerate(zip(edges, edges[1:]))) + ")"
+def _blocks(fingerprint: str, probes: int = 0) -> str:
+    """SQL: the blocks of a fingerprint, each with its number, in all forms with up to `probes` bits changed."""
+    each, size = 64 // BLOCK_BITS, 1 << BLOCK_BITS
+    cut = [f"{i * size}L + (shiftrightunsigned({fingerprint}[{i // each}], {i % each * BLOCK_BITS}) & {size - 1})" for i in range(BLOCKS)]
+    if not probes:
+        return f"array({', '.join(cut)})"
+    masks = f"filter(sequence(0L, {size - 1}L), m -> bit_count(m) <= {probes})"  # a constant: made once
+    return f"flatten(transform(array({', '.join(cut)}), b -> transform({masks}, m -> b ^ m)))"
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
@@ -106,15 +120,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     # A window that would stick out at an end is moved in; of a text that is shorter it is the whole.
     window = window.withColumn("at", F.expr(f"greatest(0, least(at, size(shingles) - (n_words - {WORDS - 1})))"))
     window = window.select("doc_id", "n_words", "at", F.expr(f"slice(shingles, at + 1, n_words - {WORDS - 1})").alias("window_shingles")).dropDuplicates(["doc_id", "n_words", "at"])
-    window = shared.written(window.withColumn("window_print", F.expr(_fingerprint("window_shingles"))), "prints")
-    looked = window.select("doc_id", "n_words", "at", "window_print", F.explode(F.expr(_blocks("window_print"))).alias("block"))
-    index = items.where(f"n_words >= {WORDS}").select("item_id", "n_words", "item_print", F.explode(F.expr(_blocks("item_print"))).alias("block"))
-    candidates = looked.join(index, ["n_words", "block"]).where(f"bit_count(window_print ^ item_print) <= {RADIUS}").select("doc_id", "n_words", "at", "item_id").distinct()
-    pairs = candidates.join(window.select("doc_id", "n_words", "at", "window_shingles"), ["doc_id", "n_words", "at"]).join(items.select("item_id", "item_shingles"), "item_id")
+    window = shared.written(window.withColumn("content", F.sha2(F.concat_ws(",", "n_words", F.col("window_shingles").cast("array<string>")), 256)), "laid_windows")
+    shared.spent(hits, laid, ids)
+    contents = window.groupBy("content").agg(F.first("n_words").alias("n_words"), F.first("window_shingles").alias("window_shingles"), F.count("*").alias("n"))  # the same in all rows of a content
+    contents = shared.written(contents.withColumn("window_print", F.expr(_fingerprint("window_shingles"))), "contents")
+    looked = contents.select("content", "n_words", "window_print", F.explode(F.expr(_blocks("window_print"))).alias("block"))
+    index = items.where(f"n_words >= {WORDS}").select("item_id", "n_words", "item_print", F.explode(F.expr(_blocks("item_print", PROBES))).alias("block"))
+    apart = "bit_count(window_print[0] ^ item_print[0]) + bit_count(window_print[1] ^ item_print[1])"
+    candidates = looked.join(index, ["n_words", "block"]).where(f"{apart} <= {RADIUS}").select("content", "item_id").distinct()
+    pairs = candidates.join(contents.select("content", "window_shingles", "n"), "content").join(items.select("item_id", "item_shingles"), "item_id")
     # The smaller counts add up to the weight in common.
     common = "aggregate(array_distinct(item_shingles), 0, (n, s) -> n + least(size(filter(item_shingles, x -> x = s)), size(filter(window_shingles, x -> x = s))))"
     scored = pairs.withColumn("common", F.expr(common)).withColumn("similarity", F.expr("common / (1.0D * size(item_shingles) + size(window_shingles) - common)"))
-    best = scored.where(F.col("similarity") >= similarity).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("at")).alias("at"))).alias("best"))
+    verdicts = scored.where(F.col("similarity") >= similarity).groupBy("content").agg(F.first("n").alias("n"), F.collect_list(F.struct("item_id", "similarity")).alias("held"))
+    verdicts = shared.written(verdicts, "verdicts")
+    shared.spent(contents)
+    told = shared.hot_join(window.select("doc_id", "at", "content"), verdicts, "content", "doc_id", "n").select("doc_id", "at", F.inline("held"))
+    best = told.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("at")).alias("at"))).alias("best"))
     best = best.select("doc_id", "item_id", (-F.col("best.at")).cast("long").alias("at_word"), F.round("best.similarity", 6).alias("similarity"))
     return best.unionByName(_short_matches(whole, items))
 
