@@ -14,7 +14,9 @@ likelihood of the outcome is then computed exactly, and a sweep that lowers it i
 Nothing of the vocabulary's size is broadcast or collected. Texts are read once and coded in chunks of about CHUNK bytes: each
 chunk's distinct words are sorted by hash and cut into buckets of hash ranges, which meet over all chunks to sum the counts.
 From then on a word is a place in its bucket: buckets answer chunks with classes, chunks answer buckets with counts of
-classes. A chunk and bucket have at most one row, and never more rows than there are distinct words in the chunks.
+classes. A chunk and bucket have at most one row, and never more rows than there are distinct words in the chunks. A bucket
+that more than ROWS chunks have words in, as each has that holds a frequent word, is cut into parts by chunk: parts are summed
+by themselves, then together, and each part asks its own copy of the bucket.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ SWEEPS = 4
 MOST_CLASSES, UNKNOWN, ONCE, KINDS = 120, 0x7F, 0x80, 128
 END_WORD = np.uint64(0xE5D0F7E47)
 CHUNK, BUCKET = 2 << 20, 8 << 20
+#: Rows of a bucket (one a chunk, some hundred bytes each where there are many) above which it is cut into parts of about as many.
+ROWS = 1 << 18
 SMOOTH, SMOOTH_UNKNOWN = 20.0, 200.0
 #: Words seen so often are put into every class exactly; so many words are weighed at once.
 EXACT, BLOCK = 1024, 4096
@@ -107,7 +111,7 @@ def _thick(table: pa.Table, column: str, row: int, n: int) -> np.ndarray:
     return np.frombuffer(raw, {0: np.uint8, 1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[raw.size // max(n, 1)])
 
 
-PLACED = "chunk long, bucket int, n_words int, places binary, words binary, n binary"
+PLACED = "chunk long, bucket int, part int, n_words int, places binary, words binary, n binary"
 
 
 def _place(group: pa.Table) -> pa.Table:
@@ -122,7 +126,65 @@ def _place(group: pa.Table) -> pa.Table:
         places.append(_thin(at))
     none = [None] * len(places)
     bucket = group.column("bucket")[0].as_py()
-    return pa.table([pa.array([*group.column("chunk").to_pylist(), None], pa.int64()), pa.array([bucket] * (len(places) + 1), pa.int32()), pa.array([*map(len, parts), None], pa.int32()), pa.array([*places, None], pa.binary()), pa.array([*none, words.tobytes()], pa.binary()), pa.array([*none, n.tobytes()], pa.binary())], names=["chunk", "bucket", "n_words", "places", "words", "n"])
+    return pa.table([pa.array([*group.column("chunk").to_pylist(), None], pa.int64()), pa.array([bucket] * (len(places) + 1), pa.int32()), pa.array([0] * (len(places) + 1), pa.int32()), pa.array([*map(len, parts), None], pa.int32()), pa.array([*places, None], pa.binary()), pa.array([*none, words.tobytes()], pa.binary()), pa.array([*none, n.tobytes()], pa.binary())], names=["chunk", "bucket", "part", "n_words", "places", "words", "n"])
+
+
+MERGED = "bucket int, words binary, n binary"
+
+
+def _merge_words(counts: str, kind):
+    """The words of the group's rows and the sums of their counts as one row."""
+
+    def run(group: pa.Table) -> pa.Table:
+        parts = [_of(group, "words", i, np.uint64) for i in range(group.num_rows)]
+        words = np.unique(np.concatenate(parts))
+        n = np.zeros(len(words), np.int64)
+        for i, w in enumerate(parts):
+            n[np.searchsorted(words, w)] += _of(group, counts, i, kind)
+        return pa.table([group.column("bucket").slice(0, 1), pa.array([words.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["bucket", "words", "n"])
+
+    return run
+
+
+def _find(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """As _place, for a part of a bucket whose words are known: the places of each chunk's words."""
+    words = _of(known, "words", 0, np.uint64)
+    parts = [_of(asked, "words", i, np.uint64) for i in range(asked.num_rows)]
+    none = pa.array([None] * len(parts), pa.binary())
+    places = pa.array([_thin(np.searchsorted(words, w).astype(np.uint32)) for w in parts], pa.binary())
+    return pa.table([asked.column("chunk"), asked.column("bucket"), asked.column("part"), pa.array(map(len, parts), pa.int32()), places, none, none], names=["chunk", "bucket", "part", "n_words", "places", "words", "n"])
+
+
+class Parts:
+    """Into how many parts the buckets are cut that have more than ROWS rows; `rows` has a row per chunk and bucket."""
+
+    def __init__(self, rows: DataFrame):
+        sizes = rows.groupBy("bucket").count().where(F.col("count") > ROWS)
+        hot = shared.written(sizes.select("bucket", F.ceil(F.col("count") / ROWS).cast("int").alias("parts")), "parts")
+        self.count = hot.count()
+        self.hot = F.broadcast(hot) if self.count <= shared.BROADCAST_ROWS else hot
+
+    def of_rows(self, rows: DataFrame) -> DataFrame:
+        """The rows of cut buckets, with their part."""
+        return rows.join(self.hot, "bucket").withColumn("part", F.pmod(F.xxhash64("chunk"), F.col("parts")).cast("int")).drop("parts")
+
+    def copies(self, vocabulary: DataFrame) -> DataFrame:
+        """A row per bucket and part."""
+        if not self.count:
+            return vocabulary.withColumn("part", F.lit(0))
+        parted = vocabulary.join(self.hot, "bucket", "left")
+        return parted.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """PLACED of chunk, bucket, words, counts."""
+        if not self.count:
+            return rows.groupBy("bucket").applyInArrow(_place, PLACED)
+        whole = rows.join(self.hot, "bucket", "left_anti").groupBy("bucket").applyInArrow(_place, PLACED)
+        cut = self.of_rows(rows)
+        summed = cut.groupBy("bucket", "part").applyInArrow(_merge_words("counts", np.uint32), MERGED)
+        words = shared.written(summed.groupBy("bucket").applyInArrow(_merge_words("n", np.int64), MERGED), "words_of_parts")
+        found = cut.groupBy("bucket", "part").cogroup(self.copies(words).groupBy("bucket", "part")).applyInArrow(_find, PLACED)
+        return whole.unionByName(found).unionByName(words, allowMissingColumns=True)
 
 
 def _most(k: int):
@@ -168,12 +230,12 @@ def _answer(with_counts: bool):
         kinds[n == 1] |= ONCE
         places = [_thick(asked, "places", i, k) for i, k in enumerate(asked.column("n_words").to_pylist())]
         counts = pa.array([_thin(n[p]) if with_counts else None for p in places], pa.binary())
-        return pa.table([asked.column("chunk"), asked.column("bucket"), asked.column("places"), counts, pa.array([kinds[p].tobytes() for p in places], pa.binary())], names=["chunk", "bucket", "places", "n", "kinds"])
+        return pa.table([asked.column("chunk"), asked.column("bucket"), asked.column("part"), asked.column("places"), counts, pa.array([kinds[p].tobytes() for p in places], pa.binary())], names=["chunk", "bucket", "part", "places", "n", "kinds"])
 
     return run
 
 
-ANSWERED = "chunk long, bucket int, places binary, n binary, kinds binary"
+ANSWERED = "chunk long, bucket int, part int, places binary, n binary, kinds binary"
 
 
 def _number(coded: pa.Table, row: int) -> np.ndarray:
@@ -213,17 +275,17 @@ def _contexts(n_classes: int):
         word = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         entry = np.concatenate([[0], np.cumsum(runs, dtype=np.int64)])[word]
         cut = lambda x, e: pa.array([_thin(x[a:b]) for a, b in zip(e[:-1], e[1:])], pa.binary())
-        return pa.table([answers.column("bucket").take(pa.array(order)), pa.array([len(p) for p in parts], pa.int32()), answers.column("places").take(pa.array(order)), cut(runs, word), cut(codes, entry), cut(counts, entry)], names=["bucket", "n_words", "places", "runs", "codes", "counts"])
+        return pa.table([answers.column("bucket").take(pa.array(order)), answers.column("part").take(pa.array(order)), pa.array([len(p) for p in parts], pa.int32()), answers.column("places").take(pa.array(order)), cut(runs, word), cut(codes, entry), cut(counts, entry)], names=["bucket", "part", "n_words", "places", "runs", "codes", "counts"])
 
     return run
 
 
-COUNTED = "bucket int, n_words int, places binary, runs binary, codes binary, counts binary"
+COUNTED = "bucket int, part int, n_words int, places binary, runs binary, codes binary, counts binary"
 SUMMED = "bucket int, runs binary, codes binary, counts binary"
 
 
 def _sum_contexts(group: pa.Table) -> pa.Table:
-    """One row: the counts of a bucket's words by code."""
+    """One row: the counts of the words of a bucket, or of a part of one, by code."""
     at, codes, counts, size = [], [], [], 1
     for i, n in enumerate(group.column("n_words").to_pylist()):
         places = _thick(group, "places", i, n)
@@ -231,7 +293,17 @@ def _sum_contexts(group: pa.Table) -> pa.Table:
         at.append(np.repeat(places.astype(np.int64), _thick(group, "runs", i, n)))
         codes.append(_of(group, "codes", i, np.uint8))
         counts.append(_thick(group, "counts", i, len(codes[-1])))
-    at, codes, counts = np.concatenate(at), np.concatenate(codes), np.concatenate(counts)
+    return _totals(group, np.concatenate(at), np.concatenate(codes), np.concatenate(counts), size)
+
+
+def _sum_parts(group: pa.Table) -> pa.Table:
+    """One row of the rows of a bucket's parts."""
+    runs, codes, counts = ([_of(group, c, i, t) for i in range(group.num_rows)] for c, t in (("runs", np.uint16), ("codes", np.uint8), ("counts", np.int64)))
+    at = [np.repeat(np.arange(len(r)), r) for r in runs]
+    return _totals(group, np.concatenate(at), np.concatenate(codes), np.concatenate(counts), max(map(len, runs)))
+
+
+def _totals(group: pa.Table, at: np.ndarray, codes: np.ndarray, counts: np.ndarray, size: int) -> pa.Table:
     out: list[list[np.ndarray]] = [[], [], []]
     for a in range(0, size, BLOCK):
         z = min(size, a + BLOCK)
@@ -319,14 +391,16 @@ def _move(pairs: np.ndarray, n_classes: int, turn: int):
     return run
 
 
-def exchange(texts: DataFrame, places: DataFrame, vocabulary: DataFrame, n_classes: int, sweeps: int) -> tuple[DataFrame, list[float]]:
+def exchange(texts: DataFrame, places: DataFrame, parts: Parts, vocabulary: DataFrame, n_classes: int, sweeps: int) -> tuple[DataFrame, list[float]]:
     """The vocabulary (VOCABULARY, written) with its classes after the exchange, and the likelihood at first and after each sweep that was kept."""
     likelihoods: list[float] = []
     kept, counted = vocabulary, None
     for turn in range(sweeps + 1):
-        answers = places.groupBy("bucket").cogroup(vocabulary.groupBy("bucket")).applyInArrow(_answer(False), ANSWERED)
+        answers = places.groupBy("bucket", "part").cogroup(parts.copies(vocabulary).groupBy("bucket", "part")).applyInArrow(_answer(False), ANSWERED)
         partial = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_contexts(n_classes), COUNTED)
-        sums = partial.groupBy("bucket").applyInArrow(_sum_contexts, SUMMED)
+        sums = partial.groupBy("bucket", "part").applyInArrow(_sum_contexts, SUMMED)
+        if parts.count:
+            sums = sums.groupBy("bucket").applyInArrow(_sum_parts, SUMMED)
         now = shared.written(vocabulary.join(sums, "bucket"), "counted")
         pairs = np.zeros(KINDS * KINDS, np.int64)
         for r in now.mapInArrow(_class_pairs, "pair int, n long").groupBy("pair").agg(F.sum("n")).toLocalIterator():  # KINDS squared rows at most
@@ -435,8 +509,10 @@ class Model:
         buckets = shared.buckets_for(shared.text_bytes(whole), BUCKET, 32)
         coded = shared.written(whole.select("doc_id", "held_out", "text").mapInArrow(_code(buckets), CODED), "coded")
         self.texts = coded.where("bucket is null").select("chunk", "doc_ids", "held", "offsets", "tokens", "width")
-        placed = shared.written(coded.where("bucket is not null").select("chunk", "bucket", "words", "counts").groupBy("bucket").applyInArrow(_place, PLACED), "placed")
-        self.places = placed.where("chunk is not null").select("chunk", "bucket", "n_words", "places")
+        words = coded.where("bucket is not null").select("chunk", "bucket", "words", "counts")
+        self.parts = Parts(words)
+        placed = shared.written(self.parts.placed(words), "placed")
+        self.places = placed.where("chunk is not null").select("chunk", "bucket", "part", "n_words", "places")
         words = placed.where("chunk is null").select("bucket", "words", "n")
         most = shared.written(words.mapInArrow(_most(MOST_CLASSES), "word long, n long, total long, types long, first boolean"), "most")
         self.total, self.types = (int(x or 0) for x in most.where("first").agg(F.sum("total"), F.sum("types")).first())
@@ -444,7 +520,7 @@ class Model:
         end = int(np.array([END_WORD]).view(np.int64)[0])
         top = [r["word"] for r in most.where(F.col("word") != end).orderBy(F.desc("n"), "word").limit(self.n_classes - 2).collect()]  # MOST_CLASSES rows at most
         begin = shared.written(words.mapInArrow(_begin({w: i for i, w in enumerate(top)}, self.n_classes), VOCABULARY), "vocabulary")
-        self.vocabulary, self.likelihoods = exchange(self.texts, self.places, begin, self.n_classes, sweeps if self.total else 0)
+        self.vocabulary, self.likelihoods = exchange(self.texts, self.places, self.parts, begin, self.n_classes, sweeps if self.total else 0)
 
     def of_class(self) -> np.ndarray:
         """Training tokens by class."""
@@ -474,7 +550,7 @@ class Model:
 
     def scores(self) -> DataFrame:
         of_class, end = self.of_class(), self.n_classes - 1
-        answers = self.places.groupBy("bucket").cogroup(self.vocabulary.groupBy("bucket")).applyInArrow(_answer(True), ANSWERED).drop("places")
+        answers = self.places.groupBy("bucket", "part").cogroup(self.parts.copies(self.vocabulary).groupBy("bucket", "part")).applyInArrow(_answer(True), ANSWERED).drop("places")
         scored = shared.written(self.texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_documents(self.total, self.types, of_class), SCORED), "scored")
         pairs = np.zeros(256 * 256, np.int64)
         for r in scored.select("held_out", "kinds").mapInArrow(_pairs(end), "pair int, n long").groupBy("pair").agg(F.sum("n")).toLocalIterator():

@@ -6,7 +6,7 @@ import brute
 import numpy as np
 from pyspark.sql import functions as F
 
-from chronolith.llm import brown_lm, quality, vec
+from chronolith.llm import brown_lm, quality, shared, vec
 
 SMALL = brute.SMALL
 
@@ -122,6 +122,20 @@ def test_exchange_finds_classes(spark):
     assert not {known[hashed(w)] for w in nouns} & {known[hashed(w)] for w in verbs}
 
 
+def test_buckets_in_parts(spark, monkeypatch):
+    """Buckets that are cut into parts by chunk give the same model and scores."""
+    docs = shared.table(spark, SMALL, "documents").repartition(8, "doc_id")
+    want = brown_lm.Model(docs, sweeps=1)
+    monkeypatch.setattr(brown_lm, "ROWS", 3)
+    got = brown_lm.Model(docs, sweeps=1)
+    assert want.parts.count == 0 and got.parts.count > 0 and got.places.agg(F.max("part")).first()[0] > 0
+    assert (got.total, got.types, got.likelihoods) == (want.total, want.types, want.likelihoods)
+    words = lambda m: sorted(map(tuple, m.word_classes().collect()))
+    assert words(got) == words(want)
+    rows = lambda m: sorted(map(tuple, m.scores().collect()))
+    assert rows(got) == rows(want)
+
+
 def test_top_k(spark):
     rows = [(i, float(i * 37 % 101) / 3 - 7) for i in range(500)] + [(1000 + i, 5.0) for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id long, key double")
