@@ -725,10 +725,11 @@ def dst_html_parse(spark, sf):
 @query(f"WITH {V.OBS}, c AS (SELECT CAST(t AS DATE) AS d, s, count(*) FILTER (WHERE station_id = s) AS n FROM obs, (SELECT unnest(range(0, 12)) AS s) GROUP BY 1, 2) SELECT CAST(d AS TIMESTAMP) AS epoch, CAST(20 - 20 * (s // 4) AS DOUBLE) AS lat, CAST(-30 + 30 * (s % 4) AS DOUBLE) AS lon, CASE WHEN n > 0 THEN round(n / 10, 6) END AS tec FROM c")
 def ionex_maps(spark, sf):
     tagged = lambda text, tag: F.concat(F.rpad(text, 60, " "), F.lit(tag))
-    n = lambda s: F.lpad(F.when(F.count_if(F.col("station_id") == s) == 0, F.lit(9999)).otherwise(F.count_if(F.col("station_id") == s)).cast("string"), 5, " ")
-    lines = [tagged(F.lit("    -1"), "EXPONENT"), tagged(F.lit("     1"), "START OF TEC MAP"), tagged(F.date_format(F.first("d"), "  yyyy     M     d     0     0     0"), "EPOCH OF CURRENT MAP")]
+    # Hundredths, so that no count is written as 9999; numbers have a blank between them, however long they are.
+    n = lambda s: F.when(F.count_if(F.col("station_id") == s) == 0, F.lit(9999)).otherwise(10 * F.count_if(F.col("station_id") == s)).cast("string")
+    lines = [tagged(F.lit("    -2"), "EXPONENT"), tagged(F.lit("     1"), "START OF TEC MAP"), tagged(F.date_format(F.first("d"), "  yyyy     M     d     0     0     0"), "EPOCH OF CURRENT MAP")]
     for i, lat in enumerate((20.0, 0.0, -20.0)):
-        lines += [tagged(F.lit(f"  {lat:6.1f}{-30.0:6.1f}{60.0:6.1f}{30.0:6.1f}{450.0:6.1f}"), "LAT/LON1/LON2/DLON/H"), F.concat(*[n(4 * i + j) for j in range(4)])]
+        lines += [tagged(F.lit(f"  {lat:6.1f}{-30.0:6.1f}{60.0:6.1f}{30.0:6.1f}{450.0:6.1f}"), "LAT/LON1/LON2/DLON/H"), F.concat_ws(" ", *[n(4 * i + j) for j in range(4)])]
     lines.append(tagged(F.lit("     1"), "END OF TEC MAP"))
     files = V.obs(spark, sf).withColumn("d", F.to_date("t")).groupBy(F.col("d").alias("day")).agg(F.concat_ws("\n", *lines).alias("file"))
     return parsers.ionosphere_maps(files, "file")

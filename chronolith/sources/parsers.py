@@ -68,13 +68,34 @@ def dst_block(df: DataFrame, html: str) -> DataFrame:
     return rows.select((F.col("d") + F.make_dt_interval(F.lit(0), F.col("i"))).alias("timestamp"), F.nullif(F.col("v").cast("double"), F.lit(9999.0)).alias("dst"))
 
 
+def _map_values(lines: list[str], n: int) -> list[int]:
+    """The numbers of a latitude's lines between blanks; where these aren't n numbers, of columns of five, in which numbers may touch."""
+    try:
+        apart, why = [int(x) for line in lines for x in line.split()], None
+    except ValueError as e:
+        apart, why = [], e
+    if len(apart) != n:
+        try:
+            columns = [int(line[i : i + 5]) for line in map(str.rstrip, lines) for i in range(0, len(line), 5)]
+        except ValueError:
+            columns = []
+        if len(columns) == n:
+            return columns
+    if why:
+        raise why
+    return apart
+
+
 def _map_rows(text: str) -> list[tuple]:
     """(epoch, lat, lon, tec) of a map file; ValueError at a number that is none."""
     out: list[tuple] = []
-    scale, inside, epoch, lat, axis, values = -1, False, None, None, [], []
+    scale, inside, epoch, lat, axis, lines = -1, False, None, None, [], []
 
     def close():
-        if lat is not None and axis and len(values) == len(axis):
+        if lat is None:
+            return
+        values = _map_values(lines, len(axis))
+        if axis and len(values) == len(axis):
             out.extend((epoch, lat, lon, None if v == 9999 else v * 10.0**scale) for lon, v in zip(axis, values))
 
     for line in text.split("\n"):
@@ -82,7 +103,7 @@ def _map_rows(text: str) -> list[tuple]:
         if tag == "EXPONENT":
             scale = int(line[:6])
         elif tag == "START OF TEC MAP":
-            inside, lat, values = True, None, []
+            inside, lat, lines = True, None, []
         elif tag == "END OF TEC MAP":
             close()
             inside, lat = False, None
@@ -93,9 +114,9 @@ def _map_rows(text: str) -> list[tuple]:
             close()
             # Fixed columns: numbers may touch.
             lat, lo, hi, step = (float(line[i : i + 6]) for i in (2, 8, 14, 20))
-            axis, values = [lo + step * i for i in range(int(round((hi - lo) / step)) + 1)], []
+            axis, lines = [lo + step * i for i in range(int(round((hi - lo) / step)) + 1)], []
         elif inside and lat is not None:
-            values += [int(x) for x in line.split()]
+            lines.append(line)
     return out
 
 
