@@ -166,7 +166,7 @@ def roti(spark, sf):
 @query(f"""WITH {V.OBS}, c AS (SELECT event_id, count(*) OVER w AS n, stddev_samp(s4) OVER w / nullif(avg(s4) OVER w, 0) AS cv FROM obs WINDOW w AS (PARTITION BY station_id ORDER BY epoch_us(t) RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW))
 SELECT event_id, round(CASE WHEN n > 1 AND cv IS NOT NULL THEN greatest(least(cv, 1), 0) END, 6) AS s4_index FROM c""")
 def range_frame_cv(spark, sf):
-    return features.range_variation(V.obs(spark, sf), "s4", "t", ["station_id"], 21_600_000_000).select("event_id", "s4_index")
+    return features.range_variation(V.obs(spark, sf).select("station_id", "t", "event_id", "s4"), "s4", "t", ["station_id"], 21_600_000_000).select("event_id", "s4_index")
 
 
 @query(f"""WITH {V.WIND} SELECT event_id, round(CASE WHEN bz < 0 THEN v_sw * -bz ELSE 0 END, 6) AS epsilon,
