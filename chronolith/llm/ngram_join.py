@@ -111,9 +111,9 @@ def _prune(numer: int, denom: int):
     """Pairs of a tile that the summed coordinate minima don't rule out, by a packed tree over the members."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, comp, n = (table.column(c).to_numpy() for c in ("node", "comp", "size"))
-        points = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.int32)
-        points[points == 255] = 1 << 20
+        node, comp, n, cell = (table.column(c).to_numpy() for c in ("node", "comp", "size", "cell"))
+        own = pivots.cell_lists(table)
+        points = _points(table.column("vector"))
         out_a, out_b = [], []
         for queries, members in pivots.each_tile(table):
             members = _packed_order(points, n, members)
@@ -127,6 +127,7 @@ def _prune(numer: int, denom: int):
                 m = members[open_[leaf_of]]
                 m = m[(comp[m] != comp[q]) & (n[m] * denom >= n[q] * numer) & (n[q] * denom >= n[m] * numer)]
                 m = m[np.minimum(points[m], points[q]).sum(1) * (numer + denom) >= numer * (n[q] + n[m])]
+                m = m[pivots.first_here(own, q, m, cell[q])]
                 out_a.append(np.full(len(m), node[q]))
                 out_b.append(node[m])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
@@ -153,7 +154,27 @@ def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, sets in shingle_sets(batches, k):
             own = [len(s) > 0 and node_of(s) == n for s, n in zip(sets, rows.column("node").to_pylist())]  # else another text with the same doc_id
-            yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([vector(s) for s in sets], pa.binary())], ["node", "items", "vector"]).filter(pa.array(own, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([vector(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], ["node", "items", "vector", "n_items"]).filter(pa.array(own, pa.bool_()))
+
+    return run
+
+
+def _points(vectors: pa.Array) -> np.ndarray:
+    points = np.frombuffer(b"".join(vectors.to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.int32)
+    points[points == 255] = 1 << 20
+    return points
+
+
+def _bound(numer: int, denom: int):
+    """The pairs whose summed coordinate minima don't rule a link out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                both = np.minimum(_points(part.column("x")), _points(part.column("y"))).sum(1)
+                m, n = part.column("m").to_numpy(), part.column("n").to_numpy()
+                yield part.select(["a", "b"]).filter(pa.array(both * (numer + denom) >= numer * (m + n)))
 
     return run
 
@@ -198,15 +219,21 @@ def similar_documents(docs: DataFrame, k: int = WORDS, numer: int = NUMER, denom
     n_busy = busy.count()
     # One row each fetches its set; only where a doc_id is repeated does a set come twice and must be dropped.
     fetched = whole.join(F.broadcast(busy) if n_busy <= shared.BROADCAST_ROWS else busy, "doc_id").select("node", "text")
-    sets = shared.written(fetched.mapInArrow(_sets(k), "node long, items binary, vector binary"), "sets")
+    sets = shared.written(fetched.mapInArrow(_sets(k), "node long, items binary, vector binary, n_items long"), "sets")
     if sets.count() > n_busy:
         once = shared.written(sets.dropDuplicates(["node"]), "sets")
         shared.spent(sets)
         sets = once
 
     def verify(pairs: DataFrame) -> DataFrame:
-        x = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-        y = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
+        # Vectors are smaller than most sets, so they go first; then only sets of pairs that are left move.
+        x = sets.select(F.col("node").alias("a"), F.col("vector").alias("x"), F.col("n_items").alias("m"))
+        y = sets.select(F.col("node").alias("b"), F.col("vector").alias("y"), F.col("n_items").alias("n"))
+        pairs = shared.written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "m", "n").mapInArrow(_bound(numer, denom), "a long, b long"), "bounded")
+        ends = shared.written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "ends")
+        asked = shared.semi(sets.select("node", "items"), ends, "node")
+        x = asked.select(F.col("node").alias("a"), F.col("items").alias("x"))
+        y = asked.select(F.col("node").alias("b"), F.col("items").alias("y"))
         return shared.written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_overlap(numer, denom), "a long, b long"), "links")
 
     def fits(x: str, y: str):

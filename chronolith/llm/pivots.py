@@ -17,14 +17,17 @@ from pyspark.sql import functions as F
 from . import shared
 from .links import TILE, components
 
+#: So many of a node's cells, the least, are known where it is compared.
+KNOWN = 16
+
 
 def link(cells: DataFrame, fits: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], prune: Callable[[DataFrame], DataFrame], band: Column | None = None) -> DataFrame:
     """(node, comp) of the nodes that have a link.
 
     cells: (cell, node, size). The pivot of a cell is its member that shares the most cells with others: what a
     group of edited copies has in common lies nearest to it. fits: a cheap condition on the sizes of structs x and y that
-    every linked pair meets. verify: (a, b) -> the linked ones. prune: (tile, node, comp, size, query) -> pairs (a, b) of
-    different comp within a tile that may be linked. band: a whole number of a node's size that differs by one at most
+    every linked pair meets. verify: (a, b) -> the linked ones. prune: (tile, node, comp, size, query, cell, own) -> pairs (a, b) of
+    different comp within a tile that may be linked; own is a node's KNOWN least cells, by which pairs that meet in a lesser cell too are left to that one. band: a whole number of a node's size that differs by one at most
     between linked nodes; a cell is then compared band by band.
     """
     per_cell = cells.groupBy("cell").agg(F.count("*").alias("members"))
@@ -42,6 +45,9 @@ def link(cells: DataFrame, fits: Callable[[str, str], Column], verify: Callable[
     several = marked.where("minor").select("cell").distinct()
     marked = shared.written(marked.join(several, "cell").withColumn("band", F.lit(0) if band is None else band), "several")
     shared.spent(known, pivot, star)
+    # Two nodes of different components are compared in every cell of `marked` that they share, as one of them is outside the
+    # pivot's component there. So the least cell that they share is enough; of a list cut short nothing false is concluded.
+    lists = marked.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("cell")), 1, KNOWN).alias("own"))
     asking = marked.where("minor") if band is None else marked.where("minor").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     sizes = asking.groupBy("cell", "band").agg(F.count("*").alias("asking")).join(marked.groupBy("cell", "band").agg(F.count("*").alias("members")), ["cell", "band"])
     sizes = shared.written(sizes.select("cell", "band", F.ceil(F.col("asking") / TILE).alias("rows"), F.ceil(F.col("members") / TILE).alias("parts")), "sizes")
@@ -50,7 +56,7 @@ def link(cells: DataFrame, fits: Callable[[str, str], Column], verify: Callable[
     last = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
     member = marked.join(sizes, ["cell", "band"]).withColumn("tile_j", F.pmod(F.xxhash64("node"), "parts")).withColumn("tile_i", F.explode(last("rows"))).withColumn("query", F.lit(False))
     query = asking.join(sizes, ["cell", "band"]).withColumn("tile_i", F.pmod(F.xxhash64(F.lit(1), F.col("node")), "rows")).withColumn("tile_j", F.explode(last("parts"))).withColumn("query", F.lit(True))
-    tiles = member.unionByName(query).select(F.xxhash64("cell", "band", "tile_i", "tile_j").alias("tile"), "node", "comp", "size", "query")
+    tiles = member.unionByName(query).select(F.xxhash64("cell", "band", "tile_i", "tile_j").alias("tile"), "node", "comp", "size", "query", "cell").join(lists, "node")
     more = shared.written(prune(tiles).distinct(), "across")
     shared.spent(marked, sizes)
     # Links between components: these are the nodes now.
@@ -80,3 +86,18 @@ def each_tile(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         n = int(query[a:b].sum())
         if n and n < b - a:
             yield order[a : a + n], order[a + n : b]
+
+
+def cell_lists(table: pa.Table) -> np.ndarray:
+    """The column own as rows of KNOWN numbers; what a list is short of is filled with its last one."""
+    own = table.column("own").combine_chunks()
+    long = own.value_lengths().to_numpy()
+    start = np.cumsum(long) - long
+    at = start[:, None] + np.minimum(np.arange(KNOWN), long[:, None] - 1)
+    return own.flatten().to_numpy()[at]
+
+
+def first_here(own: np.ndarray, q: int, others: np.ndarray, cell: int) -> np.ndarray:
+    """Which of the others (rows of own) share no lesser cell than this one with q, as far as their lists tell."""
+    mine = np.unique(own[q][own[q] < cell])
+    return ~np.isin(own[others], mine).any(1)
